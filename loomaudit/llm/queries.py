@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import quality_rules, toxicity
+from loomaudit.llm import bpe, quality_rules, token_files, toxicity
 from loomaudit.llm.common import crc_bucket, load
 
+VOCABULARY = "byte_bpe_50k.json"
+
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; the lexicon is learned outside the held-out fold."""
@@ -19,6 +22,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the packed files."""
+    files = token_files.write_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+    return token_files.read_documents(files)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    made = bpe.with_ids(docs, public_tokenizers.path(VOCABULARY), decoded="decoded")
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and the verdict of the learned decision list."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +45,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op5_token_files": op5_token_files,
+    "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
