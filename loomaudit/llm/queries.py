@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import bpe, quality_rules, token_files, toxicity
+from loomaudit.llm import bpe, decontamination, quality_rules, simhash, token_files, toxicity
 from loomaudit.llm.common import crc_bucket, load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,6 +35,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component that links of 2 bits or fewer make."""
+    found = simhash.with_components(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and the verdict of the learned decision list."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,11 +49,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col("statistics")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that a benchmark item has leaked into, with the item."""
+    return decontamination.leaks(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_token_files": op5_token_files,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
