@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import bpe, chat_format, decontamination, quality_rules, simhash, token_files, toxicity, url_filters, warc
+from loomaudit.llm import bpe, chat_format, decontamination, html_text, quality_rules, simhash, token_files, toxicity, url_filters, warc
 from loomaudit.llm.common import crc_bucket, load, written
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; the lexicon is learned outside the held-out fold."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +92,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,

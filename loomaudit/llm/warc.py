@@ -70,6 +70,8 @@ def inflated(source) -> Iterator[bytes]:
             data = gunzip.unconsumed_tail
             if gunzip.eof:
                 data, gunzip = gunzip.unused_data, zlib.decompressobj(31)
+    if rest := gunzip.flush():
+        yield rest
 
 
 def records_in(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
