@@ -89,5 +89,5 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without those that an item has leaked into."""
-    return docs.join(leaks(docs, items, key=key).select(key).distinct(), key, "left_anti")
+    """docs without those that an item has leaked into. Rows without a key stay."""
+    return docs.join(leaks(docs, items, key=key).select(key).distinct(), key, "left_anti").select(*docs.columns)
