@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomaudit.llm.common import written
+from loomaudit.llm.common import hinted, small_enough, written
 from loomaudit.llm.url_filters import host_of
 
 LEAST_IMPORTANCE, LEAST_PAGES = 0.4, 10
 #: The share of content in a node's importance; the rest is presentation.
 CONTENT_SHARE = 0.9
 DEPTH = 24
+#: Removed nodes of all hosts that may be broadcast, so that no text is shuffled; beyond, the join is shuffled.
+BROADCAST_NODES = 200_000
 ARTICLE, MAIN, OTHER = 2, 1, 0
 
 TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|!--.*?(?:--!?>|\Z)|[!?/][^>]*>)""", re.S)
@@ -208,8 +210,9 @@ def extract(pages: DataFrame) -> DataFrame:
     trees = written(read.select("page_id", "url", "host", "parsed.blocks", "parsed.votes"), "page-blocks")
     votes = trees.select("host", F.explode("votes").alias("v")).select("host", "v.*")
     low = importance(votes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    low = written(low.select("host", "node"), "low-nodes")
     by_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
-    joined = trees.select("page_id", "url", "host", "blocks").join(by_host, "host", "left")
+    joined = trees.select("page_id", "url", "host", "blocks").join(hinted(by_host, small_enough(low, BROADCAST_NODES)), "host", "left")
     rank = F.array_max(F.transform("blocks", lambda b: b["rank"]))
     kept = F.filter("blocks", lambda b: (b["rank"] == F.col("rank")) & ~F.coalesce(F.arrays_overlap(b["nodes"], F.col("low")), F.lit(False)))
     return joined.withColumn("rank", rank).select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit("")).alias("text"))
