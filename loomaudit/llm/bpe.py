@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from loomaudit.llm.pieces import PieceEncoder
 
 #: Texts that are handled at once within an Arrow batch.
-ROWS = 256
+ROWS = 1024
 MOST_PAIRS = 1_000_000
 
 
@@ -135,11 +135,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_texts(texts: list[str | None], vocab: Vocabulary) -> pa.Array:
+def encode_texts(texts: pa.Array, vocab: Vocabulary) -> pa.Array:
     """The ids of each text."""
-    runs = [vocab.encoder(x) if x else b"" for x in texts]
-    ends = np.cumsum([0, *(len(x) // 4 for x in runs)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(runs), dtype="<i4")))
+    ids, ends = vocab.encoder(texts)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
 
 
 def decode_ids(ids: pa.ListArray, vocab: Vocabulary) -> pa.Array:
@@ -161,7 +160,7 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                made = [encode_texts(part.column(text).to_pylist(), vocab)]
+                made = [encode_texts(part.column(text), vocab)]
                 if decoded:
                     made.append(decode_ids(made[0], vocab))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)

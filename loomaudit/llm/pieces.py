@@ -13,13 +13,15 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: How a byte-level BPE vocabulary cuts a text into words (fixed by its published pattern).
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space after any white space: there, a cut before the space would not be a cut between words.
-SPACE_AFTER_BLANK = [chr(c) + " " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-MOST_PIECES, MOST_WORDS = 400_000, 300_000
+SPACE_AFTER_BLANK = "[" + "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "] "
+MOST_PIECES, MOST_WORDS = 600_000, 500_000
 
 
 class _Words(dict):
@@ -60,25 +62,44 @@ class PieceEncoder:
         self.special = {s: np.array([i], dtype="<i4").tobytes() for s, i in special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian int32 bytes."""
-        if self.cut and self.cut.search(text):
-            out, at = [], 0
-            for m in self.cut.finditer(text):
-                out += [self._plain(text[at : m.start()]), self.special[m[0]]]
-                at = m.end()
-            return b"".join([*out, self._plain(text[at:])])
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's ids end. Null texts are empty.
+
+        Each distinct piece of the batch is looked up once; numpy gathers the ids."""
+        if not len(texts):
+            return np.empty(0, dtype="<i4"), np.empty(0, dtype=np.int64)
         if len(self.spaced) + len(self.first) > MOST_PIECES:
             self.spaced.clear()
             self.first.clear()
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        if any(map(text.__contains__, SPACE_AFTER_BLANK)):
-            return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest)) if head else b"".join(map(self.spaced.__getitem__, rest))
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, SPACE_AFTER_BLANK)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets = cut.offsets.to_numpy()
+        pieces = cut.flatten().dictionary_encode()
+        codes = pieces.indices.to_numpy().astype(np.int64)
+        heads = offsets[:-1] - offsets[0]
+        table = [self.spaced[x] for x in pieces.dictionary.to_pylist()]
+        codes_of_heads = codes[heads]
+        codes[heads] = np.arange(len(table), len(table) + len(heads))
+        known = pieces.dictionary
+        for i, (code, alone) in enumerate(zip(codes_of_heads.tolist(), whole.to_pylist(), strict=True)):
+            table.append(self.encode_whole(texts[i].as_py()) if alone else self.first[known[code].as_py()])
+        lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        starts = np.cumsum(lengths) - lengths
+        blob = np.frombuffer(b"".join(table), dtype="<i4")
+        n = lengths[codes]
+        ends = np.cumsum(n)
+        ids = blob[np.arange(ends[-1]) + np.repeat(starts[codes] - ends + n, n)]
+        return ids, ends[np.append(heads[1:], len(codes)) - 1]
+
+    def encode_whole(self, text: str) -> bytes:
+        """One text, word by word."""
+        out, at = [], 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            out += [*map(self.words.__getitem__, WORDS.findall(text[at : m.start()])), self.special[m[0]]]
+            at = m.end()
+        return b"".join([*out, *map(self.words.__getitem__, WORDS.findall(text[at:]))])

@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loomaudit.llm.bpe import byte_letters
 from loomaudit.llm.common import written
 from loomaudit.llm.files import new_file, new_folder, place
 from loomaudit.llm.pieces import PieceEncoder
 
 MAGIC = 0x314B41504D4F4F4C
 BLOCK = 8192
+#: Texts that are encoded at once.
+ROWS = 1024
 MANIFEST = "part int, path string, n_tokens bigint, n_docs bigint"
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -74,7 +77,13 @@ def library_encoder(path: str) -> tuple[PieceEncoder, int]:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
-    return PieceEncoder(lambda word: tokenizer.encode(word, add_special_tokens=False).ids, special), tokenizer.get_vocab_size()
+    letters = str.maketrans({chr(byte): letter for letter, byte in byte_letters().items()})
+    tokenize = tokenizer.model.tokenize
+
+    def encode(word: str) -> list[int]:
+        return [x.id for x in tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+
+    return PieceEncoder(encode, special), tokenizer.get_vocab_size()
 
 
 class Writer:
@@ -146,15 +155,17 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         from pyspark import TaskContext
 
         encode, size = library_encoder(path)
-        end = np.array([end_id], dtype="<i4").tobytes()
+        end = np.uint32(end_id)
         file = new_file(folder, ".tokens")
         files, name = place(file)
         with files.open_output_stream(name) as out:
             writer = Writer(out, width_of(size))
             for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    text = text.as_py()
-                    writer.add(doc_id, np.frombuffer((encode(text) if text else b"") + end, dtype="<u4"))
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    ids, ends = encode(part.column("text"))
+                    for doc_id, run in zip(part.column("doc_id").to_pylist(), np.split(ids.view("<u4"), ends[:-1]), strict=True):
+                        writer.add(doc_id, np.append(run, end))
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [file], "n_tokens": pa.array([writer.tokens], pa.int64()), "n_docs": pa.array([len(writer.starts)], pa.int64())})
 
