@@ -1,4 +1,621 @@
-"""The auditor's queries, by name."""
+"""The auditor's queries over the driver's tables, and the same in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A site is an origin. Queries read the whole pages table; what that table cannot
+hold (robots files, sitemaps, clusters, probes) comes from small literal tables
+that both sides share, joined with the pages where that makes sense.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomaudit.functions import text as X
+from loomaudit.functions import urls as U
+from loomaudit.operators import clusters, coverage, extract, links, locales, robots
+from loomaudit.plans import cards, page_rules, producer, report, site_rules
+from loomaudit.sources import sitemaps, snapshot
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+LOCALES = ["en", "fr", "de", "es"]
+ROBOTS = """# literal
+User-agent: *
+User-agent: probe
+Disallow: /fr/
+Allow: /fr/1
+Disallow: /*?utm_source
+Disallow: /de/*.html$
+Crawl-delay: 5
+Allow: /es/
+
+Sitemap: https://a.example/sitemap.xml
+Sitemap:
+Disallowed: /x
+no separator
+User-agent:
+User-agent: probe-image
+Disallow: /
+"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+# ---- the pages table as declared pages -------------------------------------
+
+
+def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as rules read them, with path and path_query; no probes ran."""
+    pages = snapshot.without_probes(extract.declared(extract.raw_pages(snapshot.fetches(spark, sf_dir))))
+    return pages.withColumns({"path": F.regexp_extract("page_url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "path_query": F.regexp_extract("page_url", "^[a-z]+://[^/?#]*([^#]*)", 1)})
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, site, url, path) of the pages table, for work on URLs alone: html is not read."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return pages.select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("site"), "url", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+def no_clusters(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "key string, route string")
+
+
+URLS = """u AS (
+  SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(url, '[?][^#]*') AS query FROM pages
+), s AS (
+  SELECT *, regexp_replace(path, '/+$', '') AS bare, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u
+), r AS (
+  SELECT *, CASE WHEN bare = '' THEN '/' ELSE bare END || query AS route_key, lower(parts[1]) AS first,
+         CASE WHEN regexp_full_match(parts[1], '(?i)[a-z]{2,3}(-[a-z]{2}|-[0-9]{3})?') THEN lower(parts[1]) ELSE 'x-default' END AS locale FROM s
+), t AS (
+  SELECT *, CASE WHEN locale <> 'x-default' THEN '/' || array_to_string(parts[2:], '/') ELSE path END AS route FROM r
+)"""
+#: A title as the tokenizer reads it: the first title of the head, references decoded, white space collapsed. The SQL decodes the two named references that the table holds.
+TITLES = """w AS (
+  SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_title FROM t
+), x AS (
+  SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(raw_title, '&quot;', '"'), '&amp;', chr(1)), '&am', '&am'), chr(1), '&', 'g'), '\\s+', ' ', 'g')) AS title FROM w
+)"""
+VERDICTS = f"""WITH {URLS}, {TITLES}, v AS (
+  SELECT x.*, d.rule_id, d.ord, d.rigor,
+    CASE d.rule_id WHEN 'title.missing' THEN CASE WHEN title = '' THEN 'fail' ELSE 'pass' END
+      WHEN 'title.length' THEN CASE WHEN title = '' THEN 'na' WHEN length(title) BETWEEN 10 AND 60 THEN 'pass' ELSE 'warn' END
+      ELSE d.status END AS status,
+    d.severity AS if_bad
+  FROM x, (VALUES (0, 'title.missing', 'spec-required', 'error', NULL), (1, 'title.length', 'heuristic', 'warning', NULL), (2, 'description.missing', 'spec-recommended', 'warning', 'fail'),
+    (3, 'description.length', 'heuristic', 'warning', 'na'), (4, 'canonical.missing', 'vendor-spec', 'warning', 'fail'), (5, 'canonical.absolute', 'vendor-spec', 'error', 'na'), (6, 'viewport.missing', 'guideline', 'warning', 'fail'),
+    (7, 'og.title.missing', 'vendor-spec', 'warning', 'fail'), (8, 'og.description.missing', 'vendor-spec', 'info', 'na'), (9, 'og.image.missing', 'vendor-spec', 'warning', 'fail'), (10, 'og.image.absolute', 'vendor-spec', 'warning', 'na'),
+    (11, 'og.image.alt', 'guideline', 'warning', 'na'), (12, 'og.image.alt.caption', 'guideline', 'info', 'na'), (13, 'og.image.dimensions', 'vendor-spec', 'warning', 'na'), (14, 'og.image.ratio', 'vendor-spec', 'warning', 'na'),
+    (15, 'og.locale.missing', 'vendor-spec', 'warning', 'na'), (16, 'og.locale.alternates', 'vendor-spec', 'warning', 'na'), (17, 'icons.missing', 'guideline', 'warning', 'fail'), (18, 'icons.apple-touch.missing', 'vendor-spec', 'info', 'na'),
+    (19, 'icons.manifest-mismatch', 'guideline', 'info', 'na'), (20, 'og.image.reachable', 'vendor-spec', 'error', 'na'), (21, 'og.image.sizes-mismatch', 'guideline', 'warning', 'na'), (22, 'icons.unreachable', 'vendor-spec', 'warning', 'na'),
+    (23, 'icons.sizes-mismatch', 'guideline', 'info', 'na'), (24, 'robots.conflict', 'vendor-spec', 'error', 'na')) AS d(ord, rule_id, rigor, severity, status)
+), f AS (
+  SELECT *, 'seo-' || substr(sha256(rule_id || chr(0) || route_key || chr(0) || (row_number() OVER (PARTITION BY site, rule_id, url ORDER BY page_id, ord) - 1)::VARCHAR), 1, 10) AS id FROM v WHERE status IN ('fail', 'warn')
+)"""
+
+
+@query("page_titles", f"WITH {URLS}, {TITLES} SELECT url AS page_url, title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS html_lang FROM x")
+def page_titles(spark, sf_dir):
+    return declared(spark, sf_dir).select("page_url", "title", "html_lang")
+
+
+@query("page_lint_title", f"{VERDICTS} SELECT url AS page_url, rule_id, status FROM v WHERE rule_id LIKE 'title.%'")
+def page_lint_title(spark, sf_dir):
+    rules = [r for r in page_rules.page_rules() if r.id.startswith("title.")]
+    return page_rules.evaluate(declared(spark, sf_dir), rules).select("page_url", "rule_id", "status")
+
+
+@query("page_lint_all", f"{VERDICTS} SELECT id, url AS page_url, rule_id, if_bad AS severity, rigor FROM f")
+def page_lint_all(spark, sf_dir):
+    return report.page_findings(page_rules.evaluate(declared(spark, sf_dir))).select("id", "page_url", "rule_id", "severity", "rigor")
+
+
+def _profiled(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rules = page_rules.under_profile(page_rules.page_rules(), name)
+        return report.page_findings(page_rules.evaluate(declared(spark, sf_dir), rules)).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"))
+
+    return run
+
+
+PROFILE_SQL = {
+    "strict": "CASE WHEN rigor IN ('spec-required', 'spec-recommended', 'vendor-spec') THEN 'error' ELSE 'warning' END",
+    "spec-only": "if_bad",
+    "marketing": "CASE WHEN rule_id IN ('description.missing', 'og.title.missing', 'og.image.missing') THEN 'error' ELSE if_bad END",
+}
+for _name, _severity in PROFILE_SQL.items():
+    _where = "WHERE rigor <> 'heuristic'" if _name == "spec-only" else ""
+    query(f"profile_overlay_{_name.replace('-', '_')}", f"{VERDICTS} SELECT rule_id, {_severity} AS severity, count(*) AS findings FROM f {_where} GROUP BY ALL")(_profiled(_name))
+
+
+@query("conformance_totals", f"{VERDICTS} SELECT rule_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warned, count(*) FILTER (status = 'na') AS not_applicable, count(*) AS pages FROM v GROUP BY rule_id")
+def conformance_totals(spark, sf_dir):
+    return report.conformance(page_rules.evaluate(declared(spark, sf_dir)))
+
+
+@query("conformance_matrix", f"{VERDICTS} SELECT url AS page_url, rule_id, status FROM v")
+def conformance_matrix(spark, sf_dir):
+    return page_rules.evaluate(declared(spark, sf_dir)).select("page_url", "rule_id", "status")
+
+
+@query("findings_fingerprints", f"{VERDICTS} SELECT id, count(*) AS findings FROM f GROUP BY id")
+def findings_fingerprints(spark, sf_dir):
+    return report.page_findings(page_rules.evaluate(declared(spark, sf_dir))).groupBy("id").agg(F.count("*").alias("findings"))
+
+
+@query(
+    "findings_rollup_by_rule",
+    f"""{VERDICTS}, n AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY url, id) AS n FROM f)
+SELECT rule_id, min(if_bad) AS severity, count(*) AS findings, string_agg(url, ' ' ORDER BY url) FILTER (n <= 5) AS pages, greatest(count(*) - 5, 0) AS more FROM n GROUP BY rule_id""",
+)
+def findings_rollup_by_rule(spark, sf_dir):
+    return report.rollup_by_rule(report.page_findings(page_rules.evaluate(declared(spark, sf_dir))))
+
+
+@query(
+    "audit_summary_verdict",
+    f"""{VERDICTS}, c AS (SELECT site, count(*) AS page_issues, count(*) FILTER (if_bad = 'error') AS errors FROM f GROUP BY site), p AS (SELECT site, count(*) AS pages FROM t GROUP BY site)
+SELECT site, pages, 0::BIGINT AS broken_links, 0::BIGINT AS missing_translations, coalesce(page_issues, 0) AS page_issues, 0::BIGINT AS site_issues, 0::BIGINT AS unreachable_pages, coalesce(errors, 0) AS errors, coalesce(page_issues, 0) AS findings,
+  CASE WHEN coalesce(errors, 0) > 0 THEN 'red' WHEN coalesce(page_issues, 0) > 0 THEN 'yellow' ELSE 'green' END AS verdict FROM p LEFT JOIN c USING (site)""",
+)
+def audit_summary_verdict(spark, sf_dir):
+    pages = declared(spark, sf_dir)
+    return report.summary(pages.select("site"), pages, report.page_findings(page_rules.evaluate(pages)))
+
+
+@query("advisories", f"WITH {URLS}, {TITLES} SELECT 'advisory-' || substr(sha256(a.rule_id || chr(0) || route_key), 1, 10) AS id, a.rule_id, url AS page_url, 'needs-judgment' AS status FROM x, (VALUES ('title.descriptive'), ('lang.matches-content')) AS a(rule_id) WHERE a.rule_id <> 'title.descriptive' OR title <> ''")
+def advisories(spark, sf_dir):
+    return page_rules.advisories(declared(spark, sf_dir)).drop("evidence")
+
+
+@query(
+    "baseline_diff",
+    f"""{VERDICTS}, b AS (SELECT DISTINCT id FROM f WHERE severity_ok), c AS (SELECT DISTINCT id FROM f WHERE rule_id <> 'viewport.missing')
+SELECT coalesce(b.id, c.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'resolved' ELSE 'kept' END AS change FROM b FULL JOIN c ON b.id = c.id""".replace("severity_ok", "if_bad = 'warning' AND rule_id <> 'icons.missing'"),
+)
+def baseline_diff(spark, sf_dir):
+    """A run without one rule against a baseline without another."""
+    found = report.page_findings(page_rules.evaluate(declared(spark, sf_dir)))
+    return report.difference(found.where("severity = 'warning' and rule_id <> 'icons.missing'"), found.where("rule_id <> 'viewport.missing'")).select("id", "change")
+
+
+# ---- URLs --------------------------------------------------------------------
+
+
+@query("url_same_page_key", f"WITH {URLS} SELECT url, site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM t")
+def url_same_page_key(spark, sf_dir):
+    return urls(spark, sf_dir).select("url", U.same_page_key(U.parsed(F.col("url"))).alias("key"))
+
+
+@query("url_route_key", f"WITH {URLS} SELECT url, route_key AS key FROM t")
+def url_route_key(spark, sf_dir):
+    return urls(spark, sf_dir).select("url", U.route_key(U.parsed(F.col("url")), F.col("url")).alias("key"))
+
+
+@query("url_target_key", f"WITH {URLS} SELECT url, site || route_key AS key FROM t")
+def url_target_key(spark, sf_dir):
+    return urls(spark, sf_dir).select("url", U.target_key(U.parsed(F.col("url")), F.col("url")).alias("key"))
+
+
+@query("url_duplicate_groups", f"WITH {URLS} SELECT route_key AS key, count(*) AS pages, count(DISTINCT site) AS sites FROM t GROUP BY 1 HAVING count(*) > 1")
+def url_duplicate_groups(spark, sf_dir):
+    keyed = urls(spark, sf_dir).withColumn("key", U.route_key(U.parsed(F.col("url")), F.col("url")))
+    return keyed.groupBy("key").agg(F.count("*").alias("pages"), F.count_distinct("site").alias("sites")).where("pages > 1")
+
+
+@query("url_route_locale_split", f"WITH {URLS} SELECT url, route, locale FROM t")
+def url_route_locale_split(spark, sf_dir):
+    return urls(spark, sf_dir).withColumn("at", U.split_route(F.col("path"))).select("url", "at.route", "at.locale")
+
+
+@query("glob_filter", f"WITH {URLS} SELECT url FROM t WHERE NOT regexp_full_match(path, '/fr/.*') AND (regexp_full_match(path, '/[^/]*/[0-9][^/]') OR regexp_full_match(path, '.*[.]html'))")
+def glob_filter(spark, sf_dir):
+    return urls(spark, sf_dir).where(X.path_allowed(F.col("path"), ["/*/??", "**.html"], ["/fr/**"])).where(F.col("path").rlike(r"^/[^/]*/\d[^/]$|\.html$")).select("url")
+
+
+# ---- locales -------------------------------------------------------------------
+
+
+@query("locale_axis", f"WITH {URLS} SELECT DISTINCT site, locale, 'sitemap' AS source FROM t WHERE locale <> 'x-default'")
+def locale_axis(spark, sf_dir):
+    return locales.axis(urls(spark, sf_dir))
+
+
+@query(
+    "locale_candidates",
+    f"""WITH {URLS}, g AS (SELECT site, locale AS tag, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS lang FROM t WHERE locale <> 'x-default')
+SELECT site, tag, count(*) AS pages, true AS known_language, bool_or(lang = tag) AS lang_agrees, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM g GROUP BY site, tag""",
+)
+def locale_candidates(spark, sf_dir):
+    return locales.candidates(declared(spark, sf_dir))
+
+
+MATRIX = f"""WITH {URLS}, k AS (SELECT site, route, locale, arg_min(url, page_id) AS url FROM t GROUP BY ALL), g AS (
+  SELECT a.site, a.route, b.locale FROM (SELECT DISTINCT site, route FROM k) a JOIN (SELECT DISTINCT site, locale FROM k) b USING (site)
+), m AS (SELECT g.site, g.route, g.locale, k.url, k.url IS NOT NULL AS inspected, CASE WHEN k.url IS NOT NULL THEN 'crawled' END AS source FROM g LEFT JOIN k USING (site, route, locale))"""
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = declared(spark, sf_dir)
+    return locales.matrix(pages, pages.select("site", F.col("page_url").alias("url"), "path").where("false"), no_clusters(spark))
+
+
+@query("i18n_matrix", f"{MATRIX} SELECT * FROM m")
+def i18n_matrix(spark, sf_dir):
+    return grid(spark, sf_dir)
+
+
+@query(
+    "translation_holes",
+    f"""{MATRIX}, h AS (SELECT site, route, string_agg(locale, ',' ORDER BY locale) FILTER (url IS NOT NULL) AS present, string_agg(locale, ',' ORDER BY locale) FILTER (url IS NULL) AS missing FROM m WHERE locale <> 'x-default' GROUP BY site, route)
+SELECT 'i18n-' || substr(sha256('hole' || chr(0) || route), 1, 10) AS id, * FROM h WHERE present IS NOT NULL AND missing IS NOT NULL""",
+)
+def translation_holes(spark, sf_dir):
+    return locales.holes(grid(spark, sf_dir))
+
+
+@query("hreflang_missing", f"WITH {URLS}, m AS (SELECT site FROM t WHERE locale <> 'x-default' GROUP BY site HAVING count(DISTINCT locale) >= 2) SELECT site, url AS page_url FROM t SEMI JOIN m USING (site)")
+def hreflang_missing(spark, sf_dir):
+    site = site_rules.Site(declared(spark, sf_dir), F.lit("2026-01-01").cast("timestamp"), axis=locales.axis(urls(spark, sf_dir)))
+    return site_rules.hreflang_missing(site).select("site", "page_url")
+
+
+# ---- coverage ------------------------------------------------------------------
+
+COVERAGE = f"""WITH {URLS}, steps AS (SELECT site, url, unnest(parts) AS segment, generate_subscripts(parts, 1) - 1 AS depth, parts FROM t), e AS (
+  SELECT site, url, depth, segment, array_to_string(parts[1:depth], '/') AS prefix FROM steps
+), varies AS (SELECT site, depth, prefix FROM e WHERE depth > 0 GROUP BY ALL HAVING count(DISTINCT segment) >= 8), p AS (
+  SELECT e.site, e.url, '/' || string_agg(CASE WHEN v.site IS NULL THEN segment ELSE '{{' || e.depth || '}}' END, '/' ORDER BY e.depth) AS pattern FROM e LEFT JOIN varies v USING (site, depth, prefix) GROUP BY ALL
+), n AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY site, pattern) AS size FROM p WINDOW w AS (PARTITION BY site, pattern ORDER BY url)), c AS (
+  SELECT *, size < 8 OR place IN (0, floor((size - 1) / 2 + 0.5), size - 1) AS keep FROM n
+)"""
+
+
+def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.selected(coverage.patterned(urls(spark, sf_dir)))
+
+
+@query("coverage_families", f"{COVERAGE} SELECT site, pattern, count(*) AS size, count(*) FILTER (keep) AS sampled FROM c WHERE size >= 8 GROUP BY ALL")
+def coverage_families(spark, sf_dir):
+    return coverage.families(covered(spark, sf_dir))
+
+
+@query("coverage_selection", f"{COVERAGE} SELECT url, pattern, keep FROM c")
+def coverage_selection(spark, sf_dir):
+    return covered(spark, sf_dir).select("url", "pattern", "keep")
+
+
+# ---- links ---------------------------------------------------------------------
+
+LINKS = f"""WITH {URLS}, a AS (SELECT site, url AS page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS n FROM t), l AS (
+  SELECT site, page_url, n, raw, site || replace(replace(replace(url_encode(replace(replace(replace(raw, '&amp;', '&'), '&lt;', '<'), '&gt;', '>')), '%2F', '/'), '%2C', ','), '%21', '!') AS enc FROM a
+), o AS (SELECT site, page_url, n, raw, replace(replace(replace(replace(replace(replace(replace(replace(replace(enc, '%3A', ':'), '%3B', ';'), '%40', '@'), '%26', '&'), '%3D', '='), '%2B', '+'), '%24', '$'), '%2A', '*'), '%7C', '|') AS url FROM l)"""
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.occurrences(declared(spark, sf_dir))
+
+
+@query("link_occurrences", f"{LINKS} SELECT page_url, raw, url, 'internal' AS kind FROM o")
+def link_occurrences(spark, sf_dir):
+    return occurrences(spark, sf_dir).select("page_url", "raw", "url", "kind")
+
+
+@query("link_target_dedupe", f"{LINKS} SELECT url, count(*) AS uses, min(page_url) AS first_page FROM o GROUP BY url")
+def link_target_dedupe(spark, sf_dir):
+    return links.targets(occurrences(spark, sf_dir)).select("url", "uses", "first_page")
+
+
+#: A status for each target that both sides derive from its text alone: the table has no answers.
+STATUS = "CASE length(url) % 5 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 0 ELSE 200 END"
+VERDICT = "CASE length(url) % 5 WHEN 0 THEN 'broken' WHEN 1 THEN 'blocked' WHEN 2 THEN 'broken' ELSE 'ok' END"
+
+
+def checked(found: DataFrame) -> DataFrame:
+    answers = found.select("url").distinct().select("url", F.expr(STATUS).alias("status"), F.lit(None).cast("string").alias("location"), F.lit("").alias("body"))
+    return links.checks(found, answers)
+
+
+@query("link_rows", f"{LINKS} SELECT url, {VERDICT} AS verdict, 'internal' AS kind, regexp_extract(url, '://([^/?#]*)', 1) AS host, count(DISTINCT page_url) AS \"references\" FROM o GROUP BY url")
+def link_rows(spark, sf_dir):
+    found = occurrences(spark, sf_dir)
+    return links.rows(checked(found), found)
+
+
+@query("link_verdict_tally", f"{LINKS}, c AS (SELECT DISTINCT url FROM o), n AS (SELECT {VERDICT} AS verdict, count(*) AS links FROM c GROUP BY 1) SELECT v.verdict, coalesce(links, 0) AS links FROM (VALUES ('ok'), ('redirect'), ('broken'), ('blocked'), ('warning'), ('skipped')) AS v(verdict) LEFT JOIN n USING (verdict)")
+def link_verdict_tally(spark, sf_dir):
+    return links.tally(checked(occurrences(spark, sf_dir)))
+
+
+BROKEN = f"{LINKS}, b AS (SELECT DISTINCT page_url, url, {VERDICT} AS verdict FROM o WHERE {VERDICT} <> 'ok')"
+
+
+@query("links_broken_by_page", f"{BROKEN} SELECT page_url, url, verdict FROM b")
+def links_broken_by_page(spark, sf_dir):
+    found = occurrences(spark, sf_dir)
+    return links.broken_by_page(found, checked(found)).select("page_url", "url", "verdict")
+
+
+@query("link_rollup", f"{BROKEN}, n AS (SELECT *, row_number() OVER (PARTITION BY url, verdict ORDER BY page_url) AS n FROM b) SELECT url, verdict, count(*) AS pages, string_agg(page_url, ' ' ORDER BY page_url) FILTER (n <= 5) AS sample, greatest(count(*) - 5, 0) AS more FROM n GROUP BY ALL")
+def link_rollup(spark, sf_dir):
+    found = occurrences(spark, sf_dir)
+    return report.rollup_links(links.broken_by_page(found, checked(found)))
+
+
+@query("links_outside_page_set", f"{LINKS} SELECT DISTINCT url FROM o ANTI JOIN (SELECT site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS url FROM t) p USING (url)")
+def links_outside_page_set(spark, sf_dir):
+    pages = urls(spark, sf_dir).select(U.same_page_key(U.parsed(F.col("url"))).alias("key"))
+    found = occurrences(spark, sf_dir).select("url").distinct().withColumn("key", U.same_page_key(U.parsed(F.col("url"))))
+    return found.join(pages, "key", "left_anti").select("url")
+
+
+# ---- robots ----------------------------------------------------------------------
+
+
+def said(spark: SparkSession, site: str = "https://a.example") -> DataFrame:
+    return robots.lines(spark.createDataFrame([(site, ROBOTS)], "site string, body string"))
+
+
+@query(
+    "robots_parse_lines",
+    """SELECT * FROM (VALUES (2, 'user-agent', '*', 'agent', 1), (3, 'user-agent', 'probe', 'agent', 1), (4, 'disallow', '/fr/', 'disallow', 1), (5, 'allow', '/fr/1', 'allow', 1), (6, 'disallow', '/*?utm_source', 'disallow', 1),
+  (7, 'disallow', '/de/*.html$', 'disallow', 1), (8, 'crawl-delay', '5', 'unknown', 1), (9, 'allow', '/es/', 'allow', 1), (11, 'sitemap', 'https://a.example/sitemap.xml', 'sitemap', 1), (12, 'sitemap', '', 'invalid', 1),
+  (13, 'disallowed', '/x', 'invalid', 1), (14, NULL, NULL, 'invalid', 1), (15, 'user-agent', '', 'invalid', 1), (16, 'user-agent', 'probe-image', 'agent', 2), (17, 'disallow', '/', 'disallow', 2)) AS v(line, name, value, kind, group_no)""",
+)
+def robots_parse_lines(spark, sf_dir):
+    return said(spark).select("line", "name", "value", "kind", F.col("group_no").cast("int").alias("group_no"))
+
+
+@query(
+    "robots_decision",
+    f"""WITH {URLS}, d AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM t), m AS (
+  SELECT page_id, rule, line, allows, length(rule) AS octets FROM d, (VALUES ('^/fr/.*', '/fr/', 4, false), ('^/fr/1.*', '/fr/1', 5, true), ('^/.*[?]utm_source.*', '/*?utm_source', 6, false), ('^/de/.*[.]html', '/de/*.html$', 7, false), ('^/es/.*', '/es/', 9, true)) AS r(regex, rule, line, allows)
+  WHERE regexp_full_match(path, regex)
+), b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY octets DESC, allows DESC) AS n FROM m)
+SELECT d.page_id, d.path, coalesce(b.allows, true) AS allowed, b.rule FROM d LEFT JOIN b ON b.page_id = d.page_id AND b.n = 1""",
+)
+def robots_decision(spark, sf_dir):
+    """One literal file for all sites."""
+    paths = urls(spark, sf_dir).select("page_id", F.lit("https://a.example").alias("site"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1).alias("path"))
+    return robots.decisions(paths, said(spark)).select("page_id", "path", "allowed", "rule")
+
+
+# ---- sitemaps ----------------------------------------------------------------------
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a query as the entries of each site's sitemap; fields follow from page_id."""
+    return urls(spark, sf_dir).where(F.col("url").contains("?")).select(
+        "site", F.concat("site", F.lit("/en/sitemap.xml")).alias("document_url"), F.col("url").alias("loc"), F.expr("CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END").alias("lastmod"),
+        F.expr("CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END").alias("changefreq"), F.expr("CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END").alias("priority"), F.array().cast("array<struct<hreflang: string, href: string>>").alias("alternates"), F.col("page_id").cast("int").alias("ord"),
+    )
+
+
+LISTED = f"WITH {URLS}, e AS (SELECT *, CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END AS lastmod, CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END AS changefreq, CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END AS priority FROM t WHERE url LIKE '%?%')"
+
+
+def listed_site(spark: SparkSession, sf_dir: str) -> site_rules.Site:
+    return site_rules.Site(declared(spark, sf_dir), F.lit("2026-01-01").cast("timestamp"), entries=listed(spark, sf_dir), axis=locales.axis(urls(spark, sf_dir)))
+
+
+def _sampled_sql(value: str, where: str) -> str:
+    return f"""{LISTED}, x AS (SELECT site, {value} AS v FROM e WHERE {where}), n AS (SELECT DISTINCT site, v FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM n)
+SELECT site, string_agg(v, ' ' ORDER BY v) FILTER (n <= 5) || ' (' || count(*) || ')' AS observed FROM k GROUP BY site"""
+
+
+@query("sitemap_field_checks", _sampled_sql("url", "changefreq = 'often' OR priority IN ('2', 'x')"))
+def sitemap_field_checks(spark, sf_dir):
+    return site_rules.sitemap_field_invalid(listed_site(spark, sf_dir)).select("site", "observed")
+
+
+@query("sitemap_lastmod_checks", _sampled_sql("lastmod", "lastmod IN ('yesterday', '2999-01-01T00:00:00Z')"))
+def sitemap_lastmod_checks(spark, sf_dir):
+    return site_rules.sitemap_lastmod_invalid(listed_site(spark, sf_dir)).select("site", "observed")
+
+
+@query("sitemap_out_of_scope", _sampled_sql("url", "path NOT LIKE '/en/%'"))
+def sitemap_out_of_scope(spark, sf_dir):
+    return site_rules.sitemap_entry_out_of_scope(listed_site(spark, sf_dir)).select("site", "observed")
+
+
+@query(
+    "sitemap_orphans",
+    f"""{LISTED}, o AS (SELECT DISTINCT t.site, t.url AS v FROM t SEMI JOIN e ON e.site = t.site ANTI JOIN (SELECT site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM e) x ON x.key = t.site || CASE WHEN length(t.path) > 1 THEN t.bare ELSE t.path END || t.query),
+k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM o) SELECT site, string_agg(v, ' ' ORDER BY v) FILTER (n <= 5) || ' (' || count(*) || ')' AS observed FROM k GROUP BY site""",
+)
+def sitemap_orphans(spark, sf_dir):
+    return site_rules.sitemap_orphans(listed_site(spark, sf_dir)).select("site", "observed")
+
+
+def _by_host(entries: DataFrame) -> DataFrame:
+    """Entries of one sitemap for each host, whatever their scheme."""
+    host = F.regexp_extract("loc", "://([^/?#]*)", 1)
+    return entries.withColumns({"site": host, "document_url": F.concat(F.lit("https://"), F.regexp_replace(host, r"^(www|m|blog)\.", ""), F.lit("/sitemap.xml"))})
+
+
+@query("sitemap_protocol_mismatch", f"{LISTED} SELECT regexp_extract(url, '://([^/?#]*)', 1) AS site, 'http,https' AS observed FROM e GROUP BY 1 HAVING count(DISTINCT split_part(url, '://', 1)) > 1")
+def sitemap_protocol_mismatch(spark, sf_dir):
+    site = site_rules.Site(declared(spark, sf_dir), F.lit("2026-01-01").cast("timestamp"), entries=_by_host(listed(spark, sf_dir)))
+    return site_rules.sitemap_entry_protocol_mismatch(site).select("site", "observed")
+
+
+@query(
+    "sitemap_cross_host",
+    f"""{LISTED}, n AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site, url AS v FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM n WHERE regexp_matches(site, '^(www|m|blog)[.]'))
+SELECT site, string_agg(v, ' ' ORDER BY v) FILTER (n <= 5) || ' (' || count(*) || ')' AS observed FROM k GROUP BY site""",
+)
+def sitemap_cross_host(spark, sf_dir):
+    site = site_rules.Site(declared(spark, sf_dir), F.lit("2026-01-01").cast("timestamp"), entries=_by_host(listed(spark, sf_dir)))
+    return site_rules.sitemap_entry_cross_host(site).select("site", "observed")
+
+
+@query("site_lint", f"{LISTED}, m AS (SELECT site FROM t WHERE locale <> 'x-default' GROUP BY site HAVING count(DISTINCT locale) >= 2) SELECT rule_id, count(*) AS findings FROM (SELECT 'hreflang.missing' AS rule_id FROM t SEMI JOIN m USING (site) UNION ALL SELECT DISTINCT ON (site) 'sitemap.field.invalid' FROM e WHERE changefreq = 'often' OR priority IN ('2', 'x') UNION ALL SELECT DISTINCT ON (site) 'sitemap.lastmod.invalid' FROM e WHERE page_id % 4 IN (1, 2) UNION ALL SELECT DISTINCT ON (site) 'sitemap.entry.out-of-scope' FROM e WHERE path NOT LIKE '/en/%' UNION ALL (SELECT DISTINCT ON (t.site) 'sitemap.orphans' FROM t SEMI JOIN e ON e.site = t.site ANTI JOIN (SELECT site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM e) x ON x.key = t.site || CASE WHEN length(t.path) > 1 THEN t.bare ELSE t.path END || t.query)) GROUP BY 1")
+def site_lint(spark, sf_dir):
+    return report.site_findings(site_rules.evaluate(listed_site(spark, sf_dir))).groupBy("rule_id").agg(F.count("*").alias("findings"))
+
+
+@query("canonical_dedup", "SELECT * FROM (VALUES ('https://a.example/x'), ('https://a.example/z?p=1')) AS v(page_url)")
+def canonical_dedup(spark, sf_dir):
+    """A variant that names a crawled page goes; one that names an absent page stays."""
+    rows = [("https://a.example", u, c) for u, c in (("https://a.example/x", "https://a.example/x/"), ("https://a.example/x?tag=1", "https://a.example/x"), ("https://a.example/z?p=1", "https://a.example/z"))]
+    return report.without_canonical_duplicates(spark.createDataFrame(rows, "site string, page_url string, canonical string")).select("page_url")
+
+
+# ---- clusters, structured data, probes, producer, cards: literal tables ------------
+
+
+def _cluster_entries(spark: SparkSession) -> DataFrame:
+    a = "https://a.example"
+    rows = [
+        (a, 0, f"{a}/fr/tarifs", [("fr", f"{a}/fr/tarifs"), ("en", f"{a}/en/pricing"), ("x-default", f"{a}/en/pricing")]),
+        (a, 1, f"{a}/en/about", [("en", f"{a}/en/about")]),
+        (a, 2, f"{a}/fr/tarifs/", [("x-default", f"{a}/en/other")]),
+        (a, 3, f"{a}/en/plain", []),
+    ]
+    return spark.createDataFrame(rows, "site string, ord int, loc string, alternates array<struct<hreflang: string, href: string>>")
+
+
+@query("cluster_index_sitemap", "SELECT * FROM (VALUES ('https://a.example/fr/tarifs', '/pricing'), ('https://a.example/en/pricing', '/pricing'), ('https://a.example/en/other', '/other')) AS v(key, route)")
+def cluster_index_sitemap(spark, sf_dir):
+    return clusters.from_sitemap(_cluster_entries(spark))[0].select("key", "route")
+
+
+def _heads(spark: SparkSession) -> DataFrame:
+    a = "https://a.example"
+    pages = {"/en/one": ["en:/en/one", "fr:/fr/un", "x-default:/en/one"], "/fr/un": ["en:/en/one", "fr:/fr/un", "x-default:/en/one"], "/en/lone": ["fr:/fr/seul"], "/fr/seul": [], "/de/a": ["en:/en/b", "x-default:/"], "/en/b": ["de:/de/a", "x-default:/"]}
+    rows = [(a, a + p, i, [(i * 10 + j, x.partition(":")[0], a + x.partition(":")[2], x.startswith("x-default")) for j, x in enumerate(alts)]) for i, (p, alts) in enumerate(pages.items())]
+    return spark.createDataFrame(rows, "site string, page_url string, visit_ord bigint, alternates array<struct<ord: int, hreflang: string, href: string, is_default: boolean>>")
+
+
+@query("cluster_index_head", "SELECT * FROM (VALUES ('https://a.example/en/one', '/one'), ('https://a.example/fr/un', '/one')) AS v(key, route)")
+def cluster_index_head(spark, sf_dir):
+    return clusters.from_heads(_heads(spark))[0].select("key", "route")
+
+
+@query("cluster_combine", "SELECT * FROM (VALUES ('https://a.example/fr/tarifs', '/pricing'), ('https://a.example/en/pricing', '/pricing'), ('https://a.example/en/other', '/other'), ('https://a.example/en/one', '/one'), ('https://a.example/fr/un', '/one')) AS v(key, route)")
+def cluster_combine(spark, sf_dir):
+    return clusters.combine(clusters.from_sitemap(_cluster_entries(spark))[0], clusters.from_heads(_heads(spark))[0])[0].select("key", "route")
+
+
+@query("reciprocity_codes", "SELECT * FROM (VALUES ('missing-back-link', 1::BIGINT), ('x-default-missing', 0::BIGINT)) AS v(code, findings) WHERE findings > 0")
+def reciprocity_codes(spark, sf_dir):
+    return report.rollup_reciprocity(locales.reciprocity(_heads(spark))).select("code", "findings")
+
+
+@query("locale_validity", "SELECT * FROM (VALUES ('en', true), ('pt-BR', true), ('zh-Hant', true), ('es-419', true), ('x-default', true), ('xx', false), ('pt-ZZ', false), ('en_US', false), ('und', false), ('en-Zzzz', false)) AS v(tag, valid)")
+def locale_validity(spark, sf_dir):
+    tags = spark.createDataFrame([(t,) for t in ("en", "pt-BR", "zh-Hant", "es-419", "x-default", "xx", "pt-ZZ", "en_US", "und", "en-Zzzz")], "tag string")
+    return tags.select("tag", locales.is_valid(F.col("tag")).alias("valid"))
+
+
+SITEMAP_INDEX = """<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://a.example/one.xml</loc></sitemap><sitemap><loc>https://a.example/gone.xml</loc></sitemap></sitemapindex>"""
+SITEMAP_ONE = """<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml"><url><loc>https://a.example/en/1</loc><lastmod>2024-01-01</lastmod><xhtml:link rel="alternate" hreflang="fr" href="https://a.example/fr/1"/></url><url><loc>https://a.example/en/1</loc></url><url><loc>https://a.example/en/2</loc></url></urlset>"""
+
+
+def _discovered(spark: SparkSession):
+    a = "https://a.example"
+    sites = spark.createDataFrame([(a,)], "site string")
+    named = spark.createDataFrame([(a, f"{a}/broken.xml", 1), (a, f"{a}/index.xml", 2)], "site string, url string, line int")
+    answers = [(a, f"{a}/broken.xml", 200, b"<urlset><url>"), (a, f"{a}/index.xml", 200, SITEMAP_INDEX.encode()), (a, f"{a}/one.xml", 200, SITEMAP_ONE.encode()), (a, f"{a}/sitemap.xml", 200, SITEMAP_ONE.encode())]
+    return sitemaps.discover(sites, named, spark.createDataFrame(answers, "site string, url string, status int, body binary"))
+
+
+@query("sitemap_discovery", "SELECT 'https://a.example/index.xml' AS sitemap_url, true AS found, 2::BIGINT AS urls, 1::BIGINT AS child_errors, true AS unparsable, false AS truncated")
+def sitemap_discovery(spark, sf_dir):
+    return _discovered(spark)[2].select("sitemap_url", "found", "urls", "child_errors", "unparsable", "truncated")
+
+
+@query("sitemap_entries", "SELECT * FROM (VALUES ('https://a.example/en/1', '2024-01-01', 1), ('https://a.example/en/2', NULL, 0)) AS v(loc, lastmod, alternates)")
+def sitemap_entries(spark, sf_dir):
+    return _discovered(spark)[1].select("loc", "lastmod", F.size("alternates").alias("alternates"))
+
+
+RICH_PAGE = """<html lang="fr"><head><title> Un  titre </title><title>Other</title><base href="https://a.example/deep/">
+<meta name="Description" content="first"><meta name="description" content="A description that is long enough to be judged an ideal one for a result list.">
+<meta name="viewport" content="width=device-width"><meta name="robots" content="noindex, follow"><meta name="googlebot" content="index">
+<meta property="og:title" content="Card"><meta property="og:image:width" content="9"><meta property="og:image" content="https://a.example/1.png"><meta property="og:image:width" content="1200px"><meta property="og:image:height" content="630"><meta property="og:image:alt" content="Card">
+<meta property="og:image" content="/2.png"><meta property="og:locale" content="fr_FR"><meta property="og:locale:alternate" content="en_US">
+<link rel="canonical" href="../page?x=1"><link rel="alternate" hreflang="en" href="/en/page"><link rel="alternate" hreflang="fr-FR" href="/fr/page"><link rel="icon" href="/i.png" sizes="32x32 any junk" type="image/png"><link rel="manifest" href="/m.json">
+<script type="application/ld+json">{"@graph": [{"@type": "Article", "author": {"@type": ["Person", "Thing"]}}]}</script><script type="application/ld+json">{broken</script></head><body><a href="x#frag" rel="NoFollow me">Go <b>there</b></a><a href="mailto:a@b">m</a><img src="/p.png"></body></html>"""
+
+
+def rich_page(spark: SparkSession) -> DataFrame:
+    """A literal page that declares something of everything."""
+    row = [("https://a.example", "https://a.example/fr/page", 0, 200, "text/html", {"x-robots-tag": "noindex"}, RICH_PAGE)]
+    return extract.declared(extract.raw_pages(spark.createDataFrame(row, "site string, page_url string, visit_ord bigint, status int, content_type string, headers map<string,string>, html string")))
+
+
+@query("jsonld_types", "SELECT * FROM (VALUES (0, 'Article,Person,Thing', false), (1, '', true)) AS v(index, types, parse_error)")
+def jsonld_types(spark, sf_dir):
+    return extract.json_ld(rich_page(spark)).select("index", F.array_join("types", ",").alias("types"), "parse_error")
+
+
+@query("og_images", "SELECT * FROM (VALUES ('https://a.example/1.png', 1200, 630, 'Card'), ('/2.png', 0, 0, NULL)) AS v(url, width, height, alt)")
+def og_images(spark, sf_dir):
+    return rich_page(spark).select(F.explode("og_images").alias("i")).select("i.url", F.coalesce("i.width", F.lit(0)).alias("width"), F.coalesce("i.height", F.lit(0)).alias("height"), "i.alt")
+
+
+@query("asset_dimensions", "SELECT * FROM (VALUES ('a.png', 1200, 630), ('b.ico', 256, 256), ('b.ico', 16, 16), ('c.jpg', 640, 480)) AS v(url, width, height)")
+def asset_dimensions(spark, sf_dir):
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\x04\xb0\0\0\x02\x76"
+    ico = b"\0\0\1\0\2\0" + bytes(16) + b"\x10\x10" + bytes(14)
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\x01\xe0\x02\x80\x03"
+    rows = [("a.png", 200, "image/png", png), ("b.ico", 200, "image/x-icon", ico), ("c.jpg", 200, "image/jpeg", jpeg), ("d.svg", 200, "image/svg+xml", b"<svg/>")]
+    probes = snapshot.asset_probes(spark.createDataFrame(rows, "url string, status int, content_type string, head binary"))
+    return probes.select("url", F.explode("sizes").alias("s")).select("url", "s.width", "s.height")
+
+
+def _routes(spark: SparkSession) -> DataFrame:
+    rows = [("pages", "home", "en", "/en", True, None), ("pages", "home", "fr", "/fr", True, None), ("blog", "b1", "fr", "/fr/bonjour", True, "2024-01-01"), ("blog", "b2", "en", "/en/draft", False, None)]
+    return producer.registry(spark.createDataFrame(rows, "family string, key string, locale string, path string, listed boolean, last_modified string"), "en")
+
+
+@query("route_registry", "SELECT * FROM (VALUES ('/en', 'en', true), ('/fr', 'fr', false), ('/fr/bonjour', 'fr', true), ('/en/draft', 'en', true)) AS v(path, locale, is_anchor)")
+def route_registry(spark, sf_dir):
+    return _routes(spark).select("path", "locale", "is_anchor")
+
+
+@query("route_clusters", "SELECT * FROM (VALUES ('home', 'en', 'https://a.example/en'), ('home', 'fr', 'https://a.example/fr'), ('home', 'x-default', 'https://a.example/en'), ('b1', 'fr', 'https://a.example/fr/bonjour'), ('b1', 'x-default', 'https://a.example/fr/bonjour'), ('b2', 'en', 'https://a.example/en/draft'), ('b2', 'x-default', 'https://a.example/en/draft')) AS v(key, tag, url)")
+def route_clusters(spark, sf_dir):
+    return producer.clusters(_routes(spark), "https://a.example/").select("key", "tag", "url")
+
+
+@query("route_sitemap", "SELECT * FROM (VALUES ('https://a.example/en', 3::BIGINT), ('https://a.example/fr', 3::BIGINT), ('https://a.example/fr/bonjour', 2::BIGINT)) AS v(loc, links)")
+def route_sitemap(spark, sf_dir):
+    return producer.sitemap(_routes(spark), "https://a.example").groupBy("loc").agg(F.count("*").alias("links"))
+
+
+@query("locale_lookup", "SELECT * FROM (VALUES ('pt-BR', 'pt'), ('en-GB-x', 'en-GB'), ('de', 'de-AT'), ('zh', NULL), ('fr', NULL)) AS v(requested, served)")
+def locale_lookup(spark, sf_dir):
+    asked = spark.createDataFrame([(x,) for x in ("pt-BR", "en-GB-x", "de", "zh", "fr")], "requested string")
+    return locales.lookup(asked, spark.createDataFrame([(x,) for x in ("pt", "en-GB", "de-AT", "zh-CN", "zh-TW")], "locale string"))
+
+
+@query("title_fit", f"WITH {URLS}, {TITLES} SELECT url AS page_url, CASE WHEN length(title) <= 20 THEN 72 WHEN length(title) <= 40 THEN 56 WHEN length(title) <= 60 THEN 44 ELSE 36 END AS size FROM x")
+def title_fit(spark, sf_dir):
+    size = cards.fitted_size(X.grapheme_count(F.col("title")), [(20, 72), (40, 56), (60, 44)], 36)
+    return declared(spark, sf_dir).select("page_url", size.alias("size"))
+
+
+@query("share_cards", f"WITH {URLS}, {TITLES} SELECT url AS page_url, s.surface, title, 'document' AS title_from FROM x, (VALUES ('open-graph'), ('search'), ('x'), ('linkedin'), ('slack'), ('discord'), ('whatsapp')) AS s(surface)")
+def share_cards(spark, sf_dir):
+    return cards.cards(declared(spark, sf_dir)).select("page_url", "surface", "title", "title_from")
+
+
+@query("card_palette", "SELECT * FROM (VALUES ('ink', '#000000'), ('paper', '#ffffff'), ('accent', '#ff0000')) AS v(name, hex)")
+def card_palette(spark, sf_dir):
+    css = ":root { --ink: oklch(0% 0 0); --paper: oklch(100% 0 0); --accent: oklch(62.79554% 0.257683 29.2338); --ink: oklch(50% 0 0); }"
+    return cards.palette(spark.createDataFrame([(css,)], "text string"))

@@ -1 +1 @@
-
+"""Scalar functions of the auditor, as Column expressions."""

@@ -1 +1 @@
-
+"""Relational operators of the auditor: DataFrames in, DataFrames out."""

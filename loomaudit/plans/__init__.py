@@ -1 +1 @@
-
+"""Judgements and reports: rules, findings, summaries, comparisons."""

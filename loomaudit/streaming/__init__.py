@@ -1 +1 @@
-
+"""Pages judged as they arrive."""
