@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from loomaudit.llm.pieces import PieceEncoder
 
 #: Texts that are handled at once within an Arrow batch.
-ROWS = 1024
+ROWS = 2048
 MOST_PAIRS = 1_000_000
 
 

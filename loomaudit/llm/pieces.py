@@ -1,10 +1,10 @@
 """Memoised encoding of texts, piece by piece.
 
 No token of a byte-level BPE vocabulary spans a step from a character that is
-not white space to one that is, so a text can be cut there and each distinct
-piece encoded once. A piece is first looked up whole; on a miss it is cut into
-the tokenizer's words, and only unseen words reach the encoder. The memory of
-both tables is bounded: a full one is emptied.
+not white space to one that is, so a text can be cut there. Each distinct piece
+of a batch is cut into the tokenizer's words once, and only words not seen
+before reach the encoder. The table of seen words is bounded: a full one is
+emptied.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import regex
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space after any white space: there, a cut before the space would not be a cut between words.
 SPACE_AFTER_BLANK = "[" + "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "] "
-MOST_PIECES, MOST_WORDS = 600_000, 500_000
+#: Words that are remembered.
+MOST_WORDS = 700_000
 
 
 class _Words(dict):
@@ -35,30 +36,11 @@ class _Words(dict):
         return ids
 
 
-class _Pieces(dict):
-    """piece -> the ids of prefix + piece."""
-
-    def __init__(self, words: _Words, prefix: str):
-        self.words, self.prefix = words, prefix
-
-    def __missing__(self, piece: str) -> bytes:
-        words = self.words
-        if piece.isalpha():
-            ids = words[self.prefix + piece]
-        elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            ids = words[self.prefix + piece[:-1]] + words[piece[-1]]
-        else:
-            ids = b"".join(map(words.__getitem__, WORDS.findall(self.prefix + piece)))
-        self[piece] = ids
-        return ids
-
-
 class PieceEncoder:
     """Encodes texts with `encode`, which gets one word at a time. `special` maps strings that are ids of their own, wherever they stand, to those ids."""
 
     def __init__(self, encode: Callable[[str], list[int]], special: dict[str, int]):
         self.words = _Words(encode)
-        self.first, self.spaced = _Pieces(self.words, ""), _Pieces(self.words, " ")
         self.special = {s: np.array([i], dtype="<i4").tobytes() for s, i in special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
@@ -68,9 +50,6 @@ class PieceEncoder:
         Each distinct piece of the batch is looked up once; numpy gathers the ids."""
         if not len(texts):
             return np.empty(0, dtype="<i4"), np.empty(0, dtype=np.int64)
-        if len(self.spaced) + len(self.first) > MOST_PIECES:
-            self.spaced.clear()
-            self.first.clear()
         if len(self.words) > MOST_WORDS:
             self.words.clear()
         texts = texts.fill_null("")
@@ -82,12 +61,12 @@ class PieceEncoder:
         pieces = cut.flatten().dictionary_encode()
         codes = pieces.indices.to_numpy().astype(np.int64)
         heads = offsets[:-1] - offsets[0]
-        table = [self.spaced[x] for x in pieces.dictionary.to_pylist()]
+        table = [self.piece(" ", x) for x in pieces.dictionary.to_pylist()]
         codes_of_heads = codes[heads]
         codes[heads] = np.arange(len(table), len(table) + len(heads))
         known = pieces.dictionary
         for i, (code, alone) in enumerate(zip(codes_of_heads.tolist(), whole.to_pylist(), strict=True)):
-            table.append(self.encode_whole(texts[i].as_py()) if alone else self.first[known[code].as_py()])
+            table.append(self.encode_whole(texts[i].as_py()) if alone else self.piece("", known[code].as_py()))
         lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
         starts = np.cumsum(lengths) - lengths
         blob = np.frombuffer(b"".join(table), dtype="<i4")
@@ -96,6 +75,15 @@ class PieceEncoder:
         ids = blob[np.arange(ends[-1]) + np.repeat(starts[codes] - ends + n, n)]
         return ids, ends[np.append(heads[1:], len(codes)) - 1]
 
+    def piece(self, prefix: str, piece: str) -> bytes:
+        """The ids of prefix + piece; the common shapes need no pattern."""
+        words = self.words
+        if piece.isalpha():
+            return words[prefix + piece]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return words[prefix + piece[:-1]] + words[piece[-1]]
+        return b"".join(map(words.__getitem__, WORDS.findall(prefix + piece)))
+
     def encode_whole(self, text: str) -> bytes:
         """One text, word by word."""
         out, at = [], 0

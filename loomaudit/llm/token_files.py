@@ -33,7 +33,7 @@ from loomaudit.llm.pieces import PieceEncoder
 MAGIC = 0x314B41504D4F4F4C
 BLOCK = 8192
 #: Texts that are encoded at once.
-ROWS = 1024
+ROWS = 2048
 MANIFEST = "part int, path string, n_tokens bigint, n_docs bigint"
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
