@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpointed in the shared folder; in one of its own where none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
@@ -18,13 +18,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the smallest node that can be reached. Each round a node takes the smallest root around it, then that root's own."""
-    both = _cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
     for _ in range(most_rounds):
         seen = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         low = roots.join(seen, "node").select("node", F.col("root").alias("before"), F.least("root", "low").alias("low"))
         jump = roots.select(F.col("node").alias("low"), F.col("root").alias("up"))
-        after = _cut(low.join(jump, "low").select("node", "before", F.least("low", "up").alias("root")))
+        after = cut(low.join(jump, "low").select("node", "before", F.least("low", "up").alias("root")))
         roots = after.select("node", "root")
         if after.where("root <> before").isEmpty():
             return roots
