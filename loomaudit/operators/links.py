@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomaudit.operators.graph import cut
+
 VERDICTS = ("ok", "redirect", "broken", "blocked", "warning", "skipped")
 MOST_HOPS = 10
 #: Fixed value: what a page says that stands in for an error.
@@ -52,7 +54,9 @@ def checks(urls: DataFrame, responses: DataFrame) -> DataFrame:
         step = state.join(known.select("at", "status", "location"), "at", "left")
         moves = F.coalesce(F.col("status").between(300, 399) & F.col("location").isNotNull() & ~F.col("loop"), F.lit(False))
         again = moves & F.array_contains("path", F.col("location"))
-        state = step.select("url", F.when(moves & ~again, F.col("location")).otherwise(F.col("at")).alias("at"), F.when(moves & ~again, F.array_append("path", F.col("location"))).otherwise(F.col("path")).alias("path"), (F.col("loop") | again).alias("loop"))
+        state = cut(step.select("url", F.when(moves & ~again, F.col("location")).otherwise(F.col("at")).alias("at"), F.when(moves & ~again, F.array_append("path", F.col("location"))).otherwise(F.col("path")).alias("path"), (F.col("loop") | again).alias("loop"), (moves & ~again).alias("moved")))
+        if state.where("moved").isEmpty():
+            break
     ended = state.join(known, "at", "left").withColumn("status", F.coalesce("status", F.lit(0)))
     loop = F.col("loop") | F.coalesce(F.col("status").between(300, 399) & F.col("location").isNotNull(), F.lit(False))
     soft = is_soft_not_found(F.col("status"), F.col("body"))

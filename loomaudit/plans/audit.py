@@ -1,4 +1,8 @@
-"""A whole audit of snapshot tables: extraction, rules, links, translations, report."""
+"""A whole audit of snapshot tables: extraction, rules, links, translations, report.
+
+Each step that several others read is checkpointed in the shared folder, so
+that no plan holds all of the audit and a lost executor costs one step.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomaudit.functions import urls as U
 from loomaudit.operators import clusters, coverage, crawl, extract, links, locales, robots
+from loomaudit.operators.graph import cut
 from loomaudit.plans import page_rules, report, site_rules
 from loomaudit.sources import sitemaps, snapshot
 
@@ -52,7 +57,7 @@ def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame
     rules = page_rules.under_profile(page_rules.page_rules(), o.profile)
     spark = snap.fetches.sparkSession
     fetched = snapshot.first_answers(snap.fetches)
-    raw = extract.raw_pages(fetched.where(snapshot.is_healthy(F.col("status")) & snapshot.is_html(F.col("content_type"))))
+    raw = cut(extract.raw_pages(fetched.where(snapshot.is_healthy(F.col("status")) & snapshot.is_html(F.col("content_type")))))
     out: dict[str, DataFrame] = {}
     if o.depth is not None and entries is not None:
         answers = fetched.select(U.canonical_url(U.parsed(F.col("page_url"))).alias("url"), "status", F.col("page_url").alias("final_url"))
@@ -61,7 +66,7 @@ def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame
         out |= {"visited": visited, "crawl_errors": errors}
     pages = extract.declared(raw)
     pages = pages.withColumns({"path": F.regexp_extract("page_url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "path_query": F.regexp_extract("page_url", "^[a-z]+://[^/?#]*([^#]*)", 1)})
-    pages = report.without_canonical_duplicates(pages)
+    pages = cut(report.without_canonical_duplicates(pages))
     if snap.assets is not None:
         none = spark.createDataFrame([], "href string, status int, body string")
         pages = snapshot.with_probes(pages, snapshot.asset_probes(snap.assets), snap.manifests if snap.manifests is not None else none)
@@ -75,31 +80,31 @@ def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame
     documents = listed = diagnostics = None
     if o.use_sitemap and snap.responses is not None:
         declared = said.where("kind = 'sitemap'").select("site", F.col("value").alias("url"), "line") if said is not None else spark.createDataFrame([], "site string, url string, line int")
-        documents, listed, diagnostics = sitemaps.discover(fetched.select("site").distinct(), declared, snap.responses.select("site", "url", "status", "body"))
+        documents, listed, diagnostics = map(cut, sitemaps.discover(fetched.select("site").distinct(), declared, snap.responses.select("site", "url", "status", "body")))
         out |= {"sitemap_documents": documents, "sitemap_entries": listed, "sitemaps": diagnostics}
     heads, _ = clusters.from_heads(pages)
-    index = clusters.combine(clusters.from_sitemap(listed)[0], heads)[0] if listed is not None else heads
+    index = cut(clusters.combine(clusters.from_sitemap(listed)[0], heads)[0] if listed is not None else heads)
     urls_of = listed.select("site", F.col("loc").alias("url"), U.parsed(F.col("loc"))["path"].alias("path")) if listed is not None else pages.select("site", F.lit("").alias("url"), F.lit("").alias("path")).where("false")
     axis = locales.axis(urls_of.select("site", "path").unionByName(pages.select("site", F.lit("").alias("path"))), o.locales)
     site = site_rules.Site(
         pages, F.lit(o.now).cast("timestamp"), said=said, sitemaps=diagnostics, documents=documents, entries=listed, axis=axis, clusters=index, favicons=snap.favicons,
         robots=None if snap.robots is None else snap.robots.select("site", "url", "status", "final_url", F.octet_length(F.coalesce("body", F.lit(""))).alias("bytes")),
     )
-    verdicts = page_rules.evaluate(pages, rules)
-    occurrences = links.occurrences(pages)
+    verdicts = cut(page_rules.evaluate(pages, rules))
+    occurrences = cut(links.occurrences(pages))
     checked_urls = occurrences if o.check_external else occurrences.where("kind = 'internal'")
     answers = (snap.responses if snap.responses is not None else fetched.select(F.col("page_url").alias("url"), "status", F.lit(None).cast("string").alias("location"), F.lit("").alias("body"))).select("url", "status", "location", F.col("body").cast("string").alias("body"))
     known = fetched.select(F.col("page_url").alias("url"), "status", F.lit(None).cast("string").alias("location"), F.lit("").alias("body"))
-    checked = links.checks(checked_urls.join(answers.unionByName(known).select("url").distinct(), "url", "left_semi"), answers.unionByName(known).dropDuplicates(["url"]))
+    checked = cut(links.checks(checked_urls.join(answers.unionByName(known).select("url").distinct(), "url", "left_semi"), answers.unionByName(known).dropDuplicates(["url"])))
     broken = links.broken_by_page(occurrences, checked)
-    matrix = locales.matrix(pages, urls_of, index.select("key", "route"))
+    matrix = cut(locales.matrix(pages, urls_of, index.select("key", "route")))
     multilingual = axis.where("locale <> 'x-default'").groupBy("site").agg(F.count_distinct("locale").alias("n")).where("n >= 2").select("site")
     holes = locales.holes(matrix, o.ignore_holes).join(multilingual, "site", "left_semi")
     back = locales.reciprocity(pages)
     origin = F.regexp_extract("page_url", "^[a-z]+://[^/?#]*", 0)
-    findings = report.all_findings(
+    findings = cut(report.all_findings(
         report.page_findings(verdicts), report.site_findings(site_rules.evaluate(site)), report.link_findings(broken), report.unreachable_findings(fetched), report.translation_findings(holes, back)
-    ).withColumn("site", origin)
+    ).withColumn("site", origin))
     summary = report.summary(fetched.select("site"), pages, findings)
     debt = F.lit(False) if o.max_debt is None else F.col("findings") > o.max_debt
     out |= {

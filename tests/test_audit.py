@@ -27,8 +27,13 @@ def snap(spark):
     return audit.Snapshot(spark.createDataFrame(rows, FETCHES), robots=robots, responses=responses)
 
 
-def test_audit(snap):
-    out = audit.run_audit(snap, audit.Options(fail_on="error"))
+@pytest.fixture(scope="module")
+def audited(snap):
+    return audit.run_audit(snap, audit.Options(fail_on="error"))
+
+
+def test_audit(audited):
+    out = audited
     s = out["summary"].first()
     assert (s["site"], s["pages"], s["broken_links"], s["unreachable_pages"], s["verdict"], s["exit_code"]) == (A, 4, 1, 1, "red", 1)
     found = {(r["kind"], r["rule_id"]) for r in out["findings"].collect()}
@@ -40,8 +45,8 @@ def test_audit(snap):
     assert html.count("<section>") == 28 and "français" in html
 
 
-def test_same_audit_has_no_changes(snap):
-    out = audit.run_audit(snap)["findings"]
+def test_same_audit_has_no_changes(audited):
+    out = audited["findings"]
     changes = report.difference(out, out)
     assert {r["change"] for r in changes.select("change").distinct().collect()} == {"kept"}
     assert report.gate(changes, "warning").first()["exit_code"] == 0
