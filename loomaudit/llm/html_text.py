@@ -2,10 +2,12 @@
 
 The pages of a host are merged into one tree of style nodes: a node is a path
 of elements with their classes. For each node the pages vote twice, by the
-order of its child elements (presentation) and by its texts (content). A node
-whose presentation and texts repeat from page to page has low entropy, and so
-low importance; branches below LEAST_IMPORTANCE are removed from every page of
-the host, once at least LEAST_PAGES pages bear on them.
+order of its child elements (presentation) and by the texts that it holds
+itself (content). A node whose texts repeat from page to page has low entropy,
+and so low importance. Nodes with text below LEAST_IMPORTANCE are removed from
+every page of the host, once at least LEAST_PAGES pages bear on them; a branch
+goes when all of its nodes with text go, and a label that repeats beside the
+text of a page's own does not take that with it.
 
 What the markup itself says goes first: navigation, headers, footers, asides,
 forms, scripts and elements named as menus, notices, adverts or comments are
@@ -82,11 +84,11 @@ class _Element:
             self.path = (parent.path if parent else "") + "/" + tag + ("." + ".".join(sorted(" ".join(named).split())) if named else "")
 
 
-def parse(html: str | None) -> tuple[list[tuple[int, tuple[str, ...], str]], dict[str, list[str]], dict[str, set[str]]]:
-    """A page as (blocks, presentation, content): blocks are (rank, the nodes that hold it, text) without what is never text; presentation is a node's child elements in order; content the texts of its blocks."""
+def parse(html: str | None) -> tuple[list[tuple[int, str, str]], dict[str, list[str]], dict[str, set[str]]]:
+    """A page as (blocks, presentation, content): blocks are (rank, the node that holds it, text) without what is never text; presentation is a node's child elements in order; content the texts of its blocks."""
     root = _Element("html", "", None)
     stack, words = [root], []
-    blocks: list[tuple[int, tuple[str, ...], str]] = []
+    blocks: list[tuple[int, str, str]] = []
     presentation: dict[str, list[str]] = {}
     content: dict[str, set[str]] = {}
 
@@ -97,8 +99,7 @@ def parse(html: str | None) -> tuple[list[tuple[int, tuple[str, ...], str]], dic
             if text:
                 content.setdefault(where.path, set()).add(text)
                 if not where.never:
-                    branches = () if where.rank else tuple(dict.fromkeys(x.path for x in stack))
-                    blocks.append((where.rank, branches, text))
+                    blocks.append((where.rank, where.path, text))
 
     def close(upto: int) -> None:
         if not all(x.inline for x in stack[upto:]):
@@ -158,7 +159,7 @@ def parse(html: str | None) -> tuple[list[tuple[int, tuple[str, ...], str]], dic
 
 PARSED = T.StructType(
     [
-        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())]))),
+        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("text", T.StringType())]))),
         T.StructField("votes", T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("content", T.BooleanType()), T.StructField("feature", T.LongType())]))),
     ]
 )
@@ -175,12 +176,12 @@ def _parsed(html: pa.Array) -> pa.Array:
 
     for page in html:
         found, presentation, content = parse(page.as_py())
-        blocks.append([{"rank": rank, "nodes": [node(x) for x in nodes], "text": text} for rank, nodes, text in found])
+        blocks.append([{"rank": rank, "node": node(path), "text": text} for rank, path, text in found])
         votes.append(
             [{"node": node(path), "content": False, "feature": _hash("\n".join(orders))} for path, orders in presentation.items()]
             + [{"node": node(path), "content": True, "feature": _hash(text)} for path, texts in content.items() for text in texts]
         )
-    block = pa.list_(pa.struct([("rank", pa.int32()), ("nodes", pa.list_(pa.int64())), ("text", pa.string())]))
+    block = pa.list_(pa.struct([("rank", pa.int32()), ("node", pa.int64()), ("text", pa.string())]))
     vote = pa.list_(pa.struct([("node", pa.int64()), ("content", pa.bool_()), ("feature", pa.int64())]))
     return pa.StructArray.from_arrays([pa.array(blocks, block), pa.array(votes, vote)], ["blocks", "votes"])
 
@@ -191,7 +192,7 @@ def parsed(html: Column) -> Column:
 
 
 def importance(votes: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) from votes (host, node, content, feature), one row for each page and feature.
+    """(host, node, pages, importance) of the nodes that hold text, from votes (host, node, content, feature), one row for each page and feature.
 
     Presentation counts as the entropy of the child orders over the pages, content as 1 less the mean entropy of the texts, each to the base of the number of pages; a text on k pages alike has entropy log k."""
     counted = votes.groupBy("host", "node", "content", "feature").agg(F.count("*").alias("k"))
@@ -201,7 +202,7 @@ def importance(votes: DataFrame) -> DataFrame:
     base = F.ln("pages")
     presentation = F.when(F.col("pages") > 1, (base - F.col("klnk") / F.col("pages")) / base).otherwise(1.0)
     content = F.when(F.col("pages") > 1, 1 - F.col("mean_ln") / base).otherwise(1.0)
-    return sums.select("host", "node", "pages", (CONTENT_SHARE * F.coalesce(content, presentation) + (1 - CONTENT_SHARE) * presentation).alias("importance"))
+    return sums.where("mean_ln is not null").select("host", "node", "pages", (CONTENT_SHARE * content + (1 - CONTENT_SHARE) * presentation).alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -214,5 +215,5 @@ def extract(pages: DataFrame) -> DataFrame:
     by_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
     joined = trees.select("page_id", "url", "host", "blocks").join(hinted(by_host, small_enough(low, BROADCAST_NODES)), "host", "left")
     rank = F.array_max(F.transform("blocks", lambda b: b["rank"]))
-    kept = F.filter("blocks", lambda b: (b["rank"] == F.col("rank")) & ~F.coalesce(F.arrays_overlap(b["nodes"], F.col("low")), F.lit(False)))
+    kept = F.filter("blocks", lambda b: (b["rank"] == F.col("rank")) & ((b["rank"] > OTHER) | ~F.coalesce(F.array_contains(F.col("low"), b["node"]), F.lit(False))))
     return joined.withColumn("rank", rank).select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit("")).alias("text"))

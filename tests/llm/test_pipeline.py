@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from loomaudit.llm.common import load
 
@@ -5,7 +7,8 @@ GOOD = "This is a fair text of some length about {0} and {1}, with words such as
 
 
 def text(i):
-    return GOOD.format(*(f"w{i}x{k}" for k in range(8)))
+    own = random.Random(i)
+    return GOOD.format(*("".join(own.choices("bcdfghjklmnpqrtvwz", k=7)) for _ in range(8)))
 
 
 def test_stages(spark, tmp_path):
