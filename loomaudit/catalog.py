@@ -176,6 +176,11 @@ def audit_summary_verdict(spark, sf_dir):
     return report.summary(pages.select("site"), pages, report.page_findings(page_rules.evaluate(pages)))
 
 
+@query("findings_of_heads", f"{VERDICTS} SELECT url AS page_url, count(*) AS head, 0::BIGINT AS others FROM f GROUP BY url")
+def findings_of_heads(spark, sf_dir):
+    return report.head_findings(report.page_findings(page_rules.evaluate(declared(spark, sf_dir))))
+
+
 @query("advisories", f"WITH {URLS}, {TITLES} SELECT 'advisory-' || substr(sha256(a.rule_id || chr(0) || route_key), 1, 10) AS id, a.rule_id, url AS page_url, 'needs-judgment' AS status FROM x, (VALUES ('title.descriptive'), ('lang.matches-content')) AS a(rule_id) WHERE a.rule_id <> 'title.descriptive' OR title <> ''")
 def advisories(spark, sf_dir):
     return page_rules.advisories(declared(spark, sf_dir)).drop("evidence")
@@ -273,6 +278,15 @@ def hreflang_missing(spark, sf_dir):
     return site_rules.hreflang_missing(site).select("site", "page_url")
 
 
+@query(
+    "locale_suggestions",
+    f"""WITH {URLS}, g AS (SELECT site, locale AS tag, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS lang FROM t WHERE locale <> 'x-default'),
+c AS (SELECT site, tag FROM g GROUP BY site, tag HAVING bool_or(lang = tag)) SELECT site, string_agg(tag, ',' ORDER BY tag) AS locales FROM c GROUP BY site HAVING count(*) >= 2""",
+)
+def locale_suggestions(spark, sf_dir):
+    return locales.suggested(locales.candidates(declared(spark, sf_dir)))
+
+
 # ---- coverage ------------------------------------------------------------------
 
 COVERAGE = f"""WITH {URLS}, steps AS (SELECT site, url, unnest(parts) AS segment, generate_subscripts(parts, 1) - 1 AS depth, parts FROM t), e AS (
@@ -440,6 +454,31 @@ def sitemap_orphans(spark, sf_dir):
     return site_rules.sitemap_orphans(listed_site(spark, sf_dir)).select("site", "observed")
 
 
+PROBED = "WITH {URLS}, e AS (SELECT site, url AS loc, page_id FROM t WHERE url LIKE '%?%'), p AS (SELECT * FROM t WHERE page_id % 2 = 0), x AS (SELECT e.*, p.url IS NOT NULL AS crawled, length(e.loc) % 3 = 0 AS linked FROM e LEFT JOIN p ON p.url = e.loc)"
+
+
+def _probed(spark: SparkSession, sf_dir: str):
+    """Every listed URL, half of the pages as the crawl, and an answer for URLs of some lengths as the link check."""
+    pages = urls(spark, sf_dir).select(F.col("url").alias("page_url"), F.lit(200).alias("status")).join(urls(spark, sf_dir).where("page_id % 2 = 0").select(F.col("url").alias("page_url")), "page_url", "left_semi")
+    answers = urls(spark, sf_dir).where("length(url) % 3 = 0").select("url", F.lit(404).alias("status"), F.col("url").alias("final_url"))
+    return links.entry_probes(listed(spark, sf_dir), pages, answers, budget=1), pages
+
+
+@query("sitemap_entry_probes", PROBED.replace("{URLS}", URLS) + " SELECT loc, CASE WHEN crawled THEN 200 ELSE 404 END AS status FROM x WHERE crawled OR linked")
+def sitemap_entry_probes(spark, sf_dir):
+    return _probed(spark, sf_dir)[0][0].select("loc", "status")
+
+
+@query("sitemap_entries_unprobed", PROBED.replace("{URLS}", URLS) + " SELECT loc, row_number() OVER (PARTITION BY site ORDER BY page_id, loc) = 1 AS in_budget FROM x WHERE NOT crawled AND NOT linked")
+def sitemap_entries_unprobed(spark, sf_dir):
+    return _probed(spark, sf_dir)[0][1].select("loc", "in_budget")
+
+
+@query("sitemap_uncrawled", PROBED.replace("{URLS}", URLS) + " SELECT site, count(*) AS urls FROM x WHERE NOT crawled GROUP BY site")
+def sitemap_uncrawled(spark, sf_dir):
+    return links.uncrawled(listed(spark, sf_dir), _probed(spark, sf_dir)[1])
+
+
 def _by_host(entries: DataFrame) -> DataFrame:
     """Entries of one sitemap for each host, whatever their scheme."""
     host = F.regexp_extract("loc", "://([^/?#]*)", 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomaudit.operators.graph import cut
@@ -82,3 +82,18 @@ def tally(checked: DataFrame) -> DataFrame:
     """(verdict, links) with all verdicts present."""
     every = checked.sparkSession.createDataFrame([(v,) for v in VERDICTS], "verdict string")
     return every.join(checked.groupBy("verdict").agg(F.count("*").alias("links")), "verdict", "left").select("verdict", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def entry_probes(entries: DataFrame, fetched: DataFrame, checked: DataFrame, budget: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(probes (site, loc, status, final_url), left (site, loc, in_budget)) for entries (site, loc, ord): the answer of the crawl, else of the link check; what neither has is left, the first `budget` of a site to be fetched. Locations are compared as they are written."""
+    crawl = fetched.select(F.col("page_url").alias("loc"), F.col("status").alias("crawl_status")).dropDuplicates(["loc"])
+    linked = checked.select(F.col("url").alias("loc"), F.col("status").alias("link_status"), "final_url").dropDuplicates(["loc"])
+    both = entries.select("site", "loc", "ord").join(crawl, "loc", "left").join(linked, "loc", "left").withColumn("status", F.coalesce("crawl_status", "link_status"))
+    probes = both.where("status is not null").select("site", "loc", "status", F.when(F.col("crawl_status").isNotNull(), F.col("loc")).otherwise(F.col("final_url")).alias("final_url"))
+    rest = both.where("status is null").withColumn("in_budget", F.row_number().over(Window.partitionBy("site").orderBy("ord", "loc")) <= budget)
+    return probes, rest.select("site", "loc", "in_budget")
+
+
+def uncrawled(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """(site, urls) listed but not among pages (page_url), as they are written."""
+    return entries.select("site", "loc").distinct().join(pages.select(F.col("page_url").alias("loc")), "loc", "left_anti").groupBy("site").agg(F.count("*").alias("urls"))

@@ -130,6 +130,12 @@ def lookup(requested: DataFrame, served: DataFrame) -> DataFrame:
     return asked.join(exact, "requested", "left").join(variants, "language", "left").select("requested", F.coalesce("exact", "only").alias("served"))
 
 
+def suggested(found: DataFrame) -> DataFrame:
+    """(site, locales: joined) to pass as explicit ones, from candidates: those that are known languages and whose pages do not say otherwise; two at least."""
+    plausible = found.where(F.col("known_language") & F.coalesce("lang_agrees", F.lit(True)))
+    return plausible.groupBy("site").agg(F.sort_array(F.collect_set("tag")).alias("tags")).where(F.size("tags") >= 2).select("site", F.array_join("tags", ",").alias("locales"))
+
+
 def order(tag: Column) -> list[Column]:
     """Sort keys: x-default first, then alphabetical."""
     return [(tag != "x-default").asc(), F.collate(tag, "UNICODE").asc()]

@@ -86,16 +86,20 @@ def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame
     index = cut(clusters.combine(clusters.from_sitemap(listed)[0], heads)[0] if listed is not None else heads)
     urls_of = listed.select("site", F.col("loc").alias("url"), U.parsed(F.col("loc"))["path"].alias("path")) if listed is not None else pages.select("site", F.lit("").alias("url"), F.lit("").alias("path")).where("false")
     axis = locales.axis(urls_of.select("site", "path").unionByName(pages.select("site", F.lit("").alias("path"))), o.locales)
-    site = site_rules.Site(
-        pages, F.lit(o.now).cast("timestamp"), said=said, sitemaps=diagnostics, documents=documents, entries=listed, axis=axis, clusters=index, favicons=snap.favicons,
-        robots=None if snap.robots is None else snap.robots.select("site", "url", "status", "final_url", F.octet_length(F.coalesce("body", F.lit(""))).alias("bytes")),
-    )
-    verdicts = cut(page_rules.evaluate(pages, rules))
     occurrences = cut(links.occurrences(pages))
     checked_urls = occurrences if o.check_external else occurrences.where("kind = 'internal'")
     answers = (snap.responses if snap.responses is not None else fetched.select(F.col("page_url").alias("url"), "status", F.lit(None).cast("string").alias("location"), F.lit("").alias("body"))).select("url", "status", "location", F.col("body").cast("string").alias("body"))
     known = fetched.select(F.col("page_url").alias("url"), "status", F.lit(None).cast("string").alias("location"), F.lit("").alias("body"))
     checked = cut(links.checks(checked_urls.join(answers.unionByName(known).select("url").distinct(), "url", "left_semi"), answers.unionByName(known).dropDuplicates(["url"])))
+    probes = None
+    if listed is not None:
+        probes, unprobed = links.entry_probes(listed, fetched, checked)
+        out |= {"unprobed": unprobed, "uncrawled": links.uncrawled(listed, pages)}
+    site = site_rules.Site(
+        pages, F.lit(o.now).cast("timestamp"), said=said, sitemaps=diagnostics, documents=documents, entries=listed, axis=axis, clusters=index, favicons=snap.favicons, probes=probes,
+        robots=None if snap.robots is None else snap.robots.select("site", "url", "status", "final_url", F.octet_length(F.coalesce("body", F.lit(""))).alias("bytes")),
+    )
+    verdicts = cut(page_rules.evaluate(pages, rules))
     broken = links.broken_by_page(occurrences, checked)
     matrix = cut(locales.matrix(pages, urls_of, index.select("key", "route")))
     multilingual = axis.where("locale <> 'x-default'").groupBy("site").agg(F.count_distinct("locale").alias("n")).where("n >= 2").select("site")

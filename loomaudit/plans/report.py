@@ -135,6 +135,15 @@ def gate(changes: DataFrame, fail_on: str = "error") -> DataFrame:
     return changes.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "resolved", "kept")), F.when(blocking > 0, 1).otherwise(0).alias("exit_code"))
 
 
+HEAD_RULES = ("title.", "description.", "canonical.", "viewport.", "og.", "icons.", "robots.")
+
+
+def head_findings(findings: DataFrame) -> DataFrame:
+    """(page_url, head, others): findings about a page's head, and the count of the rest."""
+    about_head = F.col("rule_id").rlike("^(" + "|".join(p.replace(".", "[.]") for p in HEAD_RULES) + ")")
+    return findings.groupBy("page_url").agg(F.count_if(about_head).alias("head"), F.count_if(~about_head).alias("others"))
+
+
 def write_json(findings: DataFrame, path: str) -> None:
     """Findings as JSON lines: a report, or the baseline of a later run."""
     findings.select(*FINDINGS).write.mode("overwrite").json(path)
