@@ -65,7 +65,7 @@ STATISTICS = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
 
 
 def _statistics(text: pa.Array) -> pa.Array:
-    table = np.array([count_text(x) for x in text.to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
+    table = np.array([count_text(x.as_py()) for x in text], dtype=np.int64).reshape(-1, len(COUNTS))
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(COUNTS))], list(COUNTS))
 
 

@@ -12,6 +12,8 @@ A null or empty text has no hits and gets the score of a text without hits.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -27,6 +29,8 @@ from loomaudit.llm.common import bounded_sample, crc_bucket, written
 SAMPLE_ROWS = 12_000
 STEM_LENGTHS = range(3, 13)
 THRESHOLD = 0.3
+#: Texts whose stems are counted at once.
+ROWS = 64
 HELD_OUT = 2
 
 _LOOKALIKES = {
@@ -111,13 +115,20 @@ def stems_of(text: str | None) -> list[str]:
     return sorted({w[:n] for w in set(words) for n in STEM_LENGTHS if n <= len(w)})
 
 
-def _stems(text: pa.Array) -> pa.Array:
-    return pa.array([stems_of(x) for x in text.to_pylist()], pa.list_(pa.string()))
+def stem_counts(rows: DataFrame) -> DataFrame:
+    """(stem, toxic, clean): the texts of rows (_toxic, text) that hold each stem. Counts are added up for a few texts at a time before they leave a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                counts: tuple[Counter, Counter] = Counter(), Counter()
+                for flag, text in zip(part.column("_toxic").to_pylist(), part.column("text"), strict=True):
+                    counts[flag == 1].update(stems_of(text.as_py()))
+                stems = list(counts[0].keys() | counts[1].keys())
+                yield pa.RecordBatch.from_pydict({"stem": pa.array(stems, pa.string()), "toxic": pa.array([counts[1][s] for s in stems], pa.int64()), "clean": pa.array([counts[0][s] for s in stems], pa.int64())})
 
-def text_stems(text: Column) -> Column:
-    """The distinct word beginnings of every text."""
-    return F.arrow_udf(_stems, "array<string>")(text)
+    return rows.mapInArrow(run, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def weighed(lexicon: Lexicon):
@@ -126,9 +137,12 @@ def weighed(lexicon: Lexicon):
 
     def measure(text: pa.Array) -> pa.Array:
         found = automaton(key)
-        texts = text.to_pylist()
-        totals = [weigh(fold(x), found) if x and len(found) else 0.0 for x in texts]
-        return pa.StructArray.from_arrays([pa.array(totals, pa.float64()), pa.array([len(x.split()) if x else 0 for x in texts], pa.int64())], ["total", "words"])
+        totals, words = [], []
+        for x in text:
+            x = x.as_py()
+            totals.append(weigh(fold(x), found) if x and len(found) else 0.0)
+            words.append(len(x.split()) if x else 0)
+        return pa.StructArray.from_arrays([pa.array(totals, pa.float64()), pa.array(words, pa.int64())], ["total", "words"])
 
     return F.arrow_udf(measure, "struct<total: double, words: bigint>")
 
@@ -171,7 +185,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     if not totals["toxic"] or not totals["clean"]:
         return Lexicon()
     support = max(5, totals["toxic"] // 150)
-    counted = rows.select("_toxic", F.explode(text_stems(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count_if(F.col("_toxic") == 1).alias("toxic"), F.count_if(F.col("_toxic") != 1).alias("clean"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = stem_counts(rows.repartition(parts))
     # A stem whose share among toxic texts is not above its share among clean ones can neither be chosen nor outweigh one that can.
     bound = math.exp(least_odds) * totals["toxic"] / totals["clean"] / 4
     likely = counted.where((F.col("toxic") >= support) & (F.col("toxic") > bound * F.col("clean")))
