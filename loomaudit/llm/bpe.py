@@ -12,6 +12,8 @@ whose ids are its single bytes followed by its merges in order.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +28,8 @@ from pyspark.sql import types as T
 from loomaudit.llm.pieces import PieceEncoder
 
 #: Texts that are handled at once within an Arrow batch.
-ROWS = 2048
-MOST_PAIRS = 1_000_000
+ROWS = 512
+MOST_PAIRS, MOST_WORDS = 500_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,7 +68,7 @@ class Vocabulary:
         self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.blob = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(len(self.lengths))), dtype=np.uint8)
-        self.encoder = PieceEncoder(self.encode_word, self.special)
+        self.encoder = PieceEncoder(self.encode_word, self.special, MOST_WORDS)
 
     def survives(self, left: int, right: int) -> bool:
         """Whether the merges leave left and right side by side: no merge across their border comes before those that make them."""
@@ -135,6 +137,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def release() -> None:
+    """Gives the memory of the tables back to the system."""
+    vocabulary.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def encode_texts(texts: pa.Array, vocab: Vocabulary) -> pa.Array:
     """The ids of each text."""
     ids, ends = vocab.encoder(texts)
@@ -157,13 +168,17 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                made = [encode_texts(part.column(text), vocab)]
-                if decoded:
-                    made.append(decode_ids(made[0], vocab))
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    made = [encode_texts(part.column(text), vocab)]
+                    if decoded:
+                        made.append(decode_ids(made[0], vocab))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
+        finally:
+            del vocab  # the worker may serve other stages next
+            release()
 
     return docs.mapInArrow(run, schema)
 

@@ -39,8 +39,8 @@ class _Words(dict):
 class PieceEncoder:
     """Encodes texts with `encode`, which gets one word at a time. `special` maps strings that are ids of their own, wherever they stand, to those ids."""
 
-    def __init__(self, encode: Callable[[str], list[int]], special: dict[str, int]):
-        self.words = _Words(encode)
+    def __init__(self, encode: Callable[[str], list[int]], special: dict[str, int], most_words: int = MOST_WORDS):
+        self.words, self.most_words = _Words(encode), most_words
         self.special = {s: np.array([i], dtype="<i4").tobytes() for s, i in special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
@@ -50,7 +50,7 @@ class PieceEncoder:
         Each distinct piece of the batch is looked up once; numpy gathers the ids."""
         if not len(texts):
             return np.empty(0, dtype="<i4"), np.empty(0, dtype=np.int64)
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > self.most_words:
             self.words.clear()
         texts = texts.fill_null("")
         whole = pc.match_substring_regex(texts, SPACE_AFTER_BLANK)
