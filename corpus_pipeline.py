@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import bpe, decontamination, quality_rules, simhash, toxicity
+from loomaudit.llm import bpe, decontamination, near_copies, quality_rules, toxicity
 from loomaudit.llm.common import fresh, load, new_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -33,8 +33,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each group of texts with a five-word similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
