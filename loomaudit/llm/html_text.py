@@ -11,8 +11,10 @@ text of a page's own does not take that with it.
 
 What the markup itself says goes first: navigation, headers, footers, asides,
 forms, scripts and elements named as menus, notices, adverts or comments are
-never text; an article (else a main element) holds all of the text, and entropy
-removes nothing inside it, as copies of an article are no boilerplate.
+never text. A form or a named element around an article or a main element, or
+around most of a page that has no other text, is only a frame. Entropy removes
+nothing inside an article (else a main element), as copies of an article are no
+boilerplate; what stands beside it stays unless the tree finds it unimportant.
 
 A null or empty page has an empty text. Nodes deeper than DEPTH elements count
 with their ancestor at that depth; their text is kept whole.
@@ -21,6 +23,7 @@ with their ancestor at that depth; their text is kept whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -53,6 +56,8 @@ NAMED = frozenset(
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended comment comments disqus respond pagination pager "
     "search login toolbar complementary contentinfo alert".split()
 )
+#: Words that may stand beside a name in a class or id, as in site-footer.
+PLACES = frozenset("site page main top bottom left right primary secondary global bar box list section block area links".split())
 #: Names that make even an article or main element no text.
 NAMED_ARTICLE = frozenset("comment comments ad ads advert advertisement sponsored promo related recommended".split())
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -63,8 +68,14 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _is_name(token: str) -> bool:
+    """Whether a whole class, id or role says what NAMED holds."""
+    parts = set(TOKEN.findall(token))
+    return not NAMED.isdisjoint(parts) and parts <= NAMED | PLACES
+
+
 class _Element:
-    __slots__ = ("tag", "path", "rank", "never", "inline", "children", "deep")
+    __slots__ = ("tag", "path", "rank", "never", "inline", "children", "deep", "frame", "above", "strict", "holds", "chars")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
         self.tag, self.children = tag, []
@@ -72,23 +83,36 @@ class _Element:
         named = [m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)] if attributes and "=" in attributes else []
         tokens = set(TOKEN.findall(" ".join(named).lower())) if named else ()
         self.rank, self.never, self.deep = (parent.rank, parent.never, parent.deep + 1) if parent else (OTHER, False, 0)
+        #: The nearest form or named element at or above this one, and for such an element the next one above.
+        self.frame = self.above = parent.frame if parent else None
+        self.strict, self.holds, self.chars = False, False, 0
         if tag in ("article", "main") or "main" in tokens and "role" in attributes:
             self.never = self.never or not NAMED_ARTICLE.isdisjoint(tokens)
             self.rank = max(self.rank, ARTICLE if tag == "article" else MAIN)
+            for x in () if self.never else self.frames():
+                x.holds = True
         elif tag not in ("html", "body"):
             in_article = tag == "header" and self.rank == ARTICLE
-            self.never = self.never or tag in NEVER and not in_article or not NAMED.isdisjoint(tokens)
+            self.never = self.never or tag in NEVER and tag != "form" and not in_article
+            if tag == "form" or tokens and any(map(_is_name, " ".join(named).lower().split())):
+                self.frame, self.strict = self, not NAMED_ARTICLE.isdisjoint(tokens)
         if parent and (self.inline or parent.deep >= DEPTH):
             self.path = parent.path
         else:
             self.path = (parent.path if parent else "") + "/" + tag + ("." + ".".join(sorted(" ".join(named).split())) if named else "")
 
+    def frames(self) -> Iterator[_Element]:
+        x = self.frame
+        while x:
+            yield x
+            x = x.above
+
 
 def parse(html: str | None) -> tuple[list[tuple[int, str, str]], dict[str, list[str]], dict[str, set[str]]]:
     """A page as (blocks, presentation, content): blocks are (rank, the node that holds it, text) without what is never text; presentation is a node's child elements in order; content the texts of its blocks."""
     root = _Element("html", "", None)
     stack, words = [root], []
-    blocks: list[tuple[int, str, str]] = []
+    found: list[tuple[_Element, str]] = []
     presentation: dict[str, list[str]] = {}
     content: dict[str, set[str]] = {}
 
@@ -99,7 +123,9 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, str]], dict[str, list[
             if text:
                 content.setdefault(where.path, set()).add(text)
                 if not where.never:
-                    blocks.append((where.rank, where.path, text))
+                    found.append((where, text))
+                    for x in where.frames():
+                        x.chars += len(text)
 
     def close(upto: int) -> None:
         if not all(x.inline for x in stack[upto:]):
@@ -154,7 +180,11 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, str]], dict[str, list[
         stack.append(_Element(tag, m[3], stack[-1]))
     end_block(stack[-1])
     close(1)
-    return blocks, presentation, content
+    kept = [(x, text) for x, text in found if all(f.holds and not f.strict for f in x.frames())]
+    if not kept:
+        most = sum(len(text) for _, text in found) / 2
+        kept = [(x, text) for x, text in found if all(f.chars > most and not f.strict for f in x.frames())]
+    return [(x.rank, x.path, text) for x, text in kept], presentation, content
 
 
 PARSED = T.StructType(
@@ -215,5 +245,5 @@ def extract(pages: DataFrame) -> DataFrame:
     by_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
     joined = trees.select("page_id", "url", "host", "blocks").join(hinted(by_host, small_enough(low, BROADCAST_NODES)), "host", "left")
     rank = F.array_max(F.transform("blocks", lambda b: b["rank"]))
-    kept = F.filter("blocks", lambda b: (b["rank"] == F.col("rank")) & ((b["rank"] > OTHER) | ~F.coalesce(F.array_contains(F.col("low"), b["node"]), F.lit(False))))
+    kept = F.filter("blocks", lambda b: ((b["rank"] == F.col("rank")) & (b["rank"] > OTHER)) | (~F.coalesce(F.array_contains(F.col("low"), b["node"]), F.lit(False))))
     return joined.withColumn("rank", rank).select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit("")).alias("text"))
