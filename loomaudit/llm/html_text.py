@@ -1,23 +1,32 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of style nodes: a node is a path
-of elements with their classes. For each node the pages vote twice, by the
-order of its child elements (presentation) and by the texts that it holds
-itself (content). A node whose texts repeat from page to page has low entropy,
-and so low importance. Nodes with text below LEAST_IMPORTANCE are removed from
-every page of the host, once at least LEAST_PAGES pages bear on them; a branch
-goes when all of its nodes with text go, and a label that repeats beside the
-text of a page's own does not take that with it.
-
-What the markup itself says goes first: navigation, headers, footers, asides,
-forms, scripts and elements named as menus, notices, adverts or comments are
-never text. A form or a named element around an article or a main element, or
-around most of a page that has no other text, is only a frame. Entropy removes
-nothing inside an article (else a main element), as copies of an article are no
-boilerplate; what stands beside it stays unless the tree finds it unimportant.
+of elements with their classes and, for containers, their place among siblings
+alike. Pages vote on a node in two ways: by the order of the elements in a
+container (presentation) and by the texts that a node holds (content). Both
+count as entropies over the pages. The importance of a node with text is
+
+    content * (HALF + PRESENTED * presentation + LENGTH * length)
+
+where presentation and length (of text, up to LONG characters) are those of the
+container that it stands in. A text that repeats from page to page says
+nothing; a box of fixed form with a line of text says less than a branch whose
+form and texts change from page to page. A node goes if its importance is
+below SHARE of the highest on the host. What markup says of a block is added
+as a prior: more for headings, paragraphs, articles and main elements, less for
+navigation, headers, footers, asides, forms and for elements named as menus,
+notices or adverts; what is named as reader comments or adverts never stays.
+A form or a named element around an article or a main element, or around most
+of a page that has no other text, is only a frame and has no such prior.
+
+Pages of a host with the same text count as one page, so that copies of an
+article do not turn it into boilerplate. A host with fewer than LEAST_PAGES
+pages that hold a container is judged by the tree of its registered domain;
+where that is small too, the prior alone decides.
 
 A null or empty page has an empty text. Nodes deeper than DEPTH elements count
-with their ancestor at that depth; their text is kept whole.
+with their ancestor at that depth; their text is kept whole. A page whose row
+repeats is extracted as often; a null URL counts with the empty host.
 """
 
 from __future__ import annotations
@@ -33,24 +42,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomaudit.llm.common import hinted, small_enough, written
-from loomaudit.llm.url_filters import host_of
+from loomaudit.llm.url_filters import domain_of, host_of
 
-LEAST_IMPORTANCE, LEAST_PAGES = 0.4, 10
-#: The share of content in a node's importance; the rest is presentation.
-CONTENT_SHARE = 0.9
+LEAST_PAGES = 10
+HALF, PRESENTED, LENGTH, LONG, SHARE = 0.5, 0.3, 0.2, 600, 0.65
+#: What markup adds to a block's importance.
+HEADING, PARAGRAPH, ARTICLE, NAMED_AS, STRICT = 0.15, 0.05, 0.1, -0.3, -9.0
 DEPTH = 24
-#: Removed nodes of all hosts that may be broadcast, so that no text is shuffled; beyond, the join is shuffled.
+#: Siblings alike from this number on are one node.
+MOST_PLACES = 8
+#: Judged nodes of all hosts that may be broadcast, so that no text is shuffled; beyond, the join is shuffled.
 BROADCAST_NODES = 200_000
-ARTICLE, MAIN, OTHER = 2, 1, 0
 
-TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|!--.*?(?:--!?>|\Z)|[!?/][^>]*>)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)*+)>|!--.*?(?:--!?>|\Z)|[!?/][^>]*>)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 TOKEN = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
 CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("nav header footer aside form menu dialog button select option input textarea script style noscript template iframe svg object canvas head title".split())
+#: Elements that hold no text of a page.
+NEVER = frozenset("button select option input textarea script style noscript template iframe svg object canvas head title".split())
+BESIDE = frozenset("nav header footer aside menu dialog".split())
+#: Elements that are part of the container around them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd dl ul ol tr tbody thead tfoot caption blockquote pre address figure figcaption hgroup header".split())
+HEADINGS = frozenset(("h1", "h2", "h3"))
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead "
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended comment comments disqus respond pagination pager "
@@ -68,38 +84,62 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _is_name(token: str) -> bool:
-    """Whether a whole class, id or role says what NAMED holds."""
+def _is_name(token: str, names: frozenset[str] = NAMED) -> bool:
+    """Whether a whole class, id or role says what names hold."""
     parts = set(TOKEN.findall(token))
-    return not NAMED.isdisjoint(parts) and parts <= NAMED | PLACES
+    return not names.isdisjoint(parts) and parts <= names | PLACES
+
+
+def _named(attributes: str) -> tuple[list[str], bool]:
+    """The words of an element's class, id and role, and whether its role is main."""
+    words, main = [], False
+    lower = attributes.lower()
+    if "class" in lower or "id" in lower or "role" in lower:
+        for m in ATTRIBUTE.finditer(attributes):
+            name = m[1].lower()
+            if name in ("class", "id", "role"):
+                value = (m[2] or m[3] or m[4] or "").lower().split()
+                main = main or name == "role" and value == ["main"]
+                words += value
+    return words, main
 
 
 class _Element:
-    __slots__ = ("tag", "path", "rank", "never", "inline", "children", "deep", "frame", "above", "strict", "holds", "chars")
+    __slots__ = ("tag", "path", "section", "inner", "prior", "never", "inline", "deep", "frame", "above", "strict", "holds", "chars", "places")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
-        self.tag, self.children = tag, []
+        self.tag = tag
         self.inline = tag in INLINE
-        named = [m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)] if attributes and "=" in attributes else []
-        tokens = set(TOKEN.findall(" ".join(named).lower())) if named else ()
-        self.rank, self.never, self.deep = (parent.rank, parent.never, parent.deep + 1) if parent else (OTHER, False, 0)
+        words, main = _named(attributes) if attributes and "=" in attributes else ([], False)
+        self.inner, self.prior, self.never, self.deep = (parent.inner, parent.prior, parent.never, parent.deep + 1) if parent else (False, 0.0, False, 0)
         #: The nearest form or named element at or above this one, and for such an element the next one above.
         self.frame = self.above = parent.frame if parent else None
-        self.strict, self.holds, self.chars = False, False, 0
-        if tag in ("article", "main") or "main" in tokens and "role" in attributes:
-            self.never = self.never or not NAMED_ARTICLE.isdisjoint(tokens)
-            self.rank = max(self.rank, ARTICLE if tag == "article" else MAIN)
-            for x in () if self.never else self.frames():
-                x.holds = True
+        self.strict, self.holds, self.chars, self.places = False, False, 0, {}
+        strict = any(_is_name(w, NAMED_ARTICLE) for w in words)
+        if tag in ("article", "main") or main:
+            if strict:
+                self.prior = STRICT
+            elif self.prior > NAMED_AS:
+                self.inner, self.prior = True, max(self.prior, ARTICLE)
+                for x in self.frames():
+                    x.holds = True
         elif tag not in ("html", "body"):
-            in_article = tag == "header" and self.rank == ARTICLE
-            self.never = self.never or tag in NEVER and tag != "form" and not in_article
-            if tag == "form" or tokens and any(map(_is_name, " ".join(named).lower().split())):
-                self.frame, self.strict = self, not NAMED_ARTICLE.isdisjoint(tokens)
+            self.never = self.never or tag in NEVER
+            if tag in BESIDE and not (tag == "header" and self.inner):
+                self.prior = min(self.prior, NAMED_AS)
+            if tag == "form" or any(map(_is_name, words)):
+                self.frame, self.strict = self, strict
+            if self.prior >= 0:
+                self.prior += HEADING if tag in HEADINGS else PARAGRAPH if tag == "p" else 0.0
         if parent and (self.inline or parent.deep >= DEPTH):
-            self.path = parent.path
-        else:
-            self.path = (parent.path if parent else "") + "/" + tag + ("." + ".".join(sorted(" ".join(named).split())) if named else "")
+            self.path, self.section = parent.path, parent.section
+            return
+        label = tag + ("." + ".".join(sorted(words)) if words else "")
+        if tag not in PARTS and parent:
+            place = parent.places[label] = min(parent.places.get(label, 0) + 1, MOST_PLACES)
+            label += f"#{place}"
+        self.path = (parent.path if parent else "") + "/" + label
+        self.section = parent.section if parent and tag in PARTS else self.path
 
     def frames(self) -> Iterator[_Element]:
         x = self.frame
@@ -108,31 +148,29 @@ class _Element:
             x = x.above
 
 
-def parse(html: str | None) -> tuple[list[tuple[int, str, str]], dict[str, list[str]], dict[str, set[str]]]:
-    """A page as (blocks, presentation, content): blocks are (rank, the node that holds it, text) without what is never text; presentation is a node's child elements in order; content the texts of its blocks."""
+def parse(html: str | None) -> tuple[list[tuple[float, str, str]], dict[str, tuple[str, int]], dict[tuple[str, str], set[str]]]:
+    """A page as (blocks, orders, texts): blocks are (prior, the node that holds it, text); orders gives each container's elements in order and its number of characters; texts gives the texts of (node, container)."""
     root = _Element("html", "", None)
     stack, words = [root], []
     found: list[tuple[_Element, str]] = []
-    presentation: dict[str, list[str]] = {}
-    content: dict[str, set[str]] = {}
+    orders: dict[str, list[str]] = {root.path: []}
+    chars: dict[str, int] = {}
+    texts: dict[tuple[str, str], set[str]] = {}
 
     def end_block(where: _Element) -> None:
         if words:
             text = " ".join("".join(words).split())
             words.clear()
-            if text:
-                content.setdefault(where.path, set()).add(text)
-                if not where.never:
-                    found.append((where, text))
-                    for x in where.frames():
-                        x.chars += len(text)
+            if text and not where.never:
+                texts.setdefault((where.path, where.section), set()).add(text)
+                chars[where.section] = chars.get(where.section, 0) + len(text)
+                found.append((where, text))
+                for x in where.frames():
+                    x.chars += len(text)
 
     def close(upto: int) -> None:
         if not all(x.inline for x in stack[upto:]):
             end_block(stack[-1])
-        for x in stack[upto:]:
-            if not x.inline:
-                presentation.setdefault(x.path, []).append(" ".join(x.children))
         del stack[upto:]
 
     at, n = 0, len(html or "")
@@ -176,27 +214,40 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, str]], dict[str, list[
                     break
                 if not stack[i].inline:
                     break
-        stack[-1].children.append(tag)
-        stack.append(_Element(tag, m[3], stack[-1]))
+            orders[stack[-1].section].append(tag)
+        made = _Element(tag, m[3], stack[-1])
+        orders.setdefault(made.section, [])
+        stack.append(made)
     end_block(stack[-1])
     close(1)
-    kept = [(x, text) for x, text in found if all(f.holds and not f.strict for f in x.frames())]
-    if not kept:
-        most = sum(len(text) for _, text in found) / 2
-        kept = [(x, text) for x, text in found if all(f.chars > most and not f.strict for f in x.frames())]
-    return [(x.rank, x.path, text) for x, text in kept], presentation, content
+
+    def framed(x: _Element, least: float) -> float:
+        """What the frames around a block say: nothing where they hold an article, or more than `least` characters."""
+        worst = 0.0
+        for f in x.frames():
+            worst = min(worst, STRICT if f.strict else 0.0 if f.holds or f.chars > least else NAMED_AS)
+        return worst
+
+    least = float("inf")
+    if not any(x.prior >= 0 and framed(x, least) >= 0 for x, _ in found):
+        least = sum(len(text) for x, text in found if x.prior >= 0) / 2
+    blocks = [(min(x.prior, f) if (f := framed(x, least)) else x.prior, x.path, text) for x, text in found]
+    return blocks, {path: (" ".join(order), chars.get(path, 0)) for path, order in orders.items()}, texts
 
 
+_BLOCK = pa.list_(pa.struct([("prior", pa.float32()), ("node", pa.int64()), ("text", pa.string())]))
+_VOTE = pa.list_(pa.struct([("node", pa.int64()), ("section", pa.int64()), ("feature", pa.int64()), ("chars", pa.int64())]))
 PARSED = T.StructType(
     [
-        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("text", T.StringType())]))),
-        T.StructField("votes", T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("content", T.BooleanType()), T.StructField("feature", T.LongType())]))),
+        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("prior", T.FloatType()), T.StructField("node", T.LongType()), T.StructField("text", T.StringType())]))),
+        T.StructField("votes", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("node", "section", "feature", "chars")]))),
+        T.StructField("copy", T.LongType()),
     ]
 )
 
 
 def _parsed(html: pa.Array) -> pa.Array:
-    blocks, votes = [], []
+    blocks, votes, copies = [], [], []
     known: dict[str, int] = {}
 
     def node(path: str) -> int:
@@ -205,45 +256,58 @@ def _parsed(html: pa.Array) -> pa.Array:
         return known[path]
 
     for page in html:
-        found, presentation, content = parse(page.as_py())
-        blocks.append([{"rank": rank, "node": node(path), "text": text} for rank, path, text in found])
+        found, orders, texts = parse(page.as_py())
+        blocks.append([{"prior": prior, "node": node(path), "text": text} for prior, path, text in found])
         votes.append(
-            [{"node": node(path), "content": False, "feature": _hash("\n".join(orders))} for path, orders in presentation.items()]
-            + [{"node": node(path), "content": True, "feature": _hash(text)} for path, texts in content.items() for text in texts]
+            [{"node": node(path), "section": None, "feature": _hash(order), "chars": chars} for path, (order, chars) in orders.items() if order or chars]
+            + [{"node": node(path), "section": node(section), "feature": _hash(text), "chars": 0} for (path, section), held in texts.items() for text in held]
         )
-    block = pa.list_(pa.struct([("rank", pa.int32()), ("node", pa.int64()), ("text", pa.string())]))
-    vote = pa.list_(pa.struct([("node", pa.int64()), ("content", pa.bool_()), ("feature", pa.int64())]))
-    return pa.StructArray.from_arrays([pa.array(blocks, block), pa.array(votes, vote)], ["blocks", "votes"])
+        copies.append(_hash("\n".join(text for prior, _, text in found if prior >= 0)))
+    return pa.StructArray.from_arrays([pa.array(blocks, _BLOCK), pa.array(votes, _VOTE), pa.array(copies, pa.int64())], ["blocks", "votes", "copy"])
 
 
 def parsed(html: Column) -> Column:
-    """struct<blocks, votes> of every page."""
+    """struct<blocks, votes, copy> of every page; copy is a hash of its text."""
     return F.arrow_udf(_parsed, PARSED)(html)
 
 
-def importance(votes: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the nodes that hold text, from votes (host, node, content, feature), one row for each page and feature.
+def importance(votes: DataFrame, site: str) -> DataFrame:
+    """(site, node, pages, importance) of the nodes that hold text, from votes (site, node, section, feature, k, chars): k pages vote for a feature of a node, an order (no section, chars in all) or a text."""
+    counted = votes.groupBy(site, "node", "section", "feature").agg(F.sum("k").cast("double").alias("k"), F.sum("chars").alias("chars"))
+    orders = counted.where("section is null").groupBy(site, F.col("node").alias("section")).agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.ln("k")).alias("klnk"), F.sum("chars").alias("chars"))
+    texts = counted.where("section is not null").groupBy(site, "node", "section").agg(F.avg(F.ln("k")).alias("mean_ln"))
+    base, several = F.ln("pages"), F.col("pages") > 1
+    presentation = F.when(several, (base - F.col("klnk") / F.col("pages")) / base).otherwise(1.0)
+    content = F.when(several, 1 - F.col("mean_ln") / base).otherwise(1.0)
+    length = F.least(F.lit(1.0), F.col("chars") / F.col("pages") / LONG)
+    return texts.join(orders, [site, "section"]).select(site, "node", "pages", (content * (HALF + PRESENTED * presentation + LENGTH * length)).alias("importance"))
+
+
+def margins(votes: DataFrame) -> DataFrame:
+    """(host, node, margin) of the nodes that a tree judges, from votes (host, domain, node, section, feature, k, chars): by how much a node's importance exceeds SHARE of the highest of its site."""
+
+    def judged(site: str) -> DataFrame:
+        found = importance(votes, site).where(F.col("pages") >= LEAST_PAGES)
+        best = found.groupBy(site).agg(F.max("importance").alias("best"))
+        return found.join(best, site).select(site, "node", (F.col("importance") - SHARE * F.col("best")).alias("margin"))
 
-    Presentation counts as the entropy of the child orders over the pages, content as 1 less the mean entropy of the texts, each to the base of the number of pages; a text on k pages alike has entropy log k."""
-    counted = votes.groupBy("host", "node", "content", "feature").agg(F.count("*").alias("k"))
-    k = F.col("k").cast("double")
-    order = F.when(~F.col("content"), k)
-    sums = counted.groupBy("host", "node").agg(F.sum(order).alias("pages"), F.sum(order * F.ln(k)).alias("klnk"), F.avg(F.when(F.col("content"), F.ln(k))).alias("mean_ln"))
-    base = F.ln("pages")
-    presentation = F.when(F.col("pages") > 1, (base - F.col("klnk") / F.col("pages")) / base).otherwise(1.0)
-    content = F.when(F.col("pages") > 1, 1 - F.col("mean_ln") / base).otherwise(1.0)
-    return sums.where("mean_ln is not null").select("host", "node", "pages", (CONTENT_SHARE * content + (1 - CONTENT_SHARE) * presentation).alias("importance"))
+    nodes = votes.where("section is not null").select("host", "domain", "node").distinct()
+    own, wider = judged("host"), judged("domain").withColumnRenamed("margin", "wider")
+    both = nodes.join(own, ["host", "node"], "left").join(wider, ["domain", "node"], "left")
+    return both.select("host", "node", F.coalesce("margin", "wider").cast("float").alias("margin")).where("margin is not null")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) as (page_id, url, text)."""
-    read = pages.select("page_id", "url", F.xxhash64(host_of(F.col("url"))).alias("host"), parsed(F.col("html")).alias("parsed"))
-    trees = written(read.select("page_id", "url", "host", "parsed.blocks", "parsed.votes"), "page-blocks")
-    votes = trees.select("host", F.explode("votes").alias("v")).select("host", "v.*")
-    low = importance(votes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = written(low.select("host", "node"), "low-nodes")
-    by_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
-    joined = trees.select("page_id", "url", "host", "blocks").join(hinted(by_host, small_enough(low, BROADCAST_NODES)), "host", "left")
-    rank = F.array_max(F.transform("blocks", lambda b: b["rank"]))
-    kept = F.filter("blocks", lambda b: ((b["rank"] == F.col("rank")) & (b["rank"] > OTHER)) | (~F.coalesce(F.array_contains(F.col("low"), b["node"]), F.lit(False))))
-    return joined.withColumn("rank", rank).select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit("")).alias("text"))
+    host = host_of(F.col("url"))
+    read = pages.select("page_id", "url", F.xxhash64(host).alias("host"), F.xxhash64(domain_of(host)).alias("domain"), parsed(F.col("html")).alias("parsed"))
+    trees = written(read.select("page_id", "url", "host", "domain", "parsed.*"), "page-blocks")
+    votes = trees.select("host", "domain", "copy", F.explode("votes").alias("v")).select("host", "domain", "copy", "v.*").distinct()
+    counted = written(votes.groupBy("host", "domain", "node", "section", "feature").agg(F.count("*").alias("k"), F.sum("chars").alias("chars")), "page-votes")
+    # A node between these bounds stays or goes by the prior, as one that no tree judges.
+    judged = written(margins(counted).where((F.col("margin") < 0) | (F.col("margin") + NAMED_AS >= 0)), "page-nodes")
+    by_host = judged.groupBy("host").agg(F.collect_list(F.struct("node", "margin")).alias("judged"))
+    joined = trees.select("page_id", "url", "host", "blocks").join(hinted(by_host, small_enough(judged, BROADCAST_NODES)), "host", "left")
+    margin = lambda b: F.coalesce(F.get(F.filter("judged", lambda j: j["node"] == b["node"]), 0)["margin"], F.lit(0.0).cast("float"))
+    kept = F.filter("blocks", lambda b: margin(b) + b["prior"] >= 0)
+    return joined.select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit("")).alias("text"))
