@@ -1,19 +1,32 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, drops invisible characters, and maps homoglyphs and digit
-substitutions to plain letters. Lexicon entries are word beginnings with a
-weight, learned from labelled rows (`learn_lexicon`). Hits within an exception
-phrase do not count. The weighted sum, alone and by length, goes through a
-logistic curve fitted on the same rows.
-
-A null or empty text has no hits and gets the score of a text without hits.
+Folding decomposes compatible characters, lower-cases, drops marks and invisible
+characters, makes white space one space, and maps homoglyphs and digit
+substitutions to plain letters, one character for one, so that a hit's place is
+known in the unfolded text too. Lexicon entries are word beginnings with a
+weight; a longer word than STEM_LENGTHS is known by its first letters. A hit
+counts where no letter stands before it in the unfolded text. Hits within an
+exception phrase do not count. The weighted sum, alone and by length, goes
+through a logistic curve.
+
+Entries, exceptions and curve are learned from labelled rows. Entries are chosen
+on one half of the texts and must hold on the other; exceptions are phrases of
+an entry's word and a neighbour that clean texts use and toxic ones do not.
+
+A null or empty text has no hits and gets the score of a text without hits. Of
+rows that repeat a labelled id the least text counts; ties in odds fall to the
+longer, then to the alphabetically first entry. Without labelled rows of both
+classes the lexicon is empty and every text has the same low score.
 """
 
 from __future__ import annotations
 
 import math
+import string
+import unicodedata
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -32,6 +45,12 @@ THRESHOLD = 0.3
 #: Texts whose stems are counted at once.
 ROWS = 64
 HELD_OUT = 2
+#: Standard errors by which an entry's odds are lowered before entries are compared.
+CAUTION = 1.645
+#: Phrases that excuse whatever the labelled rows say; more are learned from these.
+KNOWN_EXCEPTIONS = ("trash can", "trash bag", "clown fish")
+#: Uses of an entry that count in one text when its odds are learned.
+MOST_USES = 8
 
 _LOOKALIKES = {
     "a": "аαａ4@",
@@ -59,12 +78,26 @@ _LOOKALIKES = {
     "y": "уｙγ",
     "z": "ｚ",
 }
-_FOLD = {ord(c): letter for letter, alike in _LOOKALIKES.items() for c in alike} | dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+_FOLD = {ord(c): letter for letter, alike in _LOOKALIKES.items() for c in alike}
+_INVISIBLE = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+_DROPPED = _INVISIBLE | {c: None for c in range(0x300, 0xFE30) if unicodedata.category(chr(c)) == "Mn"}
+
+
+def plain(text: str) -> str:
+    """Lower case, without marks and invisible characters, white space as one space."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_DROPPED)
+    return " ".join(text.lower().split())
+
+
+def lookalikes(base: str) -> str:
+    """Lookalikes and digits of a plain text as the letters they stand for, one character for one."""
+    return base.translate(_FOLD)
 
 
 def fold(text: str) -> str:
-    """Lower case, without invisible characters, lookalikes and digits as the letters they stand for."""
-    return text.lower().translate(_FOLD)
+    """A text as entries are matched on it."""
+    return lookalikes(plain(text))
 
 
 @dataclass(frozen=True)
@@ -72,36 +105,47 @@ class Lexicon:
     """Weights by folded word beginning, phrases that excuse hits inside them, and the curve (constant, weight of the sum, weight of the density)."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = ("trash can", "trash bag", "clown fish")
+    exceptions: tuple[str, ...] = KNOWN_EXCEPTIONS
     curve: tuple[float, float, float] = (-4.0, 1.0, 1.0)
 
     def key(self) -> tuple:
-        return tuple(sorted(self.weights.items())), tuple(sorted(self.exceptions))
+        return tuple(sorted(self.weights.items())), tuple(sorted(set(map(fold, self.exceptions))))
 
 
 @lru_cache(maxsize=4)
 def automaton(key: tuple) -> ahocorasick.Automaton:
-    """The matcher of a lexicon: a weight for an entry, None for an exception phrase."""
-    weights, exceptions = key
+    """The matcher of a lexicon: entries and phrases to (length, weight of the entry or None, whether it is a phrase)."""
+    weights, exceptions = dict(key[0]), set(key[1])
     found = ahocorasick.Automaton()
-    for stem, weight in weights:
-        found.add_word(stem, (len(stem), weight))
-    for phrase in map(fold, exceptions):
-        found.add_word(phrase, (len(phrase), None))
+    for x in weights.keys() | exceptions:
+        if x:
+            found.add_word(x, (len(x), weights.get(x), x in exceptions))
     if len(found):
         found.make_automaton()
     return found
 
 
-def weigh(folded: str, found: ahocorasick.Automaton) -> float:
-    """Sum of the weights of the entries that start a word, those inside an exception phrase left out."""
+def hits_in(text: str, found: ahocorasick.Automaton) -> tuple[str, list[tuple[int, float]]]:
+    """The folded text and (place, weight) of its entries: those with no letter before them, outside exception phrases of whole words."""
+    if not len(found):
+        return "", []
+    base = plain(text)
+    folded = lookalikes(base)
     hits, excused = [], []
-    for last, (length, weight) in found.iter(folded):
+    for last, (length, weight, phrase) in found.iter(folded):
         start = last - length + 1
-        if start and folded[start - 1].isalnum():
+        if start and base[start - 1].isalpha():
             continue
-        (excused if weight is None else hits).append((start, last, weight))
-    return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in excused))
+        if weight is not None:
+            hits.append((start, last, weight))
+        if phrase and not base[last + 1 : last + 2].isalpha():
+            excused.append((start, last))
+    return folded, [(a, w) for a, b, w in hits if not any(x <= a and b <= y for x, y in excused)] if excused else [(a, w) for a, _, w in hits]
+
+
+def weigh(text: str, found: ahocorasick.Automaton) -> float:
+    """Sum of the weights of a text's hits."""
+    return sum(w for _, w in hits_in(text, found)[1])
 
 
 def shape(total: float, words: int) -> tuple[float, float]:
@@ -109,26 +153,63 @@ def shape(total: float, words: int) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / (words + 20))
 
 
-def stems_of(text: str | None) -> list[str]:
-    """The distinct word beginnings of a text, folded."""
-    words = "".join(c if c.isalnum() else " " for c in fold(text or "")).split()
-    return sorted({w[:n] for w in set(words) for n in STEM_LENGTHS if n <= len(w)})
+def words_of(folded: str) -> list[str]:
+    """Runs of letters and digits."""
+    return "".join(c if c.isalnum() else " " for c in folded).split()
+
+
+def stems_of(text: str | None) -> Counter:
+    """The word beginnings of a text, folded, and how often each starts a word."""
+    out: Counter = Counter()
+    for w, times in Counter(words_of(fold(text or ""))).items():
+        for n in STEM_LENGTHS:
+            if n > len(w):
+                break
+            out[w[:n]] += times
+    return out
 
 
-def stem_counts(rows: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): the texts of rows (_toxic, text) that hold each stem. Counts are added up for a few texts at a time before they leave a task."""
+def phrases_of(text: str | None, found: ahocorasick.Automaton) -> Counter:
+    """Each hit's word with the word before and with the word after, as they stand in the folded text."""
+    folded, hits = hits_in(text or "", found)
+    out: Counter = Counter()
+    for at, _ in hits:
+        end = folded.find(" ", at) if " " in folded[at:] else len(folded)
+        before = folded.rfind(" ", 0, max(at - 1, 0)) + 1
+        after = folded.find(" ", end + 1)
+        out.update({folded[before:end].strip(_EDGES), folded[at : after if after >= 0 else len(folded)].strip(_EDGES)})
+    return Counter({x: n for x, n in out.items() if x.count(" ") == 1})
+
+
+_EDGES = string.punctuation + " "
+
+
+_SIDES = ("clean_0", "toxic_0", "clean_1", "toxic_1")
+_COUNTS = (*_SIDES, *(f"{c}_uses" for c in _SIDES))
+
+
+def feature_counts(rows: DataFrame, of: Callable[[str | None], Counter]) -> DataFrame:
+    """(feature, clean_0, toxic_0, clean_1, toxic_1, and the same with _uses): by half and label, the texts of rows (_toxic, text) that hold each feature, and how often they do, MOST_USES in a text at most. Counts are added up for a few texts at a time before they leave a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                counts: tuple[Counter, Counter] = Counter(), Counter()
+                counts: dict[str, list[int]] = {}
                 for flag, text in zip(part.column("_toxic").to_pylist(), part.column("text"), strict=True):
-                    counts[flag == 1].update(stems_of(text.as_py()))
-                stems = list(counts[0].keys() | counts[1].keys())
-                yield pa.RecordBatch.from_pydict({"stem": pa.array(stems, pa.string()), "toxic": pa.array([counts[1][s] for s in stems], pa.int64()), "clean": pa.array([counts[0][s] for s in stems], pa.int64())})
+                    text = text.as_py()
+                    side = 2 * (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) & 1) + (flag == 1)
+                    for x, uses in of(text).items():
+                        row = counts.get(x)
+                        if row is None:
+                            row = counts[x] = [0] * len(_COUNTS)
+                        row[side] += 1
+                        row[side + 4] += min(uses, MOST_USES)
+                columns = zip(*counts.values(), strict=True) if counts else [()] * len(_COUNTS)
+                yield pa.RecordBatch.from_pydict({"feature": pa.array(counts, pa.string())} | {c: pa.array(x, pa.int64()) for c, x in zip(_COUNTS, columns, strict=True)})
 
-    return rows.mapInArrow(run, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(run, "feature string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
 def weighed(lexicon: Lexicon):
@@ -140,26 +221,35 @@ def weighed(lexicon: Lexicon):
         totals, words = [], []
         for x in text:
             x = x.as_py()
-            totals.append(weigh(fold(x), found) if x and len(found) else 0.0)
+            totals.append(weigh(x, found) if x else 0.0)
             words.append(len(x.split()) if x else 0)
         return pa.StructArray.from_arrays([pa.array(totals, pa.float64()), pa.array(words, pa.int64())], ["total", "words"])
 
     return F.arrow_udf(measure, "struct<total: double, words: bigint>")
 
 
-def choose_stems(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, least_support: int, least_odds: float, most: int) -> dict[str, float]:
-    """Entries from (stem, toxic texts, clean texts): a stem that nearly always goes on in the same way yields to its continuation; of the rest, each chosen one bars those that begin with it."""
-    table = {s: (a, b) for s, a, b in counts}
-    odds = {s: math.log((a + 0.5) / (n_toxic - a + 0.5)) - math.log((b + 0.5) / (n_clean - b + 0.5)) for s, (a, b) in table.items()}
-    longest: dict[str, int] = {}
-    for s, (a, b) in table.items():
-        longest[s[:-1]] = max(longest.get(s[:-1], 0), a + b)
-    closed = [s for s, (a, b) in table.items() if a >= least_support and odds[s] >= least_odds and longest.get(s, 0) < 0.95 * (a + b)]
+def _odds(toxic_uses: int, clean_uses: int, n_toxic: int, n_clean: int) -> float:
+    """How much more often a toxic text uses a stem than a clean one does, as a logarithm."""
+    return math.log((toxic_uses + 0.5) / (n_toxic + 1)) - math.log((clean_uses + 0.5) / (n_clean + 1))
+
+
+def choose_stems(counts: list[tuple], totals: tuple[int, int, int, int], least_support: int, least_odds: float) -> dict[str, float]:
+    """Entries from (stem, then as _COUNTS names them). On one half of the texts a stem needs least_support toxic texts and least_odds; on the other, half of both; on both together, least_odds after CAUTION. They are taken by those odds times the root of their toxic texts, and each bars its own beginnings and what begins with it."""
+    sure: list[tuple[float, int, str, float]] = []
+    for stem, b0, a0, b1, a1, v0, u0, v1, u1 in counts:
+        if a0 < least_support or 2 * a1 < least_support or _odds(u0, v0, totals[1], totals[0]) < least_odds or 2 * _odds(u1, v1, totals[3], totals[2]) < least_odds:
+            continue
+        odds = _odds(u0 + u1, v0 + v1, totals[1] + totals[3], totals[0] + totals[2])
+        cautious = odds - CAUTION * math.sqrt(1 / (a0 + a1 + 0.5) + 1 / (b0 + b1 + 0.5))
+        if cautious >= least_odds:
+            sure.append((cautious * math.sqrt(a0 + a1), len(stem), stem, odds))
     chosen: dict[str, float] = {}
-    for s in sorted(closed, key=lambda s: (len(s), s)):
-        if not any(s[:n] in chosen for n in range(1, len(s))):
-            chosen[s] = odds[s]
-    return dict(sorted(chosen.items(), key=lambda x: (-x[1] * table[x[0]][0], x[0]))[:most])
+    barred: set[str] = set()
+    for _, _, stem, odds in sorted(sure, key=lambda x: (-x[0], -x[1], x[2])):
+        if stem not in barred and not any(stem[:n] in chosen for n in range(1, len(stem))):
+            chosen[stem] = odds
+            barred.update(stem[:n] for n in range(1, len(stem) + 1))
+    return chosen
 
 
 def fit_curve(inputs: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> tuple[float, float, float]:
@@ -176,23 +266,27 @@ def fit_curve(inputs: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> tupl
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_odds: float = 2.5, most: int = 500) -> Lexicon:
-    """Entries and curve from labelled documents outside the held-out fold, from at most sample_rows of them. Copies of a text count once; what is labelled both ways counts as toxic."""
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_odds: float = 2.0, least_phrase: int = 5, exceptions: tuple[str, ...] = KNOWN_EXCEPTIONS) -> Lexicon:
+    """Entries, exceptions (with those given) and curve from labelled documents outside the held-out fold, from at most sample_rows of them. Copies of a text count once; what is labelled both ways counts as toxic."""
     judged = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     sample = bounded_sample(judged.where(crc_bucket(F.col("doc_id")) != HELD_OUT), "doc_id", sample_rows)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("_toxic", "text").limit(sample_rows).groupBy("text").agg(F.max("_toxic").alias("_toxic")), "toxicity-sample")
-    totals = rows.agg(F.count_if(F.col("_toxic") == 1).alias("toxic"), F.count_if(F.col("_toxic") != 1).alias("clean")).first()
-    if not totals["toxic"] or not totals["clean"]:
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic"))
+    rows = written(texts.groupBy("text").agg(F.max("_toxic").alias("_toxic")), "toxicity-sample")
+    half = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) % 2
+    totals = tuple(rows.agg(*(F.count_if((half == h) & ((F.col("_toxic") == 1) == F.lit(toxic))).alias(f"{h}{toxic}") for h in (0, 1) for toxic in (False, True))).first())
+    n_toxic, n_clean = totals[1] + totals[3], totals[0] + totals[2]
+    if not n_toxic or not n_clean:
         return Lexicon()
-    support = max(5, totals["toxic"] // 150)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = stem_counts(rows.repartition(parts))
-    # A stem whose share among toxic texts is not above its share among clean ones can neither be chosen nor outweigh one that can.
-    bound = math.exp(least_odds) * totals["toxic"] / totals["clean"] / 4
-    likely = counted.where((F.col("toxic") >= support) & (F.col("toxic") > bound * F.col("clean")))
-    stems = likely.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "stem").limit(20_000).collect()
-    weights = choose_stems([(r["stem"], r["toxic"], r["clean"]) for r in stems], totals["toxic"], totals["clean"], support, least_odds, most)
-    lexicon = Lexicon(weights)
+    support = max(3, n_toxic // 300)
+    spread = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # What toxic texts do not use more often than clean ones cannot have the odds.
+    likely = feature_counts(spread, stems_of).where((F.col("toxic_0") >= support) & (F.col("toxic_0_uses") * totals[0] > F.col("clean_0_uses") * totals[1]))
+    weights = choose_stems([tuple(r) for r in likely.select("feature", *_COUNTS).collect()], totals, support, least_odds)
+    key = Lexicon(weights).key()
+    a, b = F.col("toxic_0") + F.col("toxic_1"), F.col("clean_0") + F.col("clean_1")
+    phrases = feature_counts(spread, lambda text: phrases_of(text, automaton(key)))
+    excused = phrases.where((b >= least_phrase) & (b * n_toxic > 4 * a * n_clean)).select("feature").collect()
+    lexicon = Lexicon(weights, tuple(sorted({*exceptions, *(r["feature"] for r in excused)})))
     points = rows.select("_toxic", weighed(lexicon)("text").alias("m")).select("_toxic", "m.*").collect()
     curve = fit_curve(np.array([shape(r["total"], r["words"]) for r in points]), np.array([float(r["_toxic"] == 1) for r in points]))
     return Lexicon(weights, lexicon.exceptions, curve)
