@@ -1,20 +1,23 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of THRESHOLD or more.
 
-The search is exact. Shingles have one order for all texts, the rarer first by
-a sample, then by hash. Two similar texts share at least one shingle among the
-first n - ceil(0.8 n) + 1 of their n (the prefix filter), so each text goes to
-the cells of these shingles only. The order decides the cost, never the result.
-Pairs of a cell that lengths and places do not rule out are verified on the
-words of the texts.
-
-A cell with more than CELL texts is not paired off at once: for some rounds its
-texts are held against one leader each, and texts that already are in one
-component need no more comparison. What is left, pairs of different components
-of a cell, is then compared in blocks, so that no connection is lost.
+Exact copies are grouped first. Fingerprints of five words then go through the
+grid of `simhash`; what it links is verified on the words and gives the first
+links. An edited copy mostly differs in more bits than a grid can reach, so the
+search goes on, exactly, by shared rare shingles: shingles have one order for
+all texts, the rarer first by a sample, then by hash, and two similar texts
+share at least one among the first n - ceil(0.8 n) + 1 of their n (the prefix
+filter). Each text goes to the cells of these shingles only. The order decides
+the cost, never the result.
+
+No cell is paired off. For some rounds the texts of a cell are held against one
+leader, and texts that already are in one component need no more comparison.
+What is left, pairs of different components of a cell, is compared in blocks,
+so that no connection is lost.
 
 Words are split at white space, A-Z lower-cased, as for fingerprints. A text of
-fewer than WORDS words is one shingle; texts without words are copies of each
-other.
+fewer than WORDS words is one shingle; texts without words, nulls among them,
+are copies of each other. Extra columns and repeated keys pass through; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,14 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomaudit.llm.common import fresh, hinted, small_enough, written
+from loomaudit.llm import simhash
 from loomaudit.llm.simhash import components
 
 WORDS = 5
 #: The threshold as a fraction, so that no rounding decides.
 ABOVE, BELOW = 4, 5
-#: Texts of a cell that are paired off at once.
-CELL = 32
-#: Rounds in which the texts of larger cells are held against one leader.
+#: Rounds in which the texts of a cell are held against one leader.
 ROUNDS = 3
 #: Texts of a cell in a block of the comparison that is left.
 BLOCK = 512
@@ -127,10 +129,13 @@ def similar(a: str | None, b: str | None) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose texts (id, text) are similar."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    """Those of pairs (a, b) whose texts (id, text) are similar, as a table in the shared folder."""
+    pairs = written(pairs, "near-pairs")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
+    involved = texts.join(hinted(ids, small_enough(ids, BROADCAST_IDS)), "id", "left_semi")
+    both = pairs.join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(involved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     check = F.arrow_udf(lambda a, b: pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_()), "boolean")
-    return both.where(check("text_a", "text_b")).select("a", "b")
+    return written(both.where(check("text_a", "text_b")).select("a", "b"), "near-links")
 
 
 #: Whether two texts of a cell, of n and m shingles, at places i and j of their orders, can be similar if this is the first shingle that they share.
@@ -143,39 +148,45 @@ def _sides(placed: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     return left, placed.select("cell", *more, F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
 
 
-def links(unique: DataFrame, row: str, text: str, cell: int = CELL) -> DataFrame:
+def first_links(texts: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) of texts (id, text) from the grid of fingerprints: each text with the first of its fingerprint, and the first ones of linked fingerprints."""
+    prints = written(texts.select("id", simhash.fingerprints(F.col("text"), WORDS).alias("fp")), "near-prints")
+    first = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    own = prints.join(first, "fp").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    edges = simhash.links(written(first.select("fp"), "near-distinct"))
+    ends = edges.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return verified(own.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), texts)
+
+
+def links(unique: DataFrame, row: str, text: str, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) among the rows of unique, each a verified pair, that connect what all similar pairs connect."""
-    made = prefixes(F.col(text), *common_shingles(unique, row, text))
-    placed = unique.select(F.col(row).alias("id"), made.alias("made")).select("id", "made.n", F.posexplode("made.cells").alias("i", "cell"))
-    sizes = placed.withColumn("size", F.expr("count(*) over (partition by cell)"))
-    shared = written(sizes.where("size > 1"), "near-cells")
-    left, right = _sides(shared.where(F.col("size") <= cell))
-    pairs = written(left.join(right, "cell").where("a < b").where(_LENGTHS).where(_PLACES).select("a", "b").distinct(), "near-pairs")
-    crowded = shared.where(F.col("size") > cell)
-    involved = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("id")).distinct(), "near-ids")
-    texts = written(unique.select(F.col(row).alias("id"), F.col(text).alias("text")).join(hinted(involved, small_enough(involved, BROADCAST_IDS)), "id", "left_semi"), "near-texts")
-    edges = written(verified(pairs, texts), "near-links")
-    for turn in range(ROUNDS + 1):
-        left_over = _open(crowded, edges)
+    texts = unique.select(F.col(row).alias("id"), F.col(text).alias("text"))
+    made = prefixes(F.col("text"), *common_shingles(unique, row, text))
+    cells = written(texts.select("id", made.alias("made")).select("id", "made.*"), "near-prefixes")
+    sizes = cells.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+    met = cells.select("id", "n", F.posexplode("cells").alias("i", "cell")).join(sizes, "cell")
+    shared = written(met.withColumn("degree", F.expr("count(*) over (partition by id)")), "near-cells")
+    edges = first_links(texts)
+    for turn in range(rounds + 1):
+        left_over = _open(shared, edges)
         if left_over.isEmpty():
             break
-        edges = edges.unionByName(written(verified(_against_leaders(left_over, turn) if turn < ROUNDS else _across(left_over), texts), "near-links"))
+        edges = edges.unionByName(verified(_against_leaders(left_over, turn) if turn < rounds else _across(left_over), texts))
     return edges
 
 
-def _open(crowded: DataFrame, edges: DataFrame) -> DataFrame:
+def _open(shared: DataFrame, edges: DataFrame) -> DataFrame:
     """The rows of those cells that hold more than one component, with their component."""
-    if crowded.isEmpty():
-        return crowded
     known = components(edges).select(F.col("node").alias("id"), "root")
-    labelled = crowded.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    spread = labelled.withColumn("low", F.expr("min(root) over (partition by cell)")).withColumn("high", F.expr("max(root) over (partition by cell)"))
-    return written(spread.where("low < high").drop("low", "high"), "near-open")
+    labelled = shared.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = labelled.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    return written(labelled.join(several, "cell"), "near-open")
 
 
 def _against_leaders(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each text and the leader of its cell; a leader has the least hash, which cells with the same texts agree on."""
-    leaders = placed.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("leader"), F.col("n").alias("m"), F.col("root").alias("led"))).alias("l")).select("cell", "l.leader", "l.m", "l.led")
+    """Pairs of each text and the leader of its cell. At first that is the text that meets others in the most cells, as one does whose edited copies the others are; then the one with the least hash. Cells with the same texts agree on it."""
+    first = F.negative("degree") if turn == 0 else F.lit(0)
+    leaders = placed.groupBy("cell").agg(F.min(F.struct(first.alias("first"), F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("leader"), F.col("n").alias("m"), F.col("root").alias("led"))).alias("l")).select("cell", "l.leader", "l.m", "l.led")
     return placed.join(leaders, "cell").where("root <> led").where(_LENGTHS).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 

@@ -77,6 +77,8 @@ def cells(fingerprint: Column, segments: int = SEGMENTS) -> Column:
 
 def links(distinct: DataFrame, segments: int = SEGMENTS, cell: int = CELL) -> DataFrame:
     """Edges (a, b), a < b, among distinct fingerprints (fp), that connect what the pairs within 2 bits connect; every edge is such a pair."""
+    # A table of fingerprints is small to read and large to expand: it is dealt to many tasks before that.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = distinct.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(placed.join(sizes, "cell"), "simhash-cells")

@@ -53,10 +53,10 @@ def made_rows():
     return [(i, " ".join(r)) for i, r in enumerate(rows)] + [(9000, None), (9001, " ")]
 
 
-@pytest.mark.parametrize("cell", [2, 32])
-def test_near_copies_match_brute_force(spark, monkeypatch, cell):
+@pytest.mark.parametrize("rounds", [0, 1, near_copies.ROUNDS])
+def test_near_copies_match_brute_force(spark, monkeypatch, rounds):
     rows = made_rows()
-    monkeypatch.setattr(near_copies, "links", lambda u, r, t, links=near_copies.links: links(u, r, t, cell))
+    monkeypatch.setattr(near_copies, "links", lambda u, r, t, links=near_copies.links: links(u, r, t, rounds))
     monkeypatch.setattr(near_copies, "BLOCK", 7)
     got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert {r["doc_id"] for r in got.collect()} == brute_kept(rows)
