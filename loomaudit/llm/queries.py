@@ -104,7 +104,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-OP4_SQL = """
+_NAME = "regexp_replace(host, ':[0-9]*$', '')"
+_TWO = "array_to_string(string_split(name, '.')[-2:], '.')"
+_ADDRESS = "regexp_full_match(name, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') OR starts_with(name, '[')"
+_LONG = f"{_TWO} IN ({', '.join(repr(x) for x in url_filters.SUFFIXES)})"
+
+
+def _level(name: str, groups: str) -> str:
+    """The strength of a level's prior, from its groups (n, bad, above)."""
+    return f"""{name} AS (
+  SELECT (1 - rho) / rho AS strength FROM (SELECT CASE WHEN w > 0 THEN least(0.5, greatest(0.001, (s - v) / w)) ELSE 0.001 END AS rho FROM (
+    SELECT sum(n * (bad / n - above) * (bad / n - above)) AS s, sum(above * (1 - above)) AS v, sum(above * (1 - above) * (n - 1)) AS w FROM {groups} WHERE n > 0)))"""
+
+
+OP4_SQL = f"""
 WITH parts AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), p AS (
@@ -115,24 +128,19 @@ WITH parts AS (
 ), seen AS (
   SELECT p.host, 1 AS n, o.bad FROM p JOIN outcome o ON o.doc_id = try_cast(regexp_extract(p.url, '/([0-9]+)', 1) AS BIGINT)
   UNION ALL SELECT host, 0, 0 FROM p
-), by_host AS (
-  SELECT host, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad,
-         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM seen GROUP BY host
+), named AS (SELECT host, {_NAME} AS name, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM seen GROUP BY host),
+by_host AS (
+  SELECT host, n, bad, CASE WHEN {_ADDRESS} THEN name WHEN {_LONG} THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE {_TWO} END AS domain,
+         CASE WHEN {_ADDRESS} THEN name WHEN {_LONG} THEN {_TWO} ELSE string_split(name, '.')[-1] END AS suffix FROM named
 ), by_domain AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
-by_suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM by_domain GROUP BY ALL),
-total AS (SELECT sum(bad) / sum(n) AS mean FROM by_suffix),
-groups AS (
-  SELECT 's' AS level, n, bad FROM by_suffix WHERE n > 0 UNION ALL SELECT 'd', n, bad FROM by_domain WHERE n > 0 UNION ALL SELECT 'h', n, bad FROM by_host WHERE n > 0
-), moments AS (
-  SELECT level, mean, count(*) AS k, sum(n) AS n, sum(n * n) AS nn, sum(n * (bad / n - mean) * (bad / n - mean)) AS s FROM groups, total GROUP BY level, mean
-), rho AS (
-  SELECT level, CASE WHEN n - nn / n - (k - 1) > 0 AND mean * (1 - mean) > 0 THEN least(0.5, greatest(0.001, (s - mean * (1 - mean) * (k - 1)) / (mean * (1 - mean) * (n - nn / n - (k - 1))))) ELSE 0.001 END AS rho FROM moments
-), strength AS (
-  SELECT max((1 - rho) / rho) FILTER (level = 's') AS s, max((1 - rho) / rho) FILTER (level = 'd') AS d, max((1 - rho) / rho) FILTER (level = 'h') AS h FROM rho
-), suffix_rate AS (SELECT suffix, (bad + s * mean) / (n + s) AS rate FROM by_suffix, strength, total),
-domain_rate AS (SELECT domain, (bad + d * rate) / (n + d) AS rate FROM by_domain JOIN suffix_rate USING (suffix), strength),
-host_rate AS (SELECT host, n, h, (bad + h * rate) / (n + h) AS rate FROM by_host JOIN domain_rate USING (domain), strength),
-reputation AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + h + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM host_rate),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM by_host) AS above FROM by_domain GROUP BY suffix),
+{_level("s_prior", "s")},
+d AS (SELECT domain, x.n, x.bad, (s.bad + strength * s.above) / (s.n + strength) AS above FROM by_domain x JOIN s USING (suffix), s_prior),
+{_level("d_prior", "d")},
+h AS (SELECT host, x.n, x.bad, (d.bad + strength * d.above) / (d.n + strength) AS above FROM by_host x JOIN d USING (domain), d_prior),
+{_level("h_prior", "h")},
+rates AS (SELECT host, n, strength, (bad + strength * above) / (n + strength) AS rate FROM h, h_prior),
+reputation AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM rates),
 rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(rule_host, rule_path, verdict)),
 best AS (
   SELECT p.page_id, max_by(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) AS rule, max_by(r.verdict, length(r.rule_host || r.rule_path)) AS verdict
