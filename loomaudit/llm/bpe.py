@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomaudit.llm.pieces import PieceEncoder
+from loomaudit.llm.pieces import PieceEncoder, check_spec
 
 #: Texts that are handled at once within an Arrow batch.
 ROWS = 512
@@ -45,6 +45,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         letters = byte_letters()
         tokens = {i: bytes(letters[c] for c in s) for s, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -161,7 +162,9 @@ def decode_ids(ids: pa.ListArray, vocab: Vocabulary) -> pa.Array:
 
 
 def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
-    """docs with the ids of text (array<int>) and, if named, the decoded text."""
+    """docs with the ids of text (array<int>) and, if named, the decoded text. A column of docs that has one of these names, in any case, is replaced."""
+    new = {x.lower() for x in (ids, decoded) if x}
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new))
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
     if decoded:
         schema.add(decoded, "string")

@@ -16,9 +16,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests, local mode), a new temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomaudit-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

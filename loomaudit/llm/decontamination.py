@@ -11,7 +11,9 @@ ratio of sizes. Each candidate pair is then verified on the shingles themselves.
 
 Words are runs of letters and digits, lower-cased. An item of fewer than WORDS
 words is one shingle of all its words. Null or empty items, or items without
-words, never match; null texts hold nothing.
+words, never match; null texts hold nothing. Every row of the benchmark is an
+item of its own and every row of the documents a document, whatever their ids:
+repeated and null ids lose no leak. Rows with the same id and text are one.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomaudit.llm.common import hinted, small_enough, written
+from loomaudit.llm.common import fresh, hinted, small_enough, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -54,20 +56,20 @@ def shingle_hashes(tokens: Column, size: int) -> Column:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """(item_id, size: words of a shingle, hash, shingle, n: distinct shingles of the item)."""
-    split = items.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    sized = split.select("item_id", "w", F.least(F.size("w"), F.lit(WORDS)).alias("size"))
-    by_size = [sized.where(F.col("size") == k).select("item_id", "size", F.explode(F.arrays_zip(shingle_hashes(F.col("w"), k).alias("hash"), shingle_texts(F.col("w"), k).alias("shingle"))).alias("s")) for k in range(1, WORDS + 1)]
-    made = reduce(DataFrame.unionByName, by_size).select("item_id", "size", "s.*").distinct()
-    return made.join(made.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+    """(item, item_id, size: words of a shingle, hash, shingle, n: distinct shingles of the item); item tells rows apart."""
+    split = items.select(_key("item_id").alias("item"), "item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    sized = split.select("item", "item_id", "w", F.least(F.size("w"), F.lit(WORDS)).alias("size"))
+    by_size = [sized.where(F.col("size") == k).select("item", "item_id", "size", F.explode(F.arrays_zip(shingle_hashes(F.col("w"), k).alias("hash"), shingle_texts(F.col("w"), k).alias("shingle"))).alias("s")) for k in range(1, WORDS + 1)]
+    made = reduce(DataFrame.unionByName, by_size).select("item", "item_id", "size", "s.*").distinct()
+    return made.join(made.groupBy("item").agg(F.count("*").alias("n")), "item")
 
 
 def sketches(made: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(hash, item_id) of the bottom-k sketches, k by size partition."""
+    """(hash, item) of the bottom-k sketches, k by size partition."""
     largest = F.pow(F.lit(2.0), F.ceil(F.log2("n")))
     k = largest - F.ceil(largest * threshold - 1e-9) + 1
-    ranked = made.select("item_id", "hash", k.alias("k"), F.row_number().over(Window.partitionBy("item_id").orderBy("hash")).alias("rank"))
-    return ranked.where("rank <= k").select("hash", "item_id")
+    ranked = made.select("item", "hash", k.alias("k"), F.row_number().over(Window.partitionBy("item").orderBy("hash")).alias("rank"))
+    return ranked.where("rank <= k").select("hash", "item")
 
 
 def _exploded(docs: DataFrame, sizes: list[int], of, name: str) -> DataFrame:
@@ -75,19 +77,33 @@ def _exploded(docs: DataFrame, sizes: list[int], of, name: str) -> DataFrame:
     return split.select("key", F.explode(F.concat(*(of(F.col("w"), size) for size in sizes))).alias(name))
 
 
+def _key(name: str) -> Column:
+    """What tells rows (name, text) apart: the id and a hash of the text."""
+    return F.concat_ws(":", F.col(name).cast("string"), F.hex(F.xxhash64("text")))
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """(key, item_id, shared, containment) for each document and item leaked into it. Rows with the same key count as one document; rows without a key are not searched."""
+    """(key, item_id, shared, containment) for each document and item leaked into it."""
+    return _found(docs.select(F.col(key).alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(key), "item_id", "shared", "containment")
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     made = written(item_shingles(items.select("item_id", "text")), "benchmark-shingles")
     sizes = sorted(r["size"] for r in made.select("size").distinct().collect()) or [WORDS]  # at most WORDS of them
     small = small_enough(made, BROADCAST_ROWS)
-    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "text")
-    candidates = written(_exploded(keyed, sizes, shingle_hashes, "hash").join(hinted(sketches(made, threshold), small), "hash").select("key", "item_id").distinct(), "leak-candidates")
+    keyed = docs.select(_key("doc_id").alias("key"), "doc_id", "text")
+    candidates = written(_exploded(keyed, sizes, shingle_hashes, "hash").join(hinted(sketches(made, threshold), small), "hash").select("key", "item").distinct(), "leak-candidates")
     searched = keyed.join(candidates.select("key").distinct(), "key", "left_semi")
-    present = _exploded(searched, sizes, shingle_texts, "shingle").join(hinted(made, small), "shingle").select("key", "item_id", "n", "shingle")
-    counted = present.join(candidates, ["key", "item_id"], "left_semi").groupBy("key", "item_id", "n").agg(F.countDistinct("shingle").alias("shared"))
-    return counted.where(F.col("shared") >= threshold * F.col("n") - 1e-9).select(F.col("key").alias(key), "item_id", "shared", (F.col("shared") / F.col("n")).alias("containment"))
+    ids = searched.select("key", "doc_id").distinct()
+    present = _exploded(searched, sizes, shingle_texts, "shingle").join(hinted(made, small), "shingle").select("key", "item", "item_id", "n", "shingle")
+    counted = present.join(candidates, ["key", "item"], "left_semi").groupBy("key", "item", "item_id", "n").agg(F.countDistinct("shingle").alias("shared"))
+    leaked = counted.where(F.col("shared") >= threshold * F.col("n") - 1e-9)
+    return leaked.join(ids, "key").select("key", "doc_id", "item_id", "shared", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without those that an item has leaked into. Rows without a key stay."""
-    return docs.join(leaks(docs, items, key=key).select(key).distinct(), key, "left_anti").select(*docs.columns)
+    """docs without those that an item has leaked into."""
+    mark = fresh(docs, "leak_key")
+    found = written(_found(docs.select(F.col(key).alias("doc_id"), "text"), items, THRESHOLD).select(F.col("key").alias(mark)).distinct(), "leaked")
+    marked = docs.withColumn(mark, F.concat_ws(":", F.col(key).cast("string"), F.hex(F.xxhash64("text"))))
+    return marked.join(hinted(found, small_enough(found, BROADCAST_ROWS)), mark, "left_anti").select(*docs.columns)

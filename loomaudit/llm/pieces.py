@@ -25,6 +25,22 @@ SPACE_AFTER_BLANK = "[" + "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x2
 MOST_WORDS = 700_000
 
 
+#: What this encoding follows of a tokenizer file; a file that says otherwise is refused.
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def check_spec(spec: dict) -> None:
+    """Raises ValueError where a tokenizer file asks for what is not done here: a normalizer, other words than WORDS, merges out of order, added tokens that take in what is around them."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    wrong = [f"pre_tokenizer.{k}" for k, v in _PRE_TOKENIZER.items() if pre.get(k, v if k == "use_regex" else None) != v]
+    wrong += [f"model.{k}" for k, v in _MODEL.items() if (model.get(k) or (v if k != "type" else None)) != v]
+    wrong += ["normalizer"] * bool(spec.get("normalizer"))
+    wrong += [f"added token {x['content']!r}" for x in spec.get("added_tokens", []) if not x["content"] or any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if wrong:
+        raise ValueError("this tokenizer file needs what is not done here: " + ", ".join(wrong))
+
+
 class _Words(dict):
     """word -> its ids as little-endian int32 bytes."""
 

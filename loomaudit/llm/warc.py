@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomaudit.llm.common import written
+from loomaudit.llm.common import hinted, small_enough, written
 from loomaudit.llm.files import new_file, new_folder, place
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
 ROWS = 500
+#: Shared digests that may be broadcast, so that no payload is shuffled; beyond, each is joined in SALTS parts.
+BROADCAST_DIGESTS, SALTS = 200_000, 16
 FILES = "path string, records bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -99,7 +101,12 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     groups = keyed.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return keyed.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
+    small = small_enough(groups, BROADCAST_DIGESTS)
+    if not small:
+        # One payload may be a third of all pages: its rows go to several tasks.
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return keyed.join(hinted(groups, small), ["digest"] if small else ["digest", "salt"], "left").select("page_id", "url", "payload", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -122,7 +129,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 
 def _each(files: DataFrame) -> DataFrame:
-    return files.repartition(max(1, files.count()), "path")
+    """One file to a task, dealt in turn."""
+    return files.repartition(max(1, files.count()))
 
 
 def normalise(archives: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomaudit.llm import bpe, queries, token_files
+from loomaudit.llm import bpe, pieces, queries, token_files
 from loomaudit.llm.common import load
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -111,3 +111,29 @@ def test_random_access(spark, tmp_path):
             assert (reader.ids(a, b) == ids[a:b]).all()
         assert reader.known.tolist() == [1, 0] and reader.starts.tolist() == [0, 10]
 
+
+
+def test_columns_named_like_the_results_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "some text", "old", 2.0)], "doc_id bigint, text string, IDS string, decoded double")
+    made = bpe.with_ids(docs, PATH, decoded="decoded")
+    assert made.columns == ["doc_id", "text", "ids", "decoded"]
+    assert made.first()["decoded"] == "some text"
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": None},
+        {"model": {"type": "WordPiece"}},
+        {"model": {"type": "BPE", "ignore_merges": True}},
+        {"added_tokens": [{"content": "<x>", "id": 1, "lstrip": True}]},
+    ],
+)
+def test_other_tokenizers_are_refused(change):
+    good = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE"}, "added_tokens": [{"content": "<x>", "id": 1}]}
+    pieces.check_spec(good)
+    with pytest.raises(ValueError):
+        pieces.check_spec(good | change)

@@ -107,13 +107,32 @@ def test_partial_leaks(spark):
             docs.append((10 * n + broken, " ".join(word() for _ in range(300)) + " " + ", ".join(copy).upper() + "\n" + " ".join(word() for _ in range(300))))
     docs += [(500, None), (501, ""), (None, items[4][1]), (502, "x y"), (502, "more X-Y here")]
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    want = brute_leaks([x for x in docs if x[0] is not None], [x for x in items if x[0] is not None])
+    docs.append((None, "they say a b c d e f"))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute_leaks(docs, items)
+    assert (None, 4) in want and (None, None) in want
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()} == want and len(want) > 12
     kept = decontamination.without_leaks(d.withColumn("shared", F.lit(1)), b)
-    assert kept.columns == ["doc_id", "text", "shared"] and kept.where("doc_id is null").count() == 1
+    assert kept.columns == ["doc_id", "text", "shared"] and kept.where("doc_id is null").count() == 0 and kept.where("doc_id = 500").count() == 1
     assert decontamination.leaks(d, b.limit(0)).count() == 0 and decontamination.leaks(d.limit(0), b).count() == 0
 
 
+def test_repeated_ids_lose_no_leak(spark):
+    """Two items of one id are two items; two documents of one id are two documents."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    items = spark.createDataFrame([(1, one), (1, two), (1, two)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, "x " + one), (7, "clean words"), (8, two), (8, two), (9, one[:60])], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["shared"]) for r in decontamination.leaks(docs, items).collect()) == [(7, 1, 26), (8, 1, 26)]
+    assert sorted(r["text"] for r in decontamination.without_leaks(docs, items).collect()) == ["a0 a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12 a13 a14 a15 a16 a1"[:60], "clean words"]
+
+
+def test_a_very_long_document(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    item = " ".join(f"w{i}" for i in range(150_000, 150_040))
+    got = decontamination.leaks(spark.createDataFrame([(1, long)], "doc_id bigint, text string"), spark.createDataFrame([(2, item)], "item_id bigint, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(1, 2)]
+
+
 def test_shuffled_join_beyond_the_bound(spark, data, monkeypatch):
     docs, items = load(spark, data, "documents"), load(spark, data, "benchmark")
     small = decontamination.leaks(docs, items).collect()
