@@ -29,7 +29,7 @@ from loomaudit.llm.pieces import PieceEncoder, check_spec
 
 #: Texts that are handled at once within an Arrow batch.
 ROWS = 512
-MOST_PAIRS, MOST_WORDS = 500_000, 300_000
+MOST_PAIRS, MOST_WORDS = 200_000, 150_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -45,7 +45,7 @@ BLOCK = 512
 SAMPLE, COMMON, MOST_COMMON = 8, 8, 50_000
 #: Ids that may be broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 200_000
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 50_000
 
 
 class _Hashes(dict):
@@ -117,7 +117,7 @@ def prefixes(text: Column, common: np.ndarray, seen: np.ndarray) -> Column:
     return F.arrow_udf(run, "struct<n: int, cells: array<bigint>>")(text)
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=4)
 def _cached(text: str | None) -> frozenset[tuple[bytes, ...]]:
     return shingles(text)
 
