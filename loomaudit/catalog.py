@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomaudit.functions import text as X
 from loomaudit.functions import urls as U
 from loomaudit.operators import clusters, coverage, extract, links, locales, robots
+from loomaudit.operators.graph import stored
 from loomaudit.plans import cards, page_rules, producer, report, site_rules
 from loomaudit.sources import sitemaps, snapshot
 
@@ -115,18 +116,18 @@ def page_titles(spark, sf_dir):
 @query("page_lint_title", f"{VERDICTS} SELECT url AS page_url, rule_id, status FROM v WHERE rule_id LIKE 'title.%'")
 def page_lint_title(spark, sf_dir):
     rules = [r for r in page_rules.page_rules() if r.id.startswith("title.")]
-    return page_rules.evaluate(declared(spark, sf_dir), rules).select("page_url", "rule_id", "status")
+    return page_rules.evaluate(declared(spark, sf_dir), rules, facts=False).select("page_url", "rule_id", "status")
 
 
 @query("page_lint_all", f"{VERDICTS} SELECT id, url AS page_url, rule_id, if_bad AS severity, rigor FROM f")
 def page_lint_all(spark, sf_dir):
-    return report.page_findings(page_rules.evaluate(declared(spark, sf_dir))).select("id", "page_url", "rule_id", "severity", "rigor")
+    return report.page_findings(page_rules.evaluate(declared(spark, sf_dir), facts=False)).select("id", "page_url", "rule_id", "severity", "rigor")
 
 
 def _profiled(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules = page_rules.under_profile(page_rules.page_rules(), name)
-        return report.page_findings(page_rules.evaluate(declared(spark, sf_dir), rules)).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"))
+        return report.page_findings(page_rules.evaluate(declared(spark, sf_dir), rules, facts=False)).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"))
 
     return run
 
@@ -143,17 +144,17 @@ for _name, _severity in PROFILE_SQL.items():
 
 @query("conformance_totals", f"{VERDICTS} SELECT rule_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warned, count(*) FILTER (status = 'na') AS not_applicable, count(*) AS pages FROM v GROUP BY rule_id")
 def conformance_totals(spark, sf_dir):
-    return report.conformance(page_rules.evaluate(declared(spark, sf_dir)))
+    return report.conformance(page_rules.evaluate(declared(spark, sf_dir), facts=False))
 
 
 @query("conformance_matrix", f"{VERDICTS} SELECT url AS page_url, rule_id, status FROM v")
 def conformance_matrix(spark, sf_dir):
-    return page_rules.evaluate(declared(spark, sf_dir)).select("page_url", "rule_id", "status")
+    return page_rules.evaluate(declared(spark, sf_dir), facts=False).select("page_url", "rule_id", "status")
 
 
 @query("findings_fingerprints", f"{VERDICTS} SELECT id, count(*) AS findings FROM f GROUP BY id")
 def findings_fingerprints(spark, sf_dir):
-    return report.page_findings(page_rules.evaluate(declared(spark, sf_dir))).groupBy("id").agg(F.count("*").alias("findings"))
+    return report.page_findings(page_rules.evaluate(declared(spark, sf_dir), facts=False)).groupBy("id").agg(F.count("*").alias("findings"))
 
 
 @query(
@@ -162,7 +163,7 @@ def findings_fingerprints(spark, sf_dir):
 SELECT rule_id, min(if_bad) AS severity, count(*) AS findings, string_agg(url, ' ' ORDER BY url) FILTER (n <= 5) AS pages, greatest(count(*) - 5, 0) AS more FROM n GROUP BY rule_id""",
 )
 def findings_rollup_by_rule(spark, sf_dir):
-    return report.rollup_by_rule(report.page_findings(page_rules.evaluate(declared(spark, sf_dir))))
+    return report.rollup_by_rule(report.page_findings(page_rules.evaluate(declared(spark, sf_dir), facts=False)))
 
 
 @query(
@@ -173,12 +174,12 @@ SELECT site, pages, 0::BIGINT AS broken_links, 0::BIGINT AS missing_translations
 )
 def audit_summary_verdict(spark, sf_dir):
     pages = declared(spark, sf_dir)
-    return report.summary(pages.select("site"), pages, report.page_findings(page_rules.evaluate(pages)))
+    return report.summary(pages.select("site"), pages, report.page_findings(page_rules.evaluate(pages, facts=False)))
 
 
 @query("findings_of_heads", f"{VERDICTS} SELECT url AS page_url, count(*) AS head, 0::BIGINT AS others FROM f GROUP BY url")
 def findings_of_heads(spark, sf_dir):
-    return report.head_findings(report.page_findings(page_rules.evaluate(declared(spark, sf_dir))))
+    return report.head_findings(report.page_findings(page_rules.evaluate(declared(spark, sf_dir), facts=False)))
 
 
 @query("advisories", f"WITH {URLS}, {TITLES} SELECT 'advisory-' || substr(sha256(a.rule_id || chr(0) || route_key), 1, 10) AS id, a.rule_id, url AS page_url, 'needs-judgment' AS status FROM x, (VALUES ('title.descriptive'), ('lang.matches-content')) AS a(rule_id) WHERE a.rule_id <> 'title.descriptive' OR title <> ''")
@@ -193,7 +194,7 @@ SELECT coalesce(b.id, c.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN c.id
 )
 def baseline_diff(spark, sf_dir):
     """A run without one rule against a baseline without another."""
-    found = report.page_findings(page_rules.evaluate(declared(spark, sf_dir)))
+    found = stored(report.page_findings(page_rules.evaluate(declared(spark, sf_dir))).select(*report.FINDINGS), "findings")
     return report.difference(found.where("severity = 'warning' and rule_id <> 'icons.missing'"), found.where("rule_id <> 'viewport.missing'")).select("id", "change")
 
 
@@ -254,7 +255,7 @@ MATRIX = f"""WITH {URLS}, k AS (SELECT site, route, locale, arg_min(url, page_id
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = declared(spark, sf_dir)
+    pages = stored(declared(spark, sf_dir).select("site", "page_url", "visit_ord", "path", "alternates"), "declared")
     return locales.matrix(pages, pages.select("site", F.col("page_url").alias("url"), "path").where("false"), no_clusters(spark))
 
 
@@ -323,6 +324,11 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.occurrences(declared(spark, sf_dir))
 
 
+def known_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that read them more than once."""
+    return stored(occurrences(spark, sf_dir).select("page_url", "url", "kind"), "occurrences")
+
+
 @query("link_occurrences", f"{LINKS} SELECT page_url, raw, url, 'internal' AS kind FROM o")
 def link_occurrences(spark, sf_dir):
     return occurrences(spark, sf_dir).select("page_url", "raw", "url", "kind")
@@ -345,13 +351,13 @@ def checked(found: DataFrame) -> DataFrame:
 
 @query("link_rows", f"{LINKS} SELECT url, {VERDICT} AS verdict, 'internal' AS kind, regexp_extract(url, '://([^/?#]*)', 1) AS host, count(DISTINCT page_url) AS \"references\" FROM o GROUP BY url")
 def link_rows(spark, sf_dir):
-    found = occurrences(spark, sf_dir)
+    found = known_occurrences(spark, sf_dir)
     return links.rows(checked(found), found)
 
 
 @query("link_verdict_tally", f"{LINKS}, c AS (SELECT DISTINCT url FROM o), n AS (SELECT {VERDICT} AS verdict, count(*) AS links FROM c GROUP BY 1) SELECT v.verdict, coalesce(links, 0) AS links FROM (VALUES ('ok'), ('redirect'), ('broken'), ('blocked'), ('warning'), ('skipped')) AS v(verdict) LEFT JOIN n USING (verdict)")
 def link_verdict_tally(spark, sf_dir):
-    return links.tally(checked(occurrences(spark, sf_dir)))
+    return links.tally(checked(known_occurrences(spark, sf_dir)))
 
 
 BROKEN = f"{LINKS}, b AS (SELECT DISTINCT page_url, url, {VERDICT} AS verdict FROM o WHERE {VERDICT} <> 'ok')"
@@ -359,14 +365,14 @@ BROKEN = f"{LINKS}, b AS (SELECT DISTINCT page_url, url, {VERDICT} AS verdict FR
 
 @query("links_broken_by_page", f"{BROKEN} SELECT page_url, url, verdict FROM b")
 def links_broken_by_page(spark, sf_dir):
-    found = occurrences(spark, sf_dir)
+    found = known_occurrences(spark, sf_dir)
     return links.broken_by_page(found, checked(found)).select("page_url", "url", "verdict")
 
 
 @query("link_rollup", f"{BROKEN}, n AS (SELECT *, row_number() OVER (PARTITION BY url, verdict ORDER BY page_url) AS n FROM b) SELECT url, verdict, count(*) AS pages, string_agg(page_url, ' ' ORDER BY page_url) FILTER (n <= 5) AS sample, greatest(count(*) - 5, 0) AS more FROM n GROUP BY ALL")
 def link_rollup(spark, sf_dir):
-    found = occurrences(spark, sf_dir)
-    return report.rollup_links(links.broken_by_page(found, checked(found)))
+    found = known_occurrences(spark, sf_dir)
+    return report.rollup_links(stored(links.broken_by_page(found, checked(found)), "broken"))
 
 
 @query("links_outside_page_set", f"{LINKS} SELECT DISTINCT url FROM o ANTI JOIN (SELECT site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS url FROM t) p USING (url)")
@@ -410,19 +416,32 @@ def robots_decision(spark, sf_dir):
 # ---- sitemaps ----------------------------------------------------------------------
 
 
+#: Literal tables for what the pages cannot say: sections (first path segments) that no sitemap lists, that no crawl has seen, and the answers that a link check has for the URLs of a kind.
+UNLISTED, UNCRAWLED, ANSWERED = [("es",)], [("de",)], [(".html", 404)]
+
+
+def _in_section(spark: SparkSession, rows: DataFrame, sections: list[tuple[str]], how: str) -> DataFrame:
+    return rows.withColumn("section", F.split_part("path", F.lit("/"), F.lit(2))).join(F.broadcast(spark.createDataFrame(sections, "section string")), "section", how).drop("section")
+
+
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages with a query as the entries of each site's sitemap; fields follow from page_id."""
-    return urls(spark, sf_dir).where(F.col("url").contains("?")).select(
+    """The pages outside the unlisted sections as the entries of each site's sitemap; fields follow from page_id."""
+    return _in_section(spark, urls(spark, sf_dir), UNLISTED, "left_anti").select(
         "site", F.concat("site", F.lit("/en/sitemap.xml")).alias("document_url"), F.col("url").alias("loc"), F.expr("CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END").alias("lastmod"),
         F.expr("CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END").alias("changefreq"), F.expr("CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END").alias("priority"), F.array().cast("array<struct<hreflang: string, href: string>>").alias("alternates"), F.col("page_id").cast("int").alias("ord"),
     )
 
 
-LISTED = f"WITH {URLS}, e AS (SELECT *, CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END AS lastmod, CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END AS changefreq, CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END AS priority FROM t WHERE url LIKE '%?%')"
+LISTED = f"WITH {URLS}, e AS (SELECT *, CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END AS lastmod, CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END AS changefreq, CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END AS priority FROM t WHERE split_part(path, '/', 2) <> 'es')"
 
 
-def listed_site(spark: SparkSession, sf_dir: str) -> site_rules.Site:
-    return site_rules.Site(declared(spark, sf_dir), F.lit("2026-01-01").cast("timestamp"), entries=listed(spark, sf_dir), axis=locales.axis(urls(spark, sf_dir)))
+def listed_site(spark: SparkSession, sf_dir: str, often: bool = False) -> site_rules.Site:
+    """often: for many rules; what they all read is written once."""
+    pages, entries, axis = declared(spark, sf_dir), listed(spark, sf_dir), locales.axis(urls(spark, sf_dir))
+    if often:
+        pages = pages.select("site", "page_url", "path_query", "visit_ord", "canonical", "alternates", "robots", "googlebot", "x_robots")
+        pages, entries, axis = (stored(t, n) for t, n in ((pages, "declared"), (entries, "entries"), (axis, "axis")))
+    return site_rules.Site(pages, F.lit("2026-01-01").cast("timestamp"), entries=entries, axis=axis)
 
 
 def _sampled_sql(value: str, where: str) -> str:
@@ -454,13 +473,14 @@ def sitemap_orphans(spark, sf_dir):
     return site_rules.sitemap_orphans(listed_site(spark, sf_dir)).select("site", "observed")
 
 
-PROBED = "WITH {URLS}, e AS (SELECT site, url AS loc, page_id FROM t WHERE url LIKE '%?%'), p AS (SELECT * FROM t WHERE page_id % 2 = 0), x AS (SELECT e.*, p.url IS NOT NULL AS crawled, length(e.loc) % 3 = 0 AS linked FROM e LEFT JOIN p ON p.url = e.loc)"
+PROBED = "WITH {URLS}, e AS (SELECT site, url AS loc, path, page_id FROM t WHERE split_part(path, '/', 2) <> 'es'), p AS (SELECT DISTINCT url FROM t WHERE split_part(path, '/', 2) <> 'de'), x AS (SELECT e.*, p.url IS NOT NULL AS crawled, e.path LIKE '%.html' AS linked FROM e LEFT JOIN p ON p.url = e.loc)"
 
 
 def _probed(spark: SparkSession, sf_dir: str):
-    """Every listed URL, half of the pages as the crawl, and an answer for URLs of some lengths as the link check."""
-    pages = urls(spark, sf_dir).select(F.col("url").alias("page_url"), F.lit(200).alias("status")).join(urls(spark, sf_dir).where("page_id % 2 = 0").select(F.col("url").alias("page_url")), "page_url", "left_semi")
-    answers = urls(spark, sf_dir).where("length(url) % 3 = 0").select("url", F.lit(404).alias("status"), F.col("url").alias("final_url"))
+    """Every listed URL, the pages outside the uncrawled sections as the crawl, and the answers of a link check."""
+    pages = _in_section(spark, urls(spark, sf_dir), UNCRAWLED, "left_anti").select(F.col("url").alias("page_url"), F.lit(200).alias("status"))
+    kinds = F.broadcast(spark.createDataFrame(ANSWERED, "ending string, status int"))
+    answers = urls(spark, sf_dir).withColumn("ending", F.regexp_extract("path", "[.][a-z]+$", 0)).join(kinds, "ending").select("url", "status", F.col("url").alias("final_url"))
     return links.entry_probes(listed(spark, sf_dir), pages, answers, budget=1), pages
 
 
@@ -503,7 +523,7 @@ def sitemap_cross_host(spark, sf_dir):
 
 @query("site_lint", f"{LISTED}, m AS (SELECT site FROM t WHERE locale <> 'x-default' GROUP BY site HAVING count(DISTINCT locale) >= 2) SELECT rule_id, count(*) AS findings FROM (SELECT 'hreflang.missing' AS rule_id FROM t SEMI JOIN m USING (site) UNION ALL SELECT DISTINCT ON (site) 'sitemap.field.invalid' FROM e WHERE changefreq = 'often' OR priority IN ('2', 'x') UNION ALL SELECT DISTINCT ON (site) 'sitemap.lastmod.invalid' FROM e WHERE page_id % 4 IN (1, 2) UNION ALL SELECT DISTINCT ON (site) 'sitemap.entry.out-of-scope' FROM e WHERE path NOT LIKE '/en/%' UNION ALL (SELECT DISTINCT ON (t.site) 'sitemap.orphans' FROM t SEMI JOIN e ON e.site = t.site ANTI JOIN (SELECT site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM e) x ON x.key = t.site || CASE WHEN length(t.path) > 1 THEN t.bare ELSE t.path END || t.query)) GROUP BY 1")
 def site_lint(spark, sf_dir):
-    return report.site_findings(site_rules.evaluate(listed_site(spark, sf_dir))).groupBy("rule_id").agg(F.count("*").alias("findings"))
+    return report.site_findings(site_rules.evaluate(listed_site(spark, sf_dir, often=True))).groupBy("rule_id").agg(F.count("*").alias("findings"))
 
 
 @query("canonical_dedup", "SELECT * FROM (VALUES ('https://a.example/x'), ('https://a.example/z?p=1')) AS v(page_url)")
@@ -658,3 +678,116 @@ def share_cards(spark, sf_dir):
 def card_palette(spark, sf_dir):
     css = ":root { --ink: oklch(0% 0 0); --paper: oklch(100% 0 0); --accent: oklch(62.79554% 0.257683 29.2338); --ink: oklch(50% 0 0); }"
     return cards.palette(spark.createDataFrame([(css,)], "text string"))
+
+
+# ---- pages with heads of all kinds ------------------------------------------------
+
+
+def _by(n: int, *kinds: str, each: int = 1) -> "F.Column":
+    """The (page_id / each mod n)-th of kinds; {p} in it is the page's number."""
+    place = F.pmod(F.floor(F.col("visit_ord") / each), F.lit(n))
+    return F.element_at(F.array(*(F.replace(F.lit(k), F.lit("{p}"), F.col("visit_ord").cast("string")) for k in kinds)), (place + 1).cast("int"))
+
+
+CDN = "https://cdn.example"
+LONG = "A description that says enough of a page to stand alone in a list of results, and no more."
+
+
+def _meta(**content: str) -> str:
+    return "".join(f'<meta {"property" if k.startswith("og_") else "name"}="{k.replace("_n_", "_").replace("_", ":")}" content="{v}">' for k, v in content.items())
+
+
+def _image(url: str, *pairs: tuple[str, str]) -> str:
+    return f'<meta property="og:image" content="{url}">' + "".join(f'<meta property="og:image:{k}" content="{v}">' for k, v in pairs)
+
+
+def dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table with a head for each page that follows from its number, as declared pages with probes of literal assets: the table itself declares little."""
+    size = lambda w, h: (("width", w), ("height", h))
+    head = F.concat(
+        _by(5, "", _meta(description="short"), _meta(description="A description of thirty chars."), _meta(description=LONG), _meta(description="  ")),
+        _by(4, "", '<link rel="canonical" href="https://a.example/{p}">', '<link rel="canonical" href="/{p}">', '<link rel="canonical" href="">', each=5),
+        _by(3, "", _meta(viewport="width=device-width"), _meta(viewport=" ")),
+        _by(3, "", _meta(og_title="Card {p}"), _meta(og_title=" "), each=3),
+        _by(2, "", _meta(og_description="d"), each=2),
+        _by(
+            6, "", _image(f"{CDN}/1.png", *size("1200", "630"), ("alt", "A view")), _image("/i2.png"), _image(f"{CDN}/3.png", *size("600", "600"), ("alt", "Card {p}")),
+            _image(f"{CDN}/4.png", ("secure_url", "/4.png"), ("alt", " "), *size("100", "900")), _image(f"{CDN}/5.png", ("alt", "Another"), *size("1910px", "1000")) + _image("6.png", ("width", "20")), each=7,
+        ),
+        _by(4, "", _meta(og_locale="fr_FR") + '<meta property="og:locale:alternate" content="en_US">', _meta(og_locale="fr_FR"), _meta(og_locale="en") + '<meta property="og:locale:alternate" content="de_DE">', each=11),
+        _by(3, "", f'<link rel="alternate" hreflang="en" href="{CDN}/en"><link rel="alternate" hreflang="fr" href="{CDN}/fr">', f'<link rel="alternate" hreflang="en" href="{CDN}/en">', each=13),
+        _by(
+            4, "", f'<link rel="icon" href="{CDN}/i.png" sizes="32x32" type="image/png">', f'<link rel="icon" href="{CDN}/i.png" sizes="16x16" type="image/png"><link rel="apple-touch-icon" href="{CDN}/apple.png">',
+            f'<link rel="apple-touch-icon" href="{CDN}/apple.png">', each=3,
+        ),
+        _by(2, "", f'<link rel="manifest" href="{CDN}/m.json">', each=17),
+        _by(5, "", _meta(robots="noindex", googlebot="index"), _meta(robots="noindex, Follow", googlebot="nofollow"), _meta(robots="index", googlebot="index"), _meta(robots="index"), each=19),
+    )
+    fetched = snapshot.fetches(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>"))))
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    assets = [("1.png", 200, png(1200, 630)), ("3.png", 404, b""), ("5.png", 200, png(1000, 500)), ("i.png", 200, png(32, 32)), ("apple.png", 404, b"")]
+    probes = snapshot.asset_probes(spark.createDataFrame([(f"{CDN}/{n}", s, "image/png", b) for n, s, b in assets], "url string, status int, content_type string, head binary"))
+    manifests = spark.createDataFrame([(f"{CDN}/m.json", 200, '{"icons": [{"src": "/i.png", "sizes": "32x32", "type": "image/png"}, {"src": "/other.png"}]}')], "href string, status int, body string")
+    return snapshot.with_probes(extract.declared(extract.raw_pages(fetched)), F.broadcast(probes), F.broadcast(manifests))
+
+
+#: What each page's number says of its head, as in `dressed`.
+DRESSED = f"""WITH {URLS}, {TITLES}, n AS (
+  SELECT x.*, page_id % 5 AS d, page_id // 5 % 4 AS c, page_id % 3 AS v, page_id // 3 % 3 AS o, page_id // 2 % 2 AS od, page_id // 7 % 6 AS i, page_id // 11 % 4 AS l, page_id // 13 % 3 AS h, page_id // 3 % 4 AS k, page_id // 17 % 2 AS m, page_id // 19 % 5 AS r FROM x
+), g AS (SELECT *, o <> 0 OR i <> 0 AS shared FROM n), q AS (
+  SELECT page_id, site, url, title, route_key, o, i, unnest([
+    {{'ord': 0, 'rule_id': 'title.missing', 'status': CASE WHEN title = '' THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 1, 'rule_id': 'title.length', 'status': CASE WHEN title = '' THEN 'na' WHEN length(title) BETWEEN 10 AND 60 THEN 'pass' ELSE 'warn' END}},
+    {{'ord': 2, 'rule_id': 'description.missing', 'status': CASE WHEN d IN (0, 4) THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 3, 'rule_id': 'description.length', 'status': CASE WHEN d IN (0, 4) THEN 'na' WHEN d = 3 THEN 'pass' ELSE 'warn' END}},
+    {{'ord': 4, 'rule_id': 'canonical.missing', 'status': CASE WHEN c IN (0, 3) THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 5, 'rule_id': 'canonical.absolute', 'status': CASE WHEN c IN (0, 3) THEN 'na' WHEN c = 2 THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 6, 'rule_id': 'viewport.missing', 'status': CASE WHEN v = 1 THEN 'pass' ELSE 'fail' END}},
+    {{'ord': 7, 'rule_id': 'og.title.missing', 'status': CASE WHEN o = 1 THEN 'pass' ELSE 'fail' END}},
+    {{'ord': 8, 'rule_id': 'og.description.missing', 'status': CASE WHEN NOT shared THEN 'na' WHEN od = 0 THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 9, 'rule_id': 'og.image.missing', 'status': CASE WHEN i = 0 THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 10, 'rule_id': 'og.image.absolute', 'status': CASE WHEN i = 0 THEN 'na' WHEN i IN (2, 4, 5) THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 11, 'rule_id': 'og.image.alt', 'status': CASE WHEN i = 0 THEN 'na' WHEN i IN (2, 4, 5) THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 12, 'rule_id': 'og.image.alt.caption', 'status': CASE WHEN i NOT IN (1, 3, 5) OR o = 2 OR o = 0 AND title = '' THEN 'na' WHEN i = 3 AND o = 1 THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 13, 'rule_id': 'og.image.dimensions', 'status': CASE WHEN i = 0 THEN 'na' WHEN i IN (2, 5) THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 14, 'rule_id': 'og.image.ratio', 'status': CASE WHEN i IN (0, 2) THEN 'na' WHEN i IN (3, 4) THEN 'warn' ELSE 'pass' END}},
+    {{'ord': 15, 'rule_id': 'og.locale.missing', 'status': CASE WHEN h <> 1 OR NOT shared AND l = 0 OR NOT shared THEN 'na' WHEN l = 0 THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 16, 'rule_id': 'og.locale.alternates', 'status': CASE WHEN h <> 1 OR l = 0 THEN 'na' WHEN l = 1 THEN 'pass' ELSE 'fail' END}},
+    {{'ord': 17, 'rule_id': 'icons.missing', 'status': CASE WHEN k = 0 AND m = 0 THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 18, 'rule_id': 'icons.apple-touch.missing', 'status': CASE WHEN k = 0 THEN 'na' WHEN k = 1 THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 19, 'rule_id': 'icons.manifest-mismatch', 'status': CASE WHEN m = 0 THEN 'na' WHEN k IN (0, 2) THEN 'fail' ELSE 'pass' END}},
+    {{'ord': 20, 'rule_id': 'og.image.reachable', 'status': CASE WHEN i IN (1, 5) THEN 'pass' WHEN i = 3 THEN 'fail' ELSE 'na' END}},
+    {{'ord': 21, 'rule_id': 'og.image.sizes-mismatch', 'status': CASE WHEN i = 1 THEN 'pass' WHEN i = 5 THEN 'fail' ELSE 'na' END}},
+    {{'ord': 22, 'rule_id': 'icons.unreachable', 'status': CASE WHEN k = 0 THEN 'na' WHEN k = 1 THEN 'pass' ELSE 'fail' END}},
+    {{'ord': 23, 'rule_id': 'icons.sizes-mismatch', 'status': CASE WHEN k = 1 THEN 'pass' WHEN k = 2 THEN 'fail' ELSE 'na' END}},
+    {{'ord': 24, 'rule_id': 'robots.conflict', 'status': CASE WHEN r IN (0, 4) THEN 'na' WHEN r = 3 THEN 'pass' ELSE 'fail' END}}]) AS f FROM g
+)"""
+
+
+@query("dressed_lint", f"{DRESSED} SELECT url AS page_url, f.rule_id AS rule_id, f.status AS status FROM q")
+def dressed_lint(spark, sf_dir):
+    return page_rules.evaluate(dressed(spark, sf_dir), facts=False).select("page_url", "rule_id", "status")
+
+
+@query("dressed_conformance", f"{DRESSED} SELECT f.rule_id AS rule_id, count(*) FILTER (f.status = 'pass') AS passed, count(*) FILTER (f.status = 'fail') AS failed, count(*) FILTER (f.status = 'warn') AS warned, count(*) FILTER (f.status = 'na') AS not_applicable, count(*) AS pages FROM q GROUP BY 1")
+def dressed_conformance(spark, sf_dir):
+    return report.conformance(page_rules.evaluate(dressed(spark, sf_dir), facts=False)).drop("crashed")
+
+
+@query(
+    "dressed_advisories",
+    f"""{DRESSED} SELECT 'advisory-' || substr(sha256(a.rule_id || chr(0) || route_key), 1, 10) AS id, a.rule_id, url AS page_url
+FROM g, (VALUES ('title.descriptive'), ('description.accurate'), ('lang.matches-content'), ('og.image.representative')) AS a(rule_id)
+WHERE CASE a.rule_id WHEN 'title.descriptive' THEN title <> '' WHEN 'description.accurate' THEN d NOT IN (0, 4) WHEN 'og.image.representative' THEN i <> 0 ELSE true END""",
+)
+def dressed_advisories(spark, sf_dir):
+    return page_rules.advisories(dressed(spark, sf_dir)).select("id", "rule_id", "page_url")
+
+
+@query(
+    "dressed_images",
+    f"""{DRESSED} SELECT url AS page_url, v.url AS image, v.width, v.height, replace(v.alt, '#', page_id::VARCHAR) AS alt FROM g JOIN (VALUES (1, 'https://cdn.example/1.png', 1200, 630, 'A view'), (2, '/i2.png', NULL, NULL, NULL),
+  (3, 'https://cdn.example/3.png', 600, 600, 'Card #'), (4, 'https://cdn.example/4.png', 100, 900, ' '), (5, 'https://cdn.example/5.png', 1910, 1000, 'Another'), (5, '6.png', 20, NULL, NULL)) AS v(i, url, width, height, alt) USING (i)""".replace("SELECT url AS page_url", "SELECT g.url AS page_url"),
+)
+def dressed_images(spark, sf_dir):
+    return dressed(spark, sf_dir).select("page_url", F.explode("og_images").alias("i")).select("page_url", F.col("i.url").alias("image"), "i.width", "i.height", "i.alt")

@@ -63,12 +63,17 @@ def governing_groups(said: DataFrame, agent: str = "*") -> DataFrame:
 
 
 def decisions(paths: DataFrame, said: DataFrame, agent: str = "*") -> DataFrame:
-    """paths (site, path: with its query) with allowed, and the rule that decided (rule, line, token; null where none did). The longest pattern wins, allow among equals."""
+    """paths (site, path: with its query) with allowed, and the rule that decided (rule, line, token; null where none did). The longest pattern wins, allow among equals.
+
+    The rules of a site, no more than a robots file holds, meet each of its paths as one array."""
     rules = said.where(F.col("kind").isin(*RULES) & (F.col("value") != "")).join(governing_groups(said, agent), ["site", "group_no"])
-    rules = rules.select("site", F.col("kind").alias("rule_kind"), F.col("value").alias("rule"), "line", "token", pattern_regex(F.col("value")).alias("regex"), F.octet_length(X.octets_decoded(F.col("value"))).alias("octets"))
-    asked = paths.select("site", "path").distinct().join(rules, "site")
-    fitting = asked.where(F.regexp_like(X.octets_decoded(F.col("path")), F.col("regex")))
-    rank = F.struct("octets", (F.col("rule_kind") == "allow").alias("allows"), F.when(F.col("rule_kind") == "allow", F.col("line")).otherwise(-F.col("line")).alias("place"))
-    best = fitting.groupBy("site", "path").agg(F.max_by(F.struct("rule_kind", "rule", "line", "token"), rank).alias("best"))
-    out = paths.join(best, ["site", "path"], "left")
-    return out.select(*paths.columns, F.coalesce(F.col("best.rule_kind") == "allow", F.lit(True)).alias("allowed"), F.col("best.rule").alias("rule"), F.col("best.line").alias("line"), F.col("best.token").alias("token"))
+    allows = F.col("kind") == "allow"
+    rule = F.struct(
+        F.octet_length(X.octets_decoded(F.col("value"))).alias("octets"), allows.alias("allows"), F.when(allows, F.col("line")).otherwise(-F.col("line")).alias("place"),
+        F.col("value").alias("rule"), F.col("line").alias("line"), F.col("token").alias("token"), pattern_regex(F.col("value")).alias("regex"),
+    )
+    of_site = rules.select("site", rule.alias("r")).groupBy("site").agg(F.collect_list("r").alias("_rules"))
+    decoded = X.octets_decoded(F.col("path"))
+    best = F.array_max(F.filter("_rules", lambda r: F.regexp_like(decoded, r["regex"])))
+    out = paths.join(of_site, "site", "left").withColumn("_best", best)
+    return out.select(*paths.columns, F.coalesce("_best.allows", F.lit(True)).alias("allowed"), F.col("_best.rule").alias("rule"), F.col("_best.line").alias("line"), F.col("_best.token").alias("token"))

@@ -205,8 +205,8 @@ def under_profile(rules: list[Rule], name: str) -> list[Rule]:
     return out
 
 
-def evaluate(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(site, page_url, visit_ord, ord: a rule's place, FINDINGS) for each page and rule."""
+def evaluate(pages: DataFrame, rules: list[Rule] | None = None, facts: bool = True) -> DataFrame:
+    """(site, page_url, visit_ord, ord: a rule's place, FINDINGS) for each page and rule. Without facts, what was observed is null: for those who read the verdicts alone."""
     rules = page_rules() if rules is None else rules
     none = F.lit(None).cast("string")
 
@@ -215,7 +215,7 @@ def evaluate(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         severity = F.when(rule.status == FAIL, rule.severity)
         for name, value in rule.severities.items():
             severity = severity.when((rule.status == WARN) & (band == name), value)
-        return F.struct(F.lit(i).alias("ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.kind).alias("kind"), rule.status.alias("status"), band.alias("band"), severity.alias("severity"), F.lit(rule.rigor).alias("rigor"), rule.observed.alias("observed"))
+        return F.struct(F.lit(i).alias("ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.kind).alias("kind"), rule.status.alias("status"), band.alias("band"), severity.alias("severity"), F.lit(rule.rigor).alias("rigor"), (rule.observed if facts else none).alias("observed"))
 
     return pages.select("site", "page_url", "visit_ord", F.explode(F.array(*(finding(i, r) for i, r in enumerate(rules)))).alias("f")).select("site", "page_url", "visit_ord", "f.*")
 

@@ -80,10 +80,11 @@ def rollup_by_rule(findings: DataFrame) -> DataFrame:
 
 
 def rollup_links(broken: DataFrame) -> DataFrame:
-    """(url, verdict, pages, sample, more) most used first."""
+    """(url, verdict, pages, sample, more) most used first. Only SAMPLE pages of a link leave the tasks that count it."""
+    counts = broken.groupBy("url", "verdict").agg(F.count("*").alias("pages"))
     place = F.row_number().over(Window.partitionBy("url", "verdict").orderBy("page_url"))
-    ranked = broken.withColumn("n", place)
-    grouped = ranked.groupBy("url", "verdict").agg(F.count("*").alias("pages"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") <= SAMPLE, F.col("page_url")))), " ").alias("sample"))
+    sample = broken.select("url", "verdict", "page_url").withColumn("n", place).where(F.col("n") <= SAMPLE).groupBy("url", "verdict").agg(F.array_join(F.sort_array(F.collect_list("page_url")), " ").alias("sample"))
+    grouped = counts.join(sample, ["url", "verdict"], "left").withColumn("sample", F.coalesce("sample", F.lit("")))
     return grouped.withColumn("more", F.greatest(F.col("pages") - SAMPLE, F.lit(0))).orderBy(F.desc("pages"), "url")
 
 
@@ -119,13 +120,12 @@ def exit_code(verdict, fail_on: str = "error"):
 
 
 def difference(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """FINDINGS with change: added, resolved or kept. An id counts once."""
-    a, b = baseline.select(*FINDINGS).dropDuplicates(["id"]), current.select(*FINDINGS).dropDuplicates(["id"])
-    return (
-        b.join(a, "id", "left_anti").withColumn("change", F.lit("added"))
-        .unionByName(a.join(b, "id", "left_anti").withColumn("change", F.lit("resolved")))
-        .unionByName(b.join(a, "id", "left_semi").withColumn("change", F.lit("kept")))
-    )
+    """FINDINGS with change: added, resolved or kept. An id counts once; of findings that share one, the least counts, and what both runs hold is shown as it is now."""
+    finding = F.struct(*FINDINGS)
+    sides = baseline.select("id", F.lit(0).alias("now"), finding.alias("f")).unionByName(current.select("id", F.lit(1).alias("now"), finding.alias("f")))
+    both = sides.groupBy("id").agg(F.min(F.when(F.col("now") == 0, F.col("f"))).alias("before"), F.min(F.when(F.col("now") == 1, F.col("f"))).alias("after"))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "resolved").otherwise("kept")
+    return both.select(F.coalesce("after", "before").alias("f"), change.alias("change")).select("f.*", "change")
 
 
 def gate(changes: DataFrame, fail_on: str = "error") -> DataFrame:

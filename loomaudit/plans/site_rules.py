@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomaudit.functions import text as X
@@ -58,9 +58,14 @@ def _found(rows: DataFrame, observed: Column, page: Column | None = None) -> Dat
     return rows.select("site", (F.col("site") if page is None else page).alias("page_url"), observed.cast("string").alias("observed"))
 
 
-def _sample(column: str, most: int = 5) -> Column:
-    """A few values, and how many there are."""
-    return F.concat(F.array_join(F.slice(F.sort_array(F.collect_set(column)), 1, most), " "), F.lit(" ("), F.count_distinct(column).cast("string"), F.lit(")"))
+def _sampled(rows: DataFrame, column: str, *keys: str, most: int = 5) -> DataFrame:
+    """(keys, sample): the first few values of each site, and how many there are. Values are counted and ranked in parts; no task holds those of a site."""
+    keys = keys or ("site",)
+    values = rows.select(*keys, F.col(column).alias("v")).where("v is not null").distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("v"))
+    first = values.withColumn("n", place).where(F.col("n") <= most).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("v")), " ").alias("first"))
+    counts = values.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.join(first, list(keys)).select(*keys, F.concat("first", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("sample"))
 
 
 def _multilingual(s: Site) -> DataFrame:
@@ -154,12 +159,12 @@ def robotstxt_invalid_line(s: Site) -> DataFrame:
 
 
 def robotstxt_unknown_directive(s: Site) -> DataFrame:
-    return _found(s.said.where("kind = 'unknown'").groupBy("site").agg(_sample("name").alias("names")), F.col("names"))
+    return _found(_sampled(s.said.where("kind = 'unknown'"), "name"), F.col("sample"))
 
 
 def robotstxt_sitemap_relative(s: Site) -> DataFrame:
     odd = s.said.where("kind = 'sitemap'").where(~U.is_absolute_http(U.parsed(F.col("value"))))
-    return _found(odd.groupBy("site").agg(_sample("value").alias("values")), F.col("values"))
+    return _found(_sampled(odd, "value"), F.col("sample"))
 
 
 def sitemap_missing(s: Site) -> DataFrame:
@@ -187,19 +192,19 @@ def _with_parsed(s: Site) -> DataFrame:
 
 
 def sitemap_entry_invalid_url(s: Site) -> DataFrame:
-    return _found(_with_parsed(s).where(~U.is_absolute_http(F.col("u"))).groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(_with_parsed(s).where(~U.is_absolute_http(F.col("u"))), "loc"), F.col("sample"))
 
 
 def sitemap_entry_out_of_scope(s: Site) -> DataFrame:
     both = _with_parsed(s).withColumn("d", U.parsed(F.col("document_url")))
     folder = F.regexp_replace("d.path", "[^/]*$", "")
     outside = both.where((F.col("u.origin") == F.col("d.origin")) & ~F.startswith("u.path", folder))
-    return _found(outside.groupBy("site", "document_url").agg(_sample("loc").alias("locs")), F.col("locs"), F.col("document_url"))
+    return _found(_sampled(outside, "loc", "site", "document_url"), F.col("sample"), F.col("document_url"))
 
 
 def sitemap_entry_cross_host(s: Site) -> DataFrame:
     both = _with_parsed(s).withColumn("d", U.parsed(F.col("document_url")))
-    return _found(both.where(F.col("u.host") != F.col("d.host")).groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(both.where(F.col("u.host") != F.col("d.host")), "loc"), F.col("sample"))
 
 
 def sitemap_entry_protocol_mismatch(s: Site) -> DataFrame:
@@ -212,20 +217,20 @@ def sitemap_lastmod_invalid(s: Site) -> DataFrame:
     malformed = ~F.col("v").rlike(W3C_DATETIME)
     late = F.coalesce(F.try_to_timestamp("v") > s.now + F.expr("interval 1 day"), F.lit(False))
     why = F.when(malformed, "malformed").when(late, "future")
-    return _found(dated.withColumn("why", why).where("why is not null").groupBy("site").agg(_sample("v").alias("values")), F.col("values"))
+    return _found(_sampled(dated.withColumn("why", why).where("why is not null"), "v"), F.col("sample"))
 
 
 def sitemap_field_invalid(s: Site) -> DataFrame:
     frequency, priority = F.lower(F.trim(F.coalesce("changefreq", F.lit("")))), F.trim("priority")
     value = priority.try_cast("double")
     odd = ((frequency != "") & ~frequency.isin(*CHANGE_FREQUENCIES)) | (priority.isNotNull() & (priority != "") & (value.isNull() | (value < 0) | (value > 1)))
-    return _found(s.entries.where(F.coalesce(odd, F.lit(False))).groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(s.entries.where(F.coalesce(odd, F.lit(False))), "loc"), F.col("sample"))
 
 
 def sitemap_entry_blocked_by_robots(s: Site) -> DataFrame:
     open_sites = _root_allowed(s).where("allowed").select("site")
     paths = _with_parsed(s).where("u is not null").join(open_sites, "site", "left_semi").select("site", "loc", F.concat("u.path", "u.query").alias("path"))
-    return _found(R.decisions(paths, s.said).where("not allowed").groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(R.decisions(paths, s.said).where("not allowed"), "loc"), F.col("sample"))
 
 
 def _listed_pages(s: Site) -> DataFrame:
@@ -236,18 +241,18 @@ def _listed_pages(s: Site) -> DataFrame:
 
 
 def sitemap_entry_noindex(s: Site) -> DataFrame:
-    return _found(_listed_pages(s).where("p.noindex").groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(_listed_pages(s).where("p.noindex"), "loc"), F.col("sample"))
 
 
 def sitemap_entry_non_canonical(s: Site) -> DataFrame:
     away = _listed_pages(s).where(F.coalesce(U.same_page_key(U.parsed(F.col("p.canonical"))) != F.col("key"), F.lit(False)))
-    return _found(away.groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(away, "loc"), F.col("sample"))
 
 
 def sitemap_orphans(s: Site) -> DataFrame:
     listed = _with_parsed(s).select("site", U.same_page_key(F.col("u")).alias("key"))
     pages = s.pages.where(~says_noindex()).withColumn("key", U.same_page_key(U.parsed(F.col("page_url")))).join(s.entries.select("site").distinct(), "site", "left_semi")
-    return _found(pages.join(listed, ["site", "key"], "left_anti").groupBy("site").agg(_sample("page_url").alias("urls")), F.col("urls"))
+    return _found(_sampled(pages.join(listed, ["site", "key"], "left_anti"), "page_url"), F.col("sample"))
 
 
 def _dead(status: Column) -> Column:
@@ -255,11 +260,11 @@ def _dead(status: Column) -> Column:
 
 
 def sitemap_entry_unreachable(s: Site) -> DataFrame:
-    return _found(s.probes.where(_dead(F.col("status"))).groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(s.probes.where(_dead(F.col("status"))), "loc"), F.col("sample"))
 
 
 def sitemap_entry_redirects(s: Site) -> DataFrame:
-    return _found(s.probes.where(~_dead(F.col("status")) & (F.col("final_url") != F.col("loc"))).groupBy("site").agg(_sample("loc").alias("locs")), F.col("locs"))
+    return _found(_sampled(s.probes.where(~_dead(F.col("status")) & (F.col("final_url") != F.col("loc"))), "loc"), F.col("sample"))
 
 
 RULES: list[SiteRule] = [
