@@ -271,6 +271,15 @@ def parsed(html: Column) -> Column:
     return F.arrow_udf(_parsed, PARSED)(html)
 
 
+def votes_of(trees: DataFrame) -> DataFrame:
+    """(host, domain, node, section, feature, k, chars): how many pages vote for each feature, from trees (row, page_id, host, domain, copy, votes). Of pages alike the one with the smallest page_id votes."""
+    first = trees.groupBy("host", "copy").agg(F.min(F.struct(F.col("page_id").isNull().alias("absent"), "page_id", "row")).alias("first")).select("first.row")
+    copies = written(trees.select("row").join(first, "row", "left_anti"), "page-copies")
+    voting = trees.join(hinted(copies, small_enough(copies, BROADCAST_NODES)), "row", "left_anti")
+    votes = voting.select("host", "domain", F.explode("votes").alias("v")).select("host", "domain", "v.*")
+    return votes.groupBy("host", "domain", "node", "section", "feature").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"))
+
+
 def importance(votes: DataFrame, site: str) -> DataFrame:
     """(site, node, pages, importance) of the nodes that hold text, from votes (site, node, section, feature, k, chars): k pages vote for a feature of a node, an order (no section, chars in all) or a text."""
     counted = votes.groupBy(site, "node", "section", "feature").agg(F.sum("k").cast("double").alias("k"), F.sum("chars").alias("chars"))
@@ -301,9 +310,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) as (page_id, url, text)."""
     host = host_of(F.col("url"))
     read = pages.select("page_id", "url", F.xxhash64(host).alias("host"), F.xxhash64(domain_of(host)).alias("domain"), parsed(F.col("html")).alias("parsed"))
-    trees = written(read.select("page_id", "url", "host", "domain", "parsed.*"), "page-blocks")
-    votes = trees.select("host", "domain", "copy", F.explode("votes").alias("v")).select("host", "domain", "copy", "v.*").distinct()
-    counted = written(votes.groupBy("host", "domain", "node", "section", "feature").agg(F.count("*").alias("k"), F.sum("chars").alias("chars")), "page-votes")
+    trees = written(read.select("page_id", "url", "host", "domain", "parsed.*").withColumn("row", F.monotonically_increasing_id()), "page-blocks")
+    counted = written(votes_of(trees), "page-votes")
     # A node between these bounds stays or goes by the prior, as one that no tree judges.
     judged = written(margins(counted).where((F.col("margin") < 0) | (F.col("margin") + NAMED_AS >= 0)), "page-nodes")
     by_host = judged.groupBy("host").agg(F.collect_list(F.struct("node", "margin")).alias("judged"))

@@ -42,13 +42,13 @@ def test_no_text_is_lost_to_markup(html, text):
 
 
 def brute_margins(pages):
-    """(site, node) -> margin, from [(site, html)], by the definition."""
+    """(site, node) -> margin, from [(site, html)] in the order of page_id, by the definition."""
     by_site = defaultdict(dict)
     for site, html in pages:
         blocks, orders, texts = html_text.parse(html)
         votes = {(p, None, o, c) for p, (o, c) in orders.items() if o or c} | {(n, s, t, 0) for (n, s), held in texts.items() for t in held}
         copy = "\n".join(t for prior, _, t in blocks if prior >= 0)
-        by_site[site].setdefault(copy, set()).update(votes)
+        by_site[site].setdefault(copy, votes)
     out = {}
     for site, copies in by_site.items():
         count, chars, sections = defaultdict(Counter), Counter(), {}
@@ -74,11 +74,10 @@ def brute_margins(pages):
 
 
 def test_margins_equal_brute_force(spark, larger):
-    pages = load(spark, larger, "pages").select("html", host_of(F.col("url")).alias("host"), domain_of(host_of(F.col("url"))).alias("domain"))
-    own = brute_margins([(r["host"], r["html"]) for r in pages.collect()])
-    read = pages.select("host", "domain", html_text.parsed(F.col("html")).alias("p")).select("host", "domain", "p.copy", F.explode("p.votes").alias("v")).select("host", "domain", "copy", "v.*").distinct()
-    counted = read.groupBy("host", "domain", "node", "section", "feature").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"))
-    got = {(r["host"], r["node"]): r["margin"] for r in html_text.margins(counted).collect()}
+    pages = load(spark, larger, "pages").select("page_id", F.monotonically_increasing_id().alias("row"), "html", host_of(F.col("url")).alias("host"), domain_of(host_of(F.col("url"))).alias("domain"))
+    own = brute_margins([(r["host"], r["html"]) for r in sorted(pages.collect(), key=lambda r: r["page_id"])])
+    trees = pages.select("page_id", "row", "host", "domain", html_text.parsed(F.col("html")).alias("p")).select("page_id", "row", "host", "domain", "p.*")
+    got = {(r["host"], r["node"]): r["margin"] for r in html_text.margins(html_text.votes_of(trees)).collect()}
     expected = {(host, html_text._hash(node)): m for (host, node), m in own.items()}
     assert expected
     assert all(got[k] == pytest.approx(m, abs=1e-5) for k, m in expected.items())
