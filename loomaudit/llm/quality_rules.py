@@ -168,11 +168,12 @@ def verdict(rules: list[Rule], named: dict[str, Column]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules from the labelled documents, from at most sample_rows of them. A document labelled both ways counts as rejected."""
+    """Rules from the labelled documents, from at most sample_rows of them. A document labelled both ways counts as rejected; of rows that share an id the least statistics count."""
     judged = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     sample = F.broadcast(bounded_sample(judged, "doc_id", sample_rows))
-    named = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "_quality", text_statistics(F.col("text")).alias("_s")).where(~base_failed(F.col("_s")))
-    rows = named.select("_quality", "doc_id", *(c.alias(k) for k, c in features(F.col("_s")).items())).limit(sample_rows).collect()
+    named = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "_quality", text_statistics(F.col("text")).alias("_s"))
+    single = named.groupBy("doc_id").agg(F.min("_quality").alias("_quality"), F.min("_s").alias("_s")).where(~base_failed(F.col("_s")))
+    rows = single.select("_quality", "doc_id", *(c.alias(k) for k, c in features(F.col("_s")).items())).collect()
     if not rows:
         return []
     rows.sort(key=lambda r: (r["doc_id"], tuple(r)))
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
 
 
 def judged(docs: DataFrame, rules: list[Rule], statistics: str = "statistics", failed: str = "base_failed", kept: str = "kept", text: str = "text") -> DataFrame:
-    """docs with the statistics struct, whether a base rule failed, and the verdict, in columns of these names."""
+    """docs with the statistics struct, whether a base rule failed, and the verdict, in columns of these names; columns of docs that have them are replaced (`common.fresh` finds names that are free)."""
     with_counts = docs.withColumn(statistics, text_statistics(F.col(text)))
     s = F.col(statistics)
     return with_counts.withColumn(failed, base_failed(s)).withColumn(kept, ~F.col(failed) & verdict(rules, features(s)))
