@@ -142,7 +142,7 @@ for _name, _severity in PROFILE_SQL.items():
     query(f"profile_overlay_{_name.replace('-', '_')}", f"{VERDICTS} SELECT rule_id, {_severity} AS severity, count(*) AS findings FROM f {_where} GROUP BY ALL")(_profiled(_name))
 
 
-@query("conformance_totals", f"{VERDICTS} SELECT rule_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warned, count(*) FILTER (status = 'na') AS not_applicable, count(*) AS pages FROM v GROUP BY rule_id")
+@query("conformance_totals", f"{VERDICTS} SELECT rule_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warned, count(*) FILTER (status = 'na') AS not_applicable, 0::BIGINT AS crashed, count(*) AS pages FROM v GROUP BY rule_id")
 def conformance_totals(spark, sf_dir):
     return report.conformance(page_rules.evaluate(declared(spark, sf_dir), facts=False))
 
@@ -791,3 +791,201 @@ def dressed_advisories(spark, sf_dir):
 )
 def dressed_images(spark, sf_dir):
     return dressed(spark, sf_dir).select("page_url", F.explode("og_images").alias("i")).select("page_url", F.col("i.url").alias("image"), "i.width", "i.height", "i.alt")
+
+
+# ---- rules of one's own, counts, diagnostics, producer over the pages table --------
+
+
+def _judge_title(page: dict) -> tuple[str, str]:
+    """A literal rule that fails on long titles with an error of its own."""
+    title = page["title"] or ""
+    if len(title) > 60:
+        raise ValueError("too long to judge")
+    return ("fail" if "e" in title.lower() else "pass"), title
+
+
+OWN = f"""WITH {URLS}, {TITLES}, y AS (SELECT *, CASE WHEN length(title) > 60 THEN 'crashed' WHEN contains(lower(title), 'e') THEN 'fail' ELSE 'pass' END AS status FROM x)"""
+
+
+def _own_rules() -> list[page_rules.Rule]:
+    missing = page_rules.Rule("own.unreadable", "heuristic", "own", F.col("no_such_column"), F.lit(""), "error")
+    return [page_rules.own_rule("own.title", "warning", ("title",), _judge_title), missing]
+
+
+@query("own_rule_conformance", f"{OWN} SELECT 'own.title' AS rule_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, 0::BIGINT AS warned, 0::BIGINT AS not_applicable, count(*) FILTER (status = 'crashed') AS crashed, count(*) AS pages FROM y UNION ALL SELECT 'own.unreadable', 0, 0, 0, 0, count(*), count(*) FROM y")
+def own_rule_conformance(spark, sf_dir):
+    return report.conformance(page_rules.evaluate(declared(spark, sf_dir), _own_rules()))
+
+
+@query("own_rule_findings", f"{OWN} SELECT url AS page_url, CASE status WHEN 'fail' THEN 'own.title' ELSE 'engine.rule-crashed' END AS rule_id, CASE status WHEN 'fail' THEN 'warning' ELSE 'info' END AS severity, CASE status WHEN 'fail' THEN title ELSE 'rule own.title: too long to judge' END AS summary FROM y WHERE status <> 'pass'")
+def own_rule_findings(spark, sf_dir):
+    return report.page_findings(page_rules.evaluate(declared(spark, sf_dir), _own_rules()[:1])).select("page_url", "rule_id", "severity", "summary")
+
+
+@query("severity_counts", f"{VERDICTS} SELECT s.severity, count(f.id) AS findings FROM (VALUES ('error'), ('warning'), ('info')) AS s(severity) LEFT JOIN f ON f.if_bad = s.severity GROUP BY s.severity")
+def severity_counts(spark, sf_dir):
+    return report.severity_counts(report.page_findings(page_rules.evaluate(declared(spark, sf_dir), facts=False)))
+
+
+@query("link_hosts", f"{LINKS} SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM o")
+def link_hosts(spark, sf_dir):
+    found = known_occurrences(spark, sf_dir)
+    return links.hosts(links.ordered(links.rows(checked(found), found)))
+
+
+@query("scan_warnings", f"""WITH {URLS}, c AS (SELECT site, count(*) AS targets, count(*) FILTER (split_part(path, '/', 2) = 'de') AS failed FROM t GROUP BY site)
+SELECT *, CASE WHEN failed = targets THEN 'blind' ELSE 'partial' END AS warning FROM c WHERE failed > 0 AND 2 * failed >= targets""")
+def scan_warnings(spark, sf_dir):
+    """The links of the uncrawled sections could not be read."""
+    seen = _in_section(spark, urls(spark, sf_dir), UNCRAWLED, "left_anti").select("page_id", F.lit(True).alias("scanned"))
+    return report.scan_warnings(urls(spark, sf_dir).join(seen, "page_id", "left"))
+
+
+@query("blocked_escalations", f"WITH {URLS} SELECT site, count(*) AS pages, arg_min('no browser for page ' || page_id, page_id) AS reason FROM t WHERE split_part(path, '/', 2) = 'de' GROUP BY site")
+def blocked_escalations(spark, sf_dir):
+    """The pages of the uncrawled sections would have needed a browser."""
+    pages = _in_section(spark, urls(spark, sf_dir), UNCRAWLED, "left_semi")
+    return report.blocked_escalations(pages.select("site", F.col("page_id").alias("visit_ord"), F.concat(F.lit("no browser for page "), F.col("page_id").cast("string")).alias("escalation_blocked")))
+
+
+@query("page_findings_joined", f"{VERDICTS}, p AS (SELECT DISTINCT url FROM x) SELECT p.url AS page_url, f.rule_id FROM p LEFT JOIN f ON f.url = p.url AND f.rule_id LIKE 'title.%'")
+def page_findings_joined(spark, sf_dir):
+    rules = [r for r in page_rules.page_rules() if r.id.startswith("title.")]
+    pages = stored(declared(spark, sf_dir).select("site", "page_url", "visit_ord", "title"), "titles")
+    return report.findings_by_page(pages.select("page_url").distinct(), report.page_findings(page_rules.evaluate(pages, rules))).select("page_url", "rule_id")
+
+
+#: The pages as routes of a producing site: each site a family, each locale-free route a key.
+ROUTES = f"""WITH {URLS}, e AS (SELECT DISTINCT site AS family, route AS key, locale, path FROM t WHERE locale <> 'x-default'), k AS (
+  SELECT family, key, coalesce(min(locale) FILTER (locale = 'en'), min(locale)) AS anchor FROM e GROUP BY ALL
+), z AS (SELECT e.*, locale = anchor AS is_anchor FROM e JOIN k USING (family, key))"""
+
+
+def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = U.split_route(F.col("path"))
+    placed = urls(spark, sf_dir).select("site", "path", at["route"].alias("route"), at["locale"].alias("locale")).where("locale <> 'x-default'").distinct()
+    made = producer.collection(placed, "", F.col("path"), F.col("locale"), F.col("route")).join(placed.select("path", "site").distinct(), "path")
+    return producer.registry(made.withColumn("family", F.col("site")).drop("site").distinct(), "en")
+
+
+@query("producer_registry", f"{ROUTES} SELECT family, key, locale, path, is_anchor FROM z")
+def producer_registry(spark, sf_dir):
+    return page_routes(spark, sf_dir).select("family", "key", "locale", "path", "is_anchor")
+
+
+@query("producer_clusters", f"{ROUTES} SELECT family, key, locale AS tag, 'https://a.example' || path AS url FROM z UNION ALL SELECT family, key, 'x-default', 'https://a.example' || path FROM z WHERE is_anchor")
+def producer_clusters(spark, sf_dir):
+    return producer.clusters(page_routes(spark, sf_dir), "https://a.example/")
+
+
+@query("producer_sitemap", f"{ROUTES}, m AS (SELECT family, key, count(*) + count(*) FILTER (is_anchor) AS links FROM z GROUP BY ALL) SELECT 'https://a.example' || path AS loc, sum(links)::BIGINT AS links FROM z JOIN m USING (family, key) GROUP BY 1")
+def producer_sitemap(spark, sf_dir):
+    return producer.sitemap(page_routes(spark, sf_dir), "https://a.example").groupBy("loc").agg(F.count("*").alias("links"))
+
+
+@query("producer_clashes", f"{ROUTES}, n AS (SELECT 'several-paths' AS problem, concat_ws('|', family, key, locale) AS value, count(DISTINCT path) AS n FROM z GROUP BY ALL UNION ALL SELECT 'shared-path', path, count(DISTINCT concat_ws('|', family, key, locale)) FROM z GROUP BY path) SELECT * FROM n WHERE n > 1")
+def producer_clashes(spark, sf_dir):
+    return producer.clashes(page_routes(spark, sf_dir))
+
+
+@query("producer_metadata", f"{ROUTES}, w AS (SELECT family, key, path AS top FROM z WHERE is_anchor) SELECT path, 'https://a.example' || path AS canonical, CASE locale WHEN 'en' THEN 'en_US' WHEN 'fr' THEN 'fr_FR' WHEN 'de' THEN 'de_DE' ELSE 'es_ES' END AS og_locale, 'A site' AS og_site_name, 'https://a.example' || top AS x_default FROM z JOIN w USING (family, key)")
+def producer_metadata(spark, sf_dir):
+    return producer.metadata(page_routes(spark, sf_dir), "https://a.example", "A site")
+
+
+@query(
+    "producer_locate",
+    f"""{ROUTES}, w AS (SELECT family, key, locale, is_anchor, '/' || replace(family, '://', '/') || path AS path FROM z), a AS (SELECT path, unnest(['en', NULL]) AS locale FROM w UNION ALL SELECT '/nowhere', 'en'),
+c AS (SELECT family, key, count(*) FILTER (tag <> 'x-default') AS n, min(locale) AS only, string_agg(tag, ',' ORDER BY tag) AS languages FROM (SELECT family, key, locale, locale AS tag FROM w UNION ALL SELECT family, key, NULL, 'x-default' FROM w WHERE is_anchor) GROUP BY ALL),
+j AS (SELECT a.path, a.locale, w.family, w.key, c.n, c.languages, CASE WHEN c.n = 1 THEN c.only ELSE a.locale END AS served FROM a LEFT JOIN w USING (path) LEFT JOIN c ON c.family = w.family AND c.key = w.key)
+SELECT j.path, j.locale, 'https://a.example' || b.path AS url, CASE WHEN b.path IS NOT NULL THEN j.languages END AS languages,
+       CASE WHEN j.key IS NULL THEN 'no such route' WHEN j.n > 1 AND j.locale IS NULL THEN 'needs a locale' WHEN b.path IS NULL THEN 'not served in this locale' END AS problem
+FROM j LEFT JOIN w b ON b.family = j.family AND b.key = j.key AND b.locale = j.served""",
+)
+def producer_locate(spark, sf_dir):
+    """Every page's path below its site's name, asked for in English and without a locale, and a path that is none."""
+    routes = page_routes(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), F.replace("family", F.lit("://"), F.lit("/")), F.col("path")))
+    routes = stored(routes, "routes")
+    asked = routes.select("path", F.explode(F.array(F.lit("en"), F.lit(None).cast("string"))).alias("locale")).unionByName(spark.createDataFrame([("/nowhere", "en")], "path string, locale string"))
+    return producer.locate(routes, "https://a.example", asked)
+
+
+# ---- site rules over sites of all kinds ---------------------------------------------
+
+
+#: What a site's robots.txt says, by the length of its origin modulo 7.
+BODIES = ["User-agent: *\nDisallow:\n"] * 4 + ["User-agent: *\nDisallow: /\n", "User-agent: *\nDisallow: /fr/\nCrawl-delay: 3\nHost: x\nSitemap: /rel.xml\n", "no separator\nUser-agent: *\nAllow: /\nDisallowed: /x\n"]
+
+
+def dressed_site(spark: SparkSession, sf_dir: str) -> site_rules.Site:
+    """The dressed pages, with robots files, sitemaps, probes and icons that follow from the length of each origin."""
+    pages = dressed(spark, sf_dir).withColumns({"path": F.regexp_extract("page_url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "path_query": F.regexp_extract("page_url", "^[a-z]+://[^/?#]*([^#]*)", 1)})
+    pages = stored(pages.select("site", "page_url", "path", "path_query", "visit_ord", "canonical", "alternates", "robots", "googlebot", "x_robots"), "dressed")
+    entries, axis = stored(listed(spark, sf_dir), "entries"), stored(locales.axis(urls(spark, sf_dir)), "axis")
+    kind, other = F.length("site") % 7, F.length("site") % 4
+    sites = urls(spark, sf_dir).select("site").distinct()
+    url = F.concat("site", F.lit("/robots.txt"))
+    robots_of = sites.select(
+        "site", url.alias("url"), F.when(kind == 0, 0).when(kind == 1, 503).otherwise(200).alias("status"), F.when(kind == 2, "https://elsewhere.example/robots.txt").otherwise(url).alias("final_url"), F.when(kind == 3, 600_000).otherwise(100).alias("bytes"),
+    )
+    said_by = robots.lines(sites.select("site", F.element_at(F.array(*map(F.lit, BODIES)), (kind + 1).cast("int")).alias("body")))
+    maps = sites.select("site", (other >= 2).alias("found"), (other == 1).alias("unparsable"), F.when(other == 3, 10).otherwise(0).alias("urls"), F.when(other == 3, 2).otherwise(0).alias("child_errors"))
+    documents = sites.select("site", F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.when(other == 3, 60_000).otherwise(10).alias("entries"), F.lit(1000).alias("bytes"))
+    dead = F.col("loc").rlike("^[^?#]*[.]html")
+    moved = F.regexp_extract("loc", "^[a-z]+://[^/]*/([^/]*)", 1) == "fr"
+    probes = entries.select("site", "loc", F.when(dead, 404).otherwise(200).alias("status"), F.when(moved, F.concat("loc", F.lit("/moved"))).otherwise(F.col("loc")).alias("final_url"))
+    return site_rules.Site(
+        pages, F.lit("2026-01-01").cast("timestamp"), robots=robots_of, said=stored(said_by, "said"), sitemaps=maps, documents=documents, entries=entries, axis=axis, favicons=sites.select("site", (F.length("site") % 2 == 1).alias("found")), probes=probes,
+    )
+
+
+def _sampled_rule(rule: str, severity: str, value: str, rows: str) -> str:
+    return f"""SELECT site, '{rule}' AS rule_id, '{severity}' AS severity, site AS page_url, string_agg(v, ' ' ORDER BY v) FILTER (n <= 5) || ' (' || count(*) || ')' AS observed
+FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM (SELECT DISTINCT site, {value} AS v FROM {rows})) GROUP BY site"""
+
+
+DRESSED_SITES = f"""{DRESSED}, sites AS (SELECT DISTINCT site, length(site) % 7 AS kind, length(site) % 4 AS other FROM t),
+e AS (SELECT *, site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM g WHERE split_part(path, '/', 2) <> 'es'),
+latest AS (SELECT site, site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key, arg_max(r, page_id) AS r, arg_max(c, page_id) AS c FROM g GROUP BY ALL),
+el AS (SELECT e.site, e.url, latest.r AS lr, latest.c AS lc FROM e JOIN latest USING (site, key)),
+said AS (SELECT site, bool_or(r IN (3, 4)) AS claims FROM g GROUP BY site),
+multi AS (SELECT site FROM t WHERE locale <> 'x-default' GROUP BY site HAVING count(DISTINCT locale) >= 2),
+routes AS (SELECT site, route, list_sort(list(DISTINCT locale)) AS listed FROM e WHERE locale <> 'x-default' GROUP BY ALL),
+heads AS (SELECT g.*, CASE h WHEN 1 THEN ['en', 'fr'] ELSE ['en'] END AS head FROM g WHERE h <> 0),
+gaps AS (SELECT heads.site, heads.url, heads.head, list_filter(routes.listed, lambda x: NOT list_contains(heads.head, x)) AS gap, list_filter(heads.head, lambda x: NOT list_contains(routes.listed, x)) AS extra FROM heads JOIN routes USING (site, route)),
+found AS (
+  SELECT site, 'hreflang.missing' AS rule_id, 'error' AS severity, url AS page_url, 'no alternates' AS observed FROM g SEMI JOIN multi USING (site) WHERE h = 0
+  UNION ALL SELECT site, 'hreflang.cluster-incomplete', 'warning', url, array_to_string(gap, ',') FROM gaps SEMI JOIN multi USING (site) WHERE len(gap) > 0
+  UNION ALL SELECT site, 'icons.ico.missing', 'info', site, '/favicon.ico' FROM sites WHERE length(site) % 2 = 0
+  UNION ALL SELECT site, 'robots.blocks-page', 'error', url, '2:/fr/' FROM g JOIN sites USING (site) WHERE kind = 5 AND r IN (3, 4) AND starts_with(path, '/fr/')
+  UNION ALL SELECT site, 'robots.blocks-site', CASE WHEN claims THEN 'error' ELSE 'warning' END, site, '/' FROM sites JOIN said USING (site) WHERE kind = 4
+  UNION ALL SELECT site, 'robotstxt.cross-origin', 'warning', site || '/robots.txt', 'https://elsewhere.example/robots.txt' FROM sites WHERE kind = 2
+  UNION ALL SELECT site, 'robotstxt.invalid-line', 'warning', site, '1,4' FROM sites WHERE kind = 6
+  UNION ALL SELECT site, 'robotstxt.oversized', 'error', site || '/robots.txt', '600000' FROM sites WHERE kind = 3
+  UNION ALL SELECT site, 'robotstxt.sitemap.relative', 'error', site, '/rel.xml (1)' FROM sites WHERE kind = 5
+  UNION ALL SELECT site, 'robotstxt.unknown-directive', 'info', site, 'crawl-delay host (2)' FROM sites WHERE kind = 5
+  UNION ALL SELECT site, 'robotstxt.unreachable', 'error', site || '/robots.txt', CASE kind WHEN 0 THEN '0' ELSE '503' END FROM sites WHERE kind IN (0, 1)
+  UNION ALL SELECT site, 'sitemap.empty', 'warning', site, '0' FROM sites WHERE other = 2
+  UNION ALL SELECT site, 'sitemap.index.child-error', 'error', site, '2' FROM sites WHERE other = 3
+  UNION ALL SELECT site, 'sitemap.limits.exceeded', 'error', site || '/sitemap.xml', '60000 1000' FROM sites WHERE other = 3
+  UNION ALL SELECT site, 'sitemap.missing', 'warning', site, 'none' FROM sites WHERE other = 0
+  UNION ALL SELECT site, 'sitemap.unparsable', 'error', site, 'no candidate parses' FROM sites WHERE other = 1
+  UNION ALL {_sampled_rule("sitemap.entry.blocked-by-robots", "error", "url", "e JOIN sites USING (site) WHERE kind = 5 AND starts_with(path, '/fr/')")}
+  UNION ALL {_sampled_rule("sitemap.entry.noindex", "warning", "url", "el WHERE lr IN (1, 2)")}
+  UNION ALL {_sampled_rule("sitemap.entry.non-canonical", "warning", "url", "el WHERE lc IN (1, 2)")}
+  UNION ALL {_sampled_rule("sitemap.entry.redirects", "warning", "url", "e WHERE split_part(path, '/', 2) = 'fr' AND path NOT LIKE '%.html'")}
+  UNION ALL {_sampled_rule("sitemap.entry.unreachable", "error", "url", "e WHERE path LIKE '%.html'")}
+)"""
+#: Rules that have queries of their own above.
+ELSEWHERE = ("sitemap.entry.cross-host", "sitemap.entry.out-of-scope", "sitemap.entry.protocol-mismatch", "sitemap.field.invalid", "sitemap.lastmod.invalid", "sitemap.orphans", "sitemap.entry.invalid-url")
+
+
+@query("dressed_site_rules", f"{DRESSED_SITES} SELECT site, rule_id, severity, page_url, observed FROM found")
+def dressed_site_rules(spark, sf_dir):
+    rules = [r for r in site_rules.RULES if r.id not in ELSEWHERE]
+    return site_rules.evaluate(dressed_site(spark, sf_dir), rules).drop("rigor")
+
+
+@query("dressed_site_advisories", f"{DRESSED_SITES} SELECT site, url AS page_url, array_to_string(extra, ',') AS observed FROM gaps WHERE len(extra) > 0")
+def dressed_site_advisories(spark, sf_dir):
+    return site_rules.evaluate(dressed_site(spark, sf_dir), site_rules.ADVISORIES).select("site", "page_url", "observed")

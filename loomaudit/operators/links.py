@@ -97,3 +97,18 @@ def entry_probes(entries: DataFrame, fetched: DataFrame, checked: DataFrame, bud
 def uncrawled(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """(site, urls) listed but not among pages (page_url), as they are written."""
     return entries.select("site", "loc").distinct().join(pages.select(F.col("page_url").alias("loc")), "loc", "left_anti").groupBy("site").agg(F.count("*").alias("urls"))
+
+
+#: The order in which links are shown, the worst first.
+RANK = ("broken", "blocked", "warning", "redirect", "ok", "skipped")
+
+
+def ordered(shown: DataFrame) -> DataFrame:
+    """Link rows (see `rows`), worst first, then by references, then by URL."""
+    place = F.array_position(F.array(*map(F.lit, RANK)), F.col("verdict"))
+    return shown.orderBy(place, F.desc("references"), "url")
+
+
+def hosts(shown: DataFrame) -> DataFrame:
+    """(host) of the links, sorted, each once."""
+    return shown.select("host").distinct().orderBy("host")

@@ -6,7 +6,7 @@ that no plan holds all of the audit and a lost executor costs one step.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,9 +110,18 @@ def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame
         report.page_findings(verdicts), report.site_findings(site_rules.evaluate(site)), report.link_findings(broken), report.unreachable_findings(fetched), report.translation_findings(holes, back)
     ).withColumn("site", origin))
     summary = report.summary(fetched.select("site"), pages, findings)
+    fatal = F.lit(False)
+    if diagnostics is not None:
+        summary = summary.join(report.fatal_sites(diagnostics), "site", "left")
+        fatal = F.col("reason").isNotNull()
     debt = F.lit(False) if o.max_debt is None else F.col("findings") > o.max_debt
     out |= {
-        "pages": pages, "findings": findings, "conformance": report.conformance(verdicts), "advisories": page_rules.advisories(pages), "links": links.rows(checked, occurrences), "matrix": matrix, "holes": holes, "reciprocity": back,
-        "summary": summary.withColumn("exit_code", F.when(debt, 1).otherwise(report.exit_code(F.col("verdict"), o.fail_on))),
+        "pages": pages, "findings": findings, "conformance": report.conformance(verdicts), "advisories": page_rules.advisories(pages), "links": links.ordered(links.rows(checked, occurrences)), "severities": report.severity_counts(findings), "matrix": matrix, "holes": holes, "reciprocity": back,
+        "summary": summary.withColumn("exit_code", F.when(debt & ~fatal, 1).otherwise(report.exit_code(F.col("verdict"), o.fail_on, fatal))),
     }
     return out
+
+
+def option_table(spark) -> DataFrame:
+    """(option, kind, default) of every option of an audit, as a dimension."""
+    return spark.createDataFrame([(f.name, str(f.type), str(getattr(Options(), f.name))) for f in fields(Options)], "option string, kind string, default string")

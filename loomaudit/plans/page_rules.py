@@ -3,20 +3,24 @@
 A rule has an id, a kind, a severity (of a scored rule, one for each band), a
 rigor, and two expressions over what a page declares: its status (pass, fail,
 warn or na) and what was observed, as JSON. Rules of one's own are added to the
-list that `evaluate` gets.
+list that `evaluate` gets, as expressions or, with `own_rule`, as functions of a
+page. A rule that fails has the status crashed, and the others go on.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomaudit.functions import text as X
 from loomaudit.functions import urls as U
 
-PASS, FAIL, WARN, NA = "pass", "fail", "warn", "na"
+PASS, FAIL, WARN, NA, CRASHED = "pass", "fail", "warn", "na", "crashed"
 # The accepted ranges.
 TITLE_IDEAL, TITLE_ACCEPTABLE = (10, 60), (5, 70)
 DESCRIPTION_IDEAL, DESCRIPTION_ACCEPTABLE = (50, 160), (25, 200)
@@ -205,14 +209,47 @@ def under_profile(rules: list[Rule], name: str) -> list[Rule]:
     return out
 
 
+def own_rule(id: str, severity: str, reads: tuple[str, ...], judge: Callable[[dict], tuple[str, object] | str], rigor: str = "heuristic", category: str = "own", title: str = "") -> Rule:
+    """A rule that a function judges: it gets the columns named as a dictionary and returns a status, or a status and what it observed. What it raises is kept as the page's crash of this rule."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        out = []
+        for values in zip(*(c.to_pylist() for c in columns), strict=True):
+            try:
+                said = judge(dict(zip(reads, values, strict=True)))
+                status, observed = said if isinstance(said, tuple) else (said, None)
+                if status not in (PASS, FAIL, WARN, NA):
+                    raise ValueError(f"no status: {status!r}")
+            except Exception as error:  # noqa: BLE001 - whatever a rule of one's own raises
+                status, observed = CRASHED, str(error)
+            out.append({"status": status, "observed": None if observed is None else str(observed)})
+        return pa.array(out, pa.struct([("status", pa.string()), ("observed", pa.string())]))
+
+    said = F.arrow_udf(run, "struct<status: string, observed: string>")(*reads)
+    return Rule(id, rigor, category, said["status"], said["observed"], severity, title=title)
+
+
+def _sound(pages: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """The rules; one that cannot be read against these pages (a column that is not there) is crashed on all of them."""
+
+    def tried(rule: Rule) -> Rule:
+        try:
+            pages.select(rule.status, rule.observed, F.lit(None) if rule.band is None else rule.band).schema  # noqa: B018
+        except AnalysisException as error:
+            return replace(rule, status=F.lit(CRASHED), observed=F.lit(str(error).split("\n")[0]), band=None)
+        return rule
+
+    return [tried(r) for r in rules]
+
+
 def evaluate(pages: DataFrame, rules: list[Rule] | None = None, facts: bool = True) -> DataFrame:
     """(site, page_url, visit_ord, ord: a rule's place, FINDINGS) for each page and rule. Without facts, what was observed is null: for those who read the verdicts alone."""
-    rules = page_rules() if rules is None else rules
+    rules = page_rules() if rules is None else _sound(pages, rules)
     none = F.lit(None).cast("string")
 
     def finding(i: int, rule: Rule) -> Column:
         band = none if rule.band is None else rule.band
-        severity = F.when(rule.status == FAIL, rule.severity)
+        severity = F.when(rule.status == FAIL, rule.severity).when(rule.status == CRASHED, "info")
         for name, value in rule.severities.items():
             severity = severity.when((rule.status == WARN) & (band == name), value)
         return F.struct(F.lit(i).alias("ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.kind).alias("kind"), rule.status.alias("status"), band.alias("band"), severity.alias("severity"), F.lit(rule.rigor).alias("rigor"), (rule.observed if facts else none).alias("observed"))

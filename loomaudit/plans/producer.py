@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomaudit.functions import urls as U
 from loomaudit.operators import locales as L
 
 
@@ -68,3 +69,56 @@ def metadata(routes: DataFrame, base: str, site_name: str) -> DataFrame:
 def robots_body(base: str, indexable: bool) -> str:
     """The text of robots.txt."""
     return f"User-agent: *\nAllow: /\nSitemap: {base.rstrip('/')}/sitemap.xml\n" if indexable else "User-agent: *\nDisallow: /\n"
+
+
+def site_definition(spark: SparkSession, base: str, served: list[str], default_locale: str) -> DataFrame:
+    """(base, locale, tag, og_locale, is_default) for each locale of a site. Raises ValueError where the base is no origin, no locale is served, one is named twice or no tag, or the default is not among them."""
+    parts = U.parse_url(base, None)
+    if parts is None or parts[0] not in ("http", "https"):
+        raise ValueError(f"the base must be an absolute http or https URL, not {base!r}")
+    if parts[4] not in ("", "/") or parts[5] or parts[6]:
+        raise ValueError(f"the base must be an origin with no path, not {base!r}")
+    if not served:
+        raise ValueError("a site serves at least one locale")
+    if twice := sorted({x for x in served if served.count(x) > 1}):
+        raise ValueError("locales named twice: " + ", ".join(twice))
+    if default_locale not in served:
+        raise ValueError(f"the default locale {default_locale!r} is not served")
+    tags = spark.createDataFrame([(x,) for x in served], "locale string").withColumn("tag", bcp47(F.col("locale")))
+    if odd := [r["locale"] for r in tags.where("tag is null").collect()]:  # no more than the locales given
+        raise ValueError("locales that name no audience: " + ", ".join(odd))
+    return tags.select(F.lit(parts[3]).alias("base"), "locale", "tag", open_graph_locale(F.col("tag")).alias("og_locale"), (F.col("locale") == default_locale).alias("is_default"))
+
+
+def collection(entries: DataFrame, family: str, path: Column, locale: Column | str, key: Column | None = None, listed: Column | bool = True, last_modified: Column | None = None) -> DataFrame:
+    """Rows of a registry (family, key, locale, path, listed, last_modified) from entries of any shape; the key of a row without one is its path."""
+    of_locale = F.lit(locale) if isinstance(locale, str) else locale
+    shown = F.lit(listed) if isinstance(listed, bool) else listed
+    changed = F.lit(None).cast("string") if last_modified is None else last_modified.cast("string")
+    return entries.select(F.lit(family).alias("family"), F.coalesce(path if key is None else key, path).alias("key"), of_locale.alias("locale"), path.alias("path"), F.coalesce(shown, F.lit(True)).alias("listed"), changed.alias("last_modified"))
+
+
+def checked_registry(entries: DataFrame, default_locale: str) -> DataFrame:
+    """`registry`, of entries without clashes: raises ValueError with the first one."""
+    first = clashes(entries).orderBy("problem", "value").first()
+    if first is not None:
+        raise ValueError(f"{first['problem']}: {first['value']} ({first['n']} times)")
+    return registry(entries, default_locale)
+
+
+def locate(routes: DataFrame, base: str, asked: DataFrame) -> DataFrame:
+    """asked (path, locale) with the url of that route in that locale, and the tags of its cluster: problem says why there is none. A route of one locale needs none; path may be any path of the route."""
+    known = routes.select("family", "key", "path").distinct()
+    pages = routes.select("family", "key", F.col("locale").alias("served"), F.col("path").alias("own"))
+    counts = routes.groupBy("family", "key").agg(F.count("*").alias("n"), F.min("locale").alias("only"))
+    tags = clusters(routes, base).groupBy("family", "key").agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("languages"))
+    found = asked.join(known, "path", "left").join(counts, ["family", "key"], "left").withColumn("served", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("locale")))
+    placed = found.join(pages, ["family", "key", "served"], "left").join(tags, ["family", "key"], "left")
+    problem = F.when(F.col("n").isNull(), "no such route").when((F.col("n") > 1) & F.col("locale").isNull(), "needs a locale").when(F.col("own").isNull(), "not served in this locale")
+    return placed.select("path", "locale", F.concat(F.lit(base.rstrip("/")), F.col("own")).alias("url"), F.when(F.col("own").isNotNull(), F.col("languages")).alias("languages"), problem.alias("problem"))
+
+
+def root_metadata(spark: SparkSession, base: str, name: str, description: str, indexable: bool = True, title_template: str | None = None) -> DataFrame:
+    """What every page of a site inherits, as one row."""
+    row = [(base.rstrip("/"), name, title_template or f"%s · {name}", description, indexable)]
+    return spark.createDataFrame(row, "metadata_base string, title_default string, title_template string, description string, indexable boolean")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomaudit.functions import text as X
 from loomaudit.functions import urls as U
 
+CRASH_RULE = "engine.rule-crashed"
 FINDINGS = ("id", "kind", "rule_id", "severity", "page_url", "summary")
 SAMPLE = 5
 
@@ -19,8 +20,11 @@ def _route(url: str):
 
 
 def page_findings(verdicts: DataFrame) -> DataFrame:
-    """(FINDINGS, site, rigor, occurrence) of the page rules that found something; the n-th finding of a rule on a page has its own id."""
-    found = verdicts.where("severity is not null")
+    """(FINDINGS, site, rigor, occurrence) of the page rules that found something; the n-th finding of a rule on a page has its own id. A rule that crashed is a finding of its own, for information."""
+    crashed = F.col("status") == "crashed"
+    found = verdicts.where("severity is not null").withColumns(
+        {"observed": F.when(crashed, F.concat(F.lit("rule "), F.col("rule_id"), F.lit(": "), F.coalesce("observed", F.lit("")))).otherwise(F.col("observed")), "rule_id": F.when(crashed, CRASH_RULE).otherwise(F.col("rule_id"))}
+    )
     nth = F.row_number().over(Window.partitionBy("site", "rule_id", "page_url").orderBy("visit_ord", "ord")) - 1
     numbered = found.withColumns({"occurrence": nth, "route_key": _route("page_url")})
     return numbered.select(X.identity("seo", F.col("rule_id"), F.col("route_key"), F.col("occurrence").cast("string")).alias("id"), F.lit("seo").alias("kind"), "rule_id", "severity", "page_url", F.col("observed").alias("summary"), "site", "rigor", "occurrence")
@@ -65,9 +69,9 @@ def without_canonical_duplicates(pages: DataFrame) -> DataFrame:
 
 
 def conformance(verdicts: DataFrame) -> DataFrame:
-    """(rule_id, passed, failed, warned, not_applicable, pages) for each rule."""
+    """(rule_id, passed, failed, warned, not_applicable, crashed, pages) for each rule."""
     status = F.col("status")
-    return verdicts.groupBy("rule_id").agg(*(F.count_if(status == s).alias(n) for s, n in (("pass", "passed"), ("fail", "failed"), ("warn", "warned"), ("na", "not_applicable"))), F.count("*").alias("pages"))
+    return verdicts.groupBy("rule_id").agg(*(F.count_if(status == s).alias(n) for s, n in (("pass", "passed"), ("fail", "failed"), ("warn", "warned"), ("na", "not_applicable"), ("crashed", "crashed"))), F.count("*").alias("pages"))
 
 
 def rollup_by_rule(findings: DataFrame) -> DataFrame:
@@ -112,8 +116,10 @@ def summary(sites: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFram
     return all_counts.withColumn("verdict", F.when(red, "red").when(F.col("findings") > 0, "yellow").otherwise("green"))
 
 
-def exit_code(verdict, fail_on: str = "error"):
-    """0 or 1 for a verdict column: never fails, fails on red, or on any finding."""
+def exit_code(verdict, fail_on: str = "error", fatal: Column | None = None):
+    """0 or 1 for a verdict column: never fails, fails on red, or on any finding; 2 where the run could not ask its question (`fatal`), whatever it found."""
+    if fatal is not None:
+        return F.when(F.coalesce(fatal, F.lit(False)), 2).otherwise(exit_code(verdict, fail_on))
     if fail_on == "never":
         return F.lit(0)
     return F.when((verdict == "red") | ((verdict == "yellow") & F.lit(fail_on != "error")), 1).otherwise(0)
@@ -147,3 +153,61 @@ def head_findings(findings: DataFrame) -> DataFrame:
 def write_json(findings: DataFrame, path: str) -> None:
     """Findings as JSON lines: a report, or the baseline of a later run."""
     findings.select(*FINDINGS).write.mode("overwrite").json(path)
+
+
+SEVERITIES = ("error", "warning", "info")
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """(severity, findings) with all severities present."""
+    every = findings.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
+    return every.join(findings.groupBy("severity").agg(F.count("*").alias("findings")), "severity", "left").select("severity", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+def fatal_sites(diagnostics: DataFrame) -> DataFrame:
+    """(site, reason) where a sitemap was named but did not answer: what was crawled instead is another site, and its findings are not comparable."""
+    return diagnostics.where("unreachable and not found").select("site", F.lit("the sitemap could not be fetched").alias("reason"))
+
+
+def scan_warnings(targets: DataFrame) -> DataFrame:
+    """(site, targets, failed, warning) from targets (site, scanned: whether its links were read): blind where no page was scanned, partial where at least half were not."""
+    counts = targets.groupBy("site").agg(F.count("*").alias("targets"), F.count_if(~F.coalesce("scanned", F.lit(False))).alias("failed"))
+    warning = F.when(F.col("failed") == F.col("targets"), "blind").when((F.col("failed") > 0) & (2 * F.col("failed") >= F.col("targets")), "partial")
+    return counts.withColumn("warning", warning).where("warning is not null")
+
+
+def blocked_escalations(pages: DataFrame) -> DataFrame:
+    """(site, pages, reason: of the first) of pages (site, visit_ord, escalation_blocked) that looked client-rendered and could only be judged as they were sent."""
+    return pages.where("escalation_blocked is not null").groupBy("site").agg(F.count("*").alias("pages"), F.min_by("escalation_blocked", "visit_ord").alias("reason"))
+
+
+def findings_by_page(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """pages (page_url) with each of their findings; a page without one has a row of nulls."""
+    return pages.select("page_url").join(findings.select(*FINDINGS), "page_url", "left")
+
+
+def siblings(pages: DataFrame) -> DataFrame:
+    """(page_url, sibling, locale): the pages of a site (site, page_url, path) that show the same route in other locales."""
+    at = U.split_route(F.col("path"))
+    placed = pages.select("site", "page_url", at["route"].alias("route"), at["locale"].alias("locale"))
+    others = placed.select("site", "route", F.col("page_url").alias("sibling"), F.col("locale").alias("other"))
+    return placed.join(others, ["site", "route"]).where("locale <> other").select("page_url", "sibling", F.col("other").alias("locale"))
+
+
+def origin_key(kind: Column, property: Column, http_equiv: Column, name: Column, rel: Column, attribute: Column, index: Column, path: Column) -> Column:
+    """A stable key for where a declaration stands: title, a meta, a link, the html element, structured data, a header, or computed."""
+
+    def said(x: Column) -> Column:
+        return F.coalesce(x, F.lit("")) != ""
+
+    meta = F.when(said(property), F.concat(F.lit("property:"), property)).when(said(http_equiv), F.concat(F.lit("http-equiv:"), http_equiv)).when(said(name), F.concat(F.lit("name:"), name)).otherwise("unknown")
+    return (
+        F.when(kind == "meta", F.concat(F.lit("meta:"), meta)).when(kind == "link", F.concat(F.lit("link:rel:"), rel)).when(kind == "html", F.concat(F.lit("html:"), attribute))
+        .when(kind == "json-ld", F.concat_ws(":", F.lit("json-ld"), index.cast("string"), path)).when(kind == "header", F.concat(F.lit("header:"), F.lower(name))).otherwise(kind)
+    )
+
+
+def asset_failure(status: Column, content_type: Column) -> Column:
+    """What went wrong with an asset."""
+    code = F.concat(F.lit("HTTP "), status.cast("string"))
+    return F.when(status == 0, "the request failed").when((status >= 400) | (status < 200), code).otherwise(F.concat(code, F.lit(" with "), F.coalesce(content_type, F.lit("no content type")), F.lit(", not an image")))
