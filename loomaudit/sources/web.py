@@ -5,24 +5,38 @@
 
 Each URL is a row, whatever happens: status 0 and a reason where it does not
 answer. URLs are dealt to partitions by host, so that one task paces a host.
+The option `probe` says how to ask: a page is read; a link is asked for its
+head, then read if it answers well or refuses that; an icon is read only if it
+refuses. `live_checks`, `favicons` and `robots_files` make of the rows what an
+audit takes.
 """
 
 from __future__ import annotations
 
+import email.utils
 import http.client
 import json
+import random
 import socket
 import ssl
 import time
 import zlib
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loomaudit.functions import text as X
 from loomaudit.functions.urls import parse_url
+from loomaudit.operators import links
+from loomaudit.sources.snapshot import is_healthy
 
-SCHEMA = "site string, requested_url string, page_url string, status int, content_type string, headers map<string,string>, redirect_count int, duration_ms bigint, body_bytes bigint, html string, reason string, visit_ord bigint"
+SCHEMA = "site string, requested_url string, page_url string, status int, content_type string, headers map<string,string>, redirect_count int, duration_ms bigint, body_bytes bigint, html string, reason string, method string, visit_ord bigint"
 MOST_REDIRECTS, MOST_BYTES, TIMEOUT_S = 10, 3 << 20, 15.0
+#: Seconds: the longest wait before a second try, and the first of the waits that double.
+MOST_WAIT_S, WAIT_S = 3.0, 0.3
+PROBES = ("page", "link", "icon")
 TEXT_TYPES = ("text/", "application/xhtml", "application/xml", "application/json", "application/ld+json")
 
 
@@ -53,50 +67,106 @@ def _reason(error: Exception) -> str:
     return "network"
 
 
-def fetch(url: str, timeout: float = TIMEOUT_S, retries: int = 1) -> dict:
-    """A row for one URL; follows redirects, tries again once where it does not answer or the server fails."""
-    began, at, hops, seen = time.time(), url, 0, set()
-    status, headers, body, reason = 0, {}, b"", None
-    parsed = parse_url(url)
-    while parsed is not None and parsed[0] in ("http", "https"):
+def wait_before(attempt: int, retry_after: str | None, now: float | None = None) -> float:
+    """Seconds to wait before trying again: what Retry-After asks for, in seconds or as a date, else twice as long each time and a little more or less; MOST_WAIT_S at most."""
+    if retry_after:
+        try:
+            return min(MOST_WAIT_S, max(0.0, float(retry_after)))
+        except ValueError:
+            pass
+        try:
+            then = email.utils.parsedate_to_datetime(retry_after).timestamp()
+            return min(MOST_WAIT_S, max(0.0, then - (time.time() if now is None else now)))
+        except (TypeError, ValueError):
+            pass
+    return min(MOST_WAIT_S, WAIT_S * 2**attempt + random.uniform(0, WAIT_S))
+
+
+def _follow(url: str, method: str, timeout: float) -> dict:
+    """The answer at the end of a URL's redirects: status 0 and a reason where there is none."""
+    at, hops, seen = url, 0, set()
+    while True:
+        try:
+            status, headers, body = fetch_once(at, method, timeout)
+            reason = None
+        except (OSError, http.client.HTTPException, zlib.error) as error:
+            status, headers, body, reason = 0, {}, b"", _reason(error)
+        target = parse_url(headers.get("location"), at) if 300 <= status < 400 else None
+        if target is not None:
+            seen.add(at)
+            hops += 1
+            if target[7] not in seen and hops <= MOST_REDIRECTS and target[0] in ("http", "https"):
+                at = target[7]
+                continue
+            status, reason = 0, "redirect loop"
+        return {"status": status, "headers": headers, "body": body, "reason": reason, "at": at, "hops": hops, "method": method}
+
+
+def _ask(url: str, probe: str, timeout: float) -> dict:
+    """One try, as the probe wants it."""
+    if probe == "page":
+        return _follow(url, "GET", timeout)
+    head = _follow(url, "HEAD", timeout)
+    refused = head["status"] in (405, 501)
+    if not refused and (probe == "icon" or not 200 <= head["status"] < 300):
+        return head
+    whole = _follow(url, "GET", timeout)
+    return head if whole["status"] == 0 and not refused else whole
+
+
+def fetch(url: str, timeout: float = TIMEOUT_S, retries: int = 1, probe: str = "page") -> dict:
+    """A row for one URL; follows redirects, tries again once where it does not answer, asks to wait or the server fails."""
+    began, parsed = time.time(), parse_url(url)
+    found = {"status": 0, "headers": {}, "body": b"", "reason": "not an http(s) URL", "at": url, "hops": 0, "method": None}
+    if parsed is not None and parsed[0] in ("http", "https"):
         for attempt in range(retries + 1):
-            try:
-                status, headers, body = fetch_once(at, "GET", timeout)
-                reason = None
-            except (OSError, http.client.HTTPException, zlib.error) as error:
-                status, headers, body, reason = 0, {}, b"", _reason(error)
-            if status and status != 429 and status < 500:
+            found = _ask(url, probe, timeout)
+            lasting = found["reason"] == "redirect loop" or found["status"] and found["status"] != 429 and found["status"] < 500
+            if lasting or found["status"] == 501:
                 break
             if attempt < retries:
-                time.sleep(min(3.0, 0.3 * 2**attempt))
-        target = parse_url(headers.get("location"), at) if 300 <= status < 400 else None
-        if target is None:
-            break
-        seen.add(at)
-        hops += 1
-        if target[7] in seen or hops > MOST_REDIRECTS:
-            status, reason = 0, "redirect loop"
-            break
-        at = target[7]
-    else:
-        reason = "not an http(s) URL"
-    kind = headers.get("content-type", "").split(";")[0].strip().lower()
-    text = body.decode("utf-8", "replace") if not kind or kind.startswith(TEXT_TYPES) else None
-    final = parse_url(at)
+                time.sleep(wait_before(attempt, found["headers"].get("retry-after")))
+    kind = found["headers"].get("content-type", "").split(";")[0].strip().lower()
+    text = found["body"].decode("utf-8", "replace") if not kind or kind.startswith(TEXT_TYPES) else None
+    final = parse_url(found["at"])
     return {
-        "site": final[3] if final else None, "requested_url": url, "page_url": at, "status": status, "content_type": kind or None, "headers": headers, "redirect_count": hops, "duration_ms": int(1000 * (time.time() - began)),
-        "body_bytes": len(body), "html": text, "reason": reason,
+        "site": final[3] if final else None, "requested_url": url, "page_url": found["at"], "status": found["status"], "content_type": kind or None, "headers": found["headers"], "redirect_count": found["hops"],
+        "duration_ms": int(1000 * (time.time() - began)), "body_bytes": len(found["body"]), "html": text, "reason": found["reason"], "method": found["method"],
     }
 
 
+def live_checks(fetched: DataFrame) -> DataFrame:
+    """(url, final_url, status, hops, verdict, reason), as `links.checks` gives it, of rows fetched as links."""
+    loop = F.coalesce(F.col("reason") == "redirect loop", F.lit(False))
+    soft = links.is_soft_not_found(F.col("status"), F.col("html"))
+    http = F.col("requested_url").rlike("(?i)^https?://")
+    verdict = links.verdict_of(F.col("status"), F.col("redirect_count"), loop, soft, http)
+    return fetched.select(F.col("requested_url").alias("url"), F.col("page_url").alias("final_url"), "status", F.col("redirect_count").alias("hops"), verdict.alias("verdict"), F.when(http, F.coalesce("reason", links.reason_of(F.col("status"), loop, soft))).alias("reason"))
+
+
+def favicons(fetched: DataFrame) -> DataFrame:
+    """(site, found) of rows fetched as icons from /favicon.ico: it answers well, with the type of an icon."""
+    origin = F.regexp_extract("requested_url", "^[a-z]+://[^/?#]*", 0)
+    kind = X.media_type(F.coalesce("content_type", F.lit("")))
+    return fetched.select(origin.alias("site"), (is_healthy(F.col("status")) & (kind.startswith("image/") | kind.isin("application/ico", "application/x-ico"))).alias("found"))
+
+
+def robots_files(fetched: DataFrame) -> DataFrame:
+    """(site, url, status, final_url, body) of rows fetched as pages from /robots.txt; only an answer of the right kind has a body."""
+    origin = F.regexp_extract("requested_url", "^[a-z]+://[^/?#]*", 0)
+    return fetched.select(origin.alias("site"), F.col("requested_url").alias("url"), "status", F.col("page_url").alias("final_url"), F.when(is_healthy(F.col("status")), F.col("html")).alias("body"))
+
+
 class _Hosts(InputPartition):
     def __init__(self, urls: list[tuple[int, str]]):
         self.urls = urls
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, urls: list[str], timeout: float):
-        self.urls, self.timeout = urls, timeout
+    def __init__(self, urls: list[str], timeout: float, probe: str):
+        if probe not in PROBES:
+            raise ValueError(f"unknown probe {probe!r}: one of {', '.join(PROBES)}")
+        self.urls, self.timeout, self.probe = urls, timeout, probe
 
     def partitions(self):
         by_host: dict[str, list[tuple[int, str]]] = {}
@@ -107,12 +177,12 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Hosts) -> Iterator[tuple]:
         for i, url in partition.urls:
-            row = fetch(url, self.timeout)
+            row = fetch(url, self.timeout, probe=self.probe)
             yield (*row.values(), i)
 
 
 class WebFetch(DataSource):
-    """Options: urls, separated by white space or as a JSON list; timeout in seconds."""
+    """Options: urls, separated by white space or as a JSON list; timeout in seconds; probe, one of PROBES."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,4 +193,4 @@ class WebFetch(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         urls = self.options.get("urls", "")
-        return _Reader(json.loads(urls) if urls.lstrip().startswith("[") else urls.split(), float(self.options.get("timeout", TIMEOUT_S)))
+        return _Reader(json.loads(urls) if urls.lstrip().startswith("[") else urls.split(), float(self.options.get("timeout", TIMEOUT_S)), self.options.get("probe", "page"))
