@@ -146,51 +146,32 @@ class Reader:
         return unpack(data, self.width, count)[start - first * BLOCK : stop - first * BLOCK]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, tie, ids): the ids of each text and end_id, in 16 or 32 bits each, and what orders documents of one id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = library_encoder(path)
-        kind = _kind(size)
-        end = np.array([end_id], dtype=kind)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids, ends = encode(part.column("text"))
-                runs = [np.append(x, end).tobytes() for x in np.split(ids.astype(kind), ends[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(runs, pa.binary())], names=["doc_id", "tie", "ids"])
-
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return keyed.mapInArrow(run, "doc_id bigint, tie bigint, ids binary")
-
-
-def _kind(vocabulary_size: int) -> str:
-    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
-
-
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Encodes the texts of docs (doc_id, text) and writes them; returns the files in order: MANIFEST and `base`, the tokens before each file.
 
-    Texts are encoded where they are read; what is put in order is their ids."""
+    Texts are put in order before they are encoded: their ids take as much room as they do."""
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        size = library_encoder(path)[1]
-        kind = _kind(size)
+        encode, size = library_encoder(path)
+        end = np.uint32(end_id)
         file = new_file(folder, ".tokens")
         files, name = place(file)
         with files.open_output_stream(name) as out:
             writer = Writer(out, width_of(size))
             for batch in batches:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                    writer.add(doc_id, np.frombuffer(ids.as_buffer(), dtype=kind))
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    ids, ends = encode(part.column("text"))
+                    for doc_id, run in zip(part.column("doc_id").to_pylist(), np.split(ids.view("<u4"), ends[:-1]), strict=True):
+                        writer.add(doc_id, np.append(run, end))
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [file], "n_tokens": pa.array([writer.tokens], pa.int64()), "n_docs": pa.array([len(writer.starts)], pa.int64())})
 
-    ordered = written(encoded(docs, path, end_id), "token-ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie")
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     made = written(ordered.mapInArrow(run, MANIFEST), "token-files")
     rows = made.orderBy("part").collect()  # a row for each file
     bases = accumulate((r["n_tokens"] for r in rows), initial=0)
