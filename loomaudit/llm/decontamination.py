@@ -93,7 +93,8 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     small = small_enough(made, BROADCAST_ROWS)
     keyed = docs.select(_key("doc_id").alias("key"), "doc_id", "text")
     candidates = written(_exploded(keyed, sizes, shingle_hashes, "hash").join(hinted(sketches(made, threshold), small), "hash").select("key", "item").distinct(), "leak-candidates")
-    searched = keyed.join(candidates.select("key").distinct(), "key", "left_semi")
+    met = written(candidates.select("key").distinct(), "leak-documents")
+    searched = keyed.join(hinted(met, small_enough(met, BROADCAST_ROWS)), "key", "left_semi")
     ids = searched.select("key", "doc_id").distinct()
     present = _exploded(searched, sizes, shingle_texts, "shingle").join(hinted(made, small), "shingle").select("key", "item", "item_id", "n", "shingle")
     counted = present.join(candidates, ["key", "item"], "left_semi").groupBy("key", "item", "item_id", "n").agg(F.countDistinct("shingle").alias("shared"))
