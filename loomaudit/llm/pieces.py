@@ -55,6 +55,9 @@ class _Words(dict):
 class PieceEncoder:
     """Encodes texts with `encode`, which gets one word at a time. `special` maps strings that are ids of their own, wherever they stand, to those ids."""
 
+    #: Texts that hold this are not cut at every space.
+    uncut = SPACE_AFTER_BLANK
+
     def __init__(self, encode: Callable[[str], list[int]], special: dict[str, int], most_words: int = MOST_WORDS):
         self.words, self.most_words = _Words(encode), most_words
         self.special = {s: np.array([i], dtype="<i4").tobytes() for s, i in special.items()}
@@ -69,7 +72,7 @@ class PieceEncoder:
         if len(self.words) > self.most_words:
             self.words.clear()
         texts = texts.fill_null("")
-        whole = pc.match_substring_regex(texts, SPACE_AFTER_BLANK)
+        whole = pc.match_substring_regex(texts, self.uncut)
         for s in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, s))
         cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")

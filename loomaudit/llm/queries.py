@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import bpe, chat_format, decontamination, html_text, quality_rules, simhash, token_files, toxicity, url_filters, warc
+from loomaudit.llm import bpe, chat_format, decontamination, fill_in_middle, html_text, quality_rules, sentence_pieces, simhash, token_files, toxicity, url_filters, warc
 from loomaudit.llm.common import crc_bucket, load, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -91,6 +91,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_conversation.select("conv_id", F.size(chat_format.turns_in(F.col("whole"))).cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cuts, form and output, and the text rebuilt from the output."""
+    made = fill_in_middle.transformed(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text that they decode to."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    made = sentence_pieces.with_ids(docs, public_tokenizers.path(PIECE_MODEL), decoded="decoded")
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 _NAME = "regexp_replace(host, ':[0-9]*$', '')"
