@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import bpe, chat_format, decontamination, fill_in_middle, html_text, quality_rules, sentence_pieces, simhash, token_files, toxicity, url_filters, warc
+from loomaudit.llm import bpe, chat_format, decontamination, fill_in_middle, html_text, prefix_trie, quality_rules, sentence_pieces, simhash, token_files, toxicity, url_filters, warc
 from loomaudit.llm.common import crc_bucket, load, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -98,6 +98,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.nodes(prefix_trie.rebuilt(load(spark, sf_dir, "conversations")))
+
+
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 
@@ -183,4 +189,46 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op10_chat_format": OP10_SQL}
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || digest[1:8])::BIGINT AS h1, ('0x' || digest[9:16])::BIGINT AS h2,
+         ('0x' || digest[17:24])::BIGINT AS h3, ('0x' || digest[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+#: crc32 of a number's digits, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda e, z: xor(e >> 1, (e & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
+
+OP12_SQL = f"""
+WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, sha256(length(role) || ':' || role || text) AS id, strlen(text) AS bytes FROM rows_),
+ids AS (SELECT DISTINCT conv_id FROM t),
+plan AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM ids),
+r AS (
+  SELECT p.conv_id, 0 AS part, k, id, bytes FROM plan p JOIN t ON t.conv_id = p.base AND t.k <= p.h
+  UNION ALL SELECT p.conv_id, 1, k, id, bytes FROM plan p JOIN t ON t.conv_id = p.conv_id AND t.k > p.h
+), c AS (
+  SELECT p.conv_id, coalesce(list(r.id ORDER BY part, k) FILTER (r.id IS NOT NULL), []) AS path, coalesce(list(r.bytes ORDER BY part, k) FILTER (r.id IS NOT NULL), []) AS bytes
+  FROM plan p LEFT JOIN r USING (conv_id) GROUP BY p.conv_id
+), m AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth, bytes FROM c),
+n AS (
+  SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(bytes[depth]), 0) AS saved,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256 FROM m GROUP BY ALL
+), k AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, depth)),
+up AS (SELECT *, unnest(range(depth + 1)) AS above FROM f),
+s AS (SELECT node[1:above] AS node, above AS depth, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY ALL)
+SELECT f.conv_id, f.depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM f JOIN s USING (node, depth) LEFT JOIN n o ON o.depth = f.depth - 1 AND o.node = f.node[1:f.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op10_chat_format": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_prefix_trie": OP12_SQL}
