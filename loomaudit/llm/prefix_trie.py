@@ -33,7 +33,11 @@ from loomaudit.llm.common import written
 GROUP, SHARED = 5, 9
 #: Ids of conversations that are joined into one string at once.
 CHUNK = 4096
-_ROOT = F.lit(b"")
+
+
+def _root() -> Column:
+    """The id of the root."""
+    return F.lit(b"")
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def paths(rows: DataFrame) -> DataFrame:
     upto = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = [F.sum(F.when(F.col("depth") > 0, F.xxhash64(F.lit(lane), "depth", "role", "text")).otherwise(0).cast("decimal(20,0)")).over(upto) for lane in (1, 2)]
     prefix = F.unhex(F.substr(F.sha2(F.concat_ws("/", *(x.cast("string") for x in sums)), 256), F.lit(1), F.lit(32)))
-    read = rows.select("conv_id", "depth", F.when(F.col("depth") > 0, prefix).otherwise(_ROOT).alias("id"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto).cast("bigint").alias("upto"))
+    read = rows.select("conv_id", "depth", F.when(F.col("depth") > 0, prefix).otherwise(_root()).alias("id"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto).cast("bigint").alias("upto"))
     whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "id", "upto"))).alias("turns"))
     below = F.slice("turns", F.lit(2), F.size("turns") - 1)
     return whole.select("conv_id", F.element_at("turns", -1)["id"].alias("end"), F.transform(below, lambda x: x["id"]).alias("path"), F.transform(below, lambda x: x["upto"]).alias("upto"))
@@ -86,8 +90,8 @@ def _at(array: str, depth: Column, root: Column) -> Column:
 
 def edges(ordered: DataFrame) -> DataFrame:
     """(id, depth, upto, parent, top, top_upto, owner): each point but the root, with the point above it and the path on which it comes first. A path has its own points behind what it shares with the one before."""
-    points = ordered.select(F.explode(F.array("end", _at("path", F.col("shared"), _ROOT))).alias("id")).distinct()
-    start = F.struct(F.col("shared").cast("bigint").alias("depth"), _at("path", F.col("shared"), _ROOT).alias("id"), _at("upto", F.col("shared"), F.lit(0)).alias("upto"))
+    points = ordered.select(F.explode(F.array("end", _at("path", F.col("shared"), _root()))).alias("id")).distinct()
+    start = F.struct(F.col("shared").cast("bigint").alias("depth"), _at("path", F.col("shared"), _root()).alias("id"), _at("upto", F.col("shared"), F.lit(0)).alias("upto"))
     own = F.slice(F.transform("path", lambda x, i: F.struct((i + 1).cast("bigint").alias("depth"), x.alias("id"), F.get("upto", i).alias("upto"))), F.col("shared") + 1, F.size("path"))
     owned = ordered.select(F.col("end").alias("owner"), start.alias("start"), F.explode(own).alias("node")).select("owner", "start", "node.*")
     found = owned.join(points, "id")
@@ -98,7 +102,7 @@ def edges(ordered: DataFrame) -> DataFrame:
 def totals(ordered: DataFrame, joined: DataFrame) -> DataFrame:
     """(id, n, conv_id, leaves, weight, skipped, children) of each point over all points below it and itself: members, the smallest, leaves, the bytes of all members' texts, the bytes on edges, and its own children."""
     children = joined.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
-    root = ordered.limit(1).select(_ROOT.alias("id"), F.lit(None).cast("binary").alias("jump"), F.lit(0).cast("bigint").alias("skipped"))
+    root = ordered.limit(1).select(_root().alias("id"), F.lit(None).cast("binary").alias("jump"), F.lit(0).cast("bigint").alias("skipped"))
     points = joined.select("id", F.col("parent").alias("jump"), (F.col("upto") - F.col("top_upto")).alias("skipped")).unionByName(root)
     ends = ordered.select(F.col("end").alias("id"), "n", "conv_id", (F.col("n") * F.coalesce(F.get("upto", F.size("upto") - 1), F.lit(0))).alias("weight"))
     state = points.join(children, "id", "left").join(ends, "id", "left")
