@@ -6,6 +6,7 @@ that no plan holds all of the audit and a lost executor costs one step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
@@ -51,8 +52,10 @@ class Options:
     fail_on: str = "warning"
 
 
-def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of a report: findings, summary, conformance, advisories, links, matrix, holes, reciprocity, families, and the sitemap's where there are responses."""
+def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame | None = None, ask: Callable[[DataFrame], DataFrame] | None = None, most_probes: int = 0) -> dict[str, DataFrame]:
+    """With `ask` (see `sources.fetching`), up to most_probes entries of each sitemap that nothing has answered yet are asked for.
+
+    The tables of a report: findings, summary, conformance, advisories, links, matrix, holes, reciprocity, families, and the sitemap's where there are responses."""
     o = options or Options()
     rules = page_rules.under_profile(page_rules.page_rules(), o.profile)
     spark = snap.fetches.sparkSession
@@ -93,8 +96,12 @@ def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame
     checked = cut(links.checks(checked_urls.join(answers.unionByName(known).select("url").distinct(), "url", "left_semi"), answers.unionByName(known).dropDuplicates(["url"])))
     probes = None
     if listed is not None:
-        probes, unprobed = links.entry_probes(listed, fetched, checked)
-        out |= {"unprobed": unprobed, "uncrawled": links.uncrawled(listed, pages)}
+        if ask is not None and most_probes > 0:
+            probes, unprobed = links.probed_entries(listed, fetched, checked, ask, most_probes)
+            probes = cut(probes)
+        else:
+            probes, unprobed = links.entry_probes(listed, fetched, checked)
+        out |= {"unprobed": unprobed, "entry_probes": probes, "uncrawled": links.uncrawled(listed, pages)}
     site = site_rules.Site(
         pages, F.lit(o.now).cast("timestamp"), said=said, sitemaps=diagnostics, documents=documents, entries=listed, axis=axis, clusters=index, favicons=snap.favicons, probes=probes,
         robots=None if snap.robots is None else snap.robots.select("site", "url", "status", "final_url", F.octet_length(F.coalesce("body", F.lit(""))).alias("bytes")),

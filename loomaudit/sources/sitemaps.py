@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +69,13 @@ def entry_count(body: Column) -> Column:
     return F.regexp_count(body, F.lit(r"(?i)<url\b")) + F.regexp_count(body, F.lit(r"(?i)<sitemap\b"))
 
 
+def children(responses: DataFrame) -> DataFrame:
+    """(site, url) that the indexes among responses (site, url, status, body) name, MOST_CHILDREN of a site at most."""
+    read = responses.where("status between 200 and 299").select("site", parsed(F.col("body")).alias("doc")).where("doc.kind = 'index'")
+    each = read.select("site", F.explode("doc.entries").alias("e")).groupBy("site", F.col("e.loc").alias("url")).agg(F.min("e.ord").alias("ord"))
+    return each.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("ord", "url"))).where(F.col("n") <= MOST_CHILDREN).select("site", "url")
+
+
 def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, entries, diagnostics) from sites (site: an origin), declared (site, url, line) and responses (site, url, status, body).
 
@@ -99,3 +107,14 @@ def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame) -> tup
         F.coalesce("unparsable", F.lit(False)).alias("unparsable"), F.coalesce("unreachable", F.lit(False)).alias("unreachable"), (F.coalesce("urls", F.lit(0)) >= MOST_URLS).alias("truncated"),
     )
     return documents, entries, diagnostics
+
+
+def or_crawled(sites: DataFrame, entries: DataFrame, diagnostics: DataFrame, crawl: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(entries, diagnostics) with what a crawl finds in the sites (site, url: where to begin) whose sitemap is missing or lists nothing; `crawl` gives (site, url, place) of seeds (site, url, ord). Such entries name no document; `source` says sitemap or crawl."""
+    silent = diagnostics.where("urls = 0").select("site")
+    found = crawl(sites.join(silent, "site", "left_semi").select("site", "url", F.lit(0).alias("ord")))
+    none = F.lit(None)
+    crawled = found.select("site", none.cast("string").alias("document_url"), F.col("url").alias("loc"), *(none.cast(entries.schema[c].dataType).alias(c) for c in ("lastmod", "changefreq", "priority", "alternates")), F.col("place").cast("int").alias("ord"))
+    counts = crawled.groupBy("site").agg(F.count("*").alias("crawled"))
+    said = diagnostics.join(counts, "site", "left").withColumns({"source": F.when(F.col("crawled").isNull(), "sitemap").otherwise("crawl"), "urls": F.coalesce("crawled", "urls")}).drop("crawled")
+    return entries.unionByName(crawled), said
