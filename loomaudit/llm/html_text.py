@@ -17,7 +17,10 @@ as a prior: more for headings, paragraphs, articles and main elements, less for
 navigation, headers, footers, asides, forms and for elements named as menus,
 notices or adverts; what is named as reader comments or adverts never stays.
 A form or a named element around an article or a main element, or around most
-of a page that has no other text, is only a frame and has no such prior.
+of a page that has no other text, is only a frame and has no such prior. The
+same holds of elements that are hidden, and of those whose name has comments or
+adverts for a part, as in reader-comments or ad-slot: they never stay unless
+they are such a frame.
 
 Pages of a host with the same text count as one page, so that copies of an
 article do not turn it into boilerplate. A host with fewer than LEAST_PAGES
@@ -76,6 +79,13 @@ NAMED = frozenset(
 PLACES = frozenset("site page main top bottom left right primary secondary global bar box list section block area links".split())
 #: Names that make even an article or main element no text.
 NAMED_ARTICLE = frozenset("comment comments ad ads advert advertisement sponsored promo related recommended".split())
+#: The same as a part of a longer name, unless another part says that the element is about something else.
+COMMENTS = frozenset("comment comments commentlist commentslist disqus".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot adunit adbox sponsor sponsored sponsors promo promoted promotion outbrain taboola".split())
+OTHERWISE = frozenset("no non not without free has have with open closed off on enabled disabled allow allowed supported blocker".split())
+#: Styles that keep an element from being shown.
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 CLOSED_BY = {k: frozenset(v.split()) for k, v in CLOSED_BY.items()}
 
@@ -90,35 +100,51 @@ def _is_name(token: str, names: frozenset[str] = NAMED) -> bool:
     return not names.isdisjoint(parts) and parts <= names | PLACES
 
 
-def _named(attributes: str) -> tuple[list[str], bool]:
-    """The words of an element's class, id and role, and whether its role is main."""
-    words, main = [], False
+def _has_part(token: str, names: frozenset[str]) -> bool:
+    """Whether a part of a class or id is one of names, and none says otherwise."""
+    parts = TOKEN.findall(token)
+    return not names.isdisjoint(parts) and OTHERWISE.isdisjoint(parts)
+
+
+def _named(attributes: str) -> tuple[list[str], bool, bool, bool]:
+    """The words of an element's class, id and role, whether its role is main, whether it is not shown, and whether it is shown but not read out."""
+    words, main, hidden, silent = [], False, False, False
     lower = attributes.lower()
-    if "class" in lower or "id" in lower or "role" in lower:
+    if "class" in lower or "id" in lower or "role" in lower or "style" in lower:
         for m in ATTRIBUTE.finditer(attributes):
             name = m[1].lower()
             if name in ("class", "id", "role"):
-                value = (m[2] or m[3] or m[4] or "").lower().split()
+                value = CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower().split()
                 main = main or name == "role" and value == ["main"]
                 words += value
-    return words, main
+            elif name == "hidden":
+                hidden = hidden or (m[2] or m[3] or m[4] or "").lower() != "until-found"
+            elif name == "style":
+                hidden = hidden or bool(HIDING.search(unescape(m[2] or m[3] or m[4] or "")))
+            elif name == "aria-hidden":
+                silent = (m[2] or m[3] or m[4] or "").strip().lower() == "true"
+    return words, main, hidden, silent
 
 
 class _Element:
-    __slots__ = ("tag", "path", "section", "inner", "prior", "never", "inline", "deep", "frame", "above", "strict", "holds", "chars", "places")
+    __slots__ = ("tag", "path", "section", "inner", "prior", "never", "inline", "deep", "frame", "above", "strict", "loose", "unseen", "holds", "chars", "places")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
         self.tag = tag
         self.inline = tag in INLINE
-        words, main = _named(attributes) if attributes and "=" in attributes else ([], False)
+        words, main, hidden, silent = _named(attributes) if attributes and not attributes.isspace() else ([], False, False, False)
         self.inner, self.prior, self.never, self.deep = (parent.inner, parent.prior, parent.never, parent.deep + 1) if parent else (False, 0.0, False, 0)
         #: The nearest form or named element at or above this one, and for such an element the next one above.
         self.frame = self.above = parent.frame if parent else None
-        self.strict, self.holds, self.chars, self.places = False, False, 0, {}
+        self.strict, self.loose, self.holds, self.chars, self.places = False, False, False, 0, {}
+        #: Text in an inline element that is not shown, which is part of the block around it.
+        self.unseen = bool(parent and parent.unseen) or hidden and self.inline
         strict = any(_is_name(w, NAMED_ARTICLE) for w in words)
         if tag in ("article", "main") or main:
             if strict:
                 self.prior = STRICT
+            elif hidden or silent or any(_has_part(w, COMMENTS) for w in words):
+                self.frame, self.loose = self, True
             elif self.prior > NAMED_AS:
                 self.inner, self.prior = True, max(self.prior, ARTICLE)
                 for x in self.frames():
@@ -127,8 +153,9 @@ class _Element:
             self.never = self.never or tag in NEVER
             if tag in BESIDE and not (tag == "header" and self.inner):
                 self.prior = min(self.prior, NAMED_AS)
-            if tag == "form" or any(map(_is_name, words)):
-                self.frame, self.strict = self, strict
+            loose = not self.inline and (hidden or silent) or any(_has_part(w, COMMENTS | ADVERTS) for w in words)
+            if tag == "form" or loose or any(map(_is_name, words)):
+                self.frame, self.strict, self.loose = self, strict, loose
             if self.prior >= 0:
                 self.prior += HEADING if tag in HEADINGS else PARAGRAPH if tag == "p" else 0.0
         if parent and (self.inline or parent.deep >= DEPTH):
@@ -177,7 +204,7 @@ def parse(html: str | None) -> tuple[list[tuple[float, str, str]], dict[str, tup
     while at < n:
         m = TAG.search(html, at)
         start = m.start() if m else n
-        if start > at:
+        if start > at and not stack[-1].unseen:
             words.append(unescape(html[at:start]))
         if m is None:
             break
@@ -225,7 +252,7 @@ def parse(html: str | None) -> tuple[list[tuple[float, str, str]], dict[str, tup
         """What the frames around a block say: nothing where they hold an article, or more than `least` characters."""
         worst = 0.0
         for f in x.frames():
-            worst = min(worst, STRICT if f.strict else 0.0 if f.holds or f.chars > least else NAMED_AS)
+            worst = min(worst, STRICT if f.strict else 0.0 if f.holds or f.chars > least else STRICT if f.loose else NAMED_AS)
         return worst
 
     least = float("inf")
