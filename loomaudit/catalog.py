@@ -254,14 +254,14 @@ MATRIX = f"""WITH {URLS}, k AS (SELECT site, route, locale, arg_min(url, page_id
 ), m AS (SELECT g.site, g.route, g.locale, k.url, k.url IS NOT NULL AS inspected, CASE WHEN k.url IS NOT NULL THEN 'crawled' END AS source FROM g LEFT JOIN k USING (site, route, locale))"""
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = stored(declared(spark, sf_dir).select("site", "page_url", "visit_ord", "path", "alternates"), "declared")
-    return locales.matrix(pages, pages.select("site", F.col("page_url").alias("url"), "path").where("false"), no_clusters(spark))
+    return stored(locales.filled(pages, pages.select("site", F.col("page_url").alias("url"), "path").where("false"), no_clusters(spark)), "cells")
 
 
 @query("i18n_matrix", f"{MATRIX} SELECT * FROM m")
 def i18n_matrix(spark, sf_dir):
-    return grid(spark, sf_dir)
+    return locales.gridded(cells(spark, sf_dir))
 
 
 @query(
@@ -270,7 +270,7 @@ def i18n_matrix(spark, sf_dir):
 SELECT 'i18n-' || substr(sha256('hole' || chr(0) || route), 1, 10) AS id, * FROM h WHERE present IS NOT NULL AND missing IS NOT NULL""",
 )
 def translation_holes(spark, sf_dir):
-    return locales.holes(grid(spark, sf_dir))
+    return locales.holes(cells(spark, sf_dir))
 
 
 @query("hreflang_missing", f"WITH {URLS}, m AS (SELECT site FROM t WHERE locale <> 'x-default' GROUP BY site HAVING count(DISTINCT locale) >= 2) SELECT site, url AS page_url FROM t SEMI JOIN m USING (site)")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomaudit.functions import urls as U
+from loomaudit.operators.ranks import placed
 
 PER_FAMILY, THRESHOLD = 3, 8
 
@@ -27,11 +28,10 @@ def patterned(urls: DataFrame, locales: list[str] | None = None, threshold: int
 
 def selected(patterns: DataFrame, per_family: int = PER_FAMILY, threshold: int = THRESHOLD) -> DataFrame:
     """patterns with size and keep: small groups are kept whole, of others the first, the last and evenly spaced ones of the sorted URLs."""
-    group = Window.partitionBy("site", "locale", "pattern")
-    ranked = patterns.withColumns({"place": F.row_number().over(group.orderBy("url")) - 1, "size": F.count("*").over(group)})
+    ranked = placed(patterns, ["site", "locale", "pattern"], ["url"])
     last = F.col("size") - 1
     spots = F.array(*(F.floor(i * last / (per_family - 1) + 0.5) if per_family > 1 else F.lit(0) for i in range(per_family)))
-    return ranked.withColumn("keep", (F.col("size") < threshold) | (F.col("size") <= per_family) | F.array_contains(spots, F.col("place").cast("bigint"))).drop("place")
+    return ranked.withColumn("keep", (F.col("size") < threshold) | (F.col("size") <= per_family) | F.array_contains(spots, F.col("place"))).drop("place")
 
 
 def families(chosen: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

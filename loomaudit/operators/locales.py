@@ -69,8 +69,12 @@ def alternates(pages: DataFrame) -> DataFrame:
     return parsed.select("site", "page_url", "visit_ord", "ord", F.col("a.hreflang").alias("tag"), locale.alias("locale"), F.col("u.href").alias("href"), F.col("u.path").alias("path"), U.same_page_key(F.col("u")).alias("key"))
 
 
-def matrix(pages: DataFrame, listed: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(site, route, locale, url, inspected, source): every route in every locale of a site; url is null where nothing fills a cell.
+#: Parts that the routes of a site are dealt to where its list of locales meets them.
+PARTS = 64
+
+
+def filled(pages: DataFrame, listed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(site, route, locale, url, inspected, source): the cells of the grid that something fills.
 
     Writers in order, the first keeping a cell: each page (site, page_url, visit_ord, path, alternates), then its alternates; then listed urls (site, url, path). clusters (key, route) move a URL to the row that its cluster names."""
     own_route = U.split_route(F.col("path"))
@@ -82,18 +86,36 @@ def matrix(pages: DataFrame, listed: DataFrame, clusters: DataFrame) -> DataFram
     kept = written.groupBy("site", "route", "locale").agg(F.min_by("url", "writer").alias("url"))
     crawled, known = pages.select("site", F.col("page_url").alias("url"), F.lit(True).alias("crawled")).distinct(), listed.select("site", "url", F.lit(True).alias("known")).distinct()
     sourced = kept.join(crawled, ["site", "url"], "left").join(known, ["site", "url"], "left")
-    grid = kept.select("site", "route").distinct().join(kept.select("site", "locale").distinct(), "site")
-    source = F.when(F.col("url").isNull(), None).when(F.col("crawled"), "crawled").when(F.col("known"), "sitemap").otherwise("alternate")
-    return grid.join(sourced, ["site", "route", "locale"], "left").select("site", "route", "locale", "url", F.coalesce("crawled", F.lit(False)).alias("inspected"), source.alias("source"))
+    source = F.when(F.col("crawled"), "crawled").when(F.col("known"), "sitemap").otherwise("alternate")
+    return sourced.select("site", "route", "locale", "url", F.coalesce("crawled", F.lit(False)).alias("inspected"), source.alias("source"))
+
+
+def _beside_locales(routes: DataFrame, cells: DataFrame) -> DataFrame:
+    """routes (site, route, ...) with the sorted locales of their site. The routes of one site, however many, are dealt to PARTS tasks; the lists, of a row for each site, are repeated for each."""
+    lists = cells.groupBy("site").agg(F.sort_array(F.collect_set("locale")).alias("locales"))
+    lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    return routes.withColumn("part", F.pmod(F.xxhash64("route"), F.lit(PARTS))).join(lists, ["site", "part"]).drop("part")
+
+
+def gridded(cells: DataFrame) -> DataFrame:
+    """Filled cells with those between them: every route in every locale of a site; url is null where nothing fills a cell. As large as the grid, which is for readers; `holes` does without it."""
+    grid = _beside_locales(cells.select("site", "route").distinct(), cells).select("site", "route", F.explode("locales").alias("locale"))
+    return grid.join(cells, ["site", "route", "locale"], "left").select("site", "route", "locale", "url", F.coalesce("inspected", F.lit(False)).alias("inspected"), "source")
+
+
+def matrix(pages: DataFrame, listed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(site, route, locale, url, inspected, source): the grid of `filled`."""
+    return gridded(filled(pages, listed, clusters))
 
 
 def holes(cells: DataFrame, ignored_routes: list[str] | None = None) -> DataFrame:
-    """(id, site, route, present, missing: joined locales) of routes that only some locales of a site serve."""
+    """(id, site, route, present, missing: joined locales) of routes that only some locales of a site serve, from cells, filled or gridded. A route is one set of locales against its site's; the grid is not needed."""
     real = cells.where("locale <> 'x-default'")
+    present = real.where(F.col("url").isNotNull())
     if ignored_routes:
-        real = real.where(~X.matches_any(F.col("route"), ignored_routes))
-    by_route = real.groupBy("site", "route").agg(F.sort_array(F.collect_list(F.when(F.col("url").isNotNull(), F.col("locale")))).alias("present"), F.sort_array(F.collect_list(F.when(F.col("url").isNull(), F.col("locale")))).alias("missing"))
-    some = by_route.where((F.size("present") > 0) & (F.size("missing") > 0))
+        present = present.where(~X.matches_any(F.col("route"), ignored_routes))
+    by_route = present.groupBy("site", "route").agg(F.sort_array(F.collect_set("locale")).alias("present"))
+    some = _beside_locales(by_route, real).withColumn("missing", F.array_except("locales", "present")).where(F.size("missing") > 0)
     return some.select(X.identity("i18n", F.lit("hole"), F.col("route")).alias("id"), "site", "route", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"))
 
 

@@ -108,9 +108,10 @@ def run_audit(snap: Snapshot, options: Options | None = None, entries: DataFrame
     )
     verdicts = cut(page_rules.evaluate(pages, rules))
     broken = links.broken_by_page(occurrences, checked)
-    matrix = cut(locales.matrix(pages, urls_of, index.select("key", "route")))
+    cells = cut(locales.filled(pages, urls_of, index.select("key", "route")))
+    matrix = locales.gridded(cells)
     multilingual = axis.where("locale <> 'x-default'").groupBy("site").agg(F.count_distinct("locale").alias("n")).where("n >= 2").select("site")
-    holes = locales.holes(matrix, o.ignore_holes).join(multilingual, "site", "left_semi")
+    holes = locales.holes(cells, o.ignore_holes).join(multilingual, "site", "left_semi")
     back = locales.reciprocity(pages)
     origin = F.regexp_extract("page_url", "^[a-z]+://[^/?#]*", 0)
     findings = cut(report.all_findings(

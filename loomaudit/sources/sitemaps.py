@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_CHILDREN, MOST_URLS = 50, 5000
+#: The protocol's limit of a document.
+MOST_BYTES = 50 << 20
 ENTRY = "ord: int, loc: string, lastmod: string, changefreq: string, priority: string, alternates: array<struct<hreflang: string, href: string>>"
 PARSED = f"struct<kind: string, bytes: bigint, entries: array<struct<{ENTRY}>>>"
 _ARROW = pa.struct(
@@ -26,35 +28,62 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2].lower()
 
 
+def _inflated(data: bytes) -> bytes | None:
+    """Packed bytes, unpacked as far as MOST_BYTES and one more, so that a small bomb stays small; None where they are not what they say."""
+    out, rest = b"", data
+    while rest and len(out) <= MOST_BYTES:
+        unpacker = zlib.decompressobj(31)
+        try:
+            out += unpacker.decompress(rest, MOST_BYTES + 1 - len(out))
+        except zlib.error:
+            return None
+        if not unpacker.eof:
+            return out if len(out) > MOST_BYTES else None
+        rest = unpacker.unused_data
+    return out
+
+
 def read_document(body: bytes | None) -> dict:
-    """kind (index, urlset or unknown), size unpacked, and its entries; of an index, its children."""
+    """kind (index, urlset or unknown), size unpacked, and its entries; of an index, its children. Read piece by piece, an entry at a time; what follows the first MOST_BYTES is not read, and the size is then one more than that."""
     data = body or b""
     if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError):
+        unpacked = _inflated(data)
+        if unpacked is None:
             return {"kind": "unknown", "bytes": len(data), "entries": []}
+        data = unpacked
+    parser, kind, entries, depth, root = ET.XMLPullParser(("start", "end")), "unknown", [], 0, None
     try:
-        root = ET.fromstring(data)
+        for at in range(0, min(len(data), MOST_BYTES), 1 << 16):
+            parser.feed(data[at : min(at + (1 << 16), MOST_BYTES)])
+            for event, item in parser.read_events():
+                depth += 1 if event == "start" else -1
+                if event == "start" and depth == 1:
+                    root, kind = item, {"sitemapindex": "index", "urlset": "urlset"}.get(_local(item.tag), "unknown")
+                elif event == "end" and depth == 1:
+                    if found := _entry(item, {"index": "sitemap", "urlset": "url"}.get(kind)):
+                        entries.append({"ord": len(entries), **found})
+                    root.clear()
+        if len(data) <= MOST_BYTES:
+            parser.close()
     except ET.ParseError:
         return {"kind": "unknown", "bytes": len(data), "entries": []}
-    kind = {"sitemapindex": "index", "urlset": "urlset"}.get(_local(root.tag), "unknown")
-    wanted, entries = {"index": "sitemap", "urlset": "url"}.get(kind), []
-    for item in root:
-        if _local(item.tag) != wanted:
-            continue
-        found: dict = {"alternates": []}
-        for x in item:
-            name = _local(x.tag)
-            if name in ("loc", "lastmod", "changefreq", "priority"):
-                found.setdefault(name, (x.text or "").strip())
-            elif name == "link" and (x.get("rel") or "").lower() == "alternate" and x.get("href"):
-                found["alternates"].append({"hreflang": x.get("hreflang") or "", "href": x.get("href")})
-        if found.get("loc"):
-            entries.append({"ord": len(entries), **found})
     return {"kind": kind, "bytes": len(data), "entries": entries}
 
 
+def _entry(item: ET.Element, wanted: str | None) -> dict | None:
+    """What an element of a document says; None for others than `wanted` and those without a location."""
+    if _local(item.tag) != wanted:
+        return None
+    found: dict = {"alternates": []}
+    for x in item:
+        name = _local(x.tag)
+        if name in ("loc", "lastmod", "changefreq", "priority"):
+            found.setdefault(name, (x.text or "").strip())
+        elif name == "link" and (x.get("rel") or "").lower() == "alternate" and x.get("href"):
+            found["alternates"].append({"hreflang": x.get("hreflang") or "", "href": x.get("href")})
+    return found if found.get("loc") else None
+
+
 def _documents(body: pa.Array) -> pa.Array:
     return pa.array([read_document(x) for x in body.to_pylist()], _ARROW)
 
@@ -76,7 +105,7 @@ def children(responses: DataFrame) -> DataFrame:
     return each.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("ord", "url"))).where(F.col("n") <= MOST_CHILDREN).select("site", "url")
 
 
-def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame, most_children: int = MOST_CHILDREN, most_urls: int = MOST_URLS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, entries, diagnostics) from sites (site: an origin), declared (site, url, line) and responses (site, url, status, body).
 
     The first candidate that parses ends the search: what robots.txt names, in its order, then the two usual places. An index gives its first children; an entry belongs to the first document that lists it."""
@@ -88,7 +117,7 @@ def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame) -> tup
     root = sound.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("line"))).where("n = 1").select("site", "url", "doc")
     children = root.where("doc.kind = 'index'").select("site", F.col("url").alias("parent"), F.explode("doc.entries").alias("e")).select("site", "parent", F.col("e.loc").alias("url"), F.col("e.ord").alias("ord"))
     children = children.groupBy("site", "parent", "url").agg(F.min("ord").alias("ord"))
-    children = children.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("ord"))).where(F.col("n") <= MOST_CHILDREN)
+    children = children.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("ord"))).where(F.col("n") <= most_children)
     below = children.join(read.select("site", "url", "status", "doc"), ["site", "url"], "left").select("site", "url", "parent", "ord", F.coalesce("doc.kind", F.lit("unreadable")).alias("kind"), "doc")
     above = root.select("site", "url", F.lit(None).cast("string").alias("parent"), F.lit(-1).alias("ord"), F.col("doc.kind").alias("kind"), "doc")
     every = above.unionByName(below)
@@ -96,15 +125,15 @@ def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame) -> tup
     listed = every.where("kind = 'urlset'").select("site", F.col("url").alias("document_url"), F.col("ord").alias("document_ord"), F.explode("doc.entries").alias("e")).select("site", "document_url", "document_ord", "e.*")
     first = listed.withColumn("n", F.row_number().over(Window.partitionBy("site", "loc").orderBy("document_ord", "ord"))).where("n = 1").drop("n")
     placed = first.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("document_ord", "ord")))
-    entries = placed.where(F.col("n") <= MOST_URLS).select("site", "document_url", "loc", "lastmod", "changefreq", "priority", "alternates", F.col("n").alias("ord"))
-    counts = placed.groupBy("site").agg(F.count("*").alias("urls"))
+    entries = placed.where(F.col("n") <= most_urls).select("site", "document_url", "loc", "lastmod", "changefreq", "priority", "alternates", F.col("n").alias("ord"))
+    counts = first.groupBy("site").agg(F.count("*").alias("urls"))
     faults = documents.where("parent is not null and kind <> 'urlset'").groupBy("site").agg(F.count("*").alias("child_errors"))
     broken = tried.groupBy("site").agg(F.bool_or(F.col("doc.kind") == "unknown").alias("unparsable"), F.bool_or(F.col("status") == 0).alias("unreachable"))
     diagnostics = (
         sites.select("site").distinct().join(root.select("site", F.col("url").alias("sitemap_url"), F.lit(True).alias("found")), "site", "left").join(counts, "site", "left").join(faults, "site", "left").join(broken, "site", "left")
     ).select(
         "site", "sitemap_url", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("urls", F.lit(0)).alias("urls"), F.coalesce("child_errors", F.lit(0)).alias("child_errors"),
-        F.coalesce("unparsable", F.lit(False)).alias("unparsable"), F.coalesce("unreachable", F.lit(False)).alias("unreachable"), (F.coalesce("urls", F.lit(0)) >= MOST_URLS).alias("truncated"),
+        F.coalesce("unparsable", F.lit(False)).alias("unparsable"), F.coalesce("unreachable", F.lit(False)).alias("unreachable"), (F.coalesce("urls", F.lit(0)) >= most_urls).alias("truncated"),
     )
     return documents, entries, diagnostics
 
