@@ -2,46 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomaudit.functions import text as X
 from loomaudit.functions import urls as U
-
-# Codes that name no audience.
-NO_LANGUAGE, NO_REGION, NO_SCRIPT = ("mul", "zxx", "und", "mis"), ("zz", "xa", "xb"), ("zzzz",)
-#: Scripts of living web content (fixed values: ISO 15924 codes).
-SCRIPTS = ("arab", "armn", "beng", "cyrl", "deva", "ethi", "geor", "grek", "gujr", "guru", "hang", "hani", "hans", "hant", "hebr", "hira", "jpan", "kana", "khmr", "knda", "kore", "laoo", "latn", "mlym", "mong", "mymr", "orya", "sinh", "taml", "telu", "tfng", "thaa", "thai", "tibt")
-
-
-@lru_cache(maxsize=1)
-def _codes() -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(languages, regions) that the JVM of the session knows, three-letter languages included."""
-    from pyspark.sql import SparkSession
-
-    locale = SparkSession.active()._jvm.java.util.Locale
-    two = list(locale.getISOLanguages())
-    three = [locale.forLanguageTag(x).getISO3Language() for x in two]
-    return tuple(sorted({*two, *three})), tuple(sorted(x.lower() for x in locale.getISOCountries()))
-
-
-def is_known_language(language: Column) -> Column:
-    return F.coalesce(language.isin(*_codes()[0]) & ~language.isin(*NO_LANGUAGE), F.lit(False))
-
-
-def is_valid(tag: Column) -> Column:
-    """Whether a language tag names an audience: x-default, or a known language with, if any, a known script and region."""
-    parts = F.split(F.lower(tag), "-")
-    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    script = F.get(rest, F.lit(0)).rlike("^[a-z]{4}$")
-    regions = F.filter(rest, lambda p: p.rlike(r"^([a-z]{2}|\d{3})$"))
-    sound = F.forall(rest, lambda p: p.rlike(r"^([a-z]{4}|[a-z]{2}|\d{3}|[a-z0-9]{5,8}|\d[a-z0-9]{3})$"))
-    known_script = ~F.coalesce(script, F.lit(False)) | F.get(rest, F.lit(0)).isin(*SCRIPTS)
-    known_regions = F.forall(regions, lambda r: (r.rlike(r"^\d{3}$") | r.isin(*_codes()[1])) & ~r.isin(*NO_REGION))
-    return F.coalesce((F.lower(tag) == "x-default") | (is_known_language(F.get(parts, F.lit(0))) & sound & known_script & known_regions & (F.size(regions) <= 1)), F.lit(False))
-
+from loomaudit.functions.subtags import is_known_language, is_valid
 
 def axis(urls: DataFrame, explicit: list[str] | None = None) -> DataFrame:
     """(site, locale, source) that a site serves: those named, with the locale prefixes of its listed urls (site, path)."""

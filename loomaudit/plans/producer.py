@@ -6,26 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomaudit.functions import urls as U
-from loomaudit.operators import locales as L
+from loomaudit.functions.subtags import is_valid, likely_region
 
 
 def bcp47(locale: Column) -> Column:
     """A served locale as a tag: language, and region in upper case; null if it names no audience or has a script."""
     parts = F.split(F.replace(F.lower(F.trim(locale)), F.lit("_"), F.lit("-")), "-")
     region = F.get(parts, F.lit(1))
-    sound = L.is_valid(F.array_join(parts, "-")) & (F.size(parts) <= 2) & (region.isNull() | region.rlike(r"^([a-z]{2}|\d{3})$"))
+    sound = is_valid(F.array_join(parts, "-")) & (F.size(parts) <= 2) & (region.isNull() | region.rlike(r"^([a-z]{2}|\d{3})$"))
     return F.when(sound, F.concat_ws("-", F.get(parts, F.lit(0)), F.upper(region)))
 
 
-#: The region that a bare language most likely means (fixed values); others are left without one.
-LIKELY_REGION = {"ar": "EG", "cs": "CZ", "da": "DK", "de": "DE", "el": "GR", "en": "US", "es": "ES", "fi": "FI", "fr": "FR", "he": "IL", "hu": "HU", "it": "IT", "ja": "JP", "ko": "KR", "nb": "NO", "nl": "NL", "pl": "PL", "pt": "BR", "ro": "RO", "ru": "RU", "sv": "SE", "tr": "TR", "uk": "UA", "vi": "VN", "zh": "CN"}
-
-
 def open_graph_locale(tag: Column) -> Column:
     """language_REGION; the likely region where the tag has none."""
     language, region = F.split_part(tag, F.lit("-"), F.lit(1)), F.nullif(F.split_part(tag, F.lit("-"), F.lit(2)), F.lit(""))
-    likely = F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(LIKELY_REGION.items()) for x in pair)), language)
-    return F.concat_ws("_", language, F.coalesce(region, likely))
+    return F.concat_ws("_", language, F.coalesce(region, likely_region(language)))
 
 
 def registry(entries: DataFrame, default_locale: str) -> DataFrame:
