@@ -35,73 +35,187 @@ ICON_RELS = ("icon", "apple-touch-icon", "shortcut icon")
 JSON_LD_DEPTH = 100
 
 
+#: Elements whose content is text, and those among them that pages show nothing of.
+RAW_TEXT = frozenset("script style noscript iframe noembed noframes xmp plaintext textarea title".split())
+#: Elements that leave the head open.
+HEAD_ONLY = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
+#: The parts of tables; what else stands right in a table is moved before it.
+TABLE_PARTS = frozenset("caption colgroup col tbody tfoot thead tr td th style script template".split())
+CELLS = frozenset(("td", "th", "caption"))
+#: What each part of a table ends by its own beginning.
+ENDED_BY = {"caption": ("caption", "colgroup"), "colgroup": ("caption", "colgroup"), "tbody": ("caption", "colgroup", "tbody", "thead", "tfoot", "tr", "td", "th"), "tr": ("caption", "colgroup", "tr", "td", "th"), "td": ("caption", "colgroup", "td", "th")}
+ENDED_BY |= {"thead": ENDED_BY["tbody"], "tfoot": ENDED_BY["tbody"], "th": ENDED_BY["td"]}
+
+
+class _Place:
+    """A place in document order: what stands here, and what was moved to the place."""
+
+    __slots__ = ("items", "before")
+
+    def __init__(self):
+        self.items: list[dict | _Place] = []
+        self.before: list[dict] = []
+
+
 class _Head(HTMLParser):
-    """Collects the elements of one document."""
+    """Collects the elements of one document where a browser's tree would have them.
+
+    Kept of the stack of open elements is what decides on that: the head, tables and their parts, templates, selects, drawings. The first element or text that no head holds ends it; what stands in a table, but in no cell, is moved before the table; a cell or a row ends those open before it; templates and elements of text hold no elements of the page; a select holds none but its options."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.titles: list[tuple[bool, str]] = []
         self.html_lang = self.base = None
         self.metas, self.links, self.scripts, self.anchors = [], [], [], []
-        self.in_head, self.svg, self.ord = True, 0, 0
+        self.in_head, self.svg, self.select = True, 0, False
+        self.top = _Place()
+        #: The open tables, innermost last: [the place of the table, where its content goes, its open parts].
+        self.tables: list[tuple[_Place, list[str]]] = []
+        self.templates: list[int] = []
         self.title: list[str] | None = None
         self.script: list[str] | None = None
+        self.text_of: str | None = None
         self.open_anchor: dict | None = None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("svg", "title", "a", "script"):
+        if self.svg and tag in ("svg", "title", "a", "script"):  # the slash counts in drawings alone
             self.handle_endtag(tag)
 
+    def _put(self, element: dict, moved: bool) -> None:
+        where = self.tables[-1][0] if self.tables else self.top
+        (where.before if moved else where.items).append(element)
+
+    def _in_table(self) -> bool:
+        """Whether the innermost open element that counts is a table or a part of one that is no cell."""
+        return bool(self.tables) and not CELLS.intersection(self.tables[-1][1])
+
+    def _table_part(self, tag: str) -> None:
+        if self.tables and tag in ENDED_BY:
+            parts = self.tables[-1][1]
+            while parts and parts[-1] in ENDED_BY[tag]:
+                parts.pop()
+            parts.append(tag)
+
     def handle_starttag(self, tag, attrs):
+        if self.text_of is not None:
+            return
         a: dict[str, str] = {}
         for k, v in attrs:
             a.setdefault(k, v or "")
-        self.ord += 1
-        if tag == "body":
-            self.in_head = False
-        elif tag == "html" and self.html_lang is None:
+        if tag in RAW_TEXT and not self.svg:
+            self.text_of = tag
+        if self.templates:
+            self.templates[0] += tag == "template"
+            if tag in RAW_TEXT:
+                self.script = self.title = None
+            return
+        if tag == "template":
+            self.templates.append(1)
+            return
+        if tag == "html" and self.html_lang is None:
             self.html_lang = a.get("lang")
-        elif tag == "svg":
+        if self.select:
+            if tag in ("select", "input", "textarea"):
+                self.select = False
+            if tag not in ("script", "input", "textarea"):
+                return
+        if tag not in HEAD_ONLY:
+            self.in_head = False
+        moved = False
+        if tag == "table":
+            if self._in_table() and not self.tables[-1][1]:
+                self.tables.pop()
+            here = _Place()
+            self._put(here, self._in_table())
+            self.tables.append((here, []))
+        elif tag in TABLE_PARTS:
+            self._table_part(tag)
+        else:
+            moved = self._in_table() and not (tag == "input" and a.get("type", "").lower() == "hidden")
+        if tag == "svg":
             self.svg += 1
+        elif tag == "select":
+            self.select = True
         elif tag == "title" and not self.svg:
             self.title = []
         elif tag == "base" and self.base is None and a.get("href"):
             self.base = a["href"]
         elif tag == "meta":
-            self.metas.append({"ord": self.ord, "name": a.get("name"), "property": a.get("property"), "http_equiv": a.get("http-equiv"), "content": a.get("content"), "charset": a.get("charset")})
+            self.metas.append({"name": a.get("name"), "property": a.get("property"), "http_equiv": a.get("http-equiv"), "content": a.get("content"), "charset": a.get("charset")})
+            self._put(self.metas[-1], moved)
         elif tag == "script" and (a.get("type") or "").strip().lower() == "application/ld+json":
             self.script = []
         if tag == "link":
-            self.links.append({"ord": self.ord, **{k: a.get(k) for k in ("rel", "href", "hreflang", "sizes", "type", "title")}})
+            self.links.append({k: a.get(k) for k in ("rel", "href", "hreflang", "sizes", "type", "title")})
+            self._put(self.links[-1], moved)
         source = a.get("href") if tag == "a" else a.get(ASSET_ATTRIBUTE.get(tag, ""))
+        if tag == "a":
+            self.open_anchor = None  # an anchor ends one that is open
         if source is not None and (tag == "a" or tag in ASSET_ATTRIBUTE):
-            found = {"ord": self.ord, "tag": tag, "raw": source, "rel": a.get("rel"), "text": [] if tag == "a" else None}
+            found = {"tag": tag, "raw": source, "rel": a.get("rel"), "text": [] if tag == "a" else None}
             self.anchors.append(found)
+            self._put(found, moved)
             if tag == "a":
                 self.open_anchor = found
 
     def handle_endtag(self, tag):
+        if self.text_of is not None:
+            if tag != self.text_of or tag == "plaintext":
+                return
+            self.text_of = None
+        if self.templates:
+            if tag == "template":
+                self.templates[0] -= 1
+                if not self.templates[0]:
+                    self.templates.clear()
+            return
         if tag == "title" and self.title is not None:
             self.titles.append((self.in_head, " ".join("".join(self.title).split())))
             self.title = None
         elif tag == "script" and self.script is not None:
-            self.scripts.append({"ord": self.ord, "raw": "".join(self.script)})
+            self.scripts.append({"raw": "".join(self.script)})
+            self._put(self.scripts[-1], False)
             self.script = None
         elif tag == "svg":
             self.svg = max(0, self.svg - 1)
         elif tag == "head":
             self.in_head = False
+        elif tag == "select":
+            self.select = False
         elif tag == "a":
             self.open_anchor = None
+        elif tag == "table" and self.tables:
+            self.tables.pop()
+        elif self.tables and tag in self.tables[-1][1]:
+            parts = self.tables[-1][1]
+            del parts[len(parts) - 1 - parts[::-1].index(tag) :]
 
     def handle_data(self, data):
+        if self.templates:
+            return
         if self.title is not None:
             self.title.append(data)
         elif self.script is not None:
             self.script.append(data)
-        elif self.open_anchor is not None:
-            self.open_anchor["text"].append(data)
+        elif self.text_of is None:
+            if self.in_head and not data.isspace():
+                self.in_head = False
+            if self.open_anchor is not None:
+                self.open_anchor["text"].append(data)
+
+    def number(self) -> None:
+        """Gives every element its place in the tree's order; those moved before a table stand before all that it holds."""
+        n, waiting = 0, [self.top]
+        while waiting:
+            item = waiting.pop()
+            if isinstance(item, _Place):
+                waiting += reversed([*item.before, *item.items])
+            else:
+                n += 1
+                item["ord"] = n
+        for found in (self.metas, self.links, self.scripts, self.anchors):
+            found.sort(key=lambda x: x["ord"])
 
 
 def _href(raw: str | None, base: str | None) -> str | None:
@@ -124,6 +238,9 @@ def read_page(html: str | None, url: str | None) -> dict:
     page = _Head()
     page.feed(html or "")
     page.close()
+    if page.script is not None:
+        page.handle_endtag("script")
+    page.number()
     if page.title is not None:
         page.titles.append((page.in_head, " ".join("".join(page.title).split())))
     base = _href(page.base, url) if page.base else url
