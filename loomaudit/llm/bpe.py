@@ -165,9 +165,13 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     """docs with the ids of text (array<int>) and, if named, the decoded text. A column of docs that has one of these names, in any case, is replaced."""
     new = {x.lower() for x in (ids, decoded) if x}
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new))
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    names = [*docs.columns, ids, *([decoded] if decoded else [])]
+    at_text = docs.columns.index(text)
+    plain = [f"c{i}" for i in range(len(names))]  # names with dots do not pass through mapInArrow
+    docs = docs.toDF(*plain[: len(docs.columns)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(plain[len(docs.columns)], T.ArrayType(T.IntegerType(), False))])
     if decoded:
-        schema.add(decoded, "string")
+        schema.add(plain[-1], "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -175,15 +179,15 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     part = batch.slice(at, ROWS)
-                    made = [encode_texts(part.column(text), vocab)]
+                    made = [encode_texts(part.column(at_text), vocab)]
                     if decoded:
                         made.append(decode_ids(made[0], vocab))
-                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=plain)
         finally:
             del vocab  # the worker may serve other stages next
             release()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
 
 
 def decoded(ids: Column, path: str) -> Column:

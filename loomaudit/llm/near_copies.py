@@ -41,8 +41,8 @@ ABOVE, BELOW = 4, 5
 ROUNDS = 3
 #: Texts of a cell in a block of the comparison that is left.
 BLOCK = 512
-#: One text in SAMPLE is read for the order; shingles count as common from COMMON texts of the sample, MOST_COMMON of them at most.
-SAMPLE, COMMON, MOST_COMMON = 8, 8, 50_000
+#: One text in SAMPLE, MOST_SAMPLED at most, is read for the order; shingles count as common from COMMON texts of the sample, MOST_COMMON of them at most.
+SAMPLE, MOST_SAMPLED, COMMON, MOST_COMMON = 8, 1_000_000, 8, 50_000
 #: Ids that may be broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 200_000
 KNOWN_WORDS = 50_000
@@ -92,7 +92,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def common_shingles(unique: DataFrame, row: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles of a sample, sorted, and in how many texts each was seen."""
     hashes = F.arrow_udf(lambda column: _lists([shingle_hashes(x.as_py()) for x in column]), "array<bigint>")
-    sample = unique.where(F.pmod(F.xxhash64(row), F.lit(SAMPLE)) == 0).select(F.explode(hashes(F.col(text))).alias("cell"))
+    step = max(SAMPLE, -(-unique.count() // MOST_SAMPLED))
+    sample = unique.where(F.pmod(F.xxhash64(row), F.lit(step)) == 0).select(F.explode(hashes(F.col(text))).alias("cell"))
     seen = sample.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "cell").limit(MOST_COMMON).collect()
     found = np.array([r["cell"] for r in seen], dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -198,15 +199,20 @@ def _across(placed: DataFrame) -> DataFrame:
     return left.join(right, ["cell", "block"]).where("a < b and root <> other").where(_LENGTHS).where(_PLACES).select("a", "b").distinct()
 
 
+def _named(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near copies: of each component of similar texts one row stays, that with the smallest key; rows without a key come last, and among equal keys any one stays."""
     row = fresh(docs, "near_row")
     copy = F.arrow_udf(lambda column: pa.array([xxhash.xxh3_128_digest(b" ".join(_words(x.as_py()))) for x in column], pa.binary()), "binary")
     rank = F.struct(F.col(key).isNull(), F.col(key))
-    first = docs.select(copy(text).alias("copy"), F.struct(*docs.columns).alias("doc"), rank.alias("rank")).groupBy("copy").agg(F.min_by("doc", "rank").alias("doc"))
+    first = docs.select(copy(text).alias("copy"), F.struct(*_named(docs)).alias("doc"), rank.alias("rank")).groupBy("copy").agg(F.min_by("doc", "rank").alias("doc"))
     unique = written(first.select("doc.*").withColumn(row, F.monotonically_increasing_id()), "near-unique")
     grouped = components(links(unique, row, text)).select(F.col("node").alias(row), "root")
     ranked = unique.select(row, F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("key"), F.col(row).alias("row")).alias("rank")).join(grouped, row)
     kept = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
     dropped = written(grouped.select(row).join(kept, row, "left_anti"), "near-dropped")
-    return unique.join(hinted(dropped, small_enough(dropped, BROADCAST_IDS)), row, "left_anti").select(*docs.columns)
+    return unique.join(hinted(dropped, small_enough(dropped, BROADCAST_IDS)), row, "left_anti").select(*_named(docs))

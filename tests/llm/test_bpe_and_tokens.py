@@ -137,3 +137,9 @@ def test_other_tokenizers_are_refused(change):
     pieces.check_spec(good)
     with pytest.raises(ValueError):
         pieces.check_spec(good | change)
+
+
+def test_columns_with_dots_pass_through(spark):
+    docs = spark.createDataFrame([(1, "some text", "x")], "doc_id bigint, text string, `a.b` string")
+    made = bpe.with_ids(docs, PATH, decoded="back")
+    assert made.columns == ["doc_id", "text", "a.b", "ids", "back"] and made.first()["back"] == "some text"

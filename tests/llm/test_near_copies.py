@@ -71,3 +71,13 @@ def test_stage_drops_edited_copies_and_keeps_others(spark, data):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     got = stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), data)
     assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "None"]
+
+
+def test_shuffled_joins_and_columns_with_dots(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(near_copies, "MOST_SAMPLED", 5)
+    rows = made_rows()[:80]
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id bigint, text string, `a.b` int, `it's ``quoted``` string")
+    got = near_copies.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert {r["doc_id"] for r in got.collect()} == brute_kept(rows)

@@ -165,3 +165,18 @@ def test_chat_round_trip(spark):
     assert sorted((r["n_turns"], r["loss"]) for r in got if r["conv_id"] == 4) == [(2, "a"), (3, "b")]
     assert sorted(r["conv_id"] for r in got if r["conv_id"] != 1) == [2, 3, 4, 4]
     assert chat_format.examples(df.limit(0)).count() == 0
+
+
+def test_chat_repeated_rows_and_a_long_text(spark):
+    long = "<|im_end|>\\ text " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
+    (row,) = chat_format.examples(df).select("n_turns", chat_format.loss_text(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("loss"), chat_format.turns_in(F.col("text")).alias("turns")).collect()
+    assert row["n_turns"] == 3 and row["loss"] == long and [t["text"] for t in row["turns"]] == ["hi", "hi", long]
+
+
+def test_chat_conversation_of_many_turns(spark):
+    """2,000 turns make 1,000 examples, each with all turns before it: its texts are as many as the square of the turns says."""
+    df = spark.range(2000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('words of turn ', id) as text")
+    got = chat_format.examples(df).agg(F.count("*").alias("n"), F.max("n_turns").alias("most"), F.sum(F.length("text")).alias("chars")).first()
+    each = [len(f"<|im_start|>{'assistant' if i % 2 else 'user'}\nwords of turn {i}<|im_end|>\n") for i in range(2000)]
+    assert (got["n"], got["most"]) == (1000, 2000) and got["chars"] == sum(sum(each[: i + 1]) for i in range(1, 2000, 2))
