@@ -389,16 +389,6 @@ def said(spark: SparkSession, site: str = "https://a.example") -> DataFrame:
     return robots.lines(spark.createDataFrame([(site, ROBOTS)], "site string, body string"))
 
 
-@query(
-    "robots_parse_lines",
-    """SELECT * FROM (VALUES (2, 'user-agent', '*', 'agent', 1), (3, 'user-agent', 'probe', 'agent', 1), (4, 'disallow', '/fr/', 'disallow', 1), (5, 'allow', '/fr/1', 'allow', 1), (6, 'disallow', '/*?utm_source', 'disallow', 1),
-  (7, 'disallow', '/de/*.html$', 'disallow', 1), (8, 'crawl-delay', '5', 'unknown', 1), (9, 'allow', '/es/', 'allow', 1), (11, 'sitemap', 'https://a.example/sitemap.xml', 'sitemap', 1), (12, 'sitemap', '', 'invalid', 1),
-  (13, 'disallowed', '/x', 'invalid', 1), (14, NULL, NULL, 'invalid', 1), (15, 'user-agent', '', 'invalid', 1), (16, 'user-agent', 'probe-image', 'agent', 2), (17, 'disallow', '/', 'disallow', 2)) AS v(line, name, value, kind, group_no)""",
-)
-def robots_parse_lines(spark, sf_dir):
-    return said(spark).select("line", "name", "value", "kind", F.col("group_no").cast("int").alias("group_no"))
-
-
 @query(
     "robots_decision",
     f"""WITH {URLS}, d AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM t), m AS (
@@ -526,143 +516,6 @@ def site_lint(spark, sf_dir):
     return report.site_findings(site_rules.evaluate(listed_site(spark, sf_dir, often=True))).groupBy("rule_id").agg(F.count("*").alias("findings"))
 
 
-@query("canonical_dedup", "SELECT * FROM (VALUES ('https://a.example/x'), ('https://a.example/z?p=1')) AS v(page_url)")
-def canonical_dedup(spark, sf_dir):
-    """A variant that names a crawled page goes; one that names an absent page stays."""
-    rows = [("https://a.example", u, c) for u, c in (("https://a.example/x", "https://a.example/x/"), ("https://a.example/x?tag=1", "https://a.example/x"), ("https://a.example/z?p=1", "https://a.example/z"))]
-    return report.without_canonical_duplicates(spark.createDataFrame(rows, "site string, page_url string, canonical string")).select("page_url")
-
-
-# ---- clusters, structured data, probes, producer, cards: literal tables ------------
-
-
-def _cluster_entries(spark: SparkSession) -> DataFrame:
-    a = "https://a.example"
-    rows = [
-        (a, 0, f"{a}/fr/tarifs", [("fr", f"{a}/fr/tarifs"), ("en", f"{a}/en/pricing"), ("x-default", f"{a}/en/pricing")]),
-        (a, 1, f"{a}/en/about", [("en", f"{a}/en/about")]),
-        (a, 2, f"{a}/fr/tarifs/", [("x-default", f"{a}/en/other")]),
-        (a, 3, f"{a}/en/plain", []),
-    ]
-    return spark.createDataFrame(rows, "site string, ord int, loc string, alternates array<struct<hreflang: string, href: string>>")
-
-
-@query("cluster_index_sitemap", "SELECT * FROM (VALUES ('https://a.example/fr/tarifs', '/pricing'), ('https://a.example/en/pricing', '/pricing'), ('https://a.example/en/other', '/other')) AS v(key, route)")
-def cluster_index_sitemap(spark, sf_dir):
-    return clusters.from_sitemap(_cluster_entries(spark))[0].select("key", "route")
-
-
-def _heads(spark: SparkSession) -> DataFrame:
-    a = "https://a.example"
-    pages = {"/en/one": ["en:/en/one", "fr:/fr/un", "x-default:/en/one"], "/fr/un": ["en:/en/one", "fr:/fr/un", "x-default:/en/one"], "/en/lone": ["fr:/fr/seul"], "/fr/seul": [], "/de/a": ["en:/en/b", "x-default:/"], "/en/b": ["de:/de/a", "x-default:/"]}
-    rows = [(a, a + p, i, [(i * 10 + j, x.partition(":")[0], a + x.partition(":")[2], x.startswith("x-default")) for j, x in enumerate(alts)]) for i, (p, alts) in enumerate(pages.items())]
-    return spark.createDataFrame(rows, "site string, page_url string, visit_ord bigint, alternates array<struct<ord: int, hreflang: string, href: string, is_default: boolean>>")
-
-
-@query("cluster_index_head", "SELECT * FROM (VALUES ('https://a.example/en/one', '/one'), ('https://a.example/fr/un', '/one')) AS v(key, route)")
-def cluster_index_head(spark, sf_dir):
-    return clusters.from_heads(_heads(spark))[0].select("key", "route")
-
-
-@query("cluster_combine", "SELECT * FROM (VALUES ('https://a.example/fr/tarifs', '/pricing'), ('https://a.example/en/pricing', '/pricing'), ('https://a.example/en/other', '/other'), ('https://a.example/en/one', '/one'), ('https://a.example/fr/un', '/one')) AS v(key, route)")
-def cluster_combine(spark, sf_dir):
-    return clusters.combine(clusters.from_sitemap(_cluster_entries(spark))[0], clusters.from_heads(_heads(spark))[0])[0].select("key", "route")
-
-
-@query("reciprocity_codes", "SELECT * FROM (VALUES ('missing-back-link', 1::BIGINT), ('x-default-missing', 0::BIGINT)) AS v(code, findings) WHERE findings > 0")
-def reciprocity_codes(spark, sf_dir):
-    return report.rollup_reciprocity(locales.reciprocity(_heads(spark))).select("code", "findings")
-
-
-@query("locale_validity", "SELECT * FROM (VALUES ('en', true), ('pt-BR', true), ('zh-Hant', true), ('es-419', true), ('x-default', true), ('xx', false), ('pt-ZZ', false), ('en_US', false), ('und', false), ('en-Zzzz', false)) AS v(tag, valid)")
-def locale_validity(spark, sf_dir):
-    tags = spark.createDataFrame([(t,) for t in ("en", "pt-BR", "zh-Hant", "es-419", "x-default", "xx", "pt-ZZ", "en_US", "und", "en-Zzzz")], "tag string")
-    return tags.select("tag", locales.is_valid(F.col("tag")).alias("valid"))
-
-
-SITEMAP_INDEX = """<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://a.example/one.xml</loc></sitemap><sitemap><loc>https://a.example/gone.xml</loc></sitemap></sitemapindex>"""
-SITEMAP_ONE = """<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml"><url><loc>https://a.example/en/1</loc><lastmod>2024-01-01</lastmod><xhtml:link rel="alternate" hreflang="fr" href="https://a.example/fr/1"/></url><url><loc>https://a.example/en/1</loc></url><url><loc>https://a.example/en/2</loc></url></urlset>"""
-
-
-def _discovered(spark: SparkSession):
-    a = "https://a.example"
-    sites = spark.createDataFrame([(a,)], "site string")
-    named = spark.createDataFrame([(a, f"{a}/broken.xml", 1), (a, f"{a}/index.xml", 2)], "site string, url string, line int")
-    answers = [(a, f"{a}/broken.xml", 200, b"<urlset><url>"), (a, f"{a}/index.xml", 200, SITEMAP_INDEX.encode()), (a, f"{a}/one.xml", 200, SITEMAP_ONE.encode()), (a, f"{a}/sitemap.xml", 200, SITEMAP_ONE.encode())]
-    return sitemaps.discover(sites, named, spark.createDataFrame(answers, "site string, url string, status int, body binary"))
-
-
-@query("sitemap_discovery", "SELECT 'https://a.example/index.xml' AS sitemap_url, true AS found, 2::BIGINT AS urls, 1::BIGINT AS child_errors, true AS unparsable, false AS truncated")
-def sitemap_discovery(spark, sf_dir):
-    return _discovered(spark)[2].select("sitemap_url", "found", "urls", "child_errors", "unparsable", "truncated")
-
-
-@query("sitemap_entries", "SELECT * FROM (VALUES ('https://a.example/en/1', '2024-01-01', 1), ('https://a.example/en/2', NULL, 0)) AS v(loc, lastmod, alternates)")
-def sitemap_entries(spark, sf_dir):
-    return _discovered(spark)[1].select("loc", "lastmod", F.size("alternates").alias("alternates"))
-
-
-RICH_PAGE = """<html lang="fr"><head><title> Un  titre </title><title>Other</title><base href="https://a.example/deep/">
-<meta name="Description" content="first"><meta name="description" content="A description that is long enough to be judged an ideal one for a result list.">
-<meta name="viewport" content="width=device-width"><meta name="robots" content="noindex, follow"><meta name="googlebot" content="index">
-<meta property="og:title" content="Card"><meta property="og:image:width" content="9"><meta property="og:image" content="https://a.example/1.png"><meta property="og:image:width" content="1200px"><meta property="og:image:height" content="630"><meta property="og:image:alt" content="Card">
-<meta property="og:image" content="/2.png"><meta property="og:locale" content="fr_FR"><meta property="og:locale:alternate" content="en_US">
-<link rel="canonical" href="../page?x=1"><link rel="alternate" hreflang="en" href="/en/page"><link rel="alternate" hreflang="fr-FR" href="/fr/page"><link rel="icon" href="/i.png" sizes="32x32 any junk" type="image/png"><link rel="manifest" href="/m.json">
-<script type="application/ld+json">{"@graph": [{"@type": "Article", "author": {"@type": ["Person", "Thing"]}}]}</script><script type="application/ld+json">{broken</script></head><body><a href="x#frag" rel="NoFollow me">Go <b>there</b></a><a href="mailto:a@b">m</a><img src="/p.png"></body></html>"""
-
-
-def rich_page(spark: SparkSession) -> DataFrame:
-    """A literal page that declares something of everything."""
-    row = [("https://a.example", "https://a.example/fr/page", 0, 200, "text/html", {"x-robots-tag": "noindex"}, RICH_PAGE)]
-    return extract.declared(extract.raw_pages(spark.createDataFrame(row, "site string, page_url string, visit_ord bigint, status int, content_type string, headers map<string,string>, html string")))
-
-
-@query("jsonld_types", "SELECT * FROM (VALUES (0, 'Article,Person,Thing', false), (1, '', true)) AS v(index, types, parse_error)")
-def jsonld_types(spark, sf_dir):
-    return extract.json_ld(rich_page(spark)).select("index", F.array_join("types", ",").alias("types"), "parse_error")
-
-
-@query("og_images", "SELECT * FROM (VALUES ('https://a.example/1.png', 1200, 630, 'Card'), ('/2.png', 0, 0, NULL)) AS v(url, width, height, alt)")
-def og_images(spark, sf_dir):
-    return rich_page(spark).select(F.explode("og_images").alias("i")).select("i.url", F.coalesce("i.width", F.lit(0)).alias("width"), F.coalesce("i.height", F.lit(0)).alias("height"), "i.alt")
-
-
-@query("asset_dimensions", "SELECT * FROM (VALUES ('a.png', 1200, 630), ('b.ico', 256, 256), ('b.ico', 16, 16), ('c.jpg', 640, 480)) AS v(url, width, height)")
-def asset_dimensions(spark, sf_dir):
-    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\x04\xb0\0\0\x02\x76"
-    ico = b"\0\0\1\0\2\0" + bytes(16) + b"\x10\x10" + bytes(14)
-    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\x01\xe0\x02\x80\x03"
-    rows = [("a.png", 200, "image/png", png), ("b.ico", 200, "image/x-icon", ico), ("c.jpg", 200, "image/jpeg", jpeg), ("d.svg", 200, "image/svg+xml", b"<svg/>")]
-    probes = snapshot.asset_probes(spark.createDataFrame(rows, "url string, status int, content_type string, head binary"))
-    return probes.select("url", F.explode("sizes").alias("s")).select("url", "s.width", "s.height")
-
-
-def _routes(spark: SparkSession) -> DataFrame:
-    rows = [("pages", "home", "en", "/en", True, None), ("pages", "home", "fr", "/fr", True, None), ("blog", "b1", "fr", "/fr/bonjour", True, "2024-01-01"), ("blog", "b2", "en", "/en/draft", False, None)]
-    return producer.registry(spark.createDataFrame(rows, "family string, key string, locale string, path string, listed boolean, last_modified string"), "en")
-
-
-@query("route_registry", "SELECT * FROM (VALUES ('/en', 'en', true), ('/fr', 'fr', false), ('/fr/bonjour', 'fr', true), ('/en/draft', 'en', true)) AS v(path, locale, is_anchor)")
-def route_registry(spark, sf_dir):
-    return _routes(spark).select("path", "locale", "is_anchor")
-
-
-@query("route_clusters", "SELECT * FROM (VALUES ('home', 'en', 'https://a.example/en'), ('home', 'fr', 'https://a.example/fr'), ('home', 'x-default', 'https://a.example/en'), ('b1', 'fr', 'https://a.example/fr/bonjour'), ('b1', 'x-default', 'https://a.example/fr/bonjour'), ('b2', 'en', 'https://a.example/en/draft'), ('b2', 'x-default', 'https://a.example/en/draft')) AS v(key, tag, url)")
-def route_clusters(spark, sf_dir):
-    return producer.clusters(_routes(spark), "https://a.example/").select("key", "tag", "url")
-
-
-@query("route_sitemap", "SELECT * FROM (VALUES ('https://a.example/en', 3::BIGINT), ('https://a.example/fr', 3::BIGINT), ('https://a.example/fr/bonjour', 2::BIGINT)) AS v(loc, links)")
-def route_sitemap(spark, sf_dir):
-    return producer.sitemap(_routes(spark), "https://a.example").groupBy("loc").agg(F.count("*").alias("links"))
-
-
-@query("locale_lookup", "SELECT * FROM (VALUES ('pt-BR', 'pt'), ('en-GB-x', 'en-GB'), ('de', 'de-AT'), ('zh', NULL), ('fr', NULL)) AS v(requested, served)")
-def locale_lookup(spark, sf_dir):
-    asked = spark.createDataFrame([(x,) for x in ("pt-BR", "en-GB-x", "de", "zh", "fr")], "requested string")
-    return locales.lookup(asked, spark.createDataFrame([(x,) for x in ("pt", "en-GB", "de-AT", "zh-CN", "zh-TW")], "locale string"))
-
-
 @query("title_fit", f"WITH {URLS}, {TITLES} SELECT url AS page_url, CASE WHEN length(title) <= 20 THEN 72 WHEN length(title) <= 40 THEN 56 WHEN length(title) <= 60 THEN 44 ELSE 36 END AS size FROM x")
 def title_fit(spark, sf_dir):
     size = cards.fitted_size(X.grapheme_count(F.col("title")), [(20, 72), (40, 56), (60, 44)], 36)
@@ -674,12 +527,6 @@ def share_cards(spark, sf_dir):
     return cards.cards(declared(spark, sf_dir)).select("page_url", "surface", "title", "title_from")
 
 
-@query("card_palette", "SELECT * FROM (VALUES ('ink', '#000000'), ('paper', '#ffffff'), ('accent', '#ff0000')) AS v(name, hex)")
-def card_palette(spark, sf_dir):
-    css = ":root { --ink: oklch(0% 0 0); --paper: oklch(100% 0 0); --accent: oklch(62.79554% 0.257683 29.2338); --ink: oklch(50% 0 0); }"
-    return cards.palette(spark.createDataFrame([(css,)], "text string"))
-
-
 # ---- pages with heads of all kinds ------------------------------------------------
 
 

@@ -375,10 +375,10 @@ def types_in(raw: str | None) -> list[str]:
 
 
 def json_ld(pages: DataFrame) -> DataFrame:
-    """(page_url, index, raw, types, parse_error) for each structured-data block."""
+    """(page_url, index, raw, types, parse_error, is_empty) for each structured-data block; an empty one cannot be read either."""
     each = pages.select("page_url", F.posexplode("json_ld").alias("index", "script"))
     body = X.entities_decoded(F.col("script.raw"))
-    return each.select("page_url", "index", body.alias("raw")).withColumns({"types": _types_of(F.col("raw")), "parse_error": F.try_parse_json("raw").isNull()})
+    return each.select("page_url", "index", body.alias("raw")).withColumns({"types": _types_of(F.col("raw")), "parse_error": F.try_parse_json("raw").isNull(), "is_empty": X.blank(F.col("raw"))})
 
 
 def _types(raw: pa.Array) -> pa.Array:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +57,41 @@ def oklch_hex(lightness: Column, chroma: Column, hue: Column) -> Column:
     return F.concat(F.lit("#"), *(byte(r) for r in rows))
 
 
-def palette(css: DataFrame) -> DataFrame:
-    """(name, hex) of the custom properties with an oklch() value in css (text); the first declaration of a name counts."""
-    found = css.select(F.posexplode(F.regexp_extract_all("text", F.lit(r"--[\w-]+\s*:\s*oklch\([^)]*\)"), F.lit(0))).alias("ord", "declaration"))
-    values = F.regexp_extract("declaration", r"oklch\(\s*([\d.]+)(%?)\s+([\d.]+)\s+([\d.]+)", 1).cast("double")
-    percent = F.regexp_extract("declaration", r"oklch\(\s*([\d.]+)(%?)", 2) == "%"
-    parsed = found.select("ord", F.regexp_extract("declaration", r"--([\w-]+)", 1).alias("name"), F.when(percent, values / 100).otherwise(values).alias("l"), F.regexp_extract("declaration", r"oklch\(\s*[\d.]+%?\s+([\d.]+)", 1).try_cast("double").alias("c"), F.regexp_extract("declaration", r"oklch\(\s*[\d.]+%?\s+[\d.]+\s+([\d.]+)", 1).try_cast("double").alias("h"))
-    return parsed.groupBy("name").agg(F.min_by(F.struct("l", "c", "h"), "ord").alias("v")).select("name", oklch_hex(F.col("v.l"), F.col("v.c"), F.col("v.h")).alias("hex"))
+def block_of(css: str | None, scope: str) -> str:
+    """What stands between the braces of the first rule whose selector is `scope`, nested blocks and all; nothing if no rule is. A mention that no brace follows is no rule."""
+    text, at = css or "", -1
+    while (at := text.find(scope, at + 1)) >= 0:
+        rest = text[at + len(scope) :].lstrip()
+        if rest.startswith("{"):
+            depth = 0
+            for i, sign in enumerate(rest):
+                depth += (sign == "{") - (sign == "}")
+                if not depth:
+                    return rest[1:i]
+            return rest[1:]
+    return ""
+
+
+def _coordinate(text: Column, whole: float | None) -> Column:
+    """A number, or a percentage of `whole`; null for what is neither."""
+    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), text.try_cast("double"))
+    if whole is None:
+        return number
+    share = F.regexp_extract(text, r"^(.*)%$", 1)
+    return F.coalesce(number, F.when(text.endswith("%"), share.try_cast("double") / 100 * whole))
+
+
+def palette(css: DataFrame, scope: str | None = None) -> DataFrame:
+    """(name, hex) of the custom properties with a fixed oklch() value in css (text), outside comments; the first declaration of a name counts. With a scope, like :root or .dark, those of its block alone."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)/\*.*?\*/", "")
+    if scope is not None:
+        text = F.arrow_udf(lambda column: pa.array([block_of(x.as_py(), scope) for x in column], pa.string()), "string")(text)
+    found = css.select(F.posexplode(F.regexp_extract_all(text, F.lit(r"--[\w-]+:\s*oklch\(\s*[^)]+?\s*\)"), F.lit(0))).alias("ord", "declaration"))
+    values = F.regexp_extract("declaration", r"oklch\(\s*([^)/]+?)\s*(?:/[^)]*)?\)", 1)
+    part = lambda i: F.get(F.split(values, r"\s+"), F.lit(i))
+    parsed = found.select("ord", F.regexp_extract("declaration", r"--([\w-]+)", 1).alias("name"), _coordinate(part(0), 1.0).alias("l"), _coordinate(part(1), 0.4).alias("c"), _coordinate(part(2), None).alias("h"))
+    fixed = parsed.where("l is not null and c is not null and h is not null")
+    return fixed.groupBy("name").agg(F.min_by(F.struct("l", "c", "h"), "ord").alias("v")).select("name", oklch_hex(F.col("v.l"), F.col("v.c"), F.col("v.h")).alias("hex"))
 
 
 def written_state(inputs_hash: Column, stored_hash: Column) -> Column:

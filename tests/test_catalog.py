@@ -1,6 +1,6 @@
 import pytest
 
-from loomaudit import catalog
+from loomaudit import catalog, derived  # noqa: F401  (derived adds its queries)
 from oracle import assert_same
 
 
