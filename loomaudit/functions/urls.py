@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomaudit.functions.hosts import ascii_host
+
 PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 PARTS = ("scheme", "host", "port", "origin", "path", "query", "fragment", "href")
 URL = "struct<" + ", ".join(f"{p}: string" for p in PARTS) + ">"
@@ -16,7 +18,6 @@ _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)", re.S)
 _PATH_SAFE = frozenset(map(ord, "!$%&'()*+,-./0123456789:;=@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_abcdefghijklmnopqrstuvwxyz|~"))
 _QUERY_SAFE = _PATH_SAFE | set(map(ord, "?`{}")) - {ord("'")}
 _FRAGMENT_SAFE = _PATH_SAFE | set(map(ord, "?#{}"))
-_BAD_HOST = re.compile(r"[\x00-\x20\x7f#/<>?@\[\\\]^|%]")
 
 
 def _encoded(text: str, safe: frozenset[int]) -> str:
@@ -26,11 +27,7 @@ def _encoded(text: str, safe: frozenset[int]) -> str:
 def _host(text: str) -> str | None:
     if text.startswith("["):
         return text.lower() if text.endswith("]") else None
-    try:
-        out = text.encode("ascii").decode().lower() if text.isascii() else text.encode("idna").decode("ascii").lower()
-    except UnicodeError:
-        return None
-    return None if not out or _BAD_HOST.search(out) else out
+    return ascii_host(text)
 
 
 def _dotless(path: str) -> str:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomaudit.operators import links
-from loomaudit.plans import audit, page_rules, producer, report
+from loomaudit.plans import options, page_rules, producer, report
 
 
 def test_a_rule_that_raises_leaves_the_others_alone(spark):
@@ -77,8 +77,8 @@ def test_asset_failures_and_link_order(spark):
 
 
 def test_options_are_listed(spark):
-    got = {r["option"]: r["default"] for r in audit.option_table(spark).collect()}
-    assert got["fail_on"] == "warning" and got["max_pages"] == "200"
+    got = {r["name"]: r["default"] for r in options.catalogue(spark).collect()}
+    assert got["--fail-on"] == "warning" and got["--max-pages"] == "200"
 
 
 def test_site_definition(spark):
