@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomaudit.llm.pieces import PieceEncoder
+from loomaudit.llm.pieces import PieceEncoder, _Words
 
-#: Texts that are handled at once within an Arrow batch; pairs and units that are remembered.
-ROWS, MOST_PAIRS, MOST_UNITS = 512, 300_000, 400_000
+#: Texts that are handled at once within an Arrow batch; pairs, and units of a generation, that are remembered.
+ROWS, MOST_PAIRS, MOST_UNITS = 512, 300_000, 250_000
 #: Fixed values of the model file's format: field numbers, piece types, the space sign.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -92,7 +92,7 @@ class Model:
         self.matcher.make_automaton()
         #: Signs that no piece holds behind a letter: a word can be cut before them.
         self.parts = tuple(x for x in ".," if x in self.ids and not any(a.isalpha() and b == x for t in self.ids for a, b in zip(t, t[1:])))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by left << 32 | right
         self.whole = bytearray(len(texts))  # 1: a piece that its own text is merged to, 2: one that it is not, 0: not asked yet
         shown = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else trainer.get(44, " ⁇ ".encode()) if k == UNKNOWN else t.replace(SPACE, " ").encode() for t, k in zip(texts, kinds, strict=True)]
         self.lengths = np.array([len(x) for x in shown], dtype=np.int64)
@@ -141,7 +141,7 @@ class Model:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether right may follow left: merging the two again leaves them apart. Both stay as they are alone."""
-        key = (left, right)
+        key = left << 32 | right
         answer = self.apart.get(key)
         if answer is None:
             if len(self.apart) >= MOST_PAIRS:
@@ -155,25 +155,32 @@ class Model:
         one = self.ids.get(run)
         if one is not None and self.stays(one):
             return [one]
-        ids, fits, texts = self.ids, self.fits, self.texts
+        ids, texts, whole, known = self.ids, self.texts, self.whole, self.apart.get
         found = [[ids[c]] for c in run]  # the pieces that start at each place, the longest last
         for last, (before, piece) in self.matcher.iter(run):
             found[last - before].append(piece)
-        untried = [len(x) for x in found]
+        untried = list(map(len, found))
         failed = bytearray((len(run) >> 3) + 1)  # a bit for each place from which the rest cannot be encoded
         out: list[int] = []
-        place, previous = 0, -1
-        while place < len(run):
+        place, previous, end = 0, -1, len(run)
+        while place < end:
             pieces, k = found[place], untried[place]
             while k:
                 k -= 1
                 piece = pieces[k]
-                end = place + len(texts[piece])
-                if not failed[end >> 3] >> (end & 7) & 1 and self.stays(piece) and (previous < 0 or fits(previous, piece)):
-                    untried[place] = k
-                    out.append(piece)
-                    place, previous = end, piece
-                    break
+                after = place + len(texts[piece])
+                if failed[after >> 3] >> (after & 7) & 1 or whole[piece] != 1 and not self.stays(piece):
+                    continue
+                if previous >= 0:
+                    fits = known(previous << 32 | piece)
+                    if fits is None:
+                        fits = self.fits(previous, piece)
+                    if not fits:
+                        continue
+                untried[place] = k
+                out.append(piece)
+                place, previous = after, piece
+                break
             else:
                 failed[place >> 3] |= 1 << (place & 7)
                 place -= len(texts[out.pop()])
@@ -237,6 +244,25 @@ def _is_letter(data: bytes) -> bool:
         return False
 
 
+class _Units(_Words):
+    """unit -> its ids, of two generations: a full one becomes the older, from which what is met again is taken over."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__(encode)
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            return super().__missing__(unit)
+        self[unit] = ids
+        return ids
+
+    def grow_old(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
 class UnitEncoder(PieceEncoder):
     """Texts in Arrow batches, cut before the signs that stand for spaces, as no piece reaches over one from its left. Texts with more than one space in a row, or one in front, are cut by a pattern instead."""
 
@@ -245,8 +271,14 @@ class UnitEncoder(PieceEncoder):
 
     def __init__(self, model: Model):
         super().__init__(model.encode_unit, {}, MOST_UNITS)
+        self.words = _Units(model.encode_unit)
         self.front, self.runs, self.parts = model.prefix.replace(SPACE, " "), model.runs, model.parts
 
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > self.most_words:
+            self.words.grow_old()
+        return super().__call__(texts)
+
     def piece(self, prefix: str, piece: str) -> bytes:
         words = self.words
         if not prefix:
