@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomaudit.llm.pieces import PieceEncoder, check_spec
+from loomaudit.llm.pieces import AgingEncoder, check_spec
 
 #: Texts that are handled at once within an Arrow batch.
 ROWS = 512
-MOST_PAIRS, MOST_WORDS = 200_000, 150_000
+#: Pairs, and words of a generation, that are remembered.
+MOST_PAIRS, MOST_WORDS = 200_000, 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,19 +62,22 @@ class Vocabulary:
                 raise ValueError("the vocabulary's ids do not follow its merges")
             self.pairs[left, right] = whole
             self.split[whole] = left, right
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}  # by left << 32 | right
+        self.single = [ids[bytes([b])] for b in range(256)]
         self.matcher = ahocorasick.Automaton()
         for i, b in tokens.items():
-            self.matcher.add_word(b.decode("latin-1"), (len(b), i))
+            if len(b) > 1:
+                self.matcher.add_word(b.decode("latin-1"), (len(b) - 1, i))
+        self.sizes = {i: len(b) for i, b in tokens.items()}
         self.matcher.make_automaton()
         self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.blob = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(len(self.lengths))), dtype=np.uint8)
-        self.encoder = PieceEncoder(self.encode_word, self.special, MOST_WORDS)
+        self.encoder = AgingEncoder(self.encode_word, self.special, MOST_WORDS)
 
     def survives(self, left: int, right: int) -> bool:
         """Whether the merges leave left and right side by side: no merge across their border comes before those that make them."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
             if len(self.compatible) >= MOST_PAIRS:
@@ -97,31 +101,37 @@ class Vocabulary:
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word."""
-        data = word.encode("utf-8", "surrogatepass").decode("latin-1")
-        at: list[list[tuple[int, int]]] = [[] for _ in data]
-        for last, found in self.matcher.iter(data):
-            at[last - found[0] + 1].append(found)
-        out: list[int] = []
-        left_over = [len(x) for x in at]  # matches not yet tried at each place, the longest last
+        data = word.encode("utf-8", "surrogatepass")
+        single, sizes, known = self.single, self.sizes, self.compatible.get
+        at = [[single[b]] for b in data]  # the tokens that start at each place, the longest last
+        for last, (before, token) in self.matcher.iter(data.decode("latin-1")):
+            at[last - before].append(token)
+        left_over = list(map(len, at))  # matches not yet tried at each place
         dead = bytearray(len(data) + 1)  # places from which the rest cannot be encoded
-        place, starts = 0, []
-        while place < len(data):
-            k = left_over[place]
+        out: list[int] = []
+        place, previous, end = 0, -1, len(data)
+        while place < end:
+            tokens, k = at[place], left_over[place]
             while k:
                 k -= 1
-                length, token = at[place][k]
-                if not dead[place + length] and (not out or self.survives(out[-1], token)):
-                    left_over[place] = k
-                    out.append(token)
-                    starts.append(place)
-                    place += length
-                    if place < len(data):
-                        left_over[place] = len(at[place])
-                    break
+                token = tokens[k]
+                after = place + sizes[token]
+                if dead[after]:
+                    continue
+                if previous >= 0:
+                    stays = known(previous << 32 | token)
+                    if stays is None:
+                        stays = self.survives(previous, token)
+                    if not stays:
+                        continue
+                left_over[place] = k
+                out.append(token)
+                place, previous = after, token
+                break
             else:
                 dead[place] = 1
-                out.pop()
-                place = starts.pop()
+                place -= sizes[out.pop()]
+                previous = out[-1] if out else -1
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

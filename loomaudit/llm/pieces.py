@@ -110,3 +110,32 @@ class PieceEncoder:
             out += [*map(self.words.__getitem__, WORDS.findall(text[at : m.start()])), self.special[m[0]]]
             at = m.end()
         return b"".join([*out, *map(self.words.__getitem__, WORDS.findall(text[at:]))])
+
+
+class _Generations(_Words):
+    """word -> its ids, of two generations: a full one becomes the older, from which what is met again is taken over."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__(encode)
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            return super().__missing__(word)
+        self[word] = ids
+        return ids
+
+
+class AgingEncoder(PieceEncoder):
+    """A PieceEncoder whose full table of words grows old before it is forgotten, so that common words stay. Each generation holds most_words."""
+
+    def __init__(self, encode: Callable[[str], list[int]], special: dict[str, int], most_words: int = MOST_WORDS):
+        super().__init__(encode, special, most_words)
+        self.words = _Generations(encode)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > self.most_words:
+            self.words.older = dict(self.words)
+            self.words.clear()
+        return super().__call__(texts)

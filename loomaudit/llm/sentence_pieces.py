@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomaudit.llm.pieces import PieceEncoder, _Words
+from loomaudit.llm.pieces import AgingEncoder
 
 #: Texts that are handled at once within an Arrow batch; pairs, and units of a generation, that are remembered.
 ROWS, MOST_PAIRS, MOST_UNITS = 512, 300_000, 250_000
@@ -244,26 +244,7 @@ def _is_letter(data: bytes) -> bool:
         return False
 
 
-class _Units(_Words):
-    """unit -> its ids, of two generations: a full one becomes the older, from which what is met again is taken over."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__(encode)
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.older.get(unit)
-        if ids is None:
-            return super().__missing__(unit)
-        self[unit] = ids
-        return ids
-
-    def grow_old(self) -> None:
-        self.older = dict(self)
-        self.clear()
-
-
-class UnitEncoder(PieceEncoder):
+class UnitEncoder(AgingEncoder):
     """Texts in Arrow batches, cut before the signs that stand for spaces, as no piece reaches over one from its left. Texts with more than one space in a row, or one in front, are cut by a pattern instead."""
 
     uncut = f"^ |  |{SPACE} "
@@ -271,14 +252,8 @@ class UnitEncoder(PieceEncoder):
 
     def __init__(self, model: Model):
         super().__init__(model.encode_unit, {}, MOST_UNITS)
-        self.words = _Units(model.encode_unit)
         self.front, self.runs, self.parts = model.prefix.replace(SPACE, " "), model.runs, model.parts
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > self.most_words:
-            self.words.grow_old()
-        return super().__call__(texts)
-
     def piece(self, prefix: str, piece: str) -> bytes:
         words = self.words
         if not prefix:
