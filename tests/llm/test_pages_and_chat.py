@@ -180,3 +180,11 @@ def test_chat_conversation_of_many_turns(spark):
     got = chat_format.examples(df).agg(F.count("*").alias("n"), F.max("n_turns").alias("most"), F.sum(F.length("text")).alias("chars")).first()
     each = [len(f"<|im_start|>{'assistant' if i % 2 else 'user'}\nwords of turn {i}<|im_end|>\n") for i in range(2000)]
     assert (got["n"], got["most"]) == (1000, 2000) and got["chars"] == sum(sum(each[: i + 1]) for i in range(1, 2000, 2))
+
+
+def test_warc_salted_join_gives_the_same(spark, data, monkeypatch):
+    """Where copies are too many to broadcast, their digests go to several tasks each."""
+    pages = load(spark, data, "pages").select("page_id", "url", "html").unionAll(spark.createDataFrame([(10**6 + i, "u", "<p>one payload</p>") for i in range(200)], "page_id bigint, url string, html string"))
+    want = {tuple(r) for r in warc.with_originals(pages).select("page_id", "refers_to").collect()}
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    assert {tuple(r) for r in warc.with_originals(pages).select("page_id", "refers_to").collect()} == want
