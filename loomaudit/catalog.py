@@ -414,20 +414,22 @@ def _in_section(spark: SparkSession, rows: DataFrame, sections: list[tuple[str]]
     return rows.withColumn("section", F.split_part("path", F.lit("/"), F.lit(2))).join(F.broadcast(spark.createDataFrame(sections, "section string")), "section", how).drop("section")
 
 
-def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages outside the unlisted sections as the entries of each site's sitemap; fields follow from page_id."""
-    return _in_section(spark, urls(spark, sf_dir), UNLISTED, "left_anti").select(
+def listed(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """The pages as the entries of each site's sitemap, without the unlisted sections unless whole; fields follow from page_id."""
+    rows = urls(spark, sf_dir)
+    return (rows if whole else _in_section(spark, rows, UNLISTED, "left_anti")).select(
         "site", F.concat("site", F.lit("/en/sitemap.xml")).alias("document_url"), F.col("url").alias("loc"), F.expr("CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END").alias("lastmod"),
         F.expr("CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END").alias("changefreq"), F.expr("CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END").alias("priority"), F.array().cast("array<struct<hreflang: string, href: string>>").alias("alternates"), F.col("page_id").cast("int").alias("ord"),
     )
 
 
-LISTED = f"WITH {URLS}, e AS (SELECT *, CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END AS lastmod, CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END AS changefreq, CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END AS priority FROM t WHERE split_part(path, '/', 2) <> 'es')"
+EVERY = f"WITH {URLS}, e AS (SELECT *, CASE page_id % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN 'yesterday' WHEN 2 THEN '2999-01-01T00:00:00Z' END AS lastmod, CASE page_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'often' END AS changefreq, CASE page_id % 5 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN 'x' END AS priority FROM t)"
+LISTED = EVERY[:-1] + " WHERE split_part(path, '/', 2) <> 'es')"
 
 
-def listed_site(spark: SparkSession, sf_dir: str, often: bool = False) -> site_rules.Site:
+def listed_site(spark: SparkSession, sf_dir: str, often: bool = False, whole: bool = True) -> site_rules.Site:
     """often: for many rules; what they all read is written once."""
-    pages, entries, axis = declared(spark, sf_dir), listed(spark, sf_dir), locales.axis(urls(spark, sf_dir))
+    pages, entries, axis = declared(spark, sf_dir), listed(spark, sf_dir, whole), locales.axis(urls(spark, sf_dir))
     if often:
         pages = pages.select("site", "page_url", "path_query", "visit_ord", "canonical", "alternates", "robots", "googlebot", "x_robots")
         pages, entries, axis = (stored(t, n) for t, n in ((pages, "declared"), (entries, "entries"), (axis, "axis")))
@@ -435,7 +437,7 @@ def listed_site(spark: SparkSession, sf_dir: str, often: bool = False) -> site_r
 
 
 def _sampled_sql(value: str, where: str) -> str:
-    return f"""{LISTED}, x AS (SELECT site, {value} AS v FROM e WHERE {where}), n AS (SELECT DISTINCT site, v FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM n)
+    return f"""{EVERY}, x AS (SELECT site, {value} AS v FROM e WHERE {where}), n AS (SELECT DISTINCT site, v FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM n)
 SELECT site, string_agg(v, ' ' ORDER BY v) FILTER (n <= 5) || ' (' || count(*) || ')' AS observed FROM k GROUP BY site"""
 
 
@@ -460,10 +462,10 @@ def sitemap_out_of_scope(spark, sf_dir):
 k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM o) SELECT site, string_agg(v, ' ' ORDER BY v) FILTER (n <= 5) || ' (' || count(*) || ')' AS observed FROM k GROUP BY site""",
 )
 def sitemap_orphans(spark, sf_dir):
-    return site_rules.sitemap_orphans(listed_site(spark, sf_dir)).select("site", "observed")
+    return site_rules.sitemap_orphans(listed_site(spark, sf_dir, whole=False)).select("site", "observed")
 
 
-PROBED = "WITH {URLS}, e AS (SELECT site, url AS loc, path, page_id FROM t WHERE split_part(path, '/', 2) <> 'es'), p AS (SELECT DISTINCT url FROM t WHERE split_part(path, '/', 2) <> 'de'), x AS (SELECT e.*, p.url IS NOT NULL AS crawled, e.path LIKE '%.html' AS linked FROM e LEFT JOIN p ON p.url = e.loc)"
+PROBED = "WITH {URLS}, e AS (SELECT site, url AS loc, path, page_id FROM t), p AS (SELECT DISTINCT url FROM t WHERE split_part(path, '/', 2) <> 'de'), x AS (SELECT e.*, p.url IS NOT NULL AS crawled, e.path LIKE '%.html' AS linked FROM e LEFT JOIN p ON p.url = e.loc)"
 
 
 def _probed(spark: SparkSession, sf_dir: str):
@@ -495,7 +497,7 @@ def _by_host(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"site": host, "document_url": F.concat(F.lit("https://"), F.regexp_replace(host, r"^(www|m|blog)\.", ""), F.lit("/sitemap.xml"))})
 
 
-@query("sitemap_protocol_mismatch", f"{LISTED} SELECT regexp_extract(url, '://([^/?#]*)', 1) AS site, 'http,https' AS observed FROM e GROUP BY 1 HAVING count(DISTINCT split_part(url, '://', 1)) > 1")
+@query("sitemap_protocol_mismatch", f"{EVERY} SELECT regexp_extract(url, '://([^/?#]*)', 1) AS site, 'http,https' AS observed FROM e GROUP BY 1 HAVING count(DISTINCT split_part(url, '://', 1)) > 1")
 def sitemap_protocol_mismatch(spark, sf_dir):
     site = site_rules.Site(declared(spark, sf_dir), F.lit("2026-01-01").cast("timestamp"), entries=_by_host(listed(spark, sf_dir)))
     return site_rules.sitemap_entry_protocol_mismatch(site).select("site", "observed")
@@ -503,7 +505,7 @@ def sitemap_protocol_mismatch(spark, sf_dir):
 
 @query(
     "sitemap_cross_host",
-    f"""{LISTED}, n AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site, url AS v FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM n WHERE regexp_matches(site, '^(www|m|blog)[.]'))
+    f"""{EVERY}, n AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site, url AS v FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM n WHERE regexp_matches(site, '^(www|m|blog)[.]'))
 SELECT site, string_agg(v, ' ' ORDER BY v) FILTER (n <= 5) || ' (' || count(*) || ')' AS observed FROM k GROUP BY site""",
 )
 def sitemap_cross_host(spark, sf_dir):
@@ -513,7 +515,7 @@ def sitemap_cross_host(spark, sf_dir):
 
 @query("site_lint", f"{LISTED}, m AS (SELECT site FROM t WHERE locale <> 'x-default' GROUP BY site HAVING count(DISTINCT locale) >= 2) SELECT rule_id, count(*) AS findings FROM (SELECT 'hreflang.missing' AS rule_id FROM t SEMI JOIN m USING (site) UNION ALL SELECT DISTINCT ON (site) 'sitemap.field.invalid' FROM e WHERE changefreq = 'often' OR priority IN ('2', 'x') UNION ALL SELECT DISTINCT ON (site) 'sitemap.lastmod.invalid' FROM e WHERE page_id % 4 IN (1, 2) UNION ALL SELECT DISTINCT ON (site) 'sitemap.entry.out-of-scope' FROM e WHERE path NOT LIKE '/en/%' UNION ALL (SELECT DISTINCT ON (t.site) 'sitemap.orphans' FROM t SEMI JOIN e ON e.site = t.site ANTI JOIN (SELECT site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM e) x ON x.key = t.site || CASE WHEN length(t.path) > 1 THEN t.bare ELSE t.path END || t.query)) GROUP BY 1")
 def site_lint(spark, sf_dir):
-    return report.site_findings(site_rules.evaluate(listed_site(spark, sf_dir, often=True))).groupBy("rule_id").agg(F.count("*").alias("findings"))
+    return report.site_findings(site_rules.evaluate(listed_site(spark, sf_dir, often=True, whole=False))).groupBy("rule_id").agg(F.count("*").alias("findings"))
 
 
 @query("title_fit", f"WITH {URLS}, {TITLES} SELECT url AS page_url, CASE WHEN length(title) <= 20 THEN 72 WHEN length(title) <= 40 THEN 56 WHEN length(title) <= 60 THEN 44 ELSE 36 END AS size FROM x")
@@ -792,7 +794,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v) AS n FROM (SELE
 
 
 DRESSED_SITES = f"""{DRESSED}, sites AS (SELECT DISTINCT site, length(site) % 7 AS kind, length(site) % 4 AS other FROM t),
-e AS (SELECT *, site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM g WHERE split_part(path, '/', 2) <> 'es'),
+e AS (SELECT *, site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key FROM g),
 latest AS (SELECT site, site || CASE WHEN length(path) > 1 THEN bare ELSE path END || query AS key, arg_max(r, page_id) AS r, arg_max(c, page_id) AS c FROM g GROUP BY ALL),
 el AS (SELECT e.site, e.url, latest.r AS lr, latest.c AS lc FROM e JOIN latest USING (site, key)),
 said AS (SELECT site, bool_or(r IN (3, 4)) AS claims FROM g GROUP BY site),

@@ -75,15 +75,16 @@ def _ask_all(urls: list[str | None], probe: str, timeout: float, pace: _Pace, at
     return out
 
 
-def fetched(urls: DataFrame, probe: str = "page", timeout: float = web.TIMEOUT_S, pace_s: float = 0.0, lanes: int = LANES, second_pass: bool = True) -> DataFrame:
-    """urls with `answer` (ANSWER) for each row's requested_url; other columns stay. A column named answer is replaced. pace_s: seconds between two requests to a host."""
+def fetched(urls: DataFrame, probe: str = "page", timeout: float = web.TIMEOUT_S, pace_s: float = 0.0, lanes: int = LANES, second_pass: bool = True, tasks: int | None = None) -> DataFrame:
+    """urls with `answer` (ANSWER) for each row's requested_url; other columns stay. A column named answer is replaced. pace_s: seconds between two requests to a host. tasks: how many wait for answers; as many as a shuffle has by default, whatever the size of the table, as URLs are small and answers slow."""
     if probe not in web.PROBES:
         raise ValueError(f"unknown probe {probe!r}: one of {', '.join(web.PROBES)}")
     urls = urls.select(*(F.col(f"`{c}`") for c in urls.columns if c.lower() != "answer"))
     names, schema = urls.columns, T.StructType([*urls.schema.fields, *T.StructType.fromDDL(f"answer {ANSWER}").fields])
     at = names.index("requested_url")
     host, lane = F.lower(F.regexp_extract("requested_url", "^[A-Za-z]+://([^/?#]*)", 1)), F.pmod(F.xxhash64("requested_url"), F.lit(lanes))
-    dealt = urls.repartition(F.coalesce(host, F.lit("")), F.coalesce(lane, F.lit(0)))
+    many = tasks or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = urls.repartition(many, F.coalesce(host, F.lit("")), F.coalesce(lane, F.lit(0)))
 
     def batch_of(rows: list[dict], answers: list[dict], kinds: pa.Schema) -> pa.RecordBatch:
         columns = [pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(names))]

@@ -71,6 +71,7 @@ def test_thousands_of_urls_keep_their_columns_and_pass_no_driver(spark, site):
     out = got.select("n", "answer.status", "answer.page_url", "answer.attempts").collect()
     assert len(out) == 5000 and {r["status"] for r in out} == {200} and {r["attempts"] for r in out} == {1}
     assert all(r["page_url"] == f"{site}/many/{r['n']}" for r in out)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small table of URLs is still many tasks' work
 
 
 def test_failures_are_asked_again_behind_everything_else(spark, site):
