@@ -16,7 +16,7 @@ from loomaudit.functions import text as X
 from loomaudit.functions import urls as U
 from loomaudit.operators import clusters, crawl, extract, links, locales, robots
 from loomaudit.operators.graph import stored
-from loomaudit.plans import cards, producer, report
+from loomaudit.plans import cards, page_rules, producer, report
 from loomaudit.sources import fetching, sitemaps, snapshot
 
 #: Pages without fragments; a family is the pages of a site whose numbers are even, or odd.
@@ -501,3 +501,24 @@ def entries_probed_within_budget(spark, sf_dir):
     answers = entries.where(n % 5 != 0).select(F.col("loc").alias("url"), F.lit(404).alias("status"), F.col("loc").alias("page_url"), F.lit("text/html").alias("content_type"), F.lit("").alias("html"))
     probes, _ = links.probed_entries(entries, fetched, checked, fetching.from_snapshot(answers), budget=3)
     return probes.select("site", "loc", "via", "status")
+
+
+@query(
+    "rule_boundaries",
+    f"""WITH {URLS}, n AS (SELECT url, page_id % 80 AS t, page_id % 211 AS d, page_id % 330 + 1 AS w FROM t), b AS (
+  SELECT url, unnest([{{'rule': 'title.length', 'band': CASE WHEN t = 0 THEN NULL WHEN t BETWEEN 10 AND 60 THEN 'ideal' WHEN t BETWEEN 5 AND 70 THEN 'acceptable' ELSE 'poor' END, 'fair': 'warning'}},
+    {{'rule': 'description.length', 'band': CASE WHEN d = 0 THEN NULL WHEN d BETWEEN 50 AND 160 THEN 'ideal' WHEN d BETWEEN 25 AND 200 THEN 'acceptable' ELSE 'poor' END, 'fair': 'warning'}},
+    {{'rule': 'og.image.ratio', 'band': CASE WHEN w BETWEEN 170 AND 210 THEN 'ideal' WHEN w BETWEEN 100 AND 300 THEN 'acceptable' ELSE 'poor' END, 'fair': 'info'}}]) AS v FROM n)
+SELECT url AS page_url, v.rule AS rule_id, CASE WHEN v.band IS NULL THEN 'na' WHEN v.band = 'ideal' THEN 'pass' ELSE 'warn' END AS status, v.band AS band, CASE v.band WHEN 'acceptable' THEN v.fair WHEN 'poor' THEN 'warning' END AS severity FROM b""",
+)
+def rule_boundaries(spark, sf_dir):
+    """Titles of 0 to 79 characters, descriptions of 0 to 210 and images of 0.01 to 3.3 times their height: each scored rule at all its bounds."""
+    n = F.col("visit_ord")
+    letters = lambda k: F.repeat(F.lit("é"), (n % k).cast("int"))
+    head = F.concat(
+        F.lit("<html><head><title> "), letters(80), F.lit(' </title><meta name="description" content="'), letters(211), F.lit('"><meta property="og:image" content="https://cdn.example/1.png"><meta property="og:image:width" content="'), (n % 330 + 1).cast("string"),
+        F.lit('"><meta property="og:image:height" content="100"></head></html>'),
+    )
+    pages = snapshot.without_probes(extract.declared(extract.raw_pages(snapshot.fetches(spark, sf_dir).withColumn("html", head))))
+    scored = [r for r in page_rules.page_rules() if r.kind == "scored"]
+    return page_rules.evaluate(pages, scored).select("page_url", "rule_id", "status", "band", "severity")
