@@ -163,7 +163,7 @@ def findings_fingerprints(spark, sf_dir):
 SELECT rule_id, min(if_bad) AS severity, count(*) AS findings, string_agg(url, ' ' ORDER BY url) FILTER (n <= 5) AS pages, greatest(count(*) - 5, 0) AS more FROM n GROUP BY rule_id""",
 )
 def findings_rollup_by_rule(spark, sf_dir):
-    return report.rollup_by_rule(report.page_findings(page_rules.evaluate(declared(spark, sf_dir), facts=False)))
+    return report.rollup_by_rule(report.page_findings(page_rules.evaluate(declared(spark, sf_dir), facts=False))).drop("first")
 
 
 @query(

@@ -82,6 +82,11 @@ def html_escaped(text: Column) -> Column:
     return text
 
 
+def clipped(text: Column, most: int = 300) -> Column:
+    """At most `most` characters of a text, with an ellipsis where there were more."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
 def entities_decoded(text: Column) -> Column:
     """The few character references that a structured-data block may hold."""
     for a, b in (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):

@@ -164,3 +164,9 @@ def split_route(path: Column) -> Column:
     rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     plain = F.when(F.coalesce(path, F.lit("")) == "", "/").otherwise(path)
     return F.struct(F.when(locale.isNotNull(), F.concat(F.lit("/"), rest)).otherwise(plain).alias("route"), F.coalesce(locale, F.lit("x-default")).alias("locale"))
+
+
+def safe_url(text: Column) -> Column:
+    """A URL that may be put into a document as a link or an image: an absolute http(s) one, as browsers write it; null for anything else."""
+    url = parsed(text)
+    return F.when(is_absolute_http(url), url["href"])

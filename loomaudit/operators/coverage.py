@@ -35,5 +35,5 @@ def selected(patterns: DataFrame, per_family: int = PER_FAMILY, threshold: int =
 
 
 def families(chosen: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(site, pattern, size, sampled) of the groups that were sampled, locales together."""
-    return chosen.where(F.col("size") >= threshold).groupBy("site", "pattern").agg(F.count("*").alias("size"), F.count_if("keep").alias("sampled"))
+    """(site, pattern, size, sampled) of the groups that were sampled, locales together, the largest first."""
+    return chosen.where(F.col("size") >= threshold).groupBy("site", "pattern").agg(F.count("*").alias("size"), F.count_if("keep").alias("sampled")).orderBy(F.desc("size"), "site", "pattern")

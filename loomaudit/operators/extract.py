@@ -407,3 +407,25 @@ def hydration_delta(static: DataFrame, rendered: DataFrame) -> DataFrame:
     a, b = keys(static), keys(rendered)
     on = ["page_url", "key"]
     return a.join(b, on, "left_anti").withColumn("side", F.lit("static")).unionByName(b.join(a, on, "left_anti").withColumn("side", F.lit("rendered")))
+
+
+MODES = ("auto", "static", "headless")
+
+
+def inspected(static: DataFrame, rendered: DataFrame | None = None, mode: str = "auto") -> DataFrame:
+    """Declared pages with `mode` (static or headless) and `escalation_blocked` (why not rendered, or null), chosen from two readings of the same pages.
+
+    headless takes the rendered reading wherever there is one; auto only of pages that look as if a browser had still to write their head; static none. A page that should have been rendered and was not stays as it is and says so. Page URLs are taken to be distinct in each reading."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}: one of {', '.join(MODES)}")
+    wanted = F.lit(False) if mode == "static" else F.lit(True) if mode == "headless" else F.coalesce(looks_client_rendered(static), F.lit(False))
+    own = static.withColumn("_wanted", wanted)
+    none = F.lit(None).cast("string")
+    if rendered is None:
+        return own.withColumns({"mode": F.lit("static"), "escalation_blocked": F.when(F.col("_wanted"), "nothing was rendered").otherwise(none)}).drop("_wanted")
+    there = rendered.select("page_url", F.lit(True).alias("_rendered"))
+    flagged = own.join(there, "page_url", "left").withColumn("_taken", F.col("_wanted") & F.coalesce("_rendered", F.lit(False)))
+    kept = flagged.where("not _taken").withColumns({"mode": F.lit("static"), "escalation_blocked": F.when(F.col("_wanted"), "this page was not rendered").otherwise(none)})
+    taken = rendered.select(*static.columns).join(flagged.where("_taken").select("page_url"), "page_url", "left_semi").withColumns({"mode": F.lit("headless"), "escalation_blocked": none})
+    columns = [*static.columns, "mode", "escalation_blocked"]
+    return kept.select(*columns).unionByName(taken.select(*columns))

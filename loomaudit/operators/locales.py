@@ -85,6 +85,11 @@ def holes(cells: DataFrame, ignored_routes: list[str] | None = None) -> DataFram
     return some.select(X.identity("i18n", F.lit("hole"), F.col("route")).alias("id"), "site", "route", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"))
 
 
+def hidden_holes(cells: DataFrame, ignored_routes: list[str]) -> DataFrame:
+    """(site, hidden): how many holes the ignored routes keep out of a report."""
+    return holes(cells).where(X.matches_any(F.col("route"), ignored_routes)).groupBy("site").agg(F.count("*").alias("hidden"))
+
+
 def reciprocity(pages: DataFrame) -> DataFrame:
     """(id, code, site, url, locale, peer_url) for declared pages: invalid locales, alternates whose page does not link back, and pages of several locales without a default."""
     alts = alternates(pages)
@@ -129,3 +134,6 @@ def order(tag: Column) -> list[Column]:
     return [(tag != "x-default").asc(), F.collate(tag, "UNICODE").asc()]
 
 
+def by_evidence(found: DataFrame) -> DataFrame:
+    """Candidates (see `candidates`), those that pages confirm first, then known languages, then those of more pages."""
+    return found.orderBy(F.coalesce(F.col("lang_agrees"), F.lit(False)).desc(), F.col("known_language").desc(), F.desc("pages"), "site", "tag")

@@ -3,8 +3,9 @@
 Robots files, icons and sitemaps are asked for first; what the sitemaps list, or
 a few pages of each family of it, are seeds of a crawl beside each site's entry.
 A site without a sitemap is crawled from its entry alone. Links that the crawl
-did not answer and a budget of sitemap entries are then probed. Every round is
-stored, so nothing is asked for twice.
+did not answer, the first bytes of images and icons, manifests, and a budget of
+sitemap entries are then probed. Every round is stored, so nothing is asked for
+twice.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ MOST_LINKS, MOST_PROBES, HEADROOM = 10_000, 200, 5
 def _asked(urls: DataFrame, ask: fetching.Ask) -> DataFrame:
     """urls (site, requested_url) with the fields of their answers beside them, stored."""
     got = stored(ask(urls), "live-answers")
-    return got.select("site", "requested_url", *(F.col(f"answer.{c}").alias(c) for c in ("page_url", "status", "content_type", "redirect_count", "html", "reason")))
+    return got.select("site", "requested_url", *(F.col(f"answer.{c}").alias(c) for c in ("page_url", "status", "content_type", "redirect_count", "html", "head", "reason")))
 
 
 def _beside(sites: DataFrame, *paths: str) -> DataFrame:
@@ -42,7 +43,7 @@ def _documents(answers: DataFrame) -> DataFrame:
 def snapshot_of(entries: DataFrame, options: audit.Options | None = None, timeout: float = web.TIMEOUT_S, pace_s: float = 0.0) -> tuple[audit.Snapshot, dict[str, DataFrame]]:
     """What an audit of entries (url) needs, and the crawl's own tables (see `crawl.live`), with `sitemap_entries`."""
     o = options or audit.Options()
-    page, probe, icon = (fetching.asking(p, timeout, pace_s) for p in web.PROBES)
+    page, probe, icon, part = (fetching.asking(p, timeout, pace_s) for p in web.PROBES)
     starts = cut(entries.select(U.canonical_url(U.parsed(U.entry_url(F.col("url")))).alias("url")).where("url is not null").select(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("site"), "url").distinct())
     sites = starts.select("site").distinct()
     robots_files = web.robots_files(_asked(_beside(sites, "/robots.txt"), page))
@@ -68,7 +69,8 @@ def snapshot_of(entries: DataFrame, options: audit.Options | None = None, timeou
     found = crawl.live(seeds, page, o.depth if o.depth is not None else 2, most, o.include, o.exclude)
     fetches = stored(found["fetches"], "live-fetches")
     raw = extract.raw_pages(fetches.where(snapshot.is_healthy(F.col("status")) & snapshot.is_html(F.col("content_type"))))
-    targets = links.targets(links.occurrences(extract.declared(raw).select("site", "page_url", "anchors")))
+    declared = stored(extract.declared(raw).select("site", "page_url", "anchors", "og_images", "icons", "manifest_href"), "live-declared")
+    targets = links.targets(links.occurrences(declared.select("site", "page_url", "anchors")))
     if not o.check_external:
         targets = targets.where("kind = 'internal'")
     unknown = targets.where(F.col("url").rlike("(?i)^https?://")).join(fetches.select(F.col("page_url").alias("url")), "url", "left_anti")
@@ -81,7 +83,11 @@ def snapshot_of(entries: DataFrame, options: audit.Options | None = None, timeou
     answers = told.unionByName(ended)
     if responses is not None:
         answers = responses.unionByName(answers)
-    snap = audit.Snapshot(fetches, robots=robots_files, responses=stored(answers.dropDuplicates(["url"]), "live-responses"), favicons=favicons)
+    images = _asked(snapshot.wanted_assets(declared, o.check_external).select("site", F.col("url").alias("requested_url")), part)
+    assets = images.select(F.col("requested_url").alias("url"), "status", "content_type", "head").dropDuplicates(["url"])
+    manifests = _asked(declared.where("manifest_href is not null").select("site", F.col("manifest_href").alias("requested_url")).distinct(), page)
+    read = manifests.select(F.col("requested_url").alias("href"), "status", F.when(snapshot.is_healthy(F.col("status")), F.col("html")).alias("body"))
+    snap = audit.Snapshot(fetches, robots=robots_files, assets=assets, manifests=read, responses=stored(answers.dropDuplicates(["url"]), "live-responses"), favicons=favicons)
     return snap, found | ({"sitemap_entries": listed} if listed is not None else {})
 
 

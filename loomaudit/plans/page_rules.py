@@ -230,16 +230,18 @@ def own_rule(id: str, severity: str, reads: tuple[str, ...], judge: Callable[[di
 
 
 def _sound(pages: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """The rules; one that cannot be read against these pages (a column that is not there) is crashed on all of them."""
+    """The rules; one that cannot be read against these pages (a column that is not there) is crashed on all of them. Read together, and one by one only where that fails."""
 
-    def tried(rule: Rule) -> Rule:
+    def fault(some: list[Rule]) -> str | None:
         try:
-            pages.select(rule.status, rule.observed, F.lit(None) if rule.band is None else rule.band).schema  # noqa: B018
+            pages.select(*(x for r in some for x in (r.status, r.observed, F.lit(None) if r.band is None else r.band))).schema  # noqa: B018
         except AnalysisException as error:
-            return replace(rule, status=F.lit(CRASHED), observed=F.lit(str(error).split("\n")[0]), band=None)
-        return rule
+            return str(error).split("\n")[0]
+        return None
 
-    return [tried(r) for r in rules]
+    if fault(rules) is None:
+        return rules
+    return [r if (said := fault([r])) is None else replace(r, status=F.lit(CRASHED), observed=F.lit(said), band=None) for r in rules]
 
 
 def evaluate(pages: DataFrame, rules: list[Rule] | None = None, facts: bool = True) -> DataFrame:

@@ -69,8 +69,7 @@ def _pretty(raw: Column) -> Column:
 
 def _shown(value: Column, most: int = MOST_VALUE) -> Column:
     """A value, clipped and escaped; a dash for nothing."""
-    cut = F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit("…"))).otherwise(value)
-    return F.when(X.blank(value), F.lit('<span class="none">—</span>')).otherwise(X.html_escaped(cut))
+    return F.when(X.blank(value), F.lit('<span class="none">—</span>')).otherwise(X.html_escaped(X.clipped(value, most)))
 
 
 def _row(*cells: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomaudit.functions import text as X
 from loomaudit.functions import urls as U
 from loomaudit.functions.subtags import is_valid, likely_region
 
@@ -61,6 +62,23 @@ def metadata(routes: DataFrame, base: str, site_name: str) -> DataFrame:
     return routes.join(default, ["family", "key"], "left").select("path", url.alias("canonical"), open_graph_locale(bcp47(F.col("locale"))).alias("og_locale"), F.lit(site_name).alias("og_site_name"), "x_default")
 
 
+def page_metadata(routes: DataFrame, content: DataFrame, base: str, site_name: str) -> DataFrame:
+    """All that a page declares, from content (path, title, description, image, image_alt): (path, title, description, canonical, languages: map of tags to URLs, og_type, og_url, og_title, og_description, og_locale, og_alternates, og_image, og_image_alt, twitter_card, twitter_title, twitter_description, twitter_image).
+
+    A page without an image has the small card; a relative image is the base's."""
+    cluster = clusters(routes, base).groupBy("family", "key").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("tag", "url")))).alias("languages"))
+    own = metadata(routes, base, site_name).select("path", "canonical", "og_locale", "og_site_name")
+    keyed = routes.select("family", "key", "path").join(cluster, ["family", "key"]).select("path", "languages")
+    image = F.when(X.blank(F.col("image")), None).when(F.col("image").rlike("(?i)^https?://"), F.col("image")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("image", "^/+", "")))
+    others = F.array_except(F.transform(F.filter(F.map_keys("languages"), lambda t: t != "x-default"), open_graph_locale), F.array("og_locale"))
+    alone = F.size(F.map_keys("languages")) <= 2
+    return own.join(keyed, "path").join(content, "path", "left").select(
+        "path", "title", "description", "canonical", F.when(~alone, F.col("languages")).alias("languages"), F.lit("website").alias("og_type"), F.col("canonical").alias("og_url"), "og_site_name", F.col("title").alias("og_title"), F.col("description").alias("og_description"),
+        "og_locale", others.alias("og_alternates"), image.alias("og_image"), F.when(image.isNotNull(), F.coalesce("image_alt", "title")).alias("og_image_alt"), F.when(image.isNull(), "summary").otherwise("summary_large_image").alias("twitter_card"), F.col("title").alias("twitter_title"),
+        F.col("description").alias("twitter_description"), image.alias("twitter_image"),
+    )
+
+
 def robots_body(base: str, indexable: bool) -> str:
     """The text of robots.txt."""
     return f"User-agent: *\nAllow: /\nSitemap: {base.rstrip('/')}/sitemap.xml\n" if indexable else "User-agent: *\nDisallow: /\n"

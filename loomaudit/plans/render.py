@@ -41,6 +41,12 @@ def catalogue_json() -> str:
     return json.dumps({"rules": pages + sites + prose}, indent=1)
 
 
+def cited(rules: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(citations (rule_id, id, url), rules (rule_id, id) that cite what is not there, sources (id) that no rule cites) of a table of rules (rule_id, sources: joined by commas) and one of sources (id, url)."""
+    each = rules.select("rule_id", F.explode(F.filter(F.split(F.coalesce("sources", F.lit("")), ","), lambda x: x != "")).alias("id")).distinct()
+    return each.join(sources.select("id", "url"), "id").select("rule_id", "id", "url"), each.join(sources, "id", "left_anti").select("rule_id", "id"), sources.join(each, "id", "left_anti").select("id")
+
+
 def source_faults(sources: DataFrame) -> DataFrame:
     """(id, fault) in a table of cited sources (id, url, consulted, quote): duplicate ids, URLs that are not https or have a fragment, impossible dates, long quotes."""
     twice = sources.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate id").alias("fault"))

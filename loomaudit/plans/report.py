@@ -75,11 +75,11 @@ def conformance(verdicts: DataFrame) -> DataFrame:
 
 
 def rollup_by_rule(findings: DataFrame) -> DataFrame:
-    """(rule_id, severity, findings, pages: a sorted sample joined, more) worst first."""
-    by_rule = findings.groupBy("rule_id").agg(F.min_by("severity", X.severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("findings"))
+    """(rule_id, severity, findings, first: what the first page's finding says, pages: a sorted sample joined, more) worst first."""
+    by_rule = findings.groupBy("rule_id").agg(F.min_by("severity", X.severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("findings"), F.min_by("summary", F.struct("page_url", "id")).alias("first"))
     place = F.row_number().over(Window.partitionBy("rule_id").orderBy("page_url", "id"))
     sample = findings.withColumn("n", place).where(F.col("n") <= SAMPLE).groupBy("rule_id").agg(F.array_join(F.sort_array(F.collect_list("page_url")), " ").alias("pages"))
-    out = by_rule.join(sample, "rule_id").select("rule_id", "severity", "findings", "pages", F.greatest(F.col("findings") - SAMPLE, F.lit(0)).alias("more"))
+    out = by_rule.join(sample, "rule_id").select("rule_id", "severity", "findings", "first", "pages", F.greatest(F.col("findings") - SAMPLE, F.lit(0)).alias("more"))
     return out.orderBy(X.severity_rank(F.col("severity")), "rule_id")
 
 
@@ -211,3 +211,8 @@ def asset_failure(status: Column, content_type: Column) -> Column:
     """What went wrong with an asset."""
     code = F.concat(F.lit("HTTP "), status.cast("string"))
     return F.when(status == 0, "the request failed").when((status >= 400) | (status < 200), code).otherwise(F.concat(code, F.lit(" with "), F.coalesce(content_type, F.lit("no content type")), F.lit(", not an image")))
+
+
+def pages_by_broken(broken: DataFrame) -> DataFrame:
+    """(page_url, broken) of broken links (page_url, url), most first."""
+    return broken.groupBy("page_url").agg(F.count_distinct("url").alias("broken")).orderBy(F.desc("broken"), "page_url")

@@ -27,13 +27,15 @@ from loomaudit.sources import web
 
 #: Tasks that may ask one host, hosts that a task asks at once, URLs of a task that are under way together.
 LANES, HOSTS_AT_ONCE, ROWS = 4, 8, 256
-ANSWER = "struct<site: string, page_url: string, status: int, content_type: string, headers: map<string,string>, redirect_count: int, duration_ms: bigint, body_bytes: bigint, html: string, reason: string, method: string, attempts: int>"
+ANSWER = "struct<site: string, page_url: string, status: int, content_type: string, headers: map<string,string>, redirect_count: int, duration_ms: bigint, body_bytes: bigint, html: string, reason: string, method: string, head: binary, attempts: int>"
 _ARROW = pa.struct(
     [
         ("site", pa.string()), ("page_url", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("redirect_count", pa.int32()),
-        ("duration_ms", pa.int64()), ("body_bytes", pa.int64()), ("html", pa.string()), ("reason", pa.string()), ("method", pa.string()), ("attempts", pa.int32()),
+        ("duration_ms", pa.int64()), ("body_bytes", pa.int64()), ("html", pa.string()), ("reason", pa.string()), ("method", pa.string()), ("head", pa.binary()), ("attempts", pa.int32()),
     ]
 )
+#: What is asked again behind everything else; other probes try again at once.
+AGAIN_LATER = ("page", "asset")
 #: Reasons that a second try does not change.
 LASTING = ("redirect loop", "not an http(s) URL")
 
@@ -64,11 +66,11 @@ def _ask_all(urls: list[str | None], probe: str, timeout: float, pace: _Pace, at
         for i in places:
             pace(host)
             try:
-                row = web.fetch(urls[i] or "", timeout, retries=int(probe != "page"), probe=probe)
+                row = web.fetch(urls[i] or "", timeout, retries=int(probe not in AGAIN_LATER), probe=probe)
             except Exception as error:  # whatever a server or a URL brings about is an answer of status 0
                 row = {"site": None, "page_url": urls[i], "status": 0, "content_type": None, "headers": {}, "redirect_count": 0, "duration_ms": 0, "body_bytes": 0, "html": None, "reason": type(error).__name__, "method": None}
             row = {k: v for k, v in row.items() if k != "requested_url"}
-            out[i] = row | {"headers": list(row["headers"].items()), "attempts": attempt}
+            out[i] = {"head": None} | row | {"headers": list(row["headers"].items()), "attempts": attempt}
 
     with ThreadPoolExecutor(HOSTS_AT_ONCE) as pool:
         list(pool.map(one_host, by_host, by_host.values()))
@@ -98,7 +100,7 @@ def fetched(urls: DataFrame, probe: str = "page", timeout: float = web.TIMEOUT_S
                 part = batch.slice(start, ROWS)
                 rows = list(zip(*(c.to_pylist() for c in part.columns), strict=True))
                 answers = _ask_all([r[at] for r in rows], probe, timeout, pace, 1)
-                again = [second_pass and probe == "page" and a["status"] == 0 and a["reason"] not in LASTING for a in answers]
+                again = [second_pass and probe in AGAIN_LATER and a["status"] == 0 and a["reason"] not in LASTING for a in answers]
                 behind += [r for r, wait in zip(rows, again, strict=True) if wait]
                 done = [k for k, wait in enumerate(again) if not wait]
                 yield batch_of([rows[k] for k in done], [answers[k] for k in done], kinds)
@@ -117,7 +119,7 @@ def asking(probe: str = "page", timeout: float = web.TIMEOUT_S, pace_s: float =
 def from_snapshot(answers: DataFrame) -> Ask:
     """A way to ask that looks answers up instead: answers (url, status, page_url, content_type, html); what is not there did not answer."""
     known = answers.select(F.col("url").alias("requested_url"), F.struct("page_url", "status", "content_type", "html").alias("known")).dropDuplicates(["requested_url"])
-    none = {"site": "string", "headers": "map<string,string>", "redirect_count": "int", "duration_ms": "bigint", "body_bytes": "bigint", "method": "string"}
+    none = {"site": "string", "headers": "map<string,string>", "redirect_count": "int", "duration_ms": "bigint", "body_bytes": "bigint", "method": "string", "head": "binary"}
 
     def ask(urls: DataFrame) -> DataFrame:
         both = urls.join(known, "requested_url", "left")

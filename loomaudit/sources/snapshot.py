@@ -72,6 +72,13 @@ def asset_probes(asset_bytes: DataFrame) -> DataFrame:
     return asset_bytes.select("url", "status", (is_healthy(F.col("status")) & X.is_image_type(F.col("content_type"))).alias("ok"), "content_type", sizes.alias("sizes"))
 
 
+def wanted_assets(pages: DataFrame, external: bool = True) -> DataFrame:
+    """(site, url) of the images and icons that declared pages name and a probe may ask for: absolute http(s) URLs, of the page's own site unless external."""
+    named = pages.select("site", F.explode(F.concat(F.transform("og_images", lambda i: X.trimmed(i["url"])), F.transform("icons", lambda i: i["href"]))).alias("url")).distinct()
+    origin = F.regexp_extract("url", "^(?i:https?)://[^/?#]+", 0)
+    return named.where((origin != "") & (F.lit(external) | (F.lower(origin) == F.lower("site"))))
+
+
 def with_probes(pages: DataFrame, probes: DataFrame, manifests: DataFrame) -> DataFrame:
     """Declared pages with `assets` (a map; empty where nothing was to be fetched), and the icons of their manifest from manifests (href, status, body).
 

@@ -36,20 +36,23 @@ SCHEMA = "site string, requested_url string, page_url string, status int, conten
 MOST_REDIRECTS, MOST_BYTES, TIMEOUT_S = 10, 3 << 20, 15.0
 #: Seconds: the longest wait before a second try, and the first of the waits that double.
 MOST_WAIT_S, WAIT_S = 3.0, 0.3
-PROBES = ("page", "link", "icon")
+PROBES = ("page", "link", "icon", "asset")
+#: Bytes of an asset that are asked for: enough for the size of an image.
+HEAD_BYTES = 8192
 TEXT_TYPES = ("text/", "application/xhtml", "application/xml", "application/json", "application/ld+json")
 
 
-def fetch_once(url: str, method: str, timeout: float) -> tuple[int, dict[str, str], bytes]:
-    """(status, headers, body) of one request, without following redirects."""
+def fetch_once(url: str, method: str, timeout: float, most: int | None = None) -> tuple[int, dict[str, str], bytes]:
+    """(status, headers, body) of one request, without following redirects; with `most`, only so many first bytes are asked for and read."""
     scheme, host, port, _, path, query, *_ = parse_url(url)
     kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
     connection = kind(host, int(port) if port else None, timeout=timeout)
     try:
-        connection.request(method, path + query, headers={"User-Agent": "loomaudit", "Accept-Encoding": "gzip"})
+        wanted = {"Accept-Encoding": "gzip"} if most is None else {"Range": f"bytes=0-{most - 1}", "Accept": "image/*"}
+        connection.request(method, path + query, headers={"User-Agent": "loomaudit", **wanted})
         answer = connection.getresponse()
         headers = {k.lower(): v for k, v in answer.getheaders()}
-        body = answer.read(MOST_BYTES) if method == "GET" else b""
+        body = answer.read(most or MOST_BYTES) if method == "GET" else b""
         if headers.get("content-encoding") == "gzip":
             body = zlib.decompressobj(31).decompress(body, MOST_BYTES)
         return answer.status, headers, body
@@ -82,12 +85,12 @@ def wait_before(attempt: int, retry_after: str | None, now: float | None = None)
     return min(MOST_WAIT_S, WAIT_S * 2**attempt + random.uniform(0, WAIT_S))
 
 
-def _follow(url: str, method: str, timeout: float) -> dict:
+def _follow(url: str, method: str, timeout: float, most: int | None = None) -> dict:
     """The answer at the end of a URL's redirects: status 0 and a reason where there is none."""
     at, hops, seen = url, 0, set()
     while True:
         try:
-            status, headers, body = fetch_once(at, method, timeout)
+            status, headers, body = fetch_once(at, method, timeout, most)
             reason = None
         except (OSError, http.client.HTTPException, zlib.error) as error:
             status, headers, body, reason = 0, {}, b"", _reason(error)
@@ -104,8 +107,8 @@ def _follow(url: str, method: str, timeout: float) -> dict:
 
 def _ask(url: str, probe: str, timeout: float) -> dict:
     """One try, as the probe wants it."""
-    if probe == "page":
-        return _follow(url, "GET", timeout)
+    if probe in ("page", "asset"):
+        return _follow(url, "GET", timeout, HEAD_BYTES if probe == "asset" else None)
     head = _follow(url, "HEAD", timeout)
     refused = head["status"] in (405, 501)
     if not refused and (probe == "icon" or not 200 <= head["status"] < 300):
@@ -131,7 +134,7 @@ def fetch(url: str, timeout: float = TIMEOUT_S, retries: int = 1, probe: str = "
     final = parse_url(found["at"])
     return {
         "site": final[3] if final else None, "requested_url": url, "page_url": found["at"], "status": found["status"], "content_type": kind or None, "headers": found["headers"], "redirect_count": found["hops"],
-        "duration_ms": int(1000 * (time.time() - began)), "body_bytes": len(found["body"]), "html": text, "reason": found["reason"], "method": found["method"],
+        "duration_ms": int(1000 * (time.time() - began)), "body_bytes": len(found["body"]), "html": text, "reason": found["reason"], "method": found["method"], **({"head": found["body"]} if probe == "asset" else {}),
     }
 
 

@@ -17,6 +17,9 @@ PAGES = {
 }
 
 
+PNG = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (1200).to_bytes(4, "big") + (630).to_bytes(4, "big")
+
+
 class Site(http.server.BaseHTTPRequestHandler):
     log: list[tuple[float, str]] = []
     sitemap: str | None = None
@@ -33,6 +36,13 @@ class Site(http.server.BaseHTTPRequestHandler):
             status, more = 301, {"Location": "/b"}
         elif path == "/robots.txt":
             status, kind, body = 200, "text/plain", b"User-agent: *\nDisallow: /nothing\n"
+        elif path == "/card.png":
+            status, kind, body = (206 if self.headers.get("Range") else 200), "image/png", PNG + b"x" * 100_000
+            body = body[:8192] if status == 206 else body
+        elif path == "/site.json":
+            status, kind, body = 200, "application/manifest+json", b'{"icons": [{"src": "/none.png", "sizes": "64x64"}]}'
+        elif path == "/dressed":
+            status, body = 200, b"<html lang=en><head><title>A page that is dressed</title><meta property=og:image content='http://" + self.headers["Host"].encode() + b"/card.png'><meta property=og:image:width content=10><meta property=og:image:height content=20><link rel=icon href=/none.png sizes=16x16><link rel=manifest href=/site.json></head></html>"
         elif path == "/sitemap.xml" and Site.sitemap:
             status, kind, body = 200, "application/xml", Site.sitemap.encode()
         elif path in PAGES or path.startswith("/many/"):
@@ -167,3 +177,20 @@ def test_live_audit_probes_what_a_sitemap_lists(spark, site):
     for _, p in Site.log:
         seen[p] += 1
     assert seen["/a"] == 1 and seen["/sitemap.xml"] == 1
+
+
+def test_assets_are_read_by_their_first_bytes(spark, site):
+    urls = spark.createDataFrame([(f"{site}/card.png",), (f"{site}/none.png",)], "requested_url string")
+    got = {r["requested_url"].removeprefix(site): r["answer"] for r in fetching.fetched(urls, "asset", timeout=5).collect()}
+    assert got["/card.png"]["status"] == 206 and len(got["/card.png"]["head"]) == 8192 and got["/none.png"]["status"] == 404
+
+
+def test_live_audit_probes_images_icons_and_manifests(spark, site):
+    PAGES["/"].append("/dressed")
+    try:
+        out = audited(spark, site, depth=1, check_external=False)
+    finally:
+        PAGES["/"].remove("/dressed")
+    rules = {r["rule_id"] for r in out["findings"].where(F.col("page_url") == f"{site}/dressed").collect()}
+    assert {"og.image.sizes-mismatch", "icons.unreachable"} <= rules and "og.image.reachable" not in rules
+    assert "icons.manifest-mismatch" in rules
