@@ -17,6 +17,7 @@ import email.utils
 import http.client
 import json
 import random
+import re
 import socket
 import ssl
 import time
@@ -39,7 +40,8 @@ MOST_WAIT_S, WAIT_S = 3.0, 0.3
 PROBES = ("page", "link", "icon", "asset")
 #: Bytes of an asset that are asked for: enough for the size of an image.
 HEAD_BYTES = 8192
-TEXT_TYPES = ("text/", "application/xhtml", "application/xml", "application/json", "application/ld+json")
+#: Types of bodies that are decoded.
+TEXT_TYPE = re.compile(r"text/|application/(?:xhtml\+xml|xml|json|javascript|.*\+(?:xml|json))")
 
 
 def fetch_once(url: str, method: str, timeout: float, most: int | None = None) -> tuple[int, dict[str, str], bytes]:
@@ -130,7 +132,7 @@ def fetch(url: str, timeout: float = TIMEOUT_S, retries: int = 1, probe: str = "
             if attempt < retries:
                 time.sleep(wait_before(attempt, found["headers"].get("retry-after")))
     kind = found["headers"].get("content-type", "").split(";")[0].strip().lower()
-    text = found["body"].decode("utf-8", "replace") if not kind or kind.startswith(TEXT_TYPES) else None
+    text = found["body"].decode("utf-8", "replace") if not kind or TEXT_TYPE.match(kind) else None
     final = parse_url(found["at"])
     return {
         "site": final[3] if final else None, "requested_url": url, "page_url": found["at"], "status": found["status"], "content_type": kind or None, "headers": found["headers"], "redirect_count": found["hops"],
