@@ -14,7 +14,9 @@ every link's connection without pairs.
 
 Exact copies have one fingerprint and count once. Components come from rounds
 of hooking to the smallest neighbour with pointer jumping, over tables in the
-shared folder.
+shared folder. Spark takes an exploded table for as small as the one before it,
+so joins whose tables grow with the input ask for a merge: none of them is
+broadcast, which would bring it through the driver.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomaudit.llm.common import written
+from loomaudit.llm.common import small_enough, written
 
 SEED = 42
 SEGMENTS = 16
 #: Fingerprints of a cell that are paired off; larger cells take the exact way without pairs.
 CELL = 32
+#: Nodes of linked fingerprints up to which a round of the components may broadcast them.
+BROADCAST_NODES = 100_000
 
 
 def fingerprint_of(text: str | None, words: int = 3) -> int:
@@ -81,28 +85,33 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, cell: int = CELL) -> Da
     distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = distinct.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(placed.join(sizes, "cell"), "simhash-cells")
+    shared = written(placed.hint("merge").join(sizes, "cell"), "simhash-cells")
     few = shared.where(F.col("size") <= cell)
-    pairs = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell").where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
+    pairs = few.select("cell", F.col("fp").alias("a")).hint("merge").join(few.select("cell", F.col("fp").alias("b")), "cell").where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
     crowded = shared.where(F.col("size") > cell).select("fp").distinct()
     bits = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
     meets = crowded.select("fp", F.explode(bits).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("word"))
     least = meets.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("word", "a")
-    stars = meets.join(least, "word").where("a < fp").select("a", F.col("fp").alias("b"))
+    stars = meets.hint("merge").join(least, "word").where("a < fp").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 64, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): root is the smallest node that can be reached.
 
     Each round points every node to the smallest root around it, then to its
     root's root; the rounds grow with the logarithm of the longest path at
-    best, and stop when no root changes. Nodes without edges are not listed."""
+    best, and stop when no root changes. Nodes without edges are not listed. Tables
+    of more than broadcast_nodes nodes are not broadcast for the small files they
+    make."""
     around = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), "components-edges")
     roots = written(around.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "components")
+    # The nodes stay the same; joins with them, planned by the sizes of files, are told to merge. The others are planned by what was shuffled.
+    few = small_enough(roots, broadcast_nodes)
     for _ in range(most_rounds):
-        seen = around.join(roots.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other")
-        hooks = seen.join(roots, "node").groupBy("node", "root").agg(F.min("seen").alias("seen"))
+        known = roots if few else roots.hint("merge")
+        seen = around.join(known.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other")
+        hooks = seen.join(known, "node").groupBy("node", "root").agg(F.min("seen").alias("seen"))
         lower = hooks.select("node", "root", F.least("root", "seen").alias("low"))
         # A root takes the lowest root that any of its nodes has seen, and its nodes follow it.
         pulled = lower.groupBy("root").agg(F.min("low").alias("pull"))
@@ -118,7 +127,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, root) for each distinct fingerprint in prints (fp): fingerprints of one component have one root."""
     distinct = written(prints.select("fp").distinct(), "simhash-distinct")
-    joined = components(links(distinct)).withColumnRenamed("node", "fp")
+    joined = components(links(distinct)).withColumnRenamed("node", "fp").hint("merge")
     return written(distinct.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-classes")
 
 
@@ -126,7 +135,7 @@ def with_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """(key, fingerprint as an integer, component): component is the smallest key among the documents that links reach. Null and empty texts have fingerprint 0 and are linked like any other. Repeated keys are kept; a null key names no component, and a component without any key has a null name."""
     prints = written(docs.select(F.col(key).alias("id"), fingerprints(F.col(text), words).alias("fp")), "simhash")
     found = classes(prints)
-    least = prints.groupBy("fp").agg(F.min("id").alias("id")).join(found, "fp")
+    least = prints.groupBy("fp").agg(F.min("id").alias("id")).hint("merge").join(found, "fp")
     owners = least.groupBy("root").agg(F.min("id").alias("owner"))
-    owned = found.join(owners, "root").select("fp", "owner")
-    return prints.join(owned, "fp").select(F.col("id").alias(key), F.col("fp").alias(fingerprint), F.col("owner").alias(component))
+    owned = found.hint("merge").join(owners, "root").select("fp", "owner")
+    return prints.hint("merge").join(owned, "fp").select(F.col("id").alias(key), F.col("fp").alias(fingerprint), F.col("owner").alias(component))

@@ -6,7 +6,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from loomaudit.llm import decontamination, queries, simhash
+from loomaudit.llm import common, decontamination, queries, simhash
 from loomaudit.llm.common import load
 
 
@@ -63,6 +63,36 @@ def test_links_keep_all_connections(spark, cell, segments):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_simhash_broadcasts_no_table_that_grows(spark, data, monkeypatch):
+    """Spark's own bound on broadcasts takes exploded tables for small ones; the plans must not broadcast them, nor the fingerprints, nor many nodes."""
+    plans = []
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.written(df, name)
+
+    monkeypatch.setattr(simhash, "written", written)
+    docs = load(spark, data, "documents").select("doc_id", "text")
+    found = simhash.with_components(docs)
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    joins = {name: plan for name, plan in plans if "Join" in plan and not name.startswith("components")}
+    assert {"simhash-cells", "simhash-classes", "result"} == set(joins)
+    assert not [name for name, plan in joins.items() if "Broadcast" in plan]
+
+    words = [1 << i | 1 << j for i in range(12) for j in range(i)]
+    signed = spark.createDataFrame([(w,) for w in words], "fp bigint")
+    for cell in (1, 1000):
+        plans.clear()
+        edges = simhash.links(signed, cell=cell)
+        assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    want = {w: 3 for w in words}
+    for bound, merges in ((0, True), (1000, False)):
+        plans.clear()
+        assert {r["node"]: r["root"] for r in simhash.components(edges, broadcast_nodes=bound).collect()} == want
+        rounds = [plan for name, plan in plans if name == "components"][1:]
+        assert rounds and all(("Broadcast" not in plan) == merges for plan in rounds)
+
+
 def test_simhash_edges(spark):
     df = spark.createDataFrame([(5, None, "a"), (2, "", "b"), (None, " ", "c"), (9, "one two three four", "d"), (9, "one two three four", "e"), (None, "other words are here now", "f")], "doc_id bigint, text string, fingerprint string")
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.with_components(df).collect())
