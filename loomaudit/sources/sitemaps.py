@@ -105,10 +105,10 @@ def children(responses: DataFrame) -> DataFrame:
     return each.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("ord", "url"))).where(F.col("n") <= MOST_CHILDREN).select("site", "url")
 
 
-def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame, most_children: int = MOST_CHILDREN, most_urls: int = MOST_URLS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame, most_children: int = MOST_CHILDREN, most_urls: int | None = MOST_URLS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, entries, diagnostics) from sites (site: an origin), declared (site, url, line) and responses (site, url, status, body).
 
-    The first candidate that parses ends the search: what robots.txt names, in its order, then the two usual places. An index gives its first children; an entry belongs to the first document that lists it."""
+    The first candidate that parses ends the search: what robots.txt names, in its order, then the two usual places. An index gives its first children; an entry belongs to the first document that lists it. Without most_urls, all entries of a site are kept."""
     usual = sites.select("site", F.explode(F.array(F.struct(F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.lit(2**30).alias("line")), F.struct(F.concat("site", F.lit("/sitemap_index.xml")).alias("url"), F.lit(2**30 + 1).alias("line")))).alias("c")).select("site", "c.*")
     candidates = declared.select("site", "url", "line").unionByName(usual)
     read = responses.withColumn("doc", F.when(F.col("status").between(200, 299), parsed(F.col("body"))))
@@ -125,7 +125,7 @@ def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame, most_c
     listed = every.where("kind = 'urlset'").select("site", F.col("url").alias("document_url"), F.col("ord").alias("document_ord"), F.explode("doc.entries").alias("e")).select("site", "document_url", "document_ord", "e.*")
     first = listed.withColumn("n", F.row_number().over(Window.partitionBy("site", "loc").orderBy("document_ord", "ord"))).where("n = 1").drop("n")
     placed = first.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("document_ord", "ord")))
-    entries = placed.where(F.col("n") <= most_urls).select("site", "document_url", "loc", "lastmod", "changefreq", "priority", "alternates", F.col("n").alias("ord"))
+    entries = (placed if most_urls is None else placed.where(F.col("n") <= most_urls)).select("site", "document_url", "loc", "lastmod", "changefreq", "priority", "alternates", F.col("n").alias("ord"))
     counts = first.groupBy("site").agg(F.count("*").alias("urls"))
     faults = documents.where("parent is not null and kind <> 'urlset'").groupBy("site").agg(F.count("*").alias("child_errors"))
     broken = tried.groupBy("site").agg(F.bool_or(F.col("doc.kind") == "unknown").alias("unparsable"), F.bool_or(F.col("status") == 0).alias("unreachable"))
@@ -133,7 +133,7 @@ def discover(sites: DataFrame, declared: DataFrame, responses: DataFrame, most_c
         sites.select("site").distinct().join(root.select("site", F.col("url").alias("sitemap_url"), F.lit(True).alias("found")), "site", "left").join(counts, "site", "left").join(faults, "site", "left").join(broken, "site", "left")
     ).select(
         "site", "sitemap_url", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("urls", F.lit(0)).alias("urls"), F.coalesce("child_errors", F.lit(0)).alias("child_errors"),
-        F.coalesce("unparsable", F.lit(False)).alias("unparsable"), F.coalesce("unreachable", F.lit(False)).alias("unreachable"), (F.coalesce("urls", F.lit(0)) >= most_urls).alias("truncated"),
+        F.coalesce("unparsable", F.lit(False)).alias("unparsable"), F.coalesce("unreachable", F.lit(False)).alias("unreachable"), (F.lit(False) if most_urls is None else F.coalesce("urls", F.lit(0)) >= most_urls).alias("truncated"),
     )
     return documents, entries, diagnostics
 

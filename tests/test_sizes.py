@@ -36,3 +36,7 @@ def twice(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["cluster_combine", "cluster_heads_refused", "cluster_index_head", "clusters_only_in_heads"])
 def test_an_address_in_two_families(spark, twice, name):
     same(spark, twice, name)
+
+
+def test_more_entries_than_a_live_run_keeps(spark, tmp_path):
+    same(spark, written(spark, tmp_path, [f"{SITE}/en/{i}" for i in range(5100)]), "sitemap_entries")
