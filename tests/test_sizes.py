@@ -38,5 +38,18 @@ def test_an_address_in_two_families(spark, twice, name):
     same(spark, twice, name)
 
 
+@pytest.mark.parametrize("name", ["sitemap_entries_unprobed"])
+def test_an_entry_twice_is_left_twice(spark, twice, name):
+    same(spark, twice, name)
+
+
+@pytest.mark.parametrize("budget, within", [(0, 0), (1, 1), (2, 2), (3, 3), (9, 4)])
+def test_a_budget_counts_every_entry(spark, budget, within):
+    entries = spark.createDataFrame([(SITE, "x", 1), (SITE, "x", 1), (SITE, "x", 2), (SITE, "y", 3)], "site string, loc string, ord int")
+    none = spark.createDataFrame([], "page_url string, status int"), spark.createDataFrame([], "url string, status int, final_url string")
+    left = [r["in_budget"] for r in links.entry_probes(entries, *none, budget=budget)[1].collect()]
+    assert (len(left), sum(left)) == (4, within)
+
+
 def test_more_entries_than_a_live_run_keeps(spark, tmp_path):
     same(spark, written(spark, tmp_path, [f"{SITE}/en/{i}" for i in range(5100)]), "sitemap_entries")
