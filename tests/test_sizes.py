@@ -51,5 +51,10 @@ def test_a_budget_counts_every_entry(spark, budget, within):
     assert (len(left), sum(left)) == (4, within)
 
 
+@pytest.mark.parametrize("name", ["sitemap_uncrawled"])
+def test_an_uncrawled_entry_twice_counts_twice(spark, twice, name):
+    same(spark, twice, name)
+
+
 def test_more_entries_than_a_live_run_keeps(spark, tmp_path):
     same(spark, written(spark, tmp_path, [f"{SITE}/en/{i}" for i in range(5100)]), "sitemap_entries")
