@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomaudit.functions import text as X
 from loomaudit.functions import urls as U
 from loomaudit.functions.subtags import is_known_language, is_valid
+from loomaudit.operators.clusters import shared
+from loomaudit.operators.graph import stored
 
 def axis(urls: DataFrame, explicit: list[str] | None = None) -> DataFrame:
     """(site, locale, source) that a site serves: those named, with the locale prefixes of its listed urls (site, path)."""
@@ -90,21 +92,59 @@ def hidden_holes(cells: DataFrame, ignored_routes: list[str]) -> DataFrame:
     return holes(cells).where(X.matches_any(F.col("route"), ignored_routes)).groupBy("site").agg(F.count("*").alias("hidden"))
 
 
-def reciprocity(pages: DataFrame) -> DataFrame:
-    """(id, code, site, url, locale, peer_url) for declared pages: invalid locales, alternates whose page does not link back, and pages of several locales without a default."""
-    alts = alternates(pages)
+#: Rows of a group that meet another group's as one array.
+CHUNK = 500
+
+
+def _chunked(rows: DataFrame, group: list[str], by: str, into: str) -> DataFrame:
+    """rows dealt into arrays of about CHUNK: (group, `<into>_part`, into: array of the other columns)."""
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    dealt = rows.join(sizes, group).withColumn(f"{into}_part", F.pmod(F.xxhash64(by), F.col("parts")))
+    return dealt.groupBy(*group, f"{into}_part").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in group))).alias(into))
+
+
+def _without_link_back(carried: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(site, url, locale, peer_url, url_key, peer_key): what pages (site, page_url, list) name by their edges (list, locale, href) that are pages and do not name them by their links (list, href).
+
+    Whether a page is named depends only on which lists the other one carries, so pages are judged against such sets of lists. Only what is missing is paired off, in arrays that are dealt over PARTS tasks: it may be as large as the square of a list."""
+    # A link of a page to itself is its own link back; without it, a list that only one page carries and that names only this page says nothing.
+    alone = carried.where("list is not null").groupBy("list").agg(F.min("page_url").alias("href"), F.max("page_url").alias("last")).where("href = last").select("list", "href")
+    edges, links = (x.join(alone, ["list", "href"], "left_anti") for x in (edges, links))
+    links = stored(links, "links")
+    sets = carried.join(links.select("list").distinct(), "list", "left_semi").groupBy("page_url").agg(F.sort_array(F.collect_set("list")).alias("lists"))
+    named = carried.groupBy("page_url").agg(F.count_distinct("list").alias("n")).join(sets, "page_url", "left")
+    key = U.route_key(U.parsed(F.col("page_url")), F.col("page_url"))
+    pages = stored(named.select("page_url", (F.col("n") > 1).alias("many"), F.coalesce("lists", F.array().cast("array<string>")).alias("lists"), F.sha2(F.coalesce(F.array_join("lists", "\0"), F.lit("")), 256).alias("set"), key.alias("key")), "linked-pages")
+    often = edges.groupBy("locale", "href").agg((F.count_distinct("list") > 1).alias("often"))
+    peers = edges.join(pages.select(F.col("page_url").alias("href"), "set", F.col("key").alias("peer_key")), "href").join(often, ["locale", "href"])
+    peers = stored(peers.select("list", "set", "often", "locale", F.col("href").alias("peer_url"), "peer_key"), "peers")
+    heard = pages.select("set", F.explode("lists").alias("list")).distinct().join(links, "list").select("set", F.col("href").alias("page_url")).distinct()
+    unheard = carried.join(peers.select("list", "set").distinct(), "list").join(heard, ["set", "page_url"], "left_anti")
+    senders = stored(unheard.join(pages.select("page_url", "many", F.col("key").alias("url_key")), "page_url").select("list", "set", "many", "site", F.col("page_url").alias("url"), "url_key"), "senders")
+    met = _chunked(senders, ["list", "set", "many"], "url", "senders").join(_chunked(peers, ["list", "set", "often"], "peer_url", "peers"), ["list", "set"])
+    met = met.repartition(PARTS, "list", "set", "senders_part", "peers_part")
+    pairs = lambda df: df.select(F.explode("senders").alias("s"), "peers").select("s.site", "s.url", "s.url_key", F.explode("peers").alias("p")).select("site", "url", "p.locale", "p.peer_url", "url_key", "p.peer_key")
+    # Only pages of several lists can name the same peer twice.
+    return pairs(met.where("not (many and often)")).unionByName(pairs(met.where("many and often")).distinct())
+
+
+def reciprocity(pages: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """(id, code, site, url, locale, peer_url) for declared pages (site, page_url, alternates), or pages (site, page_url, list), a row for each list of alternates that a page carries, null for none, and lists (list, hreflang, href, is_default): invalid locales, alternates whose page does not link back, and pages of several locales without a default."""
+    if lists is None:
+        pages, lists = shared(pages.select("site", "page_url", "alternates"))
+    carried = stored(pages.select("site", "page_url", "list").distinct(), "carried-lists")
+    locale = F.when(F.col("is_default"), "x-default").otherwise(F.lower(X.trimmed(F.col("hreflang"))))
+    read = lists.select("list", F.col("hreflang").alias("tag"), locale.alias("locale"), U.parsed(F.col("href"))["href"].alias("href")).distinct()
+    alts = stored(read.withColumn("valid", is_valid(F.col("locale"))), "read-lists")
     none = F.lit(None).cast("string")
-    bad = ~is_valid(F.col("locale"))
-    invalid = alts.where(bad).select(F.lit("locale.invalid").alias("code"), "site", F.col("page_url").alias("url"), F.col("tag").alias("locale"), none.alias("peer_url"))
-    edges = alts.where(~bad & F.col("href").isNotNull())
-    crawled = pages.select(F.col("page_url").alias("href")).distinct()
-    back = alts.where("href is not null").select(F.col("page_url").alias("href"), F.col("href").alias("page_url")).distinct()
-    missing = edges.join(crawled, "href", "left_semi").join(back, ["href", "page_url"], "left_anti").select(F.lit("missing-back-link").alias("code"), "site", F.col("page_url").alias("url"), "locale", F.col("href").alias("peer_url"))
-    counts = alts.groupBy("site", "page_url").agg(F.count_distinct(F.when(F.col("locale") != "x-default", F.col("locale"))).alias("n"), F.bool_or(F.col("locale") == "x-default").alias("has_default"))
-    absent = counts.where("n >= 2 and not has_default").select(F.lit("x-default-missing").alias("code"), "site", F.col("page_url").alias("url"), none.alias("locale"), none.alias("peer_url"))
-    found = invalid.unionByName(missing).unionByName(absent).distinct()
-    url, peer = U.route_key(U.parsed(F.col("url")), F.col("url")), U.route_key(U.parsed(F.col("peer_url")), F.col("peer_url"))
-    return found.select(X.identity("i18n", F.col("code"), url, peer, F.col("locale")).alias("id"), "code", "site", "url", "locale", "peer_url")
+    url_key = U.route_key(U.parsed(F.col("url")), F.col("url"))
+    invalid = carried.join(alts.where("not valid").select("list", "tag").distinct(), "list").select("site", F.col("page_url").alias("url"), F.col("tag").alias("locale")).distinct().select(F.lit("locale.invalid").alias("code"), "site", "url", "locale", none.alias("peer_url"), url_key.alias("url_key"), none.alias("peer_key"))
+    edges = alts.where("valid and href is not null").select("list", "locale", "href").distinct()
+    missing = _without_link_back(carried, edges, alts.where("href is not null").select("list", "href").distinct()).select(F.lit("missing-back-link").alias("code"), "site", "url", "locale", "peer_url", "url_key", "peer_key")
+    counts = carried.join(alts.select("list", "locale").distinct(), "list").groupBy("site", "page_url").agg(F.count_distinct(F.when(F.col("locale") != "x-default", F.col("locale"))).alias("n"), F.bool_or(F.col("locale") == "x-default").alias("has_default"))
+    absent = counts.where("n >= 2 and not has_default").select("site", F.col("page_url").alias("url")).select(F.lit("x-default-missing").alias("code"), "site", "url", none.alias("locale"), none.alias("peer_url"), url_key.alias("url_key"), none.alias("peer_key"))
+    found = invalid.unionByName(missing).unionByName(absent)
+    return found.select(X.identity("i18n", F.col("code"), F.col("url_key"), F.col("peer_key"), F.col("locale")).alias("id"), "code", "site", "url", "locale", "peer_url")
 
 
 def unverified(cells: DataFrame) -> DataFrame:
